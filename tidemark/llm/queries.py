@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, mixing, quality, simhash, token_store
+from tidemark.llm import chat, decontaminate, html_text, mixing, quality, simhash, substring_dedup, token_counts, token_store, top_k
 from tidemark.llm.common import table
 
 
@@ -20,10 +20,30 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(found.fp).alias("fingerprint"), "component_id")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.chat_digests(chat.format_conversations(rows))
+
+
+def op4_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+def op5_html_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), max_repetition=2.0, budget_share=1.0)
 
@@ -32,15 +52,25 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_chat_format": op3_chat_format,
+    "op4_threshold_top_k": op4_threshold_top_k,
+    "op5_html_tag_paths": op5_html_tag_paths,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_counts": op7_token_counts,
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op4_threshold_top_k": top_k.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_temperature_mixing": mixing.ORACLE,
 }
