@@ -47,7 +47,7 @@ WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
 #: Distinct words, and distinct pre-tokens, in each of the two generations that a process remembers.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Texts with other characters, odd white space or special strings go to the library whole.
@@ -91,12 +91,11 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if NOT_PLAIN.search(t) else t.lower().split() for t in texts]
-        words = self.words.unknown(set().union(*(s for s in split if s)))
-        cut_up = [PRE_TOKEN.findall(w) for w in words]
-        unknown = self.parts.unknown(set().union(*cut_up))
+    def _learn(self, words: set[str]) -> None:
+        """Work out words that are not in the recent generation."""
+        words = self.words.unknown(words)
+        cut_up = [(w,) if w.isalpha() else PRE_TOKEN.findall(w) for w in words]
+        unknown = self.parts.unknown({p for parts in cut_up for p in parts})
         parts, known = self.parts.recent, self.words.recent
         if unknown:
             # every pre-token ends with an id of a token that ends a word, so one call serves them all
@@ -108,7 +107,25 @@ class WordEncoder:
             else:
                 parts.update((w, self._whole(w)) for w in unknown)
         known.update((w, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])) for w, p in zip(words, cut_up))
-        return [self._whole(t) if s is None else b"".join([known[w] for w in s]) for t, s in zip(texts, split)]
+
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        words: list[str] = []
+        ends: list[int] = []
+        whole: dict[int, bytes] = {}
+        for i, text in enumerate(texts):
+            if NOT_PLAIN.search(text):
+                whole[i] = self._whole(text)
+            else:
+                words += text.lower().split()
+            ends.append(len(words))
+        found = list(map(self.words.recent.get, words))
+        if None in found:
+            new = {w for w, ids in zip(words, found) if ids is None}
+            self._learn(new)
+            known = self.words.recent
+            found = [known[w] if ids is None else ids for w, ids in zip(words, found)]
+        return [whole[i] if i in whole else b"".join(found[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
 @lru_cache(maxsize=2)
@@ -189,42 +206,50 @@ _OBJECT = "key long, kind string, doc_id long, n_tokens long, digests array<bina
 def _encoder(path: str, end_id: int | None):
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
+    def rows(kind: str, n: int, **columns: list) -> pa.RecordBatch:
+        """Rows of one kind; columns of the other kind are null."""
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         width = 2 if max(encoder.library.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         sent: set[bytes] = set()  # sending a chunk again is allowed, so forgetting is too
-        rows: list[dict] = []
-        size = 0
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            encoded = (data for a, b in in_portions(texts) for data in encoder.packed(texts[a:b]))
-            for doc_id, data in zip(batch["doc_id"].to_pylist(), encoded):
-                data += tail
-                ids = np.frombuffer(data, "<u4")
-                names, last = [], 0
-                for end in cuts(ids):
-                    part = data[4 * last : 4 * end]
-                    name = digest(part)
-                    names.append(name)
-                    if name not in sent:
-                        if len(sent) >= SENT:
-                            sent.clear()
-                        sent.add(name)
-                        payload = ids[last:end].astype("<u2").tobytes() if width == 2 else part
-                        rows.append({"key": int.from_bytes(name[:8], "little", signed=True), "kind": "chunk", "digest": name, "n_ids": end - last, "width": width, "payload": payload})
-                        size += len(payload)
-                    last = end
-                key = digest(repr(doc_id).encode())
-                rows.append({"key": int.from_bytes(key[:8], "little", signed=True), "kind": "recipe", "doc_id": doc_id, "n_tokens": len(ids), "digests": names, "root": merkle(names)})
-                if len(rows) >= 4096 or size > 8 << 20:
-                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
-                    rows, size = [], 0
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
+            for first, stop in in_portions(texts):
+                names, lengths, payloads = [], [], []
+                counts, lists, roots = [], [], []
+                for data in encoder.packed(texts[first:stop]):
+                    data += tail
+                    ids = np.frombuffer(data, "<u4")
+                    small = ids.astype("<u2").tobytes() if width == 2 else data
+                    own, last = [], 0
+                    for end in cuts(ids):
+                        name = digest(data[4 * last : 4 * end])
+                        own.append(name)
+                        if name not in sent:
+                            sent.add(name)
+                            names.append(name)
+                            lengths.append(end - last)
+                            payloads.append(small[width * last : width * end])
+                        last = end
+                    counts.append(len(ids))
+                    lists.append(own)
+                    roots.append(merkle(own))
+                if len(sent) > SENT:
+                    sent.clear()
+                n = stop - first
+                yield rows("recipe", n, key=[_number(digest(repr(d).encode())) for d in doc_ids[first:stop]], doc_id=doc_ids[first:stop], n_tokens=counts, digests=lists, root=roots)
+                if names:
+                    yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
 
     return run
 
 
+def _number(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
 _ARROW = pa.schema(
     [
         ("key", pa.int64()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())),
