@@ -92,7 +92,7 @@ def scs_peak_discharge(runoff_mm: Value, area_km2: Value, duration_h: Value, con
 def manning_stage(discharge: Value, width: Value, n: Value, slope: Value) -> Column:
     """Normal depth in a wide rectangular channel; zero without flow."""
     q, w, n, s = map(col, (discharge, width, n, slope))
-    return _checked((w > 0) & (n > 0) & (s > 0), F.when(q <= 0, 0.0).otherwise(F.pow(F.greatest(q, F.lit(0.0)) * n / (w * F.sqrt(s)), F.lit(0.6))), "channel width, roughness and slope must be positive")
+    return _checked((w > 0) & (n > 0) & (s > 0), F.when(q <= 0, 0.0).when(q > 0, F.pow(q * n / (w * F.sqrt(s)), F.lit(0.6))), "channel width, roughness and slope must be positive")
 
 
 def narrow_channel(discharge: Value, width: Value, n: Value, slope: Value) -> Column:

@@ -19,15 +19,26 @@ G, THIN, COURANT = 9.806, 1e-3, 0.7
 RAIN_STEPS, INERTIAL_STEPS = 200_000, 100_000
 
 
+def _sides(axis: int) -> tuple[tuple[slice, ...], tuple[slice, ...]]:
+    """Index of the cells before and after each inner face of an axis."""
+    a, b, full = slice(None, -1), slice(1, None), slice(None)
+    return ((full, a), (full, b)) if axis == 1 else ((a, full), (b, full))
+
+
+def face_depth(z: np.ndarray, d: np.ndarray, axis: int) -> np.ndarray:
+    """Depth of flow at each face: the higher water level over the higher ground."""
+    left, right = _sides(axis)
+    eta = z + d
+    return np.maximum(eta[left], eta[right]) - np.maximum(z[left], z[right])
+
+
 def face_flux(q: np.ndarray, z: np.ndarray, d: np.ndarray, n: np.ndarray, dt: float, dx: float, axis: int) -> np.ndarray:
     """New unit discharges across the inner faces of one axis, from the old depths."""
-    a, b = (slice(None, -1), slice(1, None)) if axis == 1 else (slice(None, -1), slice(1, None))
-    left = (slice(None), a) if axis == 1 else (a, slice(None))
-    right = (slice(None), b) if axis == 1 else (b, slice(None))
-    eta = z + d
-    h = np.maximum(eta[left], eta[right]) - np.maximum(z[left], z[right])
+    left, right = _sides(axis)
+    h = face_depth(z, d, axis)
     open_ = h > THIN  # false for NaN too
     h = np.where(open_, h, 1.0)
+    eta = z + d
     rough = 0.5 * (n[left] + n[right])
     new = (q - G * h * (eta[right] - eta[left]) / dx * dt) / (1 + G * rough**2 * np.abs(q) * dt / h ** (7 / 3))
     return np.where(open_, new, 0.0)
@@ -39,9 +50,13 @@ def continued(d: np.ndarray, qx: np.ndarray, qy: np.ndarray, dt: float, dx: floa
     return np.maximum(0.0, d - dt / dx * (x[:, 1:] - x[:, :-1]) - dt / dx * (y[1:] - y[:-1]))
 
 
-def time_step(d: np.ndarray, qx: np.ndarray, qy: np.ndarray, dx: float, most: float, counted: np.ndarray) -> float:
-    """Courant-limited step from depths of counted cells and face velocities."""
-    deep = float(np.max(np.where(counted, d, 0.0), initial=0.0))
+def time_step(z: np.ndarray, d: np.ndarray, qx: np.ndarray, qy: np.ndarray, dx: float, most: float) -> float:
+    """Courant-limited step from face depths and cell velocities.
+
+    Face depths, not cell depths, count: a deep boundary cell matters only as
+    far as its water passes a face, and does so from the first step on.
+    """
+    deep = max((float(np.nanmax(h)) for h in (face_depth(z, d, 0), face_depth(z, d, 1)) if h.size and not np.isnan(h).all()), default=0.0)
     if deep <= THIN:
         return most
     wet = d > THIN
@@ -68,7 +83,7 @@ def rain_run(z: np.ndarray, outlet: np.ndarray, net: np.ndarray, n: np.ndarray,
     qx, qy = np.zeros((z.shape[0], z.shape[1] - 1)), np.zeros((z.shape[0] - 1, z.shape[1]))
     rate, t, steps = np.where(known, net, 0.0) / storm_s, 0.0, 0
     while t < total_s and steps < RAIN_STEPS:
-        dt = min(time_step(d, qx, qy, dx, dt_max, known), total_s - t)
+        dt = min(time_step(z, d, qx, qy, dx, dt_max), total_s - t)
         if clip_storm and t < storm_s:
             dt = min(dt, storm_s - t)
         qx, qy = face_flux(qx, z, d, n, dt, dx, 1), face_flux(qy, z, d, n, dt, dx, 0)
@@ -106,7 +121,7 @@ def inertial_run(z: np.ndarray, boundary: np.ndarray, level: float | np.ndarray
     qx, qy = np.zeros((z.shape[0], z.shape[1] - 1)), np.zeros((z.shape[0] - 1, z.shape[1]))
     t, steps = 0.0, 0
     while t < total_s and steps < INERTIAL_STEPS:
-        dt = min(time_step(d, qx, qy, dx, dt_max, known & ~boundary), total_s - t)
+        dt = min(time_step(z, d, qx, qy, dx, dt_max), total_s - t)
         qx, qy = face_flux(qx, z, d, rough, dt, dx, 1), face_flux(qy, z, d, rough, dt, dx, 0)
         new = continued(d, qx, qy, dt, dx)
         new = np.where(boundary, held(t), new)
