@@ -66,12 +66,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     end = found.sparkSession.createDataFrame([("", 0, [])], "rare string, offset int, window array<string>")
     probe = found.union(end)
     words = own.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("words"))
-    spread = words.select("doc_id", "version", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "word"))
+    spread = words.select("doc_id", "version", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "word")).withColumn("n", F.size("words"))
+    if small:
+        # rows are verified where they arise, so every word can refer to its whole document
+        spread = spread.withColumn("first", F.lit(0))
+    else:
+        # rows travel: each takes along only the words that a window around it can reach
+        first = F.greatest(F.col("at") - F.lit(size - 1), F.lit(0))
+        spread = spread.withColumn("first", first).withColumn("words", F.slice("words", F.col("first") + 1, F.lit(2 * size - 1)))
     met = spread.join(F.broadcast(probe) if small else probe, F.col("word") == F.col("rare"))
     start = F.col("at") - F.col("offset")
     length = F.size("window")
-    inside = (start >= 0) & (start + length <= F.size("words"))
-    holds = F.when(inside, F.slice("words", F.greatest(start, F.lit(0)) + 1, length) == F.col("window"))
+    inside = (start >= 0) & (start + length <= F.col("n"))
+    holds = F.when(inside, F.slice("words", F.greatest(start - F.col("first"), F.lit(0)) + 1, length) == F.col("window"))
     hits = met.where(holds).select("doc_id", "version", start.alias("start"), F.when(length > 0, start + length).alias("stop"), F.when(length > 0, F.col("window")).alias("window"))
     met_items = windows.groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     named = hits.join(F.broadcast(met_items) if small else met_items, "window", "left")
@@ -88,8 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The rows of ``docs``, columns as they were, that hold no window of the benchmark."""
-    dirty = cut(contaminated(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_dirty")).distinct())
-    return docs.join(dirty, F.col("doc_id") == F.col("_dirty"), "left_anti")
+    dirty = cut(contaminated(docs, benchmark, size).where("n_hit > 0").select("doc_id").distinct())
+    return docs.join(dirty, docs["doc_id"] == dirty["doc_id"], "left_anti")
 
 
 def _prefixed_large(docs: DataFrame, windows: DataFrame) -> DataFrame:

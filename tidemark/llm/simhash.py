@@ -175,5 +175,5 @@ def deduplicated(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     one each; rows without a doc_id stay.
     """
     found = simhash_components(docs, words, bits, max_bucket)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(cut(drop), F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
