@@ -81,4 +81,6 @@ def test_nothing_is_dropped_without_a_budget(spark):
     df = docs(spark)
     out = M.resampled(df, max_repetition=2.0, budget_share=None)
     assert out.columns == df.columns and out.distinct().count() == df.distinct().count()
+    plan = M.mixing_plan(corpus(spark), max_repetition=2.0, budget_share=None).where("weight > 0").collect()
+    assert min(r.epochs for r in plan) >= 1 and 1.9 < max(r.epochs for r in plan) <= 2.001
     assert M.mix(empty(spark)).count() == 0 and M.resampled(empty(spark), budget_share=None).count() == 0

@@ -41,7 +41,7 @@ def source_of(source: Column) -> Column:
     return F.coalesce(source, F.lit(""))
 
 
-def exponent(sources: DataFrame, max_repetition: float | None, target_entropy: float | None, budget_share: float) -> tuple[float, float]:
+def exponent(sources: DataFrame, max_repetition: float | None, target_entropy: float | None, budget_share: float | None) -> tuple[float, float]:
     """The bisected exponent and the sum of the shares raised to it, from (source, n_tokens); 1 for an empty corpus.
 
     Only one number a source meets here, in one row, never documents.
@@ -55,7 +55,11 @@ def exponent(sources: DataFrame, max_repetition: float | None, target_entropy: f
     middle = lambda s: (s["lo"] + s["hi"]) / 2
     if max_repetition is not None:
         # the smallest source repeats most; more exponent, less repetition
-        low = lambda a: F.pow(F.array_min("p"), a - 1) / norm(a) * F.lit(float(budget_share)) > F.lit(float(max_repetition))
+        if budget_share is None:
+            # the largest source is read once, so the smallest is read as often as their rates differ
+            low = lambda a: F.pow(F.array_min("p") / F.array_max("p"), a - 1) > F.lit(float(max_repetition))
+        else:
+            low = lambda a: F.pow(F.array_min("p"), a - 1) / norm(a) * F.lit(float(budget_share)) > F.lit(float(max_repetition))
     else:
         # entropy falls as the exponent grows
         entropy = lambda a: F.aggregate("p", zero, lambda s, p: s - F.pow(p, a) / norm(a) * F.ln(F.pow(p, a) / norm(a)))
@@ -84,12 +88,12 @@ def mixing_plan(docs: DataFrame, max_repetition: float | None = 2.0, target_entr
 
     ``budget_share`` is the token budget as a share of the corpus; None takes
     the smallest budget at which no source falls below one whole epoch, so
-    nothing is dropped.  A source without tokens is read once.
+    nothing is dropped and no source is read more often than the limit.  A source without tokens is read once.
     """
     thin = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), source_of(F.col("source")).alias("source"), tokens(F.col("text")).alias("n_tokens")))
     sources = cut(thin.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs")))
     total = sources.agg(F.sum("n_tokens")).first()[0] or 0
-    alpha, norm = exponent(sources, max_repetition, target_entropy, budget_share or 1.0)
+    alpha, norm = exponent(sources, max_repetition, target_entropy, budget_share)
     share = F.col("n_tokens") / F.lit(float(total or 1))
     weight = F.round(F.pow(share, F.lit(alpha)) / F.lit(norm), 9)
     weighted = sources.select("source", "n_tokens", "n_docs", F.when(F.col("n_tokens") > 0, weight).otherwise(0.0).alias("weight"))
