@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.storage import cut, scratch, shared_dir, stored
 
-__all__ = ["ascii_lower", "cut", "documents", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["ascii_lower", "cut", "documents", "portions", "scratch", "shared_dir", "stored", "table"]
 
 #: The only characters that the text contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,3 +32,20 @@ def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", e
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def portions(*columns: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[tuple[list, ...]]:
+    """Runs of rows of an Arrow batch as Python lists, the last column a text of about ``size`` characters in all.
+
+    A batch is never unpacked as a whole, so long texts are held a few at a time.
+    """
+    for at in range(0, len(columns[0]), rows):
+        lists = [c.slice(at, rows).to_pylist() for c in columns]
+        first = total = 0
+        for i, text in enumerate(lists[-1]):
+            total += len(text or "")
+            if total >= size:
+                yield tuple(x[first : i + 1] for x in lists)
+                first, total = i + 1, 0
+        if first < len(lists[-1]):
+            yield tuple(x[first:] for x in lists)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import portions
+
 #: Elements without content of their own.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that continue the block they stand in.
@@ -206,7 +208,7 @@ def extracted(html: Column) -> Column:
 
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([main_text(h) if h else "" for h in batch.to_pylist()], pa.string())
+            yield pa.array([main_text(h) if h else "" for (part,) in portions(batch) for h in part], pa.string())
 
     extract.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(extract, "string")(html)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents
+from tidemark.llm.common import cut, documents, portions
 
 #: Labelled rows that the fit reads at most.
 MAX_ROWS = 20_000
@@ -119,7 +119,7 @@ def _training(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for t in batch["text"].to_pylist()], pa.list_(pa.float64())), batch["y"]], names=["s", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([statistics(t) for (part,) in portions(batch["text"]) for t in part], pa.list_(pa.float64())), batch["y"]], names=["s", "y"])
 
     return cut(joined.mapInArrow(run, "s array<double>, y double"))
 
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            stats = [statistics(t or "") for t in texts.to_pylist()]
+            stats = [statistics(t or "") for (part,) in portions(texts) for t in part]
             yield pa.array(model.scores(np.array(stats, np.float64)) if stats else [], pa.float64())
 
     # annotations are text here, so the kind of function is told to Spark by hand

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents
+from tidemark.llm.common import cut, documents, portions
 from tidemark.operators.components import connected_components
 
 #: Bits per pivot mask, and parts that must agree.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
         hashed = xxhash.xxh64_intdigest
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
-            for row, text in enumerate(batch["text"].to_pylist()):
+            for row, text in enumerate(t for (part,) in portions(batch["text"]) for t in part):
                 parts = text.encode().translate(lower).split()
                 if not parts:
                     continue

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents
+from tidemark.llm.common import cut, documents, portions
 
 #: Words a unit has at least.
 MIN_WORDS = 8
@@ -62,7 +62,7 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         hashed = xxhash.xxh3_128_digest
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            for doc_id, text in (pair for ids, texts in portions(batch["doc_id"], batch["text"]) for pair in zip(ids, texts)):
                 seen: set[bytes] = set()
                 for start, stop, form in spans(text, min_words):
                     h = hashed(form.encode())

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents
-from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, REMEMBERED, Memory, in_portions
+from tidemark.llm.common import documents, portions
+from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, REMEMBERED, Memory
 
 #: The pre-tokens of byte-level BPE: contractions; letters, numbers or other signs after at most one space; spaces.
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
@@ -80,8 +80,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            yield pa.array([n for a, b in in_portions(texts) for n in counter(tokenizer).counts(texts[a:b])], pa.int64())
+            yield pa.array([n for (texts,) in portions(batch) for n in counter(tokenizer).counts(texts)], pa.int64())
 
     count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     own = documents(docs, id_col, text_col)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import documents, scratch
+from tidemark.llm.common import documents, portions, scratch
 
 #: Chunk lengths in ids.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
@@ -46,8 +46,8 @@ MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
 WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
-#: Distinct words, and distinct pre-tokens, in each of the two generations that a process remembers.
-REMEMBERED = 500_000
+#: Distinct words in each of the two generations that a process remembers.
+REMEMBERED = 300_000
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Texts with other characters, odd white space or special strings go to the library whole.
@@ -62,10 +62,10 @@ class Memory:
     def __init__(self, most: int) -> None:
         self.most, self.recent, self.older = most, {}, {}
 
-    def unknown(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted`` that must be worked out; the others are in ``recent`` from here on."""
+    def unknown(self, wanted: set[str], turn: bool = True) -> list[str]:
+        """Those of ``wanted`` that must be worked out; the others are in ``recent`` until the generations turn."""
         new = wanted.difference(self.recent)
-        if len(self.recent) + len(new) > self.most:
+        if turn and len(self.recent) + len(new) > self.most:
             self.older, self.recent, new = self.recent, {}, wanted
         older = self.older
         self.recent.update((w, older[w]) for w in new if w in older)
@@ -86,7 +86,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words, self.parts = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.words = Memory(REMEMBERED)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -94,19 +94,24 @@ class WordEncoder:
     def _learn(self, words: set[str]) -> None:
         """Work out words that are not in the recent generation."""
         words = self.words.unknown(words)
-        cut_up = [(w,) if w.isalpha() else PRE_TOKEN.findall(w) for w in words]
-        unknown = self.parts.unknown({p for parts in cut_up for p in parts})
-        parts, known = self.parts.recent, self.words.recent
+        compound = {w: PRE_TOKEN.findall(w) for w in words if not w.isalpha()}
+        # a pre-token is a word too, so words and pre-tokens share one memory
+        single = {w for w in words if w not in compound}
+        single.update(p for parts in compound.values() for p in parts)
+        unknown = self.words.unknown(single, turn=False)
+        known = self.words.recent
         if unknown:
             # every pre-token ends with an id of a token that ends a word, so one call serves them all
             ids = np.array(self.library.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) == len(unknown):
                 data, ends = ids.tobytes(), ends.tolist()
-                parts.update((w, data[a:b]) for w, a, b in zip(unknown, [0, *ends], ends))
+                known.update((w, data[a:b]) for w, a, b in zip(unknown, [0, *ends], ends))
             else:
-                parts.update((w, self._whole(w)) for w in unknown)
-        known.update((w, parts[p[0]] if len(p) == 1 else b"".join([parts[x] for x in p])) for w, p in zip(words, cut_up))
+                known.update((w, self._whole(w)) for w in unknown)
+        for w, parts in compound.items():
+            if len(parts) > 1:
+                known[w] = b"".join([known[p] for p in parts])
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -121,10 +126,11 @@ class WordEncoder:
             ends.append(len(words))
         found = list(map(self.words.recent.get, words))
         if None in found:
-            new = {w for w, ids in zip(words, found) if ids is None}
-            self._learn(new)
+            missed = [i for i, ids in enumerate(found) if ids is None]
+            self._learn({words[i] for i in missed})
             known = self.words.recent
-            found = [known[w] if ids is None else ids for w, ids in zip(words, found)]
+            for i in missed:
+                found[i] = known[words[i]]
         return [whole[i] if i in whole else b"".join(found[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
@@ -134,18 +140,6 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def in_portions(texts: list[str], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts of about ``size`` characters together."""
-    first = total = 0
-    for i, text in enumerate(texts):
-        total += len(text)
-        if total >= size:
-            yield first, i + 1
-            first, total = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one id stream, by content: a polynomial hash of the last WINDOW ids decides."""
     n = len(ids)
@@ -215,11 +209,10 @@ def _encoder(path: str, end_id: int | None):
         width = 2 if max(encoder.library.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         sent: set[bytes] = set()  # sending a chunk again is allowed, so forgetting is too
         for batch in batches:
-            texts, doc_ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for first, stop in in_portions(texts):
+            for doc_ids, texts in portions(batch["doc_id"], batch["text"]):
                 names, lengths, payloads = [], [], []
                 counts, lists, roots = [], [], []
-                for data in encoder.packed(texts[first:stop]):
+                for data in encoder.packed(texts):
                     data += tail
                     ids = np.frombuffer(data, "<u4")
                     small = ids.astype("<u2").tobytes() if width == 2 else data
@@ -238,8 +231,7 @@ def _encoder(path: str, end_id: int | None):
                     roots.append(merkle(own))
                 if len(sent) > SENT:
                     sent.clear()
-                n = stop - first
-                yield rows("recipe", n, key=[_number(digest(repr(d).encode())) for d in doc_ids[first:stop]], doc_id=doc_ids[first:stop], n_tokens=counts, digests=lists, root=roots)
+                yield rows("recipe", len(texts), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
                 if names:
                     yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
 
