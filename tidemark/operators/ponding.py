@@ -139,7 +139,7 @@ def topography(cells: DataFrame, stops: DataFrame, cell_area: float = 900.0, z:
     surface = cut(filled_surface(cells, z))
     inside, depressions = inventory(surface, cell_area, **limits)
     inside = cut(inside)
-    spill = cut(spill_graph(depressions, inside, conditioned_directions(cells, z), stops))
+    spill = cut(spill_graph(depressions, inside, conditioned_directions(cells, z, surface=surface), stops))
     return {"surface": surface, "directions": cut(d8(cells, z)), "cells": inside, "depressions": depressions, "spill": spill}
 
 

@@ -52,14 +52,16 @@ def filled_surface(cells: DataFrame, z: str = "z", max_rounds: int = 500) -> Dat
     return cells.select(*k, F.col(z).alias("z")).join(full, k, "left")
 
 
-def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 4096) -> DataFrame:
+def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 4096, surface: DataFrame | None = None) -> DataFrame:
     """Keys and ``d8`` on the filled surface; flats drain towards their nearest outlet, -1 only at the outside.
 
     Cells of a flat without a lower neighbour take, ring after ring, the lowest
-    direction that leads to a cell of the same height that already drains.
+    direction that leads to a cell of the same height that already drains.  A
+    filled ``surface`` that is at hand is not computed again.
     """
     k = keys(cells)
-    surface = cut(filled_surface(cells, z).where("filled is not null").select(*k, "filled"))
+    full = filled_surface(cells, z) if surface is None else surface
+    surface = cut(full.where("filled is not null").select(*k, "filled"))
     edge = marked(surface, _on_edge(surface, "filled"), "edge")
     flow = cut(edge.join(d8(surface, "filled"), k).withColumn("drains", (F.col("d8") >= 0) | F.col("edge")))
     for _ in range(max_rounds):
@@ -107,10 +109,10 @@ def slope(cells: DataFrame, cell_m: float, z: str = "z") -> DataFrame:
 def twi(cells: DataFrame, cell_m: float = 30.0, z: str = "z") -> DataFrame:
     """Keys and ``twi``: ln of upstream area per cell width over slope, on the conditioned surface; slopes under 0.001 count as that."""
     k = keys(cells)
-    surface = filled_surface(cells, z).select(*k, F.col("filled").alias("z"))
-    area = drainage_mask(conditioned_directions(cells, z)).select(*k, "cells")
+    surface = cut(filled_surface(cells, z))
+    area = drainage_mask(conditioned_directions(cells, z, surface=surface)).select(*k, "cells")
     index = F.ln((F.col("cells") + 1) * cell_m / F.greatest(F.coalesce("slope", F.lit(0.0)), F.lit(1e-3)))
-    return cells.select(*k).join(area.join(slope(surface, cell_m), k, "left").select(*k, index.alias("twi")), k, "left")
+    return cells.select(*k).join(area.join(slope(surface.select(*k, F.col("filled").alias("z")), cell_m), k, "left").select(*k, index.alias("twi")), k, "left")
 
 
 def burned_median_depitted(cells: DataFrame, channel: Column, land: Column, burn: float = 2.0, window: int = 3, **depit) -> DataFrame:
