@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from conftest import array_of, grid_of
+from grids import array_of, grid_of
 from pyspark.sql import functions as F
 
 from tidemark.operators import graph, grid, ponding, terrain, zonal

@@ -37,7 +37,11 @@ def r6(x: Column | str) -> Column:
     return F.round(x, 6)
 
 
-RC = (F.col("row").alias("r"), F.col("col").alias("c"))
+def place() -> tuple[Column, Column]:
+    """Row and column of a cell, named as in the SQL."""
+    return F.col("row").alias("r"), F.col("col").alias("c")
+
+
 LEVEL = 0.5
 #: Cells reached from active border cells with z <= LEVEL; the neighbours' condition is to be filled in.
 _FILL = """WITH RECURSIVE {cells}, act AS (SELECT * FROM border WHERE z <= {level}),
@@ -54,17 +58,17 @@ def _fill_sql(connectivity: int = 8, seed: str = "b", level: str = str(LEVEL)) -
 @query(f"WITH {SQL_CELLS}, {SQL_LEVELS} SELECT r, c, return_period, round(CASE WHEN z IS NOT NULL THEN greatest(water_level_m - z, 0) END, 6) AS depth FROM cells, levels WHERE hazard_type = 'coastal'")
 def bathtub_depth(spark: SparkSession, sf: str) -> DataFrame:
     coastal = views.levels(spark).where("hazard_type = 'coastal'")
-    return views.cells(spark, sf).join(F.broadcast(coastal)).select(*RC, "return_period", r6(D.bathtub("z", "water_level_m")).alias("depth"))
+    return views.cells(spark, sf).join(F.broadcast(coastal)).select(*place(), "return_period", r6(D.bathtub("z", "water_level_m")).alias("depth"))
 
 
 @query(f"WITH {SQL_CELLS}, {SQL_LEVELS} SELECT r, c, return_period, round(CASE WHEN hand IS NOT NULL THEN greatest(water_level_m - hand, 0) END, 6) AS depth FROM cells, levels WHERE hazard_type = 'fluvial'")
 def hand_stage_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return views.cells(spark, sf).join(F.broadcast(views.levels(spark).where("hazard_type = 'fluvial'"))).select(*RC, "return_period", r6(D.hand_depth("hand", "water_level_m")).alias("depth"))
+    return views.cells(spark, sf).join(F.broadcast(views.levels(spark).where("hazard_type = 'fluvial'"))).select(*place(), "return_period", r6(D.hand_depth("hand", "water_level_m")).alias("depth"))
 
 
 @query(f"WITH {SQL_CELLS} SELECT r, c, round(CASE WHEN z IS NOT NULL THEN least(0.3, greatest(filled - z, 0)) END, 6) AS depth FROM cells")
 def ponding_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return views.cells(spark, sf).select(*RC, r6(D.lumped_ponding("z", "filled", 0.3)).alias("depth"))
+    return views.cells(spark, sf).select(*place(), r6(D.lumped_ponding("z", "filled", 0.3)).alias("depth"))
 
 
 _SEVERITY = "CASE WHEN d IS NULL THEN 255 WHEN d <= 0 THEN 0 WHEN d <= 0.15 THEN 1 WHEN d <= 0.5 THEN 2 WHEN d <= 1.0 THEN 3 ELSE 4 END"
@@ -72,7 +76,7 @@ _SEVERITY = "CASE WHEN d IS NULL THEN 255 WHEN d <= 0 THEN 0 WHEN d <= 0.15 THEN
 
 @query(f"WITH {SQL_CELLS}, x AS (SELECT *, greatest(1.25 - z, 0) AS g FROM cells), y AS (SELECT r, c, CASE WHEN z IS NOT NULL THEN g END AS d FROM x) SELECT r, c, CAST({_SEVERITY} AS INTEGER) AS severity FROM y")
 def severity_class(spark: SparkSession, sf: str) -> DataFrame:
-    return views.cells(spark, sf).select(*RC, D.severity(D.bathtub("z", 1.25)).alias("severity"))
+    return views.cells(spark, sf).select(*place(), D.severity(D.bathtub("z", 1.25)).alias("severity"))
 
 
 _BATH = f"{SQL_CELLS}, {SQL_LEVELS}, bath AS (SELECT hazard_type, return_period, r, c, CASE WHEN z IS NOT NULL THEN greatest(water_level_m - z, 0) END AS d FROM cells, levels)"
@@ -102,7 +106,7 @@ def depth_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_CELLS}, x AS (SELECT r, c, CASE WHEN z IS NOT NULL THEN greatest(0.8 - z, 0) END AS a, CASE WHEN hand IS NOT NULL THEN greatest(1.5 - hand, 0) END AS b, CASE WHEN size % 11 <> 0 THEN size / 50.0::DOUBLE END AS d FROM cells) SELECT r, c, round(greatest(a, b, d), 6) AS depth FROM x")
 def hazard_composite(spark: SparkSession, sf: str) -> DataFrame:
-    return _three(spark, sf).select(*RC, r6(D.composite("a", "b", "d")).alias("depth"))
+    return _three(spark, sf).select(*place(), r6(D.composite("a", "b", "d")).alias("depth"))
 
 
 def _three(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,13 +118,13 @@ def _three(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT r, c, CASE WHEN greatest(a, b, d) <= 0 THEN NULL WHEN a >= b AND a >= d THEN 'coastal' WHEN b >= d THEN 'fluvial' ELSE 'pluvial' END AS hazard FROM x"
 )
 def dominant_hazard(spark: SparkSession, sf: str) -> DataFrame:
-    return _three(spark, sf).select(*RC, D.dominant({"coastal": "a", "fluvial": "b", "pluvial": "d"}).alias("hazard"))
+    return _three(spark, sf).select(*place(), D.dominant({"coastal": "a", "fluvial": "b", "pluvial": "d"}).alias("hazard"))
 
 
 @query(f"WITH {_BATH} SELECT r, c, round(quantile_cont(coalesce(d, 0), 0.5), 6) AS p50, round(quantile_cont(coalesce(d, 0), 0.9), 6) AS p90 FROM bath WHERE hazard_type = 'coastal' GROUP BY r, c HAVING count(d) > 0")
 def depth_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     out = zonal.depth_percentiles(_bath(spark, sf).where("hazard_type = 'coastal'"), [50, 90])
-    return out.where("p50 is not null").select(*RC, r6("p50").alias("p50"), r6("p90").alias("p90"))
+    return out.where("p50 is not null").select(*place(), r6("p50").alias("p50"), r6("p90").alias("p90"))
 
 
 @query(
@@ -129,7 +133,7 @@ def depth_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 )
 def depth_rules(spark: SparkSession, sf: str) -> DataFrame:
     d = views.cells(spark, sf).withColumn("d", D.bathtub("z", 1.0))
-    return d.select(*RC, r6(D.floored("d", 0.25)).alias("floored"), r6(D.capped("d", 0.6)).alias("capped"), r6(D.zeroed("d", F.col("channel"))).alias("off_channel"), r6(D.present_day("d", 0.2)).alias("present"), D.banded("d", (0.15, 0.5, 1.0)).alias("band"))
+    return d.select(*place(), r6(D.floored("d", 0.25)).alias("floored"), r6(D.capped("d", 0.6)).alias("capped"), r6(D.zeroed("d", F.col("channel"))).alias("off_channel"), r6(D.present_day("d", 0.2)).alias("present"), D.banded("d", (0.15, 0.5, 1.0)).alias("band"))
 
 
 @query(
@@ -139,7 +143,7 @@ def depth_rules(spark: SparkSession, sf: str) -> DataFrame:
 def terrain_rules(spark: SparkSession, sf: str) -> DataFrame:
     land = F.lit(True)
     return views.cells(spark, sf).select(
-        *RC, r6(D.coastal_capped("hand", F.col("z"), 0.9)).alias("coastal_capped"), r6(D.land_clamped("z", land)).alias("clamped"), r6(D.preflooded("z", land)).alias("preflood"), r6(D.burned("z", F.col("channel"), 2.0)).alias("burned"), r6(D.crested("z", F.when(F.col("size") > 30, 2.5))).alias("crested")
+        *place(), r6(D.coastal_capped("hand", F.col("z"), 0.9)).alias("coastal_capped"), r6(D.land_clamped("z", land)).alias("clamped"), r6(D.preflooded("z", land)).alias("preflood"), r6(D.burned("z", F.col("channel"), 2.0)).alias("burned"), r6(D.crested("z", F.when(F.col("size") > 30, 2.5))).alias("crested")
     )
 
 
@@ -149,7 +153,7 @@ _RC = "CASE size * 10 % 110 WHEN 10 THEN 0.15 WHEN 20 THEN 0.25 WHEN 30 THEN 0.3
 @query(f"WITH {SQL_CELLS}, x AS (SELECT r, c, channel, {_RC} AS rc FROM cells) SELECT r, c, rc AS runoff, round(least(greatest(0.11 - 0.08 * rc, 0.03), 0.10), 6) AS manning_n, round(CASE WHEN channel THEN 0 ELSE 0.08 * rc END, 6) AS net_rain FROM x")
 def land_cover_runoff(spark: SparkSession, sf: str) -> DataFrame:
     rc = D.runoff_coefficient(F.col("size") * 10 % 110)
-    return views.cells(spark, sf).withColumn("rc", rc).select(*RC, F.col("rc").alias("runoff"), r6(D.roughness("rc")).alias("manning_n"), r6(D.net_rain(0.08, "rc", F.col("channel"))).alias("net_rain"))
+    return views.cells(spark, sf).withColumn("rc", rc).select(*place(), F.col("rc").alias("runoff"), r6(D.roughness("rc")).alias("manning_n"), r6(D.net_rain(0.08, "rc", F.col("channel"))).alias("net_rain"))
 
 
 # grids
@@ -157,12 +161,12 @@ def land_cover_runoff(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {SQL_CELLS} SELECT CAST(r // 3 AS INTEGER) AS r, CAST(c // 3 AS INTEGER) AS c, round(max(z), 6) AS z FROM cells GROUP BY ALL")
 def block_max(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.block_max(views.cells(spark, sf), "z", 3).select(*RC, r6("z").alias("z"))
+    return grid.block_max(views.cells(spark, sf), "z", 3).select(*place(), r6("z").alias("z"))
 
 
 @query(f"WITH {SQL_CELLS} SELECT CAST(r // 3 AS INTEGER) AS r, CAST(c // 3 AS INTEGER) AS c, round(avg(channel::INT), 6) AS fraction FROM cells GROUP BY 1, 2")
 def block_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.block_fraction(views.cells(spark, sf), "channel", 3).select(*RC, r6("fraction").alias("fraction"))
+    return grid.block_fraction(views.cells(spark, sf), "channel", 3).select(*place(), r6("fraction").alias("fraction"))
 
 
 _TPI = f"""WITH {SQL_CELLS}, h AS (SELECT max(r) AS rm FROM cells), o AS (SELECT unnest(generate_series(-2, 2)) AS d),
@@ -172,39 +176,39 @@ w AS (SELECT a.r, a.c, any_value(a.z) AS z, avg(b.z) AS m FROM cells a CROSS JOI
 
 @query(f"{_TPI} SELECT r, c, round(m - z, 6) AS tpi FROM w")
 def tpi_index(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.tpi(views.cells(spark, sf), "z", 5, width=views.WIDTH).select(*RC, r6("tpi").alias("tpi"))
+    return grid.tpi(views.cells(spark, sf), "z", 5, width=views.WIDTH).select(*place(), r6("tpi").alias("tpi"))
 
 
 @query(f"{_TPI}, t AS (SELECT r, c, m - z AS tpi FROM w), q AS (SELECT quantile_cont(tpi, 0.9) AS cut FROM t) SELECT r, c, CASE WHEN tpi IS NOT NULL THEN CASE WHEN tpi >= cut THEN 0.5 ELSE 0 END END::DOUBLE AS depth FROM t, q")
 def tpi_flag(spark: SparkSession, sf: str) -> DataFrame:
-    return zonal.quantile_flag(grid.tpi(views.cells(spark, sf), "z", 5, width=views.WIDTH), "tpi", 0.1, 0.5).select(*RC, "depth")
+    return zonal.quantile_flag(grid.tpi(views.cells(spark, sf), "z", 5, width=views.WIDTH), "tpi", 0.1, 0.5).select(*place(), "depth")
 
 
 @query(f"WITH {SQL_CELLS}, l AS (SELECT *, 1.0::DOUBLE + r * 0.01::DOUBLE AS lat FROM cells) SELECT r, c, round(z - CASE WHEN lat > 1.0 AND lat <= 1.1 THEN 0.675 WHEN lat > 1.1 AND lat <= 1.3 THEN 0.3 ELSE 0 END, 6) AS z FROM l")
 def subsidence(spark: SparkSession, sf: str) -> DataFrame:
     bands = spark.createDataFrame([(1.0, 1.1, 4.5), (1.1, 1.3, 2.0)], "lat_min double, lat_max double, rate_cm_per_year double")
     lat = views.cells(spark, sf).withColumn("lat", 1.0 + F.col("row") * 0.01)
-    return zonal.corrected_for_subsidence(lat, bands, 15.0).select(*RC, r6("z").alias("z"))
+    return zonal.corrected_for_subsidence(lat, bands, 15.0).select(*place(), r6("z").alias("z"))
 
 
 @query(f"WITH {SQL_CELLS} SELECT r, c, round(CASE WHEN z IS NOT NULL THEN CASE WHEN abs(r - 2) <= 1 AND c BETWEEN 5 AND 20 THEN greatest(z, 2.0) ELSE z END END, 6) AS z FROM cells")
 def crest_burn(spark: SparkSession, sf: str) -> DataFrame:
     near = geo.segment_distance(F.col("col"), F.col("row"), 5.0, 2.0, 20.0, 2.0)
     inside = (near <= 1.0) & F.col("col").between(5, 20)
-    return views.cells(spark, sf).select(*RC, r6(D.crested("z", F.when(inside, 2.0))).alias("z"))
+    return views.cells(spark, sf).select(*place(), r6(D.crested("z", F.when(inside, 2.0))).alias("z"))
 
 
 @query(f"WITH {SQL_CELLS}, x AS (SELECT r, c, CASE WHEN z IS NOT NULL THEN greatest(1.0 - z, 0) END AS d, r + 0.5 BETWEEN 1 AND 4 AND c + 0.5 BETWEEN 10 AND 30 AS i, size FROM cells) SELECT r, c, round(CASE WHEN d IS NOT NULL AND i THEN CASE WHEN size / 10.0 >= 2.5 THEN 0 ELSE d * 0.4 END ELSE d END, 6) AS depth FROM x")
 def polygon_protect(spark: SparkSession, sf: str) -> DataFrame:
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((10.0, 1.0), (30.0, 1.0), (30.0, 4.0), (10.0, 4.0))])
     inside = geo.in_ring(F.col("col") + 0.5, F.col("row") + 0.5, ring)
-    return views.cells(spark, sf).select(*RC, r6(D.protected(D.bathtub("z", 1.0), inside, F.col("size") / 10.0, 2.5, 0.4)).alias("depth"))
+    return views.cells(spark, sf).select(*place(), r6(D.protected(D.bathtub("z", 1.0), inside, F.col("size") / 10.0, 2.5, 0.4)).alias("depth"))
 
 
 @query(f"WITH {SQL_CELLS} SELECT r, c, round(z + CASE WHEN c BETWEEN 10 AND 30 THEN 0.5 WHEN c BETWEEN 5 AND 15 THEN 1.0 ELSE 0 END, 6) AS z FROM cells")
 def natural_raise(spark: SparkSession, sf: str) -> DataFrame:
     zones = spark.createDataFrame([(1, 5.0, 15.0, -1.0, 1e9, 1.0), (2, 10.0, 30.0, -1.0, 1e9, 0.5)], "zone_no int, x_min double, x_max double, y_min double, y_max double, raise_m double")
-    return zonal.zones_raised(views.cells(spark, sf).withColumn("x", F.col("col").cast("double")).withColumn("y", F.col("row").cast("double")), zones).select(*RC, r6("z").alias("z"))
+    return zonal.zones_raised(views.cells(spark, sf).withColumn("x", F.col("col").cast("double")).withColumn("y", F.col("row").cast("double")), zones).select(*place(), r6("z").alias("z"))
 
 
 @query(
@@ -215,19 +219,19 @@ def bilinear_resample(spark: SparkSession, sf: str) -> DataFrame:
     half = F.explode(F.array(F.lit(0), F.lit(1)))
     fine = views.cells(spark, sf).select((F.col("row") * 2).alias("r2"), (F.col("col") * 2).alias("c2")).withColumn("a", half).withColumn("b", half).select((F.col("r2") + F.col("a")).alias("row"), (F.col("c2") + F.col("b")).alias("col"))
     target = fine.withColumn("src_row", F.col("row") / 2.0 - 0.25).withColumn("src_col", F.col("col") / 2.0 - 0.25)
-    return grid.resample(views.cells(spark, sf), "z", target).select(*RC, r6("z").alias("z"))
+    return grid.resample(views.cells(spark, sf), "z", target).select(*place(), r6("z").alias("z"))
 
 
 @query(f"WITH {SQL_CELLS}, m AS (SELECT a.r, a.c, median(b.z) AS m FROM cells a JOIN cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND b.z IS NOT NULL GROUP BY a.r, a.c) SELECT r, c, round(CASE WHEN z IS NOT NULL THEN m END, 6) AS z FROM cells LEFT JOIN m USING (r, c)")
 def median_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.median_filtered(views.cells(spark, sf), "z", 3).select(*RC, r6("z").alias("z"))
+    return grid.median_filtered(views.cells(spark, sf), "z", 3).select(*place(), r6("z").alias("z"))
 
 
 @query(
     f"WITH {SQL_CELLS}, m AS (SELECT a.r, a.c, median(b.z) AS m FROM cells a JOIN cells b ON abs(a.r - b.r) <= 2 AND abs(a.c - b.c) <= 2 AND (a.r <> b.r OR a.c <> b.c) AND b.z >= -0.5 WHERE a.z < -0.5 GROUP BY a.r, a.c) SELECT r, c, round(CASE WHEN z < -0.5 THEN m ELSE z END, 6) AS z FROM cells LEFT JOIN m USING (r, c)"
 )
 def spike_repair(spark: SparkSession, sf: str) -> DataFrame:
-    return grid.spikes_repaired(views.cells(spark, sf), "z", -0.5, 5).select(*RC, r6("z").alias("z"))
+    return grid.spikes_repaired(views.cells(spark, sf), "z", -0.5, 5).select(*place(), r6("z").alias("z"))
 
 
 # connectivity and flow
@@ -236,19 +240,19 @@ def spike_repair(spark: SparkSession, sf: str) -> DataFrame:
 @query(_fill_sql(8) + " SELECT r, c FROM f")
 def flood_fill_8(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
-    return graph.flood_fill(g, F.col("z") <= LEVEL, 8, on_border=views.on_border(g)).select(*RC)
+    return graph.flood_fill(g, F.col("z") <= LEVEL, 8, on_border=views.on_border(g)).select(*place())
 
 
 @query(_fill_sql(4) + " SELECT r, c FROM f")
 def flood_fill_4(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
-    return graph.flood_fill(g, F.col("z") <= LEVEL, 4, on_border=views.on_border(g)).select(*RC)
+    return graph.flood_fill(g, F.col("z") <= LEVEL, 4, on_border=views.on_border(g)).select(*place())
 
 
 @query(_fill_sql(8, level="0.49999999") + f" SELECT g.r, g.c, round(CASE WHEN z IS NOT NULL THEN CASE WHEN f.r IS NOT NULL THEN {LEVEL} - z ELSE 0 END END, 6) AS depth FROM cells g LEFT JOIN f USING (r, c)")
 def connectivity_filter(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
-    return hazard.single_scenario(g, LEVEL, views.on_border(g)).select(*RC, r6("depth").alias("depth"))
+    return hazard.single_scenario(g, LEVEL, views.on_border(g)).select(*place(), r6("depth").alias("depth"))
 
 
 @query(
@@ -261,7 +265,7 @@ def connectivity_filter(spark: SparkSession, sf: str) -> DataFrame:
 def sea_mask_three_pass(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
     sea = graph.sea_mask(g, views.on_border(g), lake_seeds=[((F.col("row") == 2) & (F.col("col") == 20), 0.3)])
-    return g.select("row", "col", "z").join(sea, ["row", "col"]).select(*RC, graph.sea_code(F.col("sea"), F.col("z")).alias("code"))
+    return g.select("row", "col", "z").join(sea, ["row", "col"]).select(*place(), graph.sea_code(F.col("sea"), F.col("z")).alias("code"))
 
 
 @query(
@@ -272,7 +276,7 @@ def sea_mask_three_pass(spark: SparkSession, sf: str) -> DataFrame:
 def tidal_seeds(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
     sea = graph.sea_mask(g, views.on_border(g), through_nodata=False)
-    return graph.tidal_seeds(g.join(sea, ["row", "col"]), "sea", "channel", 2.0).select(*RC)
+    return graph.tidal_seeds(g.join(sea, ["row", "col"]), "sea", "channel", 2.0).select(*place())
 
 
 _LABELS = f"""WITH RECURSIVE {SQL_CELLS}, act AS (SELECT r, c, r * {views.WIDTH} + c AS id FROM cells WHERE z <= {LEVEL}),
@@ -284,13 +288,13 @@ lab AS (SELECT r, c, min(root) AS label FROM l GROUP BY r, c)"""
 def components(spark: SparkSession, sf: str) -> DataFrame:
     found = graph.label_components(views.cells(spark, sf), F.col("z") <= LEVEL)
     _, row, column = grid.id_parts(F.col("label"))
-    return found.select(*RC, (row * views.WIDTH + column).cast("long").alias("label"))
+    return found.select(*place(), (row * views.WIDTH + column).cast("long").alias("label"))
 
 
 @query(_LABELS + f" , n AS (SELECT label, count(*) AS n FROM lab GROUP BY label) SELECT g.r, g.c, round(CASE WHEN z IS NOT NULL THEN CASE WHEN n.n < 6 THEN 0 ELSE greatest({LEVEL} + 0.05 + 1e-9 - z, 0) END END, 6) AS depth FROM cells g LEFT JOIN lab USING (r, c) LEFT JOIN n USING (label)")
 def denoise(spark: SparkSession, sf: str) -> DataFrame:
     wet = views.cells(spark, sf).withColumn("depth", D.bathtub("z", LEVEL + 0.05 + 1e-9))
-    return graph.denoised(wet).select(*RC, r6("depth").alias("depth"))
+    return graph.denoised(wet).select(*place(), r6("depth").alias("depth"))
 
 
 _SMOOTH = f"""{SQL_CELLS}, smooth AS (SELECT a.r, a.c, round(avg(b.z), 6) AS z FROM cells a JOIN cells b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.z IS NOT NULL GROUP BY a.r, a.c),
@@ -308,7 +312,7 @@ def smooth(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_SMOOTH} SELECT r, c, CAST(d AS INTEGER) AS d8 FROM flow")
 def d8_raw(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.d8(smooth(spark, sf)).select(*RC, "d8")
+    return graph.d8(smooth(spark, sf)).select(*place(), "d8")
 
 
 _PATH = f"WITH RECURSIVE {_SMOOTH}, p(r, c, tr, tc) AS (SELECT r, c, r, c FROM flow UNION SELECT p.r, p.c, f.nr, f.nc FROM p JOIN flow f ON f.r = p.tr AND f.c = p.tc), term AS (SELECT p.r, p.c, p.tr, p.tc FROM p JOIN flow f ON f.r = p.tr AND f.c = p.tc WHERE f.d = -1)"
@@ -344,7 +348,7 @@ def flow_accumulation(spark: SparkSession, sf: str) -> DataFrame:
 def hand_from_d8(spark: SparkSession, sf: str) -> DataFrame:
     s = smooth(spark, sf).join(views.cells(spark, sf).select("row", "col", "channel"), ["row", "col"])
     found = graph.hand(s, graph.d8(s), F.col("channel"))
-    return found.select(*RC, r6(F.when(F.col("hand").isNotNull(), F.col("hand"))).alias("hand"))
+    return found.select(*place(), r6(F.when(F.col("hand").isNotNull(), F.col("hand"))).alias("hand"))
 
 
 _INV = f"""WITH RECURSIVE {SQL_CELLS}, act AS (SELECT r, c, z, z + 0.8 AS fl, r * {views.WIDTH} + c AS id FROM cells WHERE z <= {LEVEL}),
@@ -366,27 +370,27 @@ def depression_inventory(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT r, c, round(min(h), 6) AS filled FROM w GROUP BY r, c"
 )
 def fill_depressions(spark: SparkSession, sf: str) -> DataFrame:
-    return terrain.filled_surface(views.cells(spark, sf)).where("filled is not null").select(*RC, r6("filled").alias("filled"))
+    return terrain.filled_surface(views.cells(spark, sf)).where("filled is not null").select(*place(), r6("filled").alias("filled"))
 
 
 @query(f"WITH {SQL_CELLS}, o AS (SELECT r, c FROM cells WHERE channel) SELECT g.r, g.c, round(min(sqrt((g.r - o.r) ** 2 + (g.c - o.c) ** 2)) * 30, 6) AS distance FROM cells g, o GROUP BY g.r, g.c")
 def outlet_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.outlet_distance(views.cells(spark, sf), F.col("channel"), 30.0).select(*RC, r6("distance").alias("distance"))
+    return graph.outlet_distance(views.cells(spark, sf), F.col("channel"), 30.0).select(*place(), r6("distance").alias("distance"))
 
 
 @query()
 def conditioned_flow(spark: SparkSession, sf: str) -> DataFrame:
-    return terrain.conditioned_directions(views.cells(spark, sf)).select(*RC, "d8")
+    return terrain.conditioned_directions(views.cells(spark, sf)).select(*place(), "d8")
 
 
 @query()
 def depit_noise(spark: SparkSession, sf: str) -> DataFrame:
-    return terrain.depitted(views.cells(spark, sf)).select(*RC, r6("z").alias("z"), "raised")
+    return terrain.depitted(views.cells(spark, sf)).select(*place(), r6("z").alias("z"), "raised")
 
 
 @query()
 def twi_index(spark: SparkSession, sf: str) -> DataFrame:
-    return terrain.twi(views.cells(spark, sf)).select(*RC, r6("twi").alias("twi"))
+    return terrain.twi(views.cells(spark, sf)).select(*place(), r6("twi").alias("twi"))
 
 
 @query()
@@ -394,7 +398,7 @@ def fill_spill_route(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf).select("row", "col", "z")
     topo = ponding.topography(g, g.where("z < -0.8").select("row", "col"), min_cells=3)
     excess = views.levels(spark).where("hazard_type = 'pluvial'").select("return_period", F.col("water_level_m").alias("excess_m"))
-    return ponding.route(topo, excess).select(*RC, "return_period", r6("depth").alias("depth"))
+    return ponding.route(topo, excess).select(*place(), "return_period", r6("depth").alias("depth"))
 
 
 # series and formulas
@@ -614,13 +618,13 @@ def _basin(spark: SparkSession) -> DataFrame:
 @query()
 def rain_on_grid(spark: SparkSession, sf: str) -> DataFrame:
     runs = _basin(spark).withColumn("outlet", F.col("row") == 19).withColumn("n", F.lit(0.05))
-    return solver.rain_on_grid(runs, storm_s=300.0, total_s=600.0, dt_max=10.0).select("return_period", *RC, F.round("depth", 5).alias("depth"))
+    return solver.rain_on_grid(runs, storm_s=300.0, total_s=600.0, dt_max=10.0).select("return_period", *place(), F.round("depth", 5).alias("depth"))
 
 
 @query()
 def inertial(spark: SparkSession, sf: str) -> DataFrame:
     runs = _basin(spark).withColumn("scenario", F.lit("present")).withColumn("boundary", F.col("row") == 0).withColumn("level", F.col("return_period") / 100.0 + 0.6).withColumn("floor", F.lit(0.0)).withColumn("start", F.lit(0.0))
-    return solver.inertial(runs, total_s=600.0, dt_max=10.0).select("return_period", *RC, F.round("depth", 5).alias("depth"))
+    return solver.inertial(runs, total_s=600.0, dt_max=10.0).select("return_period", *place(), F.round("depth", 5).alias("depth"))
 
 
 _RUN = f"""WITH RECURSIVE {SQL_CELLS}, {SQL_LEVELS}, wet AS (SELECT rp.return_period, g.r, g.c, g.b, rp.water_level_m - g.z AS d FROM border g, levels rp WHERE hazard_type = 'coastal' AND g.z < rp.water_level_m),
