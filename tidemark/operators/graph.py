@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
 from tidemark.operators.grid import cell_id, keys, offsets, reached, with_id
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, cut_round
 
 #: Side of the tiles of the first labelling phase.
 TILE = 128
@@ -166,7 +166,7 @@ def _rounds(step: Callable[[DataFrame], DataFrame], state: DataFrame, done: Call
     for _ in range(most):
         if done(state):
             return state
-        state = cut(step(state))
+        state = cut_round(step(state))
     raise RuntimeError("flow paths do not end; is there a cycle?")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.graph import FLOW, accumulation, d8, flow_edges, label_components, marked, terminals
 from tidemark.operators.grid import OFFSETS, keys, reached, with_id
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, cut_round
 
 #: Number of the basin that stands for everything outside the grid.
 OUTSIDE = -1
@@ -41,7 +41,7 @@ def filled_surface(cells: DataFrame, z: str = "z", max_rounds: int = 500) -> Dat
     for _ in range(max_rounds):
         there = level.select(F.col("basin").alias("other"), F.col("level").alias("beyond"))
         offered = passes.join(there, "other").groupBy("basin").agg(F.min(F.greatest("height", F.when(F.col("beyond").isNotNull(), F.col("beyond")).otherwise(F.lit(float("inf"))))).alias("offer"))
-        better = cut(level.join(offered, "basin", "left").select("basin", F.least("level", F.when(F.col("offer") < float("inf"), F.col("offer"))).alias("level"), F.col("level").alias("was")))
+        better = cut_round(level.join(offered, "basin", "left").select("basin", F.least("level", F.when(F.col("offer") < float("inf"), F.col("offer"))).alias("level"), F.col("level").alias("was")))
         changed = better.where("not (level <=> was)").isEmpty()
         level = better.select("basin", "level")
         if changed:
@@ -63,7 +63,7 @@ def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 409
     full = filled_surface(cells, z) if surface is None else surface
     surface = cut(full.where("filled is not null").select(*k, "filled"))
     edge = marked(surface, _on_edge(surface, "filled"), "edge")
-    flow = cut(edge.join(d8(surface, "filled"), k).withColumn("drains", (F.col("d8") >= 0) | F.col("edge")))
+    flow = cut_round(edge.join(d8(surface, "filled"), k).withColumn("drains", (F.col("d8") >= 0) | F.col("edge")))
     for _ in range(max_rounds):
         waiting = flow.where("not drains").select(*k, F.col("filled").alias("mine"))
         if waiting.isEmpty():
@@ -71,7 +71,7 @@ def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 409
         sent = reached(flow.where("drains"), tuple((-dr, -dc) for dr, dc in FLOW), F.col("filled").alias("theirs"))
         found = sent.join(waiting, k).where("mine = theirs").groupBy(*k).agg(F.min("direction").alias("way"))
         n = flow.join(found, k, "left")
-        flow = cut(n.select(*k, "filled", "edge", F.coalesce("way", "d8").alias("d8"), (F.col("drains") | F.col("way").isNotNull()).alias("drains")))
+        flow = cut_round(n.select(*k, "filled", "edge", F.coalesce("way", "d8").alias("d8"), (F.col("drains") | F.col("way").isNotNull()).alias("drains")))
         if found.isEmpty():
             return flow.select(*k, "d8")
     raise RuntimeError("flats did not resolve")

@@ -33,6 +33,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """As ``cut``, for one round of a loop.
+
+    A checkpoint keeps the constraints that Spark knows of its rows.  Where
+    each round builds columns from the round before, these double with every
+    round, and so does the planner's time; here they are not passed on.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    held = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, held)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back."""
     path = scratch(df.sparkSession, name)
