@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, cut_round
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -24,11 +24,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are cut off, so that the join deals both sides anew and can split a hub's links
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
-        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+        large = cut_round(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
         # all links now point from the larger to the smaller node
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        edges = cut_round(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,17 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
 def cut_round(df: DataFrame) -> DataFrame:
     """As ``cut``, for one round of a loop.
 
-    A checkpoint keeps the constraints that Spark knows of its rows.  Where
-    each round builds columns from the round before, these double with every
-    round, and so does the planner's time; here they are not passed on.
+    A checkpoint keeps the planner's guess of its size, which a join squares:
+    over the rounds of a loop that number would grow without end, and planning
+    with it.  Here the rows are counted first, so the real size is kept.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
-    held = conf.get(name)
-    conf.set(name, "false")
+    shared_dir(df.sparkSession)
+    held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        return cut(df)
+        held.count()
+        return held.checkpoint(eager=True)
     finally:
-        conf.set(name, held)
+        held.unpersist()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
