@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each SimHash group (five-word shingles)."""
+    """Keeps the document of the smallest id of each group linked by a Jaccard similarity of 0.8 or more (five-word shingles)."""
     return simhash.deduplicated(docs, words=5, bits=2)
 
 

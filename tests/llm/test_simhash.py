@@ -86,3 +86,31 @@ def test_components_of_chains_stars_and_loops(spark):
     df = spark.createDataFrame([*chain, *star, (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(df.repartition(5)).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
+
+
+def test_edited_copies_go_and_clean_documents_stay(spark):
+    from helpers import SCHEMA, text_of
+
+    data = []
+    for i in range(12):
+        base = text_of(100 + i, 150).split()
+        data.append((10 * i, " ".join(base)))
+        for j in range(1, 4):  # some copies are similar enough, some are not
+            edited = list(base)
+            for at in range(j, 150, (150, 60, 25)[j - 1]):
+                edited[at] = f"edit{i}x{j}x{at}"
+            data.append((10 * i + j, " ".join(edited)))
+    line = "this very common line stands at the head of most documents of the table and links none"
+    data += [(1000 + i, line + " " + text_of(500 + i, 40)) for i in range(100)]
+    # a large group of near copies
+    base = text_of(99, 200).split()
+    data += [(2000 + i, " ".join(base[: 2 * i] + [f"one{i}"] + base[2 * i + 1 :])) for i in range(90)]
+    sets = {d: {tuple(t.lower().split()[k : k + 5]) for k in range(len(t.split()) - 4)} for d, t in data}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    roots = closure(sorted(sets), pairs)
+    far = [(a, b) for a, b in pairs if (fingerprint(dict(data)[a], 5) ^ fingerprint(dict(data)[b], 5)).bit_count() > 2]
+    assert len(far) > 20 and any(len({roots[10 * i + j] for j in range(4)}) > 1 for i in range(12))
+    df = spark.createDataFrame([(d, t, "en", "a") for d, t in data], SCHEMA)
+    assert {r.doc_id: r.component_id for r in S.near_copies(df).collect()} == roots
+    assert sorted(r.doc_id for r in S.deduplicated(df).collect()) == sorted(set(roots.values()))
+    assert S.near_copies(empty(spark)).count() == 0

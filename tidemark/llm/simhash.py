@@ -35,6 +35,10 @@ from tidemark.operators.components import connected_components
 MASK_BITS, PARTS = 2, 3
 #: Seed of the shingle hash.
 SEED = 42
+#: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
+SIMILAR = (4, 5)
+
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _signed(x: int) -> int:
@@ -46,6 +50,29 @@ def pivots() -> list[int]:
     return [0, *(((1 << MASK_BITS) - 1) << i for i in range(0, 64, MASK_BITS))]
 
 
+def _shingles(text: str, words: int) -> np.ndarray:
+    """The hashes of all word shingles of a text in their order, repeats included."""
+    import xxhash
+
+    hashed = xxhash.xxh64_intdigest
+    parts = text.encode().translate(_LOWER).split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    k = min(words, len(parts))
+    line = b" ".join(parts)
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: len(parts) - k + 1].tolist()
+    return np.fromiter((hashed(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(starts))
+
+
+def _simhash(h: np.ndarray) -> np.uint64:
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 15):
+        ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the 64-bit SimHash over all word shingles, repeats included.
 
@@ -53,28 +80,11 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     are lower-cased.  A text of fewer than ``words`` words is one shingle; one
     without words has fingerprint 0.  Null texts count as empty.
     """
-    import xxhash
-
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = xxhash.xxh64_intdigest
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
             for row, text in enumerate(t for (part,) in portions(batch["text"]) for t in part):
-                parts = text.encode().translate(lower).split()
-                if not parts:
-                    continue
-                k = min(words, len(parts))
-                line = b" ".join(parts)
-                lengths = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
-                ends = np.cumsum(lengths)
-                starts = (ends - lengths)[: len(parts) - k + 1].tolist()
-                h = np.fromiter((hashed(line[a:b], SEED) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist())), np.uint64, len(starts))
-                ones = np.zeros(64, np.int64)
-                for i in range(0, len(h), 1 << 15):
-                    ones += np.unpackbits(h[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                fps[row] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+                fps[row] = _simhash(_shingles(text, words))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
@@ -167,13 +177,118 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, max_bucke
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) -> DataFrame:
+    """(doc_id, version, node, fp, size, shingles) of (doc_id, text, version) rows.
+
+    node is a hash of the shingle set.  Shingles stand in one order for all
+    documents, ``common`` ones last; unless ``whole`` only the prefix is given
+    of which a set similar enough must hold a member.
+    """
+    import xxhash
+
+    p, q = SIMILAR
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, versions, texts in portions(batch["doc_id"], batch["version"], batch["text"]):
+                nodes, fps, sizes, held = [], [], [], []
+                for text in texts:
+                    h = _shingles(text, words)
+                    u = np.unique(h)
+                    nodes.append(_signed(xxhash.xxh3_64_intdigest(u.tobytes())))
+                    fps.append(_signed(int(_simhash(h))))
+                    sizes.append(len(u))
+                    if len(common):
+                        last = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
+                        u = np.concatenate([u[~last], u[last]])
+                    held.append((u if whole else u[: len(u) + (-p * len(u)) // q + 1]).view(np.int64))
+                ends = pa.array(np.cumsum([0, *map(len, held)], dtype=np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))
+                columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "fp", "size", "shingles"])
+
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, size long, shingles array<long>")
+
+
+def _common(rows: DataFrame, words: int, one_in: int = 32, least: int = 3, limit: int = 50_000) -> np.ndarray:
+    """Shingles of many documents, found in a part of them.  Any choice gives the same near copies; a good one gives small buckets."""
+    part = rows.where(F.pmod("version", F.lit(one_in)) == 0)
+    held = _set_table(part, words, np.zeros(0, np.uint64), whole=True).select(F.explode("shingles").alias("s"))
+    top = held.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "s").limit(limit)
+    return np.sort(np.array([r.s for r in top.collect()], np.int64).view(np.uint64))
+
+
+def _verified(rows: DataFrame, words: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar enough."""
+    p, q = SIMILAR
+    pairs = cut(pairs.distinct())
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # one text of each node is read again, so that sets are kept for those alone that meet another
+    versions = cut(ends.join(nodes, "node").select("version").distinct())
+    sets = cut(_set_table(rows.join(versions, "version", "left_semi").select("doc_id", "text", "version"), words, np.zeros(0, np.uint64), whole=True).select("node", "shingles").dropDuplicates(["node"]))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return cut(both.where(shared * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b"))
+
+
+def _may_match(a: str, b: str) -> Column:
+    """Whether sets that meet at their places ``at`` can be similar enough: by size, and by what follows the first shared shingle."""
+    p, q = SIMILAR
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    left = F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at"))
+    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (left * (p + q) >= (n + m) * p)
+
+
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
+    """(doc_id, component_id) for every row: groups linked by a Jaccard similarity of SIMILAR or more of the shingle sets.
+
+    No radius of 64-bit fingerprints is both narrow enough to be a filter and
+    wide enough for such pairs (those at 0.8 differ in some ten bits), so
+    SimHash links only go first.  All other pairs come from an exact
+    prefix-filtered set join: of two similar sets each holds a shingle of the
+    other's prefix, a fifth of the set in an order that puts rare ones first.
+    Every link is verified on the whole sets.  In each bucket all are first
+    held against one member; pairs are listed only where several groups are
+    left, so a large group of near copies costs linear work.
+    """
+    rows = documents(docs).withColumn("version", F.xxhash64("text"))
+    common = _common(rows, words)
+    found = cut(_set_table(rows, words, common, whole=False))
+    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("shingles").alias("shingles")))
+    entries = nodes.select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
+    shared = cut(entries.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "at"), "node").alias("c"), F.count("*").alias("members")).where("members > 1").drop("members"))
+    met = cut(entries.join(shared, "shingle"))
+    star = met.select(F.struct("node", "size", "at").alias("l"), "c").where("l.node > c.node").where(_may_match("l", "c")).select(F.col("c.node").alias("a"), F.col("l.node").alias("b"))
+    by_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    close = links(by_fp.select("fp"), bits, max_bucket)
+    close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
+    same = nodes.join(by_fp, "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
+    tied = _verified(rows, words, nodes, star.union(close.union(same).select(F.least("x", "y"), F.greatest("x", "y"))))
+    roots = cut(connected_components(tied))
+    placed = cut(met.drop("c").join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")))
+    parted = cut(placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle"))
+    open_ = cut(placed.join(parted, "shingle"))
+    l, r = open_.select("shingle", F.struct("node", "size", "at", "root").alias("l")), open_.select("shingle", F.struct("node", "size", "at", "root").alias("r"))
+    both = l.join(r, "shingle").where("l.node < r.node and l.root <> r.root").where(F.least("l.size", "r.size") * SIMILAR[1] >= F.greatest("l.size", "r.size") * SIMILAR[0])
+    # all that the prefixes share, and no more than what follows the last of it
+    most = F.count("*") + F.least(F.max(F.col("l.size") - 1) - F.max("l.at"), F.max(F.col("r.size") - 1) - F.max("r.at"))
+    bounds = both.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(most.alias("most"), F.max(F.col("l.size") + F.col("r.size")).alias("sizes"))
+    rest = bounds.where(F.col("most") * sum(SIMILAR) >= F.col("sizes") * SIMILAR[0]).select("a", "b")
+    tied = tied.union(_verified(rows, words, nodes, rest))
+    roots = cut(connected_components(tied))
+    rooted = cut(nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")))
+    names = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = cut(rooted.join(names, "root").select("node", "component_id"))
+    return found.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+
+
 def deduplicated(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
-    """The rows of ``docs``, columns as they were, without those of groups whose smallest doc_id is another's.
+    """The rows of ``docs``, columns as they were, without those of near-copy groups whose smallest doc_id is another's.
 
     Texts are not shuffled unless the ids to drop are many: these are joined
-    by doc_id.  Rows that repeat a kept doc_id with the kept fingerprint stay
+    by doc_id.  Rows that repeat a kept doc_id with the kept shingle set stay
     one each; rows without a doc_id stay.
     """
-    found = simhash_components(docs, words, bits, max_bucket)
+    found = near_copies(docs, words, bits, max_bucket)
     drop = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
