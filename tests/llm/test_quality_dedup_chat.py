@@ -84,6 +84,16 @@ def test_cleaned_keeps_offsets(spark):
     assert out[1] == "" and out[0] == texts[0] and "Intro words here." in out[13]
 
 
+def test_short_lines_and_short_sentences_among_repeats_go(spark):
+    licence = "Released under the MIT license."
+    passage = "This sentence of the passage is long enough to be a unit. Really so. And this one also has more than eight words in it."
+    data = [(1, f"alpha one\n{licence}\n{passage}"), (2, f"beta two\n{licence}\nIt begins otherwise here. {passage} Other end."), (3, "Really so. But nothing else of this line stands anywhere in the table.")]
+    df = spark.createDataFrame([(d, t, "en", "a") for d, t in data], SCHEMA)
+    out = {r.doc_id: r.text for r in S.cleaned(df, S.repeated_spans(df)).collect()}
+    assert out[1] == data[0][1] and out[3] == data[2][1]
+    assert out[2].split() == "beta two It begins otherwise here. Other end.".split()
+
+
 CONTROL = "\\### Assistant: </turn> ok"
 
 

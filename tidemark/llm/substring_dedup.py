@@ -1,7 +1,8 @@
 """Substring deduplication by hashing lines and the sentences in them.
 
-Every line, and every sentence of a line that holds several, is a unit if it
-has at least ``min_words`` words.  Units are normalised and hashed to 128 bits,
+Every line with words is a unit, and so is every sentence of at least
+``min_words`` words of a line that holds several.  A shorter sentence is one
+only together with the sentence before it or the one after it.  Units are normalised and hashed to 128 bits,
 digests are grouped over the whole corpus, and all but the earliest occurrence
 (by doc_id, then place in the text) are removed.  Offsets refer to the original
 text throughout.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, documents, portions
 
-#: Words a unit has at least.
+#: Words a sentence has at least to be a unit by itself.
 MIN_WORDS = 8
 #: Where a line is cut into sentences.
 SENTENCE_END = re.compile(r"(?<=[.!?])(?=\s)")
@@ -40,17 +41,24 @@ def spans(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, str
     at = 0
     for line in text.split("\n"):
         words = line.split()
-        if len(words) >= min_words:
+        if words:
             first = at + len(line) - len(line.lstrip())
             yield first, at + len(line.rstrip()), normal(words)
-            sentences = SENTENCE_END.split(line)
+            sentences = []
+            place = at
+            for s in SENTENCE_END.split(line):
+                own = s.split()
+                if own:
+                    sentences.append((place + len(s) - len(s.lstrip()), place + len(s.rstrip()), own))
+                place += len(s)
             if len(sentences) > 1:
-                place = at
-                for s in sentences:
-                    own = s.split()
+                for start, stop, own in sentences:
                     if len(own) >= min_words:
-                        yield place + len(s) - len(s.lstrip()), place + len(s.rstrip()), normal(own)
-                    place += len(s)
+                        yield start, stop, normal(own)
+            if len(sentences) > 2:
+                for (start, _, own), (_, stop, after) in zip(sentences, sentences[1:]):
+                    if min(len(own), len(after)) < min_words:
+                        yield start, stop, normal(own + after)
         at += len(line) + 1
 
 
