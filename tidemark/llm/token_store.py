@@ -31,14 +31,16 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import documents, portions, scratch
+from tidemark.llm.common import cut, documents, scratch
 
 #: Chunk lengths in ids.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
@@ -47,12 +49,18 @@ WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
 #: Distinct words in each of the two generations that a process remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
+#: Bytes of text that are split at a time, about; a longer text goes alone.
+PORTION = 4 << 20
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
-#: Texts with other characters, odd white space or special strings go to the library whole.
+#: Words with other characters, odd white space or special strings go to the library as they are.
 NOT_PLAIN = re.compile(r"[^\t\n\r -~\xa1-įı-ʯ]|<\|")
-#: The pre-tokens of the tokenizer in a word of such a text: contractions, letters, single digits, other signs.
+#: The same as Arrow reads it, to find the texts that hold such words.
+NOT_PLAIN_ARROW = r"[^\t\n\r -~\x{a1}-\x{12f}\x{131}-\x{2af}]|<\|"
+#: White space that no normalisation carries a character across.
+BETWEEN = re.compile(r"[\t\n\r ]+")
+#: The pre-tokens of the tokenizer in a plain word: contractions, letters, single digits, other signs.
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
@@ -71,12 +79,38 @@ class Memory:
         self.recent.update((w, older[w]) for w in new if w in older)
         return list(new.difference(self.recent))
 
+    def found(self, wanted: list[str]) -> tuple[list, list[int]]:
+        """What is known of each of ``wanted``, and the places of those of which nothing is."""
+        if len(self.recent) > self.most:
+            self.older, self.recent = self.recent, {}
+        known, older, missed = list(map(self.recent.get, wanted)), self.older, []
+        for i in [i for i, x in enumerate(known) if x is None]:
+            known[i] = older.get(wanted[i])
+            if known[i] is None:
+                missed.append(i)
+            else:
+                self.recent[wanted[i]] = known[i]
+        return known, missed
+
+
+def arrow_portions(texts: pa.Array, size: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(first, stop) of runs of rows of a batch that hold about ``size`` bytes of text each."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(lengths):
+        done = lengths[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(lengths, done + size, side="right")))
+        yield first, stop
+        first = stop
+
 
 class WordEncoder:
     """Encodes texts with a tokenizer that lower-cases, drops white space and merges within pre-tokens only.
 
-    Each distinct pre-token is encoded by the library once and remembered as
-    packed ids.  Texts outside the plain range above are encoded whole.
+    Texts are split and their distinct words found by Arrow; each word is
+    encoded by the library once and remembered as packed ids, and the ids of a
+    text are gathered from those of its words.  Words outside the plain range
+    above are handed to the library as they are, whole and by themselves.
     """
 
     def __init__(self, path: str) -> None:
@@ -91,47 +125,77 @@ class WordEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Work out words that are not in the recent generation."""
-        words = self.words.unknown(words)
-        compound = {w: PRE_TOKEN.findall(w) for w in words if not w.isalpha()}
+    def _learn(self, words: list[str], plain: bool) -> list[bytes]:
+        """The packed ids of new words, through their pre-tokens."""
+        odd = {} if plain else {w: self._whole(w) for w in words if NOT_PLAIN.search(w)}
+        parts = {w: PRE_TOKEN.findall(w) for w in words if not w.isalpha() and w not in odd}
         # a pre-token is a word too, so words and pre-tokens share one memory
-        single = {w for w in words if w not in compound}
-        single.update(p for parts in compound.values() for p in parts)
-        unknown = self.words.unknown(single, turn=False)
-        known = self.words.recent
+        pieces = list(set(chain.from_iterable(parts.values())))
+        known, missed = self.words.found(pieces)
+        out = dict(zip(pieces, known))
+        unknown = [w for w in words if w not in parts and w not in odd and w not in out]
+        unknown += [pieces[i] for i in missed]
         if unknown:
             # every pre-token ends with an id of a token that ends a word, so one call serves them all
             ids = np.array(self.library.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
             ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) == len(unknown):
                 data, ends = ids.tobytes(), ends.tolist()
-                known.update((w, data[a:b]) for w, a, b in zip(unknown, [0, *ends], ends))
+                out.update(zip(unknown, map(data.__getitem__, map(slice, [0, *ends], ends))))
             else:
-                known.update((w, self._whole(w)) for w in unknown)
-        for w, parts in compound.items():
-            if len(parts) > 1:
-                known[w] = b"".join([known[p] for p in parts])
+                out.update((w, self._whole(w)) for w in unknown)
+        out.update((w, b"".join(map(out.__getitem__, own))) for w, own in parts.items())
+        out.update(odd)
+        self.words.recent.update(out)
+        return list(map(out.__getitem__, words))
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of plain texts in lower case, and how many each text has."""
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+
+    def _split_odd(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """As ``_split`` for texts that hold odd words, which keep their letters' case."""
+        lists = [[w if NOT_PLAIN.search(w) else w.lower() for w in BETWEEN.split(t)] for t in texts.to_pylist()]
+        return pa.array([w for own in lists for w in own], pa.string()), np.array([len(own) for own in lists], np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where those of each end; null texts have none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, NOT_PLAIN_ARROW).to_numpy(zero_copy_only=False)
+        if odd.any():
+            # plain texts and those with odd words are split apart, and put together in their order again
+            order = np.argsort(odd, kind="stable")
+            halves = [self._split(texts.filter(pa.array(~odd))), self._split_odd(texts.filter(pa.array(odd)))]
+            words, counts = pa.concat_arrays([h[0] for h in halves]), np.concatenate([h[1] for h in halves]).astype(np.int64)
+            firsts = np.empty(len(odd), np.int64)
+            sizes = np.empty(len(odd), np.int64)
+            firsts[order], sizes[order] = np.cumsum(counts) - counts, counts
+            words, counts = words.take(pa.array(_runs(firsts, sizes))), sizes
+        else:
+            words, counts = self._split(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known, missed = self.words.found(distinct)
+        if missed:
+            for i, ids in zip(missed, self._learn([distinct[i] for i in missed], not odd.any())):
+                known[i] = ids
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        out = np.frombuffer(b"".join(known), "<u4")[_runs((np.cumsum(sizes) - sizes)[at], own)]
+        return out, np.concatenate([[0], np.cumsum(own)])[np.cumsum(counts)]
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        words: list[str] = []
-        ends: list[int] = []
-        whole: dict[int, bytes] = {}
-        for i, text in enumerate(texts):
-            if NOT_PLAIN.search(text):
-                whole[i] = self._whole(text)
-            else:
-                words += text.lower().split()
-            ends.append(len(words))
-        found = list(map(self.words.recent.get, words))
-        if None in found:
-            missed = [i for i, ids in enumerate(found) if ids is None]
-            self._learn({words[i] for i in missed})
-            known = self.words.recent
-            for i in missed:
-                found[i] = known[words[i]]
-        return [whole[i] if i in whole else b"".join(found[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+        ids, ends = self.ids(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
+def _runs(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each run, ``sizes`` numbers long, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(firsts - (ends - sizes), sizes)
 
 
 @lru_cache(maxsize=2)
@@ -140,40 +204,57 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream, by content: a polynomial hash of the last WINDOW ids decides."""
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE and its inverse to the powers 0 to n - 1, modulo 2**64."""
+    both = []
+    with np.errstate(over="ignore"):
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            powers = np.full(n, base, np.uint64)
+            powers[:1] = 1
+            both.append(np.multiply.accumulate(powers))
+    return both[0], both[1]
+
+
+def places(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where chunks may end in id streams that lie one after another, each up to one of ``ends``.
+
+    A polynomial hash of the last WINDOW ids of the own stream decides; the
+    newest id has weight 1, wherever the window lies.
+    """
     n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n] if n else []
+    size = 1 << max(16, (n - 1).bit_length()) if n else 0
     with np.errstate(over="ignore"):
-        powers = np.multiply.accumulate(np.full(n, BASE, np.uint64))
-        terms = np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * powers[::-1])
-        inside = terms.copy()
-        inside[WINDOW:] -= terms[:-WINDOW]
-        # the newest id of every window gets the same weight, wherever the window lies
-        rolled = inside * _inverses(n)
-    found = np.flatnonzero((rolled >> np.uint64(37)) % np.uint64(MEAN_CHUNK) == 0) + 1
-    ends, last = [], 0
-    for end in found.tolist():
-        while end - last > MAX_CHUNK:
+        base, inverse = (p[:n] for p in _powers(size))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * inverse, out=sums[1:])
+        starts = np.repeat(np.concatenate([[0], ends[:-1]]).astype(np.int64), np.diff(np.concatenate([[0], ends])))
+        rolled = (sums[1:] - sums[np.maximum(starts, np.arange(n) - (WINDOW - 1))]) * base
+    return np.flatnonzero((rolled >> np.uint64(37)) % np.uint64(MEAN_CHUNK) == 0) + 1
+
+
+def chunk_ends(found: list[int], first: int, stop: int) -> list[int]:
+    """Ends of the chunks of the stream from ``first`` to ``stop``, of MIN_CHUNK to MAX_CHUNK ids but for the last one."""
+    ends, last = [], first
+    if stop - first > MIN_CHUNK:
+        for end in found:
+            while end - last > MAX_CHUNK:
+                last += MAX_CHUNK
+                ends.append(last)
+            if end - last >= MIN_CHUNK:
+                ends.append(end)
+                last = end
+        while stop - last > MAX_CHUNK:
             last += MAX_CHUNK
             ends.append(last)
-        if end - last >= MIN_CHUNK:
-            ends.append(end)
-            last = end
-    while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
-        ends.append(last)
-    if last < n:
-        ends.append(n)
+    if last < stop:
+        ends.append(stop)
     return ends
 
 
-def _inverses(n: int) -> np.ndarray:
-    """Inverse powers of BASE that bring every window to one common weight."""
-    inverse = np.uint64(pow(BASE, -1, 1 << 64))
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(np.full(n, inverse, np.uint64))[::-1]
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream, by content."""
+    return chunk_ends(places(ids, np.array([len(ids)])).tolist(), 0, len(ids))
 
 
 def digest(data: bytes) -> bytes:
@@ -198,7 +279,6 @@ _OBJECT = "key long, kind string, doc_id long, n_tokens long, digests array<bina
 
 
 def _encoder(path: str, end_id: int | None):
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def rows(kind: str, n: int, **columns: list) -> pa.RecordBatch:
         """Rows of one kind; columns of the other kind are null."""
@@ -209,29 +289,36 @@ def _encoder(path: str, end_id: int | None):
         width = 2 if max(encoder.library.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         sent: set[bytes] = set()  # sending a chunk again is allowed, so forgetting is too
         for batch in batches:
-            for doc_ids, texts in portions(batch["doc_id"], batch["text"]):
+            for first, stop in arrow_portions(batch["text"]):
+                doc_ids = batch["doc_id"].slice(first, stop - first).to_pylist()
+                ids, ends = encoder.ids(batch["text"].slice(first, stop - first))
+                if end_id is not None:
+                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                ids = ids.astype("<u4")
                 names, lengths, payloads = [], [], []
                 counts, lists, roots = [], [], []
-                for data in encoder.packed(texts):
-                    data += tail
-                    ids = np.frombuffer(data, "<u4")
-                    small = ids.astype("<u2").tobytes() if width == 2 else data
-                    own, last = [], 0
-                    for end in cuts(ids):
-                        name = digest(data[4 * last : 4 * end])
+                data, small = ids.tobytes(), ids.astype(f"<u{width}").tobytes()
+                found = places(ids, ends)
+                marks, found = np.searchsorted(found, ends, side="right").tolist(), found.tolist()
+                last = mark = 0
+                for end, next_mark in zip(ends.tolist(), marks):
+                    counts.append(end - last)
+                    own = []
+                    for cut_at in chunk_ends(found[mark:next_mark], last, end):
+                        name = digest(data[4 * last : 4 * cut_at])
                         own.append(name)
                         if name not in sent:
                             sent.add(name)
                             names.append(name)
-                            lengths.append(end - last)
-                            payloads.append(small[width * last : width * end])
-                        last = end
-                    counts.append(len(ids))
+                            lengths.append(cut_at - last)
+                            payloads.append(small[width * last : width * cut_at])
+                        last = cut_at
+                    mark = next_mark
                     lists.append(own)
                     roots.append(merkle(own))
                 if len(sent) > SENT:
                     sent.clear()
-                yield rows("recipe", len(texts), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
+                yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
                 if names:
                     yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
 
@@ -251,14 +338,13 @@ _ARROW = pa.schema(
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All copies of a digest meet in one partition; the first is kept."""
-    seen: set[bytes] = set()
+    """Of rows sorted by digest, the first of each; rows without one all stay."""
+    last = b""
     for batch in batches:
         keep = []
         for name in batch["digest"].to_pylist():
-            keep.append(name is None or name not in seen)
-            if name is not None:
-                seen.add(name)
+            keep.append(name is None or name != last)
+            last = name
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -272,26 +358,45 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     spark = docs.sparkSession
     made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id), _OBJECT)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.repartition(n, "key").mapInArrow(_once, _OBJECT).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    made.repartition(n, "key").sortWithinPartitions("key", "digest").mapInArrow(_once, _OBJECT).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     objects = spark.read.schema(_OBJECT.removeprefix("key long, ")).parquet(f"{path}/objects")
     recipes = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "root")
     ranged = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("file_no", F.spark_partition_id())
-    ranged.write.option("compression", "zstd").parquet(f"{path}/ordered")
-    ordered = spark.read.schema("doc_id long, n_tokens long, digests array<binary>, root binary, file_no int").parquet(f"{path}/ordered")
-    # one row per file: its ids, the ids before it, and its Merkle root
-    files = ordered.groupBy("file_no").agg(F.sum("n_tokens").alias("file_tokens"), F.count("*").alias("file_docs"))
-    before = files.withColumn("before", F.coalesce(F.sum("file_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("file_no").orderBy("doc_id", "root").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ordered.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(before.select("file_no", "before"), "file_no")
+    ranged.mapInArrow(_placed, _PLACED).write.option("compression", "zstd").parquet(f"{path}/ordered")
+    ordered = spark.read.schema(_PLACED).parquet(f"{path}/ordered")
+    # one row per file, from its last recipe: its ids, the ids before it, and its Merkle root
+    files = ordered.where("file_docs is not null").select("file_no", "file_docs", (F.col("inside") + F.col("n_tokens")).alias("file_tokens"), "file_root")
+    before = cut(files.withColumn("before", F.coalesce(F.sum("file_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    # at most one row per shuffle partition
+    placed = ordered.join(F.broadcast(before.select("file_no", "before")), "file_no")
     placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "digests", "root", "file_no").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = spark.read.schema("start long, root binary, file_no int").parquet(f"{path}/recipes").groupBy("file_no").applyInArrow(_file_root, "file_no int, n_docs long, root binary")
-    roots.write.parquet(f"{path}/manifest")
+    before.select("file_no", F.col("file_docs").alias("n_docs"), F.col("file_root").alias("root")).write.parquet(f"{path}/manifest")
     return path
 
 
-def _file_root(group: pa.Table) -> pa.Table:
-    group = group.sort_by("start")
-    return pa.table({"file_no": pa.array([group["file_no"][0].as_py()], pa.int32()), "n_docs": pa.array([group.num_rows], pa.int64()), "root": pa.array([merkle(group["root"].to_pylist())], pa.binary())})
+_PLACED = "doc_id long, n_tokens long, digests array<binary>, root binary, file_no int, inside long, file_docs long, file_root binary"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The recipes of one file in their order, with the ids before each; the last one carries the file's Merkle root."""
+    inside, roots, held = 0, [], None
+
+    def told(batch: pa.RecordBatch, before: int, last: bool) -> pa.RecordBatch:
+        sizes = batch["n_tokens"].to_numpy(zero_copy_only=False)
+        none = [None] * (batch.num_rows - last)
+        columns = [pa.array(before + np.cumsum(sizes) - sizes, pa.int64()), pa.array(none + [len(roots)] * last, pa.int64()), pa.array(none + [merkle(roots)] * last, pa.binary())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "inside", "file_docs", "file_root"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            yield told(*held, False)
+        held = (batch, inside)
+        inside += int(np.sum(batch["n_tokens"].to_numpy(zero_copy_only=False)))
+        roots += batch["root"].to_pylist()
+    if held is not None:
+        yield told(*held, True)
 
 
 _RECIPE = "doc_id long, start long, n_tokens long, digests array<binary>, root binary, file_no int"
