@@ -58,6 +58,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     without words play no part.  Rows are told apart by doc_id and text, so
     repeated rows get equal results and one row each.
     """
+    per_text = contaminated_texts(docs, benchmark, size, id_col, text_col, item_col, max_broadcast)
+    return per_text.select("doc_id", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+
+
+def contaminated_texts(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """As ``contaminated``, one row for each doc_id and ``version`` (a hash of the text), with its ``copies``."""
     own = documents(docs, id_col, text_col)
     windows = cut(item_windows(benchmark, size, item_col))
     small = windows.select("window").distinct().count() <= max_broadcast
@@ -87,16 +93,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, id_col:
     before = Window.partitionBy("doc_id", "version").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.col("stop") - F.greatest("start", F.coalesce(F.max("stop").over(before), F.lit(0))), F.lit(0))
     counted = ends.select("doc_id", "version", "start", "copies", "items", F.when(F.col("stop").isNotNull(), fresh).otherwise(0).alias("fresh"))
-    per_doc = counted.groupBy("doc_id", "version").agg(
+    return counted.groupBy("doc_id", "version").agg(
         F.max("start").cast("long").alias("n_words"), F.sum("fresh").cast("long").alias("n_hit"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("copies").alias("copies")
     )
-    return per_doc.select("doc_id", "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
-
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs``, columns as they were, that hold no window of the benchmark."""
-    dirty = cut(contaminated(docs, benchmark, size).where("n_hit > 0").select("doc_id").distinct())
-    return docs.join(dirty, docs["doc_id"] == dirty["doc_id"], "left_anti")
+    """The rows of ``docs``, columns as they were, that hold no window of the benchmark.
+
+    Rows are judged by doc_id and text, so one of several texts of a doc_id, or
+    of none, goes alone.  Null and empty texts stay, as do empty tables, and an
+    empty benchmark drops nothing; columns of any other name play no part.
+    """
+    dirty = cut(contaminated_texts(docs, benchmark, size).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_version"))
+    return held.join(dirty, held["_id"].eqNullSafe(dirty["_d"]) & (held["_version"] == dirty["_v"]), "left_anti").select("row.*")
 
 
 def _prefixed_large(docs: DataFrame, windows: DataFrame) -> DataFrame:

@@ -239,26 +239,32 @@ def _may_match(a: str, b: str) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (left * (p + q) >= (n + m) * p)
 
 
-def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
-    """(doc_id, component_id) for every row: groups linked by a Jaccard similarity of SIMILAR or more of the shingle sets.
+def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
+    """(doc_id, version, root) for every row: groups linked by a Jaccard similarity of SIMILAR or more of the shingle sets.
 
-    No radius of 64-bit fingerprints is both narrow enough to be a filter and
+    version is a hash of the text, root one of the group's set hashes.  No
+    radius of 64-bit fingerprints is both narrow enough to be a filter and
     wide enough for such pairs (those at 0.8 differ in some ten bits), so
     SimHash links only go first.  All other pairs come from an exact
     prefix-filtered set join: of two similar sets each holds a shingle of the
     other's prefix, a fifth of the set in an order that puts rare ones first.
-    Every link is verified on the whole sets.  In each bucket all are first
-    held against one member; pairs are listed only where several groups are
-    left, so a large group of near copies costs linear work.
+    Every link is verified on the whole sets.
+
+    In each bucket all are first held against one member, the one with the
+    fewest rarer shingles: an original rather than one of its edited copies.
+    Pairs are listed only where several groups are left, and only if what
+    follows their first shared shingle can still make them similar enough; for
+    a large group of edited copies that leaves next to none, since an edit
+    moves the shared shingles back in the order.
     """
     rows = documents(docs).withColumn("version", F.xxhash64("text"))
     common = _common(rows, words)
     found = cut(_set_table(rows, words, common, whole=False))
-    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("first_id"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("shingles").alias("shingles")))
+    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("shingles").alias("shingles")))
     entries = nodes.select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
-    shared = cut(entries.groupBy("shingle").agg(F.min_by(F.struct("node", "size", "at"), "node").alias("c"), F.count("*").alias("members")).where("members > 1").drop("members"))
+    shared = cut(entries.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("c"), F.count("*").alias("members")).where("members > 1").drop("members"))
     met = cut(entries.join(shared, "shingle"))
-    star = met.select(F.struct("node", "size", "at").alias("l"), "c").where("l.node > c.node").where(_may_match("l", "c")).select(F.col("c.node").alias("a"), F.col("l.node").alias("b"))
+    star = met.select(F.struct("node", "size", "at").alias("l"), "c").where("l.node <> c.node").where(_may_match("l", "c")).select(F.least("c.node", "l.node").alias("a"), F.greatest("c.node", "l.node").alias("b"))
     by_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     close = links(by_fp.select("fp"), bits, max_bucket)
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
@@ -269,26 +275,39 @@ def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     parted = cut(placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle"))
     open_ = cut(placed.join(parted, "shingle"))
     l, r = open_.select("shingle", F.struct("node", "size", "at", "root").alias("l")), open_.select("shingle", F.struct("node", "size", "at", "root").alias("r"))
-    both = l.join(r, "shingle").where("l.node < r.node and l.root <> r.root").where(F.least("l.size", "r.size") * SIMILAR[1] >= F.greatest("l.size", "r.size") * SIMILAR[0])
-    # all that the prefixes share, and no more than what follows the last of it
+    both = l.join(r, "shingle").where("l.node < r.node and l.root <> r.root").where(_may_match("l", "r"))
+    # all that the prefixes share up to the last place that passed, and no more than what follows it
     most = F.count("*") + F.least(F.max(F.col("l.size") - 1) - F.max("l.at"), F.max(F.col("r.size") - 1) - F.max("r.at"))
     bounds = both.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(most.alias("most"), F.max(F.col("l.size") + F.col("r.size")).alias("sizes"))
     rest = bounds.where(F.col("most") * sum(SIMILAR) >= F.col("sizes") * SIMILAR[0]).select("a", "b")
     tied = tied.union(_verified(rows, words, nodes, rest))
     roots = cut(connected_components(tied))
-    rooted = cut(nodes.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")))
-    names = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    named = cut(rooted.join(names, "root").select("node", "component_id"))
-    return found.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
+    rooted = cut(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    return found.select("doc_id", "version", "node").join(rooted, "node").select("doc_id", "version", "root")
+
+
+def near_copies(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
+    """(doc_id, component_id) for every row: the groups of ``near_groups`` named by their smallest doc_id, null if they have none."""
+    found = cut(near_groups(docs, words, bits, max_bucket))
+    names = cut(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    return found.join(names, "root").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
-    """The rows of ``docs``, columns as they were, without those of near-copy groups whose smallest doc_id is another's.
+    """The rows of ``docs``, columns as they were, one of each near-copy group: that of the smallest doc_id.
 
-    Texts are not shuffled unless the ids to drop are many: these are joined
-    by doc_id.  Rows that repeat a kept doc_id with the kept shingle set stay
-    one each; rows without a doc_id stay.
+    Rows without a doc_id yield to those with one; among rows that share a
+    doc_id the text of the smallest hash stays, and of rows that share both,
+    one (any of them).  Null and empty texts are one group.  An empty table
+    stays empty, and columns of any other name play no part.  Texts are not
+    shuffled unless the rows to drop are many.
     """
-    found = near_copies(docs, words, bits, max_bucket)
-    drop = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(drop, docs["doc_id"] == drop["doc_id"], "left_anti")
+    found = cut(near_groups(docs, words, bits, max_bucket).groupBy("root", "doc_id", "version").agg(F.count("*").alias("copies")))
+    kept = cut(found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "version")).alias("k")).select("root", "k.doc_id", "k.version"))
+    drop = cut(found.join(kept.select("root", F.col("doc_id").alias("d"), F.col("version").alias("v")), "root").where("not (doc_id <=> d and version = v)").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")))
+    several = cut(found.where("copies > 1").join(kept.select("root", F.col("doc_id").alias("d"), F.col("version").alias("v")), "root").where("doc_id <=> d and version = v").select(F.col("doc_id").alias("_d"), F.col("version").alias("_v")))
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_version"))
+    is_one = lambda t: held["_id"].eqNullSafe(t["_d"]) & (held["_version"] == t["_v"])
+    repeated = held.join(several, is_one(several), "left_semi").groupBy("_id", "_version").agg(F.any_value("row").alias("row")).select("row.*")
+    others = drop.union(several)
+    return held.join(others, held["_id"].eqNullSafe(others["_d"]) & (held["_version"] == others["_v"]), "left_anti").select("row.*").union(repeated)

@@ -49,9 +49,9 @@ WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
 #: Distinct words in each of the two generations that a process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text that are split at a time, about; a longer text goes alone.
-PORTION = 4 << 20
+PORTION = 2 << 20
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words with other characters, odd white space or special strings go to the library as they are.
@@ -204,7 +204,7 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 to n - 1, modulo 2**64."""
     both = []
