@@ -35,6 +35,10 @@ from tidemark.operators.components import connected_components
 MASK_BITS, PARTS = 2, 3
 #: Seed of the shingle hash.
 SEED = 42
+#: Bits of the bitmap of a shingle set.
+MARKS = 1024
+#: Up to so many texts to read again are told by broadcast (8 bytes each), more by a shuffle.
+MAX_BROADCAST = 200_000
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 SIMILAR = (4, 5)
 
@@ -178,9 +182,10 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, max_bucke
 
 
 def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) -> DataFrame:
-    """(doc_id, version, node, fp, size, shingles) of (doc_id, text, version) rows.
+    """(doc_id, version, node, fp, size, marks, shingles) of (doc_id, text, version) rows.
 
-    node is a hash of the shingle set.  Shingles stand in one order for all
+    node is a hash of the shingle set, marks a bitmap of MARKS bits with one
+    set for every shingle.  Shingles stand in one order for all
     documents, ``common`` ones last; unless ``whole`` only the prefix is given
     of which a set similar enough must hold a member.
     """
@@ -191,23 +196,26 @@ def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, versions, texts in portions(batch["doc_id"], batch["version"], batch["text"]):
-                nodes, fps, sizes, held = [], [], [], []
+                nodes, fps, sizes, marks, held = [], [], [], [], []
                 for text in texts:
                     h = _shingles(text, words)
                     u = np.unique(h)
                     nodes.append(_signed(xxhash.xxh3_64_intdigest(u.tobytes())))
                     fps.append(_signed(int(_simhash(h))))
                     sizes.append(len(u))
+                    marked = np.zeros(MARKS, bool)
+                    marked[(u >> np.uint64(32)) % np.uint64(MARKS)] = True
+                    marks.append(np.packbits(marked).view(np.int64))
                     if len(common):
                         last = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
                         u = np.concatenate([u[~last], u[last]])
                     held.append((u if whole else u[: len(u) + (-p * len(u)) // q + 1]).view(np.int64))
                 ends = pa.array(np.cumsum([0, *map(len, held)], dtype=np.int32))
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(held)))
-                columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "fp", "size", "shingles"])
+                columns = [pa.array(ids, pa.int64()), pa.array(versions, pa.int64()), pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "version", "node", "fp", "size", "marks", "shingles"])
 
-    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, size long, shingles array<long>")
+    return rows.mapInArrow(run, "doc_id long, version long, node long, fp long, size long, marks array<long>, shingles array<long>")
 
 
 def _common(rows: DataFrame, words: int, one_in: int = 32, least: int = 3, limit: int = 50_000) -> np.ndarray:
@@ -219,13 +227,22 @@ def _common(rows: DataFrame, words: int, one_in: int = 32, least: int = 3, limit
 
 
 def _verified(rows: DataFrame, words: int, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar enough."""
+    """The pairs (a, b) of nodes whose shingle sets are similar enough.
+
+    A mark of one set that the other lacks stands for a shingle at least that
+    they do not share; pairs that the marks rule out go before sets are fetched.
+    """
     p, q = SIMILAR
-    pairs = cut(pairs.distinct())
+    marks = lambda end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("marks").alias(f"m{end}"))
+    lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: F.bit_count(s.bitwiseAND(F.bitwise_not(t)))), F.lit(0), lambda n, k: n + k)
+    most = F.least(F.col("na") - lacking("ma", "mb"), F.col("nb") - lacking("mb", "ma"))
+    pairs = cut(pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").where(most * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one text of each node is read again, so that sets are kept for those alone that meet another
     versions = cut(ends.join(nodes, "node").select("version").distinct())
-    sets = cut(_set_table(rows.join(versions, "version", "left_semi").select("doc_id", "text", "version"), words, np.zeros(0, np.uint64), whole=True).select("node", "shingles").dropDuplicates(["node"]))
+    few = versions.count() <= MAX_BROADCAST
+    texts = rows.join(F.broadcast(versions) if few else versions, "version", "left_semi").select("doc_id", "text", "version")
+    sets = cut(_set_table(texts, words, np.zeros(0, np.uint64), whole=True).select("node", "shingles").dropDuplicates(["node"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return cut(both.where(shared * (p + q) >= (F.size("sa") + F.size("sb")) * p).select("a", "b"))
@@ -260,18 +277,23 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     rows = documents(docs).withColumn("version", F.xxhash64("text"))
     common = _common(rows, words)
     found = cut(_set_table(rows, words, common, whole=False))
-    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("shingles").alias("shingles")))
+    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("marks").alias("marks"), F.any_value("shingles").alias("shingles")))
     entries = nodes.select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
-    shared = cut(entries.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("c"), F.count("*").alias("members")).where("members > 1").drop("members"))
+    # most shingles stand in one prefix only; what goes on is the entries of the others
+    shared = cut(entries.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle"))
     met = cut(entries.join(shared, "shingle"))
-    star = met.select(F.struct("node", "size", "at").alias("l"), "c").where("l.node <> c.node").where(_may_match("l", "c")).select(F.least("c.node", "l.node").alias("a"), F.greatest("c.node", "l.node").alias("b"))
+    centres = cut(met.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("c")))
+    star = met.select("shingle", F.struct("node", "size", "at").alias("l")).join(centres, "shingle").where("l.node <> c.node").where(_may_match("l", "c"))
+    # of the centres that a set meets it is held against the one it meets most often
+    star = star.groupBy(F.col("l.node").alias("x"), F.col("c.node").alias("y")).agg(F.count("*").alias("n")).groupBy("x").agg(F.max(F.struct("n", "y")).alias("m")).select("x", F.col("m.y").alias("y"))
     by_fp = cut(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     close = links(by_fp.select("fp"), bits, max_bucket)
     close = close.join(by_fp.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b").select("x", "y")
     same = nodes.join(by_fp, "fp").where("node <> least").select(F.col("least").alias("x"), F.col("node").alias("y"))
-    tied = _verified(rows, words, nodes, star.union(close.union(same).select(F.least("x", "y"), F.greatest("x", "y"))))
+    proposed = star.union(close).union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    tied = _verified(rows, words, nodes, proposed)
     roots = cut(connected_components(tied))
-    placed = cut(met.drop("c").join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")))
+    placed = cut(met.join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")))
     parted = cut(placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle"))
     open_ = cut(placed.join(parted, "shingle"))
     l, r = open_.select("shingle", F.struct("node", "size", "at", "root").alias("l")), open_.select("shingle", F.struct("node", "size", "at", "root").alias("r"))
