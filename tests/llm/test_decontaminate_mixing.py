@@ -52,13 +52,26 @@ def corpus(spark):
     return spark.createDataFrame(data, "doc_id long, text string, source string")
 
 
-def test_mix_equals_sql(spark, tmp_path):
-    df = corpus(spark)
+def null_ids(spark):
+    """Twelve sources of forty rows, most without an id, some rows the same, and ids that texts share."""
+    data = [(None if i % 4 else i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(5 + i % 30 + s)), f"s{s}") for s in range(12) for i in range(40)]
+    data += [(1, "same row here", "s0")] * 9 + [(2, f"other text {i}", "s1") for i in range(9)] + [(None, None, "s2")] * 5
+    return spark.createDataFrame(data, "doc_id long, text string, source string")
+
+
+@pytest.mark.parametrize("max_broadcast", [M.MAX_BROADCAST, 0])
+@pytest.mark.parametrize("share", [1.0, 0.5])
+@pytest.mark.parametrize("made", ["corpus", "null_ids"])
+def test_mix_equals_sql(spark, tmp_path, made, share, max_broadcast):
+    df = globals()[made](spark)
     df.write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    got = sorted(map(tuple, M.mix(df).collect()), key=repr)
-    assert got == sorted(con.sql(M.ORACLE).fetchall(), key=repr)
+    got = sorted(map(tuple, M.mix(df, budget_share=share, max_broadcast=max_broadcast).collect()), key=repr)
+    sql = M.ORACLE.replace("> 2.0 AS high", f"* {share} > 2.0 AS high").replace("weight * total / t", f"weight * ({share} * total) / t")
+    assert got == sorted(con.sql(sql).fetchall(), key=repr)
+    if made == "null_ids":
+        assert {r[1] for r in got} == {f"s{i}" for i in range(12)}
 
 
 def test_limits_and_targets(spark):
