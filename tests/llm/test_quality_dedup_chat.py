@@ -123,3 +123,25 @@ def test_escape_is_reversible():
         s = "".join(rng.choice(["\\", "#", "<", "/turn>", " ", "a", "\n"]) for _ in range(rng.randrange(12)))
         e = H.escape(s)
         assert H.unescape(e) == s and "###" not in e and "</turn>" not in e
+
+
+def test_chat_digests_equal_sql_and_survive_odd_templates(spark, tmp_path):
+    import duckdb
+
+    probe = H.EDGE + H.INNER + H.EDGE
+    data = [(1, 0, "user" + probe, probe), (1, 1, "assistant", CONTROL + "####"), (None, 0, "assistant", "ü"), (None, 0, "assistant", "ü"), (None, None, None, None), (5, 2, "assistant", "</turn>#####\\"), (5, None, "user", "x")]
+    schema = "conv_id long, turn long, role string, text string"
+    df = spark.createDataFrame(data, schema)
+    df.write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    extra = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], schema)
+    made = H.format_conversations(df.union(extra))
+    assert made.where("rewrites").count() == 0
+    assert sorted(map(tuple, H.chat_digests(made).collect()), key=repr) == sorted(con.sql(H.ORACLE).fetchall(), key=repr)
+
+    def twice(turns):  # marks turns as the default does, but history changes
+        return H.default_template(turns if len(turns) < 2 else [*turns[:-1], turns[-1], turns[-1]])
+
+    got = {r.conv_id: r for r in H.chat_digests(H.format_conversations(df.where("conv_id is not null"), twice)).collect()}
+    assert got[1].loss_chars is None and got[1].loss_sha256 is None and got[1].n_turns == 3

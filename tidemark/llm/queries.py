@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": chat.ORACLE,
     "op4_threshold_top_k": top_k.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_temperature_mixing": mixing.ORACLE,
