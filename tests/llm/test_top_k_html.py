@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -92,3 +93,70 @@ def test_pages_table(spark):
     got = {r.page_id: (r.url, r.text, r.n_chars) for r in P.extract_pages(df).collect()}
     assert got == {1: ("u", TEXT1, len(TEXT1)), 2: (None, "", 0), None: ("v", "", 0)}
     assert P.extract_pages(df.limit(0)).count() == 0
+
+
+SENTENCES = "This is a sentence, of some length; it goes on. " * 4
+
+
+def tables_by_html_parser(html):
+    """Path table of well-formed html, by another parser and whole path strings."""
+    from html.parser import HTMLParser
+
+    table = {}
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack = []
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append(tag)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            row = table.setdefault("/".join(self.stack), [0, 0, 0, 0])
+            n = len(data.strip())
+            row[0], row[1], row[2], row[3] = row[0] + n, row[1] + sum(c in ".,;:!?…。、，！？；：" for c in data), row[2] + 1, row[3] + n * ("a" in self.stack)
+
+    Reader().feed(html)
+    return sorted(map(tuple, table.values()))
+
+
+def test_path_table_equals_brute_force():
+    rng = random.Random(8)
+
+    def part(depth):
+        tag = rng.choice("div section ul ol b a h2".split())
+        return f"<{tag}>" + "".join(part(depth - 1) if depth and rng.random() < 0.6 else rng.choice(["some words. ", "more, of them ", "x"]) for _ in range(3)) + f"</{tag}>"
+
+    for _ in range(40):
+        html = "<body>" + "".join(part(4) for _ in range(3)) + "</body>"
+        assert sorted(P.path_table(P.text_nodes(html)).values()) == tables_by_html_parser(html)
+
+
+def test_scores_decide_where_no_element_names_the_article(monkeypatch):
+    html = f"<body><div>Our best offers</div><ul><li><a href=x>One</a></li></ul><section><h1>Title</h1><p>{SENTENCES}</p><p>Short.</p><p>{SENTENCES}</p></section><div>More from us</div></body>"
+    whole = SENTENCES.strip()
+    assert P.main_text(html) == f"Title\n\n{whole}\n\nShort.\n\n{whole}"
+    monkeypatch.setattr(P, "path_scores", lambda nodes: {e.path: 1.0 for e, _, _ in nodes})
+    assert "Our best offers" in P.main_text(html) and "More from us" in P.main_text(html)
+
+
+def test_parts_of_an_article_stay_together():
+    whole = SENTENCES.strip()
+    assert P.main_text(f"<main><article><p>{SENTENCES}</p></article><section><p>{SENTENCES}</p></section></main>") == f"{whole}\n\n{whole}"
+    assert P.main_text(f"<body><div><div class=intro>short lead</div><div class=body>{SENTENCES}</div></div><div><a href=x>link</a></div></body>") == f"short lead\n\n{whole}"
+    assert P.main_text(f"<body><article>{SENTENCES}</article><article>Two. {SENTENCES}</article></body>") == f"{whole}\n\nTwo. {whole}"
+    assert P.main_text(f"<article><p class='share-price'>{SENTENCES}</p><div class='post-comments'>Me too.</div><div class='ad-974'>Buy.</div></article>") == whole
+
+
+def test_deep_nesting_takes_memory_in_proportion():
+    import tracemalloc
+
+    html = "<div>" * 50_000 + "Deep text, here." + "</div>" * 50_000
+    tracemalloc.start()
+    assert P.main_text(html) == "Deep text, here."
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()

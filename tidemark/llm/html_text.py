@@ -1,19 +1,29 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read into text nodes, each with the path of open elements from the
-root to it.  Per path, text length and punctuation are summed and divided by
-the number of its nodes; both ratios are smoothed over the nodes in page order
-and fused into one score, paths above a threshold are content, and the smallest
-element that holds nearly all of the content's weight is the article.  What is
-inside it belongs to the text, short lines and headings included, except for
-elements that by their tag, role or class are menus, headers, footers,
-sidebars, notices, adverts, forms, comments or code.
+root to it; paths are numbered, so nesting of any depth costs one number an
+element.  Per path, text length, punctuation and link text are summed and
+divided by the number of its nodes; the ratios are smoothed over the nodes in
+page order and fused into one score, and paths above a threshold are content.
+Elements that by their tag, role or class are menus, headers, footers,
+sidebars, notices, adverts, forms, comments or code take no part; a path
+through an article or main element scores higher.
+
+The text runs from the first content node to the last.  Short lines and
+headings between these belong to it though their paths score low.  Before the
+first and after the last one, the smallest element that holds all content
+gives its headings, and, if it is or lies in an article or main element, all
+that it holds.
+
+Null, empty and textless pages give the empty text; rows that repeat count
+each, an empty table gives an empty one, and other columns, whatever their
+names, play no part.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -32,11 +42,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style noscript template iframe object svg math head title select button textarea canvas audio video datalist".split())
 #: Elements that are never part of an article; a header or footer inside one is dropped too if it is a footer.
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words in class and id that name such parts.
+#: Words in class and id that name such parts, if the name holds nothing else but general words.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations "
-    "comment comments commentlist disqus respond reply replies form search login pagination pager toolbar copyright legal skip hidden".split()
+    "alert aside complementary consent copyright dialog form gdpr hidden legal login modal notice notices notification overlay pager popup recommendations recommended related replies reply respond search "
+    "share sharing signup skip social subscribe subscription toolbar widget".split()
+)
+#: Words that name such parts wherever they begin or end a name.
+OUTSIDE_ENDS = frozenset(
+    "ad ads adv advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs comment commentlist comments cookie cookies disqus footer masthead menu nav navbar navigation newsletter "
+    "pagination promo promotion sidebar sponsor sponsored".split()
+)
+#: Words that say nothing about what a part holds.
+GENERAL_WORDS = frozenset(
+    "area article bar block blog body bottom box btn button buttons center col column container content entry fixed float global group head heading hot icon icons inline inner item items js left link links list main "
+    "new outer page panel post posts primary region right row secondary section site small sticky story text the thread title top user view wrap wrapper".split()
 )
 #: Roles of such parts.
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
@@ -54,10 +73,21 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
-#: Nodes to either side that smoothing covers, and the share of content weight that the article must hold.
-REACH, HELD = 1, 0.85
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Nodes to either side that smoothing covers, how much higher paths through an article score, and the share of the mean score that content needs.
+REACH, ARTICLE_GAIN, THRESHOLD = 1, 4.0, 0.3
+
+
+def _names_outside(name: str) -> bool:
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words:
+        return False
+    if words[0] in OUTSIDE_ENDS or words[-1] in OUTSIDE_ENDS:
+        return True
+    telling = [w for w in words if w not in GENERAL_WORDS]
+    return bool(telling) and all(w in OUTSIDE_WORDS or w in OUTSIDE_ENDS for w in telling)
 
 
 def _outside(tag: str, attrs: str) -> bool:
@@ -68,7 +98,7 @@ def _outside(tag: str, attrs: str) -> bool:
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in OUTSIDE_WORDS for w in WORD.findall(value)):
+            if any(map(_names_outside, value.split())):
                 return True
         elif name == "role":
             if value.lower() in OUTSIDE_ROLES:
@@ -79,130 +109,169 @@ def _outside(tag: str, attrs: str) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "out", "depth", "path")
-
-    def __init__(self, tag: str, parent: _Element | None, out: bool) -> None:
-        self.tag, self.parent, self.out = tag, parent, out or (parent is not None and parent.out)
-        self.depth = 0 if parent is None else parent.depth + 1
-        self.path = tag if parent is None else f"{parent.path}/{tag}"
-
-
-def text_nodes(html: str) -> list[tuple[_Element, int, str]]:
+    """An open or closed element: first and stop bound the text nodes in it."""
+
+    __slots__ = ("tag", "parent", "out", "depth", "path", "link", "article", "heading", "first", "stop")
+
+    def __init__(self, tag: str, parent: _Element | None, out: bool, path: int, first: int) -> None:
+        self.tag, self.parent, self.path, self.first, self.stop = tag, parent, path, first, None
+        above = parent is not None
+        self.out = out or above and parent.out
+        self.depth = parent.depth + 1 if above else 0
+        self.link = tag == "a" or above and parent.link
+        self.article = tag in ("article", "main") or above and parent.article
+        self.heading = tag in HEADINGS or above and parent.heading
+
+
+Node = tuple[_Element, int, str]
+
+
+class _Page:
+    """The elements of a page, with the text nodes found so far and how many elements of each tag are open."""
+
+    def __init__(self) -> None:
+        self.paths: dict[tuple[int, str], int] = {}
+        self.top = _Element("", None, False, 0, 0)
+        self.nodes: list[Node] = []
+        self.block = 0
+        self.open: Counter = Counter()
+
+    def text(self, text: str) -> None:
+        self.nodes.append((self.top, self.block, text))
+
+    def start(self, tag: str, out: bool) -> None:
+        path = self.paths.setdefault((self.top.path, tag), len(self.paths) + 1)
+        self.top = _Element(tag, self.top, out, path, len(self.nodes))
+        self.open[tag] += 1
+
+    def close_to(self, parent: _Element) -> None:
+        """Close open elements until ``parent`` is the innermost."""
+        while self.top is not parent:
+            self.top.stop = len(self.nodes)
+            self.open[self.top.tag] -= 1
+            self.top = self.top.parent
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost element of its name; </p> and </li> not beyond the next scope."""
+        if not self.open[tag]:
+            return
+        e = self.top
+        while e.tag != tag:
+            if e.tag in SCOPE and tag in ("p", "li"):
+                return
+            e = e.parent
+        self.close_to(e.parent)
+
+    def close(self, tags: tuple[str, ...]) -> None:
+        """A start tag closes an open element of ``tags`` in the same scope."""
+        if not any(self.open[t] for t in tags):
+            return
+        e = self.top
+        while e.parent is not None:
+            if e.tag in tags:
+                self.close_to(e.parent)
+                return
+            if e.tag in SCOPE:
+                return
+            e = e.parent
+
+
+def text_nodes(html: str) -> list[Node]:
     """(element, block number, raw text) of each text node in page order; silent elements have none."""
-    root = _Element("", None, False)
-    top, block, nodes, at = root, 0, [], 0
+    page, at = _Page(), 0
+    root = page.top
     for m in TOKEN.finditer(html):
         if m.start() > at:
-            nodes.append((top, block, html[at : m.start()]))
+            page.text(html[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
-            if m["raw"] is None and m["late"] is None:
-                continue
-            block += 0 if m["raw"] else 1
+            page.block += m["late"] is not None
             continue
         if tag == "br":
-            nodes.append((top, block, " "))
+            page.text(" ")
             continue
         if tag not in INLINE:
-            block += 1
+            page.block += 1
         if m["end"]:
-            e = top
-            while e is not root and e.tag != tag and not (e.tag in SCOPE and tag in ("p", "li")):
-                e = e.parent
-            if e is not root and e.tag == tag:
-                top = e.parent
+            page.end(tag)
             continue
         if tag in ENDS_P:
-            top = _closed(top, ("p",))
+            page.close(("p",))
         if tag in CLOSES:
-            top = _closed(top, CLOSES[tag])
+            page.close(CLOSES[tag])
         if tag in VOID or m["attrs"].endswith("/") and tag in SILENT:
             continue
-        header = tag == "header" and not _within(top, ("article", "main"))
-        top = _Element(tag, top, header or tag in SILENT or _outside(tag, m["attrs"]) and tag not in ("html", "body", "article", "main"))
+        header = tag == "header" and not page.top.article
+        page.start(tag, header or tag in SILENT or _outside(tag, m["attrs"]) and tag not in ("html", "body", "article", "main"))
     if at < len(html):
-        nodes.append((top, block, html[at:]))
-    return nodes
+        page.text(html[at:])
+    page.close_to(root)
+    root.stop = len(page.nodes)
+    return page.nodes
 
 
-def _within(e: _Element, tags: tuple[str, ...]) -> bool:
-    while e is not None:
-        if e.tag in tags:
-            return True
-        e = e.parent
-    return False
+def path_table(nodes: list[Node]) -> dict[int, tuple[int, int, int, int]]:
+    """Per path: characters of text, punctuation, text nodes, characters of link text."""
+    table: dict[int, tuple[int, int, int, int]] = {}
+    for e, _, text in nodes:
+        length, points, count, linked = table.get(e.path, (0, 0, 0, 0))
+        n = len(text.strip())
+        table[e.path] = length + n, points + len(PUNCTUATION.findall(text)), count + 1, linked + n * e.link
+    return table
 
 
-def _closed(top: _Element, tags: tuple[str, ...]) -> _Element:
-    e = top
-    while e.parent is not None:
-        if e.tag in tags:
-            return e.parent
-        if e.tag in SCOPE:
-            return top
-        e = e.parent
-    return top
+def path_scores(nodes: list[Node]) -> dict[int, float]:
+    """Per path the mean of its nodes' fused, smoothed ratios."""
+    table = path_table(nodes)
+    own = [table[e.path] for e, _, _ in nodes]
+    window = np.ones(2 * REACH + 1) / (2 * REACH + 1)
 
+    def smooth(x: list[float]) -> np.ndarray:
+        return np.convolve(np.pad(np.array(x, float), REACH, mode="edge"), window, mode="valid")
 
-def path_scores(nodes: list[tuple[_Element, int, str]]) -> np.ndarray:
-    """The fused, smoothed tag-path ratios, one per node."""
-    length, points, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    for e, _, text in nodes:
-        length[e.path] += len(text)
-        points[e.path] += len(PUNCTUATION.findall(text))
-        count[e.path] += 1
-    by_text = np.array([length[e.path] / count[e.path] for e, _, _ in nodes])
-    by_points = np.array([points[e.path] / count[e.path] for e, _, _ in nodes])
-    window = np.ones(2 * REACH + 1) / (2 * REACH + 1)
+    fused = smooth([length / count for length, _, count, _ in own]) * (1 + smooth([points / count for _, points, count, _ in own]))
+    sums: dict[int, float] = defaultdict(float)
+    for (e, _, _), (length, _, count, linked), score in zip(nodes, own, fused):
+        sums[e.path] += score * (1 - linked / max(length, 1)) * (ARTICLE_GAIN if e.article else 1.0) / count
+    return sums
 
-    def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(np.pad(x, REACH, mode="edge"), window, mode="valid")
 
-    return smooth(by_text) * (1 + smooth(by_points))
+def _held_by(a: _Element, b: _Element) -> _Element:
+    """The innermost element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
 
 
 def main_text(html: str) -> str:
     """The article's blocks, white space in each made single spaces, joined by blank lines; empty if there is none."""
     nodes = [(e, b, unescape(t)) for e, b, t in text_nodes(html)]
-    inside = [(e, b, t) for e, b, t in nodes if not e.out and not t.isspace()]
+    inside = [i for i, (e, _, t) in enumerate(nodes) if not e.out and t and not t.isspace()]
     if not inside:
         return ""
-    scores = path_scores(inside)
-    weight: dict[str, float] = defaultdict(float)
-    for (e, _, text), score in zip(inside, scores):
-        weight[e.path] += score * len(text)
-    # threshold on paths: what lies below a share of the mean path score is not content
-    best = {path for path, w in weight.items() if w >= 0.1 * sum(weight.values()) / len(weight)}
-    held: dict[int, float] = defaultdict(float)
-    found: dict[int, _Element] = {}
-    for (e, _, text), score in zip(inside, scores):
-        if e.path in best:
-            own = score * len(text)
-            while e is not None:
-                held[id(e)] += own
-                found[id(e)] = e
-                e = e.parent
-    total = max(held.values())
-    named = [e for e in found.values() if e.tag in ("article", "main") and held[id(e)] >= 0.5 * total]
-    whole = [e for e in found.values() if e.tag not in INLINE and e.tag != "p" and held[id(e)] >= HELD * total]
-    article = max(named or whole or [min(found.values(), key=lambda e: e.depth)], key=lambda e: e.depth)
+    scores = path_scores([nodes[i] for i in inside])
+    lengths = [len(nodes[i][2]) for i in inside]
+    mean = sum(n * scores[nodes[i][0].path] for i, n in zip(inside, lengths)) / sum(lengths)
+    content = [i for i in inside if scores[nodes[i][0].path] >= THRESHOLD * mean]
+    first, last = content[0], content[-1]
+    # in page order the innermost element of all content is that of its first and last node
+    holder = _held_by(nodes[first][0], nodes[last][0])
+    while holder.parent is not None and (holder.tag in INLINE or holder.tag == "p" or holder.parent.article):
+        holder = holder.parent
     blocks: dict[int, list[str]] = {}
-    for e, b, text in nodes:
-        if not e.out and _below(e, article):
+    ends = nodes[first][1], nodes[last][1]
+    for i in range(holder.first, holder.stop):
+        e, b, text = nodes[i]
+        if not e.out and (ends[0] <= b <= ends[1] or holder.article or e.heading):
             blocks.setdefault(b, []).append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(x for x in lines if x)
 
 
-def _below(e: _Element | None, ancestor: _Element) -> bool:
-    while e is not None and e.depth >= ancestor.depth:
-        if e is ancestor:
-            return True
-        e = e.parent
-    return False
-
-
 def extracted(html: Column) -> Column:
     """The main text of a column of pages; null pages give the empty text."""
 
