@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, portions
+from tidemark.llm.common import cut, documents, portions, stored
 from tidemark.operators.components import connected_components
 
 #: Bits per pivot mask, and parts that must agree.
 MASK_BITS, PARTS = 2, 3
 #: Seed of the shingle hash.
 SEED = 42
-#: Bits of the bitmap of a shingle set.
-MARKS = 1024
+#: Bits for each shingle in the bitmap of a set, at least.
+MARKS = 2
 #: Up to so many texts to read again are told by broadcast (8 bytes each), more by a shuffle.
 MAX_BROADCAST = 200_000
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
@@ -184,8 +184,8 @@ def simhash_components(docs: DataFrame, words: int = 3, bits: int = 2, max_bucke
 def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) -> DataFrame:
     """(doc_id, version, node, fp, size, marks, shingles) of (doc_id, text, version) rows.
 
-    node is a hash of the shingle set, marks a bitmap of MARKS bits with one
-    set for every shingle.  Shingles stand in one order for all
+    node is a hash of the shingle set, marks a bitmap with a bit set for every
+    shingle, of the power of two of bits that is MARKS times the set or more.  Shingles stand in one order for all
     documents, ``common`` ones last; unless ``whole`` only the prefix is given
     of which a set similar enough must hold a member.
     """
@@ -203,8 +203,8 @@ def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) ->
                     nodes.append(_signed(xxhash.xxh3_64_intdigest(u.tobytes())))
                     fps.append(_signed(int(_simhash(h))))
                     sizes.append(len(u))
-                    marked = np.zeros(MARKS, bool)
-                    marked[(u >> np.uint64(32)) % np.uint64(MARKS)] = True
+                    marked = np.zeros(max(64, 1 << (MARKS * len(u)).bit_length()), bool)
+                    marked[(u >> np.uint64(32)) % np.uint64(len(marked))] = True
                     marks.append(np.packbits(marked).view(np.int64))
                     if len(common):
                         last = common[np.minimum(np.searchsorted(common, u), len(common) - 1)] == u
@@ -236,7 +236,13 @@ def _verified(rows: DataFrame, words: int, nodes: DataFrame, pairs: DataFrame) -
     marks = lambda end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"n{end}"), F.col("marks").alias(f"m{end}"))
     lacking = lambda x, y: F.aggregate(F.zip_with(x, y, lambda s, t: F.bit_count(s.bitwiseAND(F.bitwise_not(t)))), F.lit(0), lambda n, k: n + k)
     most = F.least(F.col("na") - lacking("ma", "mb"), F.col("nb") - lacking("mb", "ma"))
-    pairs = cut(pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").where(most * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"))
+    marked = pairs.distinct().join(marks("a"), "a").join(marks("b"), "b").where(F.least("na", "nb") * q >= F.greatest("na", "nb") * p)
+    # sets of like sizes have bitmaps of one length, or one of the double, whose halves then lie over each other
+    for one, other in (("ma", "mb"), ("mb", "ma")):
+        half = F.shiftright(F.size(one), 1)
+        folded = F.zip_with(F.slice(one, F.lit(1), F.greatest(half, F.lit(1))), F.slice(one, F.greatest(half, F.lit(1)) + 1, F.greatest(half, F.lit(1))), lambda s, t: s.bitwiseOR(t))
+        marked = marked.withColumn(one, F.when(F.size(one) > F.size(other), folded).otherwise(F.col(one)))
+    pairs = cut(marked.where(most * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # one text of each node is read again, so that sets are kept for those alone that meet another
     versions = cut(ends.join(nodes, "node").select("version").distinct())
@@ -277,11 +283,13 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     rows = documents(docs).withColumn("version", F.xxhash64("text"))
     common = _common(rows, words)
     found = cut(_set_table(rows, words, common, whole=False))
-    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("version").alias("version"), F.any_value("size").alias("size"), F.any_value("marks").alias("marks"), F.any_value("shingles").alias("shingles")))
-    entries = nodes.select("node", "size", F.posexplode("shingles").alias("at", "shingle"))
-    # most shingles stand in one prefix only; what goes on is the entries of the others
-    shared = cut(entries.groupBy("shingle").agg(F.count("*").alias("members")).where("members > 1").select("shingle"))
-    met = cut(entries.join(shared, "shingle"))
+    nodes = cut(found.groupBy("node").agg(F.min("fp").alias("fp"), F.min("version").alias("version"), F.min("size").alias("size"), F.any_value("marks").alias("marks")))
+    # place and size travel as one number
+    entries = found.select("node", "size", F.posexplode("shingles").alias("at", "shingle")).select("shingle", "node", (F.shiftleft("size", 32) + F.col("at")).alias("place"))
+    # most shingles stand in the prefixes of one set only; what goes on is the entries of the others
+    shared = cut(entries.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("shingle"))
+    met = entries.join(shared, "shingle").groupBy("shingle", "node").agg(F.min("place").alias("place"))
+    met = stored(met.select("shingle", "node", F.shiftright("place", 32).alias("size"), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at")), "met")
     centres = cut(met.groupBy("shingle").agg(F.min(F.struct("at", "node", "size")).alias("c")))
     star = met.select("shingle", F.struct("node", "size", "at").alias("l")).join(centres, "shingle").where("l.node <> c.node").where(_may_match("l", "c"))
     # of the centres that a set meets it is held against the one it meets most often
@@ -293,7 +301,7 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     proposed = star.union(close).union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     tied = _verified(rows, words, nodes, proposed)
     roots = cut(connected_components(tied))
-    placed = cut(met.join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")))
+    placed = stored(met.join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")), "placed")
     parted = cut(placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle"))
     open_ = cut(placed.join(parted, "shingle"))
     l, r = open_.select("shingle", F.struct("node", "size", "at", "root").alias("l")), open_.select("shingle", F.struct("node", "size", "at", "root").alias("r"))
