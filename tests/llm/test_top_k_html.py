@@ -41,19 +41,22 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert T.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_threshold_stops_early():
+def test_threshold_stops_early_and_refuses_blocks():
     rng = np.random.default_rng(1)
-    rows = np.floor(rng.normal(size=(4000, 2)) * 256)
-    seen = []
-
-    class Counting(np.ndarray):
-        def __matmul__(self, other):
-            seen.append(len(self))
-            return np.asarray(self) @ other
-
-    got = T.threshold_search(np.arange(4000), rows.view(Counting), np.argsort(rows, axis=0, kind="stable"), -1, np.array([3.0, 5.0]), 5)
-    scores = rows @ np.array([3.0, 5.0])
-    assert [s for s, _ in got] == sorted(scores.astype(int), reverse=True)[:5] and sum(seen) < 2000
+    rows = np.floor(rng.normal(size=(4000, 2)) * 256).astype(np.int64)
+    query = np.array([3, 5])
+    best, scored, depth = T.threshold_search(T.Block(np.arange(4000), rows), -1, query, 5, [])
+    scores = rows @ query
+    assert [s for s, _ in best] == sorted(scores, reverse=True)[:5] and 0 < scored < 1000 and depth < 1000
+    low = T.Block(np.arange(5000, 5100), rows[:100] // 100)
+    assert T.threshold_search(low, -1, query, 5, best) == (best, 0, 0)
+
+
+def test_large_components_are_summed_exactly(spark):
+    data = [(0, [float(2**40), 1.0, 1.0], 0), (1, [float(2**10), 3.0, 0.0], 0), (2, [float(2**10), 2.0, 2.0], 0), (3, [1e300, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in T.top_k(df, df.where("vec_id = 0"), k=3, scale=1).orderBy("rank").collect()]
+    assert got == [(0, 1, 3, 2**63 - 1), (0, 2, 2, 2**50 + 4), (0, 3, 1, 2**50 + 3)]
 
 
 P1 = "<p>This is a long paragraph, with commas, and text. It goes on for a while; it is content.</p>"

@@ -1,12 +1,17 @@
 """Exact top-k inner products by the threshold algorithm of Fagin, Lotem and Naor.
 
-Vectors are dealt into blocks of bounded size.  In each block every dimension
-has its list of rows sorted by that component.  A query walks all lists at once
-from the end that its sign favours, scores each newly met row in full, and stops
-when no row that it has not met can reach its k-th score: the score of a
-fictitious row made of the last component seen in every list.  Blocks of
-queries meet blocks of vectors through an equi-join on block numbers, and the
-k best of each block are merged by rank.
+Vectors are ordered by their norm and cut into blocks of bounded size.  Each
+block is stored once with its lists: for every dimension its rows in the order
+of that component.  A query walks the lists from the end that its sign favours,
+a few steps at a time and those lists first whose next steps lower the bound
+most, and scores each newly met row in full.  It stops when no row that it has
+not met can reach its k-th score: the score of a fictitious row made of the
+last component seen in every list.  Blocks whose bound is beaten before the
+first step are refused whole.
+
+Blocks of queries meet groups of blocks through an equi-join on their numbers;
+what a query has found in one block of a group bounds its search in the next,
+and the k best of each group are merged by rank.
 """
 
 from __future__ import annotations
@@ -21,10 +26,12 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import cut
 
-#: Rows of a block of vectors and of queries, about.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
-#: Depth of the first step into the lists; it doubles.
-FIRST_DEPTH = 32
+#: Rows of a block of vectors and of queries, about, and blocks of a group.
+VECTOR_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 4
+#: Steps into the chosen lists at first; they double.
+FIRST_STEPS = 2
+#: Integers up to which sums of doubles are exact.
+EXACT = 1 << 53
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -33,77 +40,166 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(~odd, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
 
 
-def threshold_search(ids: np.ndarray, rows: np.ndarray, order: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of one block, ties to smaller ids; ``order`` sorts every column of ``rows``."""
-    n = len(ids)
+class Block:
+    """Rows with their ids and, per dimension, the order of the rows by that component."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, order: np.ndarray | None = None) -> None:
+        self.ids, self.rows = ids, rows
+        self.order = np.argsort(rows, axis=0, kind="stable").astype("<i4") if order is None else order
+        self.low, self.high = (rows.min(axis=0), rows.max(axis=0)) if len(ids) else (rows, rows)
+
+
+def threshold_search(block: Block, query_id: int, query: np.ndarray, k: int, best: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int, int]:
+    """The k best (score, id) of ``best`` and a block, ties to smaller ids; rows scored and the depth of the deepest list.
+
+    Sums are exact: doubles where all stay below 2**53, whole numbers of any
+    size elsewhere.
+    """
+    ids, n = block.ids, len(block.ids)
     used = np.flatnonzero(query)
     if not len(used) or n == 0:
-        best = np.sort(ids[ids != query_id])[:k]
-        return [(0, int(i)) for i in best]
-    weights = query[used]
-    met = np.zeros(n, bool)
-    best_ids, best_scores = np.empty(0, np.int64), np.empty(0)
-    done, depth = 0, FIRST_DEPTH
-    while done < n:
-        stop = min(n, done + depth)
-        lists = np.where(weights > 0, order[n - stop : n - done, used][::-1], order[done:stop, used])
+        found = [*best, *((0, int(i)) for i in np.sort(ids[ids != query_id])[:k])]
+        return sorted(found, key=lambda x: (-x[0], x[1]))[:k], 0, 0
+    rows, weights = block.rows, query[used]
+    reach = sum(abs(int(w)) * max(abs(int(a)), abs(int(b))) for w, a, b in zip(weights, block.low[used], block.high[used]))
+    kind = np.float64 if reach < EXACT else object
+    weights, full = weights.astype(kind), query.astype(kind)
+    seen = np.where(weights > 0, block.high[used].astype(kind), block.low[used].astype(kind))
+    depth, steps, scored = np.zeros(len(used), np.int64), FIRST_STEPS, 0
+    met = ids == query_id
+    best_scores, best_ids = np.array([s for s, _ in best], object if kind is object else np.float64), np.array([i for _, i in best], np.int64)
+    while True:
+        # a row not met may still tie with the bound and have the smaller id
+        if len(best_ids) == k and best_scores[-1] > (weights * seen).sum() or met.all():
+            break
+        stop = np.minimum(depth + steps, n)
+        at = np.where(weights > 0, n - stop, stop - 1)
+        ahead = rows[block.order[at, used], used].astype(kind)
+        drop = np.abs(weights * (seen - ahead))
+        chosen = np.flatnonzero((depth < n) & (drop >= drop.mean()))
+        if not len(chosen):
+            chosen = np.flatnonzero(depth < n)
         fresh = np.zeros(n, bool)
-        fresh[lists.ravel()] = True
+        for j in chosen:
+            a, b = (n - stop[j], n - depth[j]) if weights[j] > 0 else (depth[j], stop[j])
+            fresh[block.order[a:b, used[j]]] = True
         new = np.flatnonzero(fresh & ~met)
         met |= fresh
-        new = new[ids[new] != query_id]
-        scores, found = np.concatenate([best_scores, rows[new] @ query]), np.concatenate([best_ids, ids[new]])
-        top = np.lexsort((found, -scores))[:k]
-        best_scores, best_ids = scores[top], found[top]
-        bound = (rows[lists[-1], used] * weights).sum()
-        # a row not met may still tie with the bound and have the smaller id
-        if len(best_ids) == k and best_scores[-1] > bound:
-            break
-        done, depth = stop, 2 * depth
-    return [(int(s), int(i)) for s, i in zip(best_scores, best_ids)]
+        scored += len(new)
+        scores, found = np.concatenate([best_scores, rows[new].astype(kind) @ full]), np.concatenate([best_ids, ids[new]])
+        if len(scores) > 4 * k:
+            # only what reaches the k-th score is sorted
+            kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+            scores, found = scores[scores >= kth], found[scores >= kth]
+        top = np.lexsort((found, -scores)) if kind is np.float64 else np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], found[i])), np.int64)
+        best_scores, best_ids = scores[top[:k]], found[top[:k]]
+        seen[chosen], depth[chosen] = ahead[chosen], stop[chosen]
+        steps *= 2
+    return [(int(s), int(i)) for s, i in zip(best_scores, best_ids)], scored, int(depth.max())
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """One row per block of about ``size`` rows: its number, ids and components."""
+_BLOCK = "dim int, part int, ids binary, v binary, lists binary"
+
+
+def _packed(rows: DataFrame, size: int, lists: bool) -> DataFrame:
+    """One row per block of at most ``size`` rows of one length: its range of norms (0 has the largest), ids, components and lists."""
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     n = max(1, -(-rows.count() // size))
+    keyed = rows.withColumn("norm", -norm).withColumn("deal", F.xxhash64("vec_id"))
+    ranged = keyed.repartitionByRange(n, "dim", "norm", "deal").sortWithinPartitions("dim", "norm", "deal").select("dim", "vec_id", "v", F.spark_partition_id().alias("part"))
 
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by("vec_id")
-        v = group["v"].combine_chunks()
-        return pa.table({"dim": group["dim"].slice(0, 1), name: group["block"].slice(0, 1), f"{name}_ids": pa.array([group["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_v": pa.array([v.flatten().to_numpy().astype("<f8").tobytes()], pa.binary())})
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n)).cast("int"))
-    return cut(blocks.groupBy("dim", "block").applyInArrow(pack, f"dim int, {name} int, {name}_ids binary, {name}_v binary")), n
+        def block() -> pa.RecordBatch:
+            table = pa.concat_tables(held)
+            dim, part = table["dim"][0].as_py(), table["part"][0].as_py()
+            v = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            order = Block(np.zeros(len(v), np.int64), v).order.tobytes() if lists and dim else b""
+            values = ([dim], pa.int32()), ([part], pa.int32()), ([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), ([v.astype("<i8").tobytes()], pa.binary()), ([order], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in values], names=["dim", "part", "ids", "v", "lists"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            dims = table["dim"].to_numpy()
+            ends = [*(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            first = 0
+            for end in ends:
+                while first < end:
+                    if held and (held[0]["dim"][0].as_py() != dims[first] or sum(t.num_rows for t in held) >= size):
+                        yield block()
+                        held = []
+                    take = min(end - first, size - sum(t.num_rows for t in held))
+                    held.append(table.slice(first, take))
+                    first += take
+        if held:
+            yield block()
+
+    return cut(ranged.mapInArrow(pack, _BLOCK))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k best inner products for each query row, exactly.
 
-    Both tables have vec_id and embedding.  Null vectors, vectors that hold
-    null or non-finite components and rows without a vec_id take no part;
-    vectors meet queries of their own length only, and none of the query's own
-    vec_id.  Of queries that repeat a vec_id the one of the smallest components
-    counts; repeated vectors count each.
+    Both tables have vec_id and embedding; other columns, whatever their names,
+    play no part.  Null vectors, vectors that hold null or non-finite
+    components and rows without a vec_id take no part; vectors meet queries of
+    their own length only, and none of the query's own vec_id.  Of queries that
+    repeat a vec_id the one of the smallest components counts; repeated vectors
+    count each.  Without vectors or queries nothing is returned.  Components
+    beyond the range of a long and scores beyond it count as its end.
+    """
+    found = searched(vectors, queries, k, scale).where("vec_id is not null")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def searched(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
+    """(query_id, vec_id, score, scored, depth): the k best of each query in each group of blocks.
+
+    A row of null vec_id tells per query and group how many rows were scored
+    and how many steps the deepest lists were walked.
     """
     ready = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null").withColumn("dim", F.size("v"))
     asked = ready(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    q_blocks, n_q = _packed(cut(asked), QUERY_BLOCK, "q")
-    v_blocks, _ = _packed(cut(ready(vectors)), VECTOR_BLOCK, "b")
-    spread = v_blocks.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    q_blocks = _packed(cut(asked), QUERY_BLOCK, False).select("dim", F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.xxhash64("dim", "ids").alias("q"))
+    v_blocks = _packed(cut(ready(vectors)), VECTOR_BLOCK, True)
+    last = lambda blocks, part: (blocks.agg(F.max(part)).first()[0] or 0) + 1
+    n_q, groups = last(q_blocks, "q_part"), -(-last(v_blocks, "part") // GROUP)
+    count_to = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    # large norms are dealt to all groups, so that each finds high scores early
+    left = v_blocks.withColumn("g", F.col("part") % F.lit(groups)).withColumn("q_part", count_to(n_q)).repartition(n_q * groups, "dim", "q_part", "g")
+    right = q_blocks.withColumn("g", count_to(groups)).repartition(n_q * groups, "dim", "q_part", "g")
+    met = left.join(right, ["dim", "q_part", "g"]).sortWithinPartitions("dim", "q", "g", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, q_ids, asked, state = None, (), (), []
+
+        def told() -> pa.RecordBatch:
+            limit = (1 << 63) - 1
+            out = [(int(q), i, max(-limit - 1, min(limit, s)), None, None) for q, (best, _, _) in zip(q_ids, state) for s, i in best]
+            out += [(int(q), None, None, scored, depth) for q, (_, scored, depth) in zip(q_ids, state)]
+            columns = list(zip(*out)) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "scored", "depth"])
+
         for batch in batches:
-            for dim, q_ids, q_v, b_ids, b_v in zip(*(batch[c].to_pylist() for c in ("dim", "q_ids", "q_v", "b_ids", "b_v"))):
-                ids, q = np.frombuffer(b_ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                rows, asked = np.frombuffer(b_v).reshape(len(ids), dim), np.frombuffer(q_v).reshape(len(q), dim)
-                order = np.argsort(rows, axis=0, kind="stable")
-                out = [(int(query_id), i, s) for query_id, query in zip(q, asked) for s, i in threshold_search(ids, rows, order, query_id, query, k)]
-                columns = list(zip(*out)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-    found = spread.join(q_blocks, ["dim", "q"]).select("dim", "q_ids", "q_v", "b_ids", "b_v").mapInArrow(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for row in range(batch.num_rows):
+                dim, q, g, ids, v, lists = (batch[c][row].as_py() for c in ("dim", "q", "g", "ids", "v", "lists"))
+                if key != (dim, q, g):
+                    if key is not None:
+                        yield told()
+                    key, q_ids = (dim, q, g), np.frombuffer(batch["q_ids"][row].as_py(), "<i8")
+                    asked, state = np.frombuffer(batch["q_v"][row].as_py(), "<i8").reshape(len(q_ids), dim), [([], 0, 0)] * len(q_ids)
+                ids = np.frombuffer(ids, "<i8")
+                block = Block(ids, np.frombuffer(v, "<i8").reshape(len(ids), dim), np.frombuffer(lists, "<i4").reshape(len(ids), dim))
+                for i, (query_id, query) in enumerate(zip(q_ids, asked)):
+                    best, scored, depth = state[i]
+                    best, more, deep = threshold_search(block, query_id, query, k, best)
+                    state[i] = best, scored + more, max(depth, deep)
+        if key is not None:
+            yield told()
+
+    return met.select("dim", "q", "g", "ids", "v", "lists", "q_ids", "q_v").mapInArrow(run, "query_id long, vec_id long, score long, scored long, depth long")
 
 
 #: The same in DuckDB for k = 5 and queries whose id 50 divides.
