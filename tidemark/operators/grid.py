@@ -206,3 +206,22 @@ def aligned(a: DataFrame, b: DataFrame) -> None:
 def filled_grid(spark: SparkSession, height: int, width: int, value: float = 0.0) -> DataFrame:
     """A grid of one value."""
     return spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"), F.lit(value).alias("z"))
+
+
+def shifted(df: DataFrame, rows: int, columns: int) -> DataFrame:
+    """Cells of another grid of the same cell size placed on this one's rows and columns."""
+    return df.withColumn("row", (F.col("row") + rows).cast("int")).withColumn("col", (F.col("col") + columns).cast("int"))
+
+
+def buffered(df: DataFrame, lines: DataFrame, width: float) -> DataFrame:
+    """Cells whose centre lies within ``width`` cells of a segment (x1, y1, x2, y2 in columns and rows).
+
+    A segment asks for the cells of its box, so lines and cells meet by an
+    equi-join on row and column.
+    """
+    from tidemark.functions.geo import segment_distance
+
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) - width).cast("int"), F.ceil(F.greatest(a, b) + width).cast("int")))
+    asked = lines.withColumn("row", span("y1", "y2")).withColumn("col", span("x1", "x2"))
+    near = asked.where(segment_distance(F.col("col") + 0.5, F.col("row") + 0.5, "x1", "y1", "x2", "y2") <= width).select("row", "col").distinct()
+    return df.join(near, ["row", "col"])

@@ -171,3 +171,13 @@ def dry_controls(candidates: DataFrame, floods: DataFrame, hand_low: float = 6.5
         if len(chosen) == n:
             break
     return chosen
+
+
+def validated(scored: DataFrame, *by: str, **gate) -> DataFrame:
+    """Skill of scored points per group with the gate's reasons and verdict."""
+    return numeric_gate(skill(scored, *by), **gate)
+
+
+def register(documented: DataFrame, controls: DataFrame, fit: Column) -> DataFrame:
+    """One point register of documented points and the controls that are ``fit``, with their origin."""
+    return documented.withColumn("origin", F.lit("documented")).unionByName(controls.where(fit).withColumn("origin", F.lit("control")), allowMissingColumns=True)

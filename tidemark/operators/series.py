@@ -127,3 +127,8 @@ def first_of_duplicates(series: DataFrame, by: list[str], order: Column) -> Data
     """The first row for each key."""
     w = Window.partitionBy(*by).orderBy(order)
     return series.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def time_slice(series: DataFrame, start: Column, stop: Column, ts: str = "ts") -> DataFrame:
+    """Rows from ``start`` up to but not at ``stop``."""
+    return series.where((F.col(ts) >= start) & (F.col(ts) < stop))

@@ -175,7 +175,8 @@ def rain_on_grid(cells: DataFrame, by: str = "return_period", **options) -> Data
 def _inertial_group(pdf: pd.DataFrame, by: str, chained: str, options: dict) -> pd.DataFrame:
     out, start = [], None
     for _, one in pdf.sort_values([chained, "row", "col"]).groupby(chained, sort=True):
-        z, boundary, level = _dense(one, "z"), _dense(one, "boundary", 0.0) > 0, float(one["level"].iloc[0])
+        z, boundary = _dense(one, "z"), _dense(one, "boundary", 0.0) > 0
+        level = float(one["level"].iloc[0]) if one["level"].nunique() < 2 else np.nan_to_num(_dense(one, "level", 0.0))
         first = np.nan_to_num(_dense(one, "start", 0.0))
         held = surge(level, float(one["floor"].iloc[0])) if options.get("hydrograph") else level
         made = inertial_run(z, boundary, held, start=first if start is None else np.maximum(first, start), **{k: v for k, v in options.items() if k != "hydrograph"})
@@ -189,7 +190,8 @@ def inertial(cells: DataFrame, by: str = "scenario", chained: str = "return_peri
 
     Each starts from the peak of the one before, so they share a task.
     ``cells`` has ``by``, ``chained``, row, col, z, boundary, level, floor and
-    start (initial depth).  ``hydrograph=True`` turns levels into surges.
+    start (initial depth); levels may differ from cell to cell.
+    ``hydrograph=True`` turns levels, then one for the run, into surges.
     """
     kinds = dict(cells.dtypes)
     own = cells.select(by, chained, "row", "col", "z", "boundary", "level", "floor", "start")

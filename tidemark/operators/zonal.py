@@ -125,3 +125,9 @@ def zones_raised(cells: DataFrame, zones: DataFrame, x: str = "x", y: str = "y",
     inside = F.col(x).between(F.col("x_min"), F.col("x_max")) & F.col(y).between(F.col("y_min"), F.col("y_max"))
     hit = cells.select(*k, x, y).join(F.broadcast(zones), inside).groupBy(*k).agg(F.max_by("raise_m", order).alias("raise_m"))
     return cells.join(hit, k, "left").withColumn(z, F.col(z) + F.coalesce("raise_m", F.lit(0.0))).drop("raise_m")
+
+
+def deepest(cells: DataFrame, n: int, *by: str, depth: str = "depth") -> DataFrame:
+    """The ``n`` deepest known cells of each group with their rank, ties by row and column."""
+    w = Window.partitionBy(*by).orderBy(F.desc(depth), "row", "col")
+    return cells.where(F.col(depth).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

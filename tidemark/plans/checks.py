@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.hydrology import excess_rain, gev_quantile, gumbel_location, gumbel_scale, ponding_cap
+from tidemark.functions.hydrology import excess_rain, gev_quantile, gev_return_period, gumbel_location, gumbel_scale, ponding_cap
 
 #: Scenarios in order of severity.
 SEVERITY_ORDER = (("SSP2-4.5", 2050), ("SSP5-8.5", 2050), ("SSP2-4.5", 2100), ("SSP5-8.5", 2100))
@@ -49,21 +49,21 @@ def anchor_deviation(params: DataFrame, anchors: DataFrame, warn: float = 0.25,
     return out.withColumn("verdict", F.when(size <= warn, "PASS").when(size <= fail, "WARN").otherwise("FAIL"))
 
 
-def cap_reproduction(stored: DataFrame, drain_mm: float, runoff: float = 1.0, drained: float = 1.0, slack: float = 0.001) -> DataFrame:
+def cap_reproduction(stored: DataFrame, drain_mm: float, runoff: float = 1.0, drained: float = 1.0, slack: float = 0.001, by: tuple[str, ...] = ()) -> DataFrame:
     """Stored pluvial caps (return_period, cap_m, rp_a, x_a, rp_b, x_b) against the Gumbel chain that should give them."""
     sigma, mu = gumbel_scale("rp_a", "x_a", "rp_b", "x_b"), gumbel_location("rp_a", "x_a", "rp_b", "x_b")
     excess = F.greatest(gev_quantile(F.lit(0.0), mu, sigma, "return_period") - drain_mm, F.lit(0.0))
     out = stored.withColumn("expected_m", ponding_cap(excess, runoff, drained))
-    before = F.lag("cap_m").over(Window.orderBy("return_period"))
+    before = F.lag("cap_m").over(Window.partitionBy(*by).orderBy("return_period"))
     verdict = F.when(F.abs(F.col("cap_m") - F.col("expected_m")) > slack, "FAIL").when(F.col("cap_m") < F.col("before"), "FAIL").when(F.col("cap_m") <= 0.005, "WARN").when(F.col("cap_m") >= 3.0, "FAIL").otherwise("PASS")
     return out.withColumn("before", before).withColumn("verdict", verdict).drop("before")
 
 
-def depth_anchors(pluvial: DataFrame) -> DataFrame:
+def depth_anchors(pluvial: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Point depths by return period: at least half of 7 cm from ten years on, the thousand-year between 0.38 and 3 m, never falling."""
-    before = F.lag("max_depth_m").over(Window.orderBy("return_period"))
+    before = F.lag("max_depth_m").over(Window.partitionBy(*by).orderBy("return_period"))
     told = F.array_compact(F.array(F.when((F.col("return_period") >= 10) & (F.col("max_depth_m") < 0.035), F.lit("too shallow")), F.when((F.col("return_period") == 1000) & ~F.col("max_depth_m").between(0.38, 3.0), F.lit("thousand-year depth")), F.when(F.col("max_depth_m") < F.col("before"), F.lit("falls"))))
-    return pluvial.withColumn("before", before).select("return_period", F.explode(told).alias("problem"))
+    return pluvial.withColumn("before", before).select(*by, "return_period", F.explode(told).alias("problem"))
 
 
 def bracket(levels: DataFrame, values: DataFrame) -> DataFrame:
@@ -76,3 +76,14 @@ def redone_excess(stored: DataFrame) -> DataFrame:
     """Pluvial levels computed again from stored location and scale and the drain capacity in the note."""
     drain = F.regexp_extract("source_note", r"drain(?:age)?_?(?:capacity)?=(\d+(?:\.\d+)?)", 1).try_cast("double")
     return stored.withColumn("level_m", excess_rain(gev_quantile(F.coalesce("gev_shape", F.lit(0.0)), "gev_loc_mm", "gev_scale_mm", "return_period"), drain))
+
+
+def bias_by_period(levels: DataFrame, pooled: DataFrame) -> DataFrame:
+    """Levels (series_id, return_period, level) over the pooled level of their return period: ``ratio``, null where that is zero."""
+    return levels.join(F.broadcast(pooled), "return_period").withColumn("ratio", F.col("level") / F.when(F.col("pooled") != 0, F.col("pooled")))
+
+
+def event_bracket(peaks: DataFrame, params: DataFrame, periods: DataFrame) -> DataFrame:
+    """Event peaks (series_id, peak) to their return period by the series' law, and the stored periods around it."""
+    rp = peaks.join(params, "series_id").select("series_id", gev_return_period("xi", "mu", "sigma", "peak").alias("rp"))
+    return bracket(periods, rp)

@@ -28,9 +28,13 @@ def warming(spark: SparkSession, region: str = "GSAT") -> DataFrame:
 def coastal_baseline(gauge: DataFrame, offset: float, periods: DataFrame, floor: float = 0.05) -> DataFrame:
     """Still-water levels from hourly gauge levels: less their long mean, yearly maxima, fit without limits, plus the datum offset."""
     maxima = annual_maxima(anomalies(gauge), HALF_HOURS)
-    fitted = gev_fit(maxima, xi_max=None)
+    return coastal_levels(gev_fit(maxima, xi_max=None), offset, periods, floor)
+
+
+def coastal_levels(params: DataFrame, offset: float, periods: DataFrame, floor: float = 0.05) -> DataFrame:
+    """Still-water levels for each parameter row (xi, mu, sigma in metres) and return period, with the datum offset."""
     level = F.round(F.greatest(gev_quantile("xi", "mu", "sigma", "return_period") + offset, F.lit(floor)), 3)
-    return fitted.join(F.broadcast(periods)).select("series_id", F.lit("coastal").alias("hazard_type"), "return_period", level.alias("baseline_water_level_m"), F.col("xi").alias("gev_shape"), (F.col("mu") * 1000).alias("gev_loc_mm"), (F.col("sigma") * 1000).alias("gev_scale_mm"), datum_note(F.lit(offset)).alias("datum_note"))
+    return params.join(F.broadcast(periods)).select("series_id", F.lit("coastal").alias("hazard_type"), "return_period", level.alias("baseline_water_level_m"), F.col("xi").alias("gev_shape"), (F.col("mu") * 1000).alias("gev_loc_mm"), (F.col("sigma") * 1000).alias("gev_scale_mm"), datum_note(F.lit(offset)).alias("datum_note"))
 
 
 def rain_maxima(rain: DataFrame, hours: int) -> DataFrame:
@@ -53,9 +57,14 @@ def fluvial_from_rain(params: DataFrame, periods: DataFrame, basin: dict[str, fl
 def fluvial_from_discharge(daily: DataFrame, periods: DataFrame, channel: dict[str, float], bankfull_rp: int = 2, scale: float = 1.0, max_stage: float = 8.0, floor: float = 0.05) -> DataFrame:
     """Stages over bankfull from daily discharge: yearly maxima, fit, normal depth less that of the bankfull discharge."""
     fitted = gev_fit(annual_maxima(daily.withColumn("value", F.col("value") * scale), HALF_DAYS))
+    return fluvial_levels(fitted, periods, channel, bankfull_rp, max_stage, floor)
+
+
+def fluvial_levels(params: DataFrame, periods: DataFrame, channel: dict[str, float], bankfull_rp: int = 2, max_stage: float = 8.0, floor: float = 0.05) -> DataFrame:
+    """Stages over that of the bankfull return period for each parameter row (xi, mu, sigma in m3/s); discharge counts as 1 at least."""
     stage = lambda rp: manning_stage(F.greatest(gev_quantile("xi", "mu", "sigma", rp), F.lit(1.0)), channel["width"], channel["n"], channel["slope"])
     level = F.least(F.greatest(stage(F.col("return_period")) - stage(bankfull_rp), F.lit(floor)), F.lit(max_stage))
-    return fitted.join(F.broadcast(periods)).select("series_id", F.lit("fluvial").alias("hazard_type"), "return_period", level.alias("baseline_water_level_m"), "xi", "mu", "sigma")
+    return params.join(F.broadcast(periods)).select("series_id", F.lit("fluvial").alias("hazard_type"), "return_period", level.alias("baseline_water_level_m"), "xi", "mu", "sigma")
 
 
 def pluvial_levels(params: DataFrame, periods: DataFrame, drain_mm: float) -> DataFrame:
@@ -107,11 +116,32 @@ def sea_level_delta(samples: DataFrame, year: int, base: int, percentile: float,
     return pairs.groupBy(*by).agg(F.when(missing, F.raise_error(F.lit("projection lacks the year or its base")).cast("double")).otherwise(delta).alias("delta_m"))
 
 
-def interpolated_levels(base: DataFrame, reference: DataFrame, warming_degrees: float, reference_degrees: float, cap: float = 0.5) -> DataFrame:
-    """Pluvial levels between a baseline and a reference scenario, and whether they rise with the return period."""
-    joined = base.select("return_period", F.col("water_level_m").alias("b")).join(reference.select("return_period", F.col("water_level_m").alias("r")), "return_period")
-    level = joined.select("return_period", anchored_level("b", "r", warming_degrees, reference_degrees, cap).alias("water_level_m"))
-    before = F.lag("water_level_m").over(Window.orderBy("return_period"))
+def scenario_table(wanted: DataFrame, cache: DataFrame, samples: DataFrame, *, workflow: str, lat: float, lon: float, percentile: float, base: int) -> DataFrame:
+    """scenario, horizon, water_level_m, source_note for every wanted scenario and horizon: cached answers first, the rest from samples.
+
+    ``samples`` has scenario, sample, year, slc and units; a miss whose year or
+    base no sample has gets a null level.
+    """
+    from tidemark.sources.tables import cache_key, cached
+
+    key = cache_key(F.lit(workflow), F.col("scenario"), F.lit(lat), F.lit(lon), F.lit(percentile), F.lit(base), F.col("horizon"))
+    hits, misses = cached(wanted.withColumn("key", key), cache)
+    to_m = F.when(F.col("units") == "m", 1.0).when(F.col("units") == "mm", 0.001)
+    metres = samples.select("scenario", "sample", "year", (F.col("slc") * to_m).alias("slc"))
+    now = metres.where(F.col("year") == base).select("scenario", "sample", F.col("slc").alias("now"))
+    then = metres.withColumnRenamed("year", "horizon").join(now, ["scenario", "sample"])
+    deltas = then.groupBy("scenario", "horizon").agg(F.percentile(F.col("slc") - F.col("now"), F.lit(percentile / 100)).alias("water_level_m"))
+    told = misses.join(deltas, ["scenario", "horizon"], "left").withColumn("source_note", F.lit("samples"))
+    columns = ["scenario", "horizon", "water_level_m", "source_note"]
+    return hits.select(*columns).union(told.select(*columns))
+
+
+def interpolated_levels(base: DataFrame, reference: DataFrame, warming_degrees: float, reference_degrees: float, cap: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pluvial levels between a baseline and a reference scenario, and whether they rise with the return period in each group ``by``."""
+    keys = [*by, "return_period"]
+    joined = base.select(*keys, F.col("water_level_m").alias("b")).join(reference.select(*keys, F.col("water_level_m").alias("r")), keys)
+    level = joined.select(*keys, anchored_level("b", "r", warming_degrees, reference_degrees, cap).alias("water_level_m"))
+    before = F.lag("water_level_m").over(Window.partitionBy(*by).orderBy("return_period"))
     return level.withColumn("rises", F.coalesce(F.col("water_level_m") >= before, F.lit(True)))
 
 
@@ -126,11 +156,12 @@ def patched_datum(baseline: DataFrame, offset: float, tag: str) -> DataFrame:
     The offset already applied is read from the first coastal row's note.
     """
     prior = baseline.where("hazard_type = 'coastal'").agg(F.min_by(F.coalesce(noted_offset(F.col("datum_note")), F.lit(0.0)), "return_period").alias("prior"))
-    todo = (F.col("hazard_type") == "coastal") & ~F.coalesce(F.col("source_note").contains(tag), F.lit(False))
-    out = baseline.join(F.broadcast(prior))
+    due = (F.col("hazard_type") == "coastal") & ~F.coalesce(F.col("source_note").contains(tag), F.lit(False))
+    todo = F.col("_todo")
+    out = baseline.join(F.broadcast(prior)).withColumn("_todo", due)
     level = F.when(todo, F.round(F.col("baseline_water_level_m") + F.lit(offset) - F.col("prior"), 4)).otherwise(F.col("baseline_water_level_m"))
     note = F.when(todo, F.concat_ws("; ", "source_note", F.lit(tag))).otherwise(F.col("source_note"))
-    return out.withColumn("baseline_water_level_m", level).withColumn("source_note", note).withColumn("datum_note", F.when(todo, datum_note(F.lit(offset))).otherwise(F.col("datum_note"))).drop("prior")
+    return out.withColumn("baseline_water_level_m", level).withColumn("source_note", note).withColumn("datum_note", F.when(todo, datum_note(F.lit(offset))).otherwise(F.col("datum_note"))).drop("prior", "_todo")
 
 
 def grid_value(field: DataFrame, points: DataFrame, step: float, value: str = "mdt", reach: float = 1.0) -> DataFrame:

@@ -68,3 +68,19 @@ def single_scenario(cells: DataFrame, level: float, on_border: Column, connectiv
     wet = cells.withColumn("depth", bathtub("z", level))
     found = flood_fill(wet, F.col("depth") > 0, connectivity, on_border=on_border)
     return marked(wet, found, "_in").withColumn("depth", F.when(F.col("depth").isNotNull(), F.when(F.col("_in"), F.col("depth")).otherwise(0.0))).drop("_in")
+
+
+def riverine_run(cells: DataFrame, source: Column, overbank_m: float, lowest: float = -3.0, **options) -> DataFrame:
+    """Keys and peak depth of water that leaves channels standing ``overbank_m`` over their beds, by the inertial solver.
+
+    Ground under ``lowest`` counts as that; channel cells themselves are dry,
+    cells without ground null.
+    """
+    from tidemark.operators.solver import inertial
+
+    k = keys(cells)
+    ground = cells.select(*k, F.when(F.col("z").isNotNull(), F.greatest("z", F.lit(lowest))).alias("z"), F.coalesce(source & F.col("z").isNotNull(), F.lit(False)).alias("boundary"))
+    run = ground.withColumns({"scenario": F.lit("river"), "return_period": F.lit(0), "level": F.when(F.col("boundary"), F.col("z") + overbank_m).otherwise(0.0), "floor": F.lit(0.0), "start": F.lit(0.0)})
+    peak = inertial(run, **options).select(*[c for c in k if c != "grid"], "depth")
+    out = ground.join(peak, [c for c in k if c != "grid"], "left")
+    return out.select(*k, F.when(F.col("z").isNotNull(), F.when(F.col("boundary"), 0.0).otherwise(F.coalesce("depth", F.lit(0.0)))).alias("depth"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.depth import decoded
 from tidemark.functions.hydrology import RETURN_PERIODS
+from tidemark.operators.grid import from_tiles, to_tiles
 
 HAZARDS = ("coastal", "fluvial", "pluvial")
 #: Stored no-data values of depth and elevation, severity and masks.
@@ -66,7 +67,7 @@ def write_summary(df: DataFrame, path: str) -> None:
 def read_levels(spark: SparkSession, path: str) -> DataFrame:
     """Hazard levels; all three hazards must be there."""
     df = read_csv(spark, path, LEVELS, "hazard_type", "return_period", "scenario", "horizon", "water_level_m")
-    absent = set(HAZARDS).difference(r.hazard_type for r in df.select("hazard_type").distinct().limit(10).collect())
+    absent = set(HAZARDS).difference(r.hazard_type for r in df.where(F.col("hazard_type").isin(*HAZARDS)).select("hazard_type").distinct().collect())
     if absent:
         raise ValueError(f"no levels for {', '.join(sorted(absent))}")
     return df
@@ -179,3 +180,39 @@ def ring_of(wkt: Column) -> Column:
     """Outer ring of a WKT polygon as structs (x, y)."""
     pairs = F.split(F.regexp_extract(wkt, r"\(\(([^)]*)\)", 1), r"\s*,\s*")
     return F.transform(pairs, lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].try_cast("double").alias("y")))
+
+
+def decode_window(cells: DataFrame, value: str, nodata: float) -> DataFrame:
+    """A window's cells with NaN and the no-data value null."""
+    return cells.withColumn(value, decoded(value, nodata))
+
+
+def write_tiles(cells: DataFrame, path: str, value: str = "z", size: int = 256) -> None:
+    """A raster as one row per square tile of ``size`` cells, its values row by row."""
+    to_tiles(cells, value, size).write.mode("overwrite").parquet(path)
+
+
+def read_tiles(spark: SparkSession, path: str, value: str = "z", size: int = 256, nodata: float | None = None) -> DataFrame:
+    """The known cells of a tiled raster; NaN and the no-data value are left out."""
+    cells = from_tiles(spark.read.parquet(path), value, size)
+    return cells.withColumn(value, decoded(value, *([] if nodata is None else [nodata]))).where(F.col(value).isNotNull())
+
+
+def packed_csv(spark: SparkSession, path: str, schema: str, *keep: Column) -> DataFrame:
+    """Rows of (compressed) CSV files that pass all of ``keep``; the filters reach the scan, file by file."""
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    for condition in keep:
+        rows = rows.where(condition)
+    return rows
+
+
+def first_match(spark: SparkSession, pattern: str, *names: str) -> DataFrame:
+    """One row: the path of the first of ``names`` (with wildcards) that exists under a folder, the smallest of several; none if there is none."""
+    found = []
+    for n, name in enumerate(names):
+        files = spark.read.format("binaryFile").option("pathGlobFilter", name).option("recursiveFileLookup", True).load(pattern).select("path")
+        found.append(files.select(F.lit(n).alias("n"), "path"))
+    all_ = found[0]
+    for f in found[1:]:
+        all_ = all_.union(f)
+    return all_.agg(F.min(F.struct("n", "path")).alias("m")).where("m is not null").select("m.path")
