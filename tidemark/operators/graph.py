@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.operators.components import connected_components
 from tidemark.operators.grid import cell_id, keys, offsets, reached, with_id
@@ -214,22 +215,48 @@ def hand(cells: DataFrame, directions: DataFrame, drainage: Column, z: str = "z"
 
 
 def outlet_distance(cells: DataFrame, outlet: Column, cell_m: float = 1.0) -> DataFrame:
-    """Keys and ``distance`` in metres to the nearest outlet cell, exactly.
+    """Keys and ``distance`` in metres to the nearest outlet cell, exactly; null without one.
 
-    First along each row by two window passes; then each cell takes the
-    minimum over the rows of its own column, whose candidates are the row
-    distances: a join of columns, never of all pairs of cells.
+    First down each column by two window passes; then, row by row, the lower
+    envelope of the parabolas over the column distances.  Work grows with the
+    cells, and a task holds one row of the grid.
     """
-    from pyspark.sql.window import Window
-
     k = keys(cells)
     extra = [c for c in k if c == "grid"]
-    at = cells.select(*k, F.when(F.coalesce(outlet, F.lit(False)), F.col("col")).alias("o"))
-    along = Window.partitionBy(*extra, "row").orderBy("col")
-    left = F.last("o", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    right = F.first("o", ignorenulls=True).over(along.rowsBetween(0, Window.unboundedFollowing))
-    flat = at.select(*k, F.least(F.col("col") - left, right - F.col("col")).alias("across"))
-    down = flat.where("across is not null").select(*extra, "col", F.col("row").alias("_r"), F.col("across").alias("_a"))
-    met = flat.select(*k).join(down, [*extra, "col"])
-    squared = (F.col("row") - F.col("_r")) * (F.col("row") - F.col("_r")) + F.col("_a") * F.col("_a")
-    return met.groupBy(*k).agg((F.sqrt(F.min(squared)) * F.lit(cell_m)).alias("distance"))
+    at = cells.select(*k, F.when(F.coalesce(outlet, F.lit(False)), F.col("row")).alias("o"))
+    down = Window.partitionBy(*extra, "col").orderBy("row")
+    above = F.last("o", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.first("o", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
+    flat = at.select(*k, F.least(F.col("row") - above, below - F.col("row")).cast("long").alias("_down"))
+
+    def across(group: pa.Table) -> pa.Table:
+        column, near = group["col"].to_numpy(), group["_down"].to_numpy()
+        squared = lower_envelope(column, near)
+        distance = pa.array(np.sqrt(squared) * cell_m, from_pandas=True)
+        return group.drop_columns(["_down"]).append_column("distance", distance)
+
+    kinds = dict(flat.dtypes)
+    return flat.groupBy(*extra, "row").applyInArrow(across, ", ".join(f"{c} {kinds[c]}" for c in k) + ", distance double")
+
+
+def lower_envelope(column: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """For each column the smallest (column - c)**2 + near(c)**2 over all columns c with a known ``near``; NaN without any."""
+    known = np.flatnonzero(~np.isnan(near.astype(float)))
+    if not len(known):
+        return np.full(len(column), np.nan)
+    known = known[np.argsort(column[known], kind="stable")]
+    c, f = column[known].astype(float), near[known].astype(float) ** 2
+    hull, starts = [0], [-np.inf]
+    for i in range(1, len(c)):
+        while True:
+            j = hull[-1]
+            meet = (f[i] + c[i] ** 2 - f[j] - c[j] ** 2) / (2 * (c[i] - c[j]))
+            if meet > starts[-1]:
+                break
+            # never the first, whose start is minus infinity
+            hull.pop()
+            starts.pop()
+        hull.append(i)
+        starts.append(meet)
+    best = np.array(hull)[np.searchsorted(np.array(starts), column.astype(float), side="right") - 1]
+    return (column - c[best]) ** 2 + f[best]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.storage import cut
+
 #: Bootstrap settings.
 N_BOOT, SEED, LEVEL = 10_000, 12345, 0.95
 
@@ -56,14 +58,30 @@ def roc_auc(scored: DataFrame, *by: str, score: str = "score", positive: Column
     return won.groupBy(*by).agg(F.when((p > 0) & (n > 0), F.sum(F.col("p") * (F.col("under") + F.col("n") / 2)) / F.when((p > 0) & (n > 0), p * n)).otherwise(0.5).alias("auc"))
 
 
+def running_totals(rows: DataFrame, order: str, *values: str) -> DataFrame:
+    """``rows`` with the sum of each value over all rows of at least this ``order`` (``upto_``...), ties not allowed.
+
+    Rows are dealt into ranges of ``order``; sums run within a range and the
+    few totals of the ranges before it are added.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(n, F.desc(order)).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    # one row per range
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *[F.coalesce(F.sum(f"_{v}").over(earlier), F.lit(0)).alias(f"_{v}") for v in values])
+    inside = Window.partitionBy("_range").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(before), "_range").select(*rows.columns, *[(F.col(f"_{v}") + F.sum(v).over(inside)).alias(f"upto_{v}") for v in values])
+
+
 def roc_curve(scored: DataFrame, score: str = "score", positive: Column | None = None) -> DataFrame:
     """tpr, fpr and precision at each distinct score as threshold (score at least it)."""
     pos = F.col("cls") == "flood" if positive is None else positive
-    per = scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
-    upto, every = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tp, fp = F.sum("p").over(upto), F.sum("n").over(upto)
+    per = cut(scored.groupBy(F.col(score).alias("threshold")).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n")))
+    every = per.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    tp, fp = F.col("upto_p"), F.col("upto_n")
     part = lambda a, b: F.when(b > 0, a / F.when(b > 0, b)).otherwise(0.0)
-    return per.select("threshold", part(tp, F.sum("p").over(every)).alias("tpr"), part(fp, F.sum("n").over(every)).alias("fpr"), part(tp, tp + fp).alias("precision"))
+    return running_totals(per, "threshold", "p", "n").select("threshold", part(tp, F.lit(every.p or 0)).alias("tpr"), part(fp, F.lit(every.n or 0)).alias("fpr"), part(tp, tp + fp).alias("precision"))
 
 
 def contingency(cells: DataFrame, *by: str, modelled: str = "modelled", observed: str = "observed", cell_area_m2: float = 900.0) -> DataFrame:
@@ -144,13 +162,47 @@ def band_check(points: DataFrame, cells: DataFrame, half: int = 12, depth: str =
 def nearest(points: DataFrame, stations: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Each point with the nearest station by plain coordinate distance, ties to the smaller station_id.
 
-    Stations are a short registry (refused above 100,000); they are broadcast.
+    Points meet the stations of their own and the eight adjoining squares; a
+    station within a square's width is nearest for certain, and points without
+    one go on with squares of twice the width.  Stations at one place count
+    once.  Points without coordinates, and all points where there is no
+    station, get nulls.
     """
-    if stations.limit(100_001).count() > 100_000:
-        raise ValueError("too many stations to broadcast")
-    s = F.broadcast(stations.select("station_id", F.col(x).alias("_x"), F.col(y).alias("_y")))
-    d2 = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y"))
-    return points.join(s).groupBy(*points.columns).agg(F.min(F.struct(d2.alias("d2"), "station_id")).alias("m")).select(*points.columns, "m.station_id", F.sqrt("m.d2").alias("distance"))
+    own = stations.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.min("station_id").alias("station_id"))
+    own = cut(own)
+    box = own.agg(F.count("*").alias("n"), F.min("_x").alias("x1"), F.max("_x").alias("x2"), F.min("_y").alias("y1"), F.max("_y").alias("y2")).first()
+    at = points.columns
+    kind = dict(own.dtypes)["station_id"]
+    placed = F.col(x).isNotNull() & F.col(y).isNotNull()
+    none = lambda df: df.select(*at, F.lit(None).cast(kind).alias("station_id"), F.lit(None).cast("double").alias("distance"))
+    if not box.n:
+        return none(points)
+    asked = cut(points.where(placed))
+    spread = asked.agg(F.min(x).alias("x1"), F.max(x).alias("x2"), F.min(y).alias("y1"), F.max(y).alias("y2")).first()
+    if spread.x1 is None:
+        return none(points)
+    extent = float(max(max(box.x2, spread.x2) - min(box.x1, spread.x1), max(box.y2, spread.y2) - min(box.y1, spread.y1)))
+    size = max(float(max(box.x2 - box.x1, box.y2 - box.y1)) / box.n**0.5, extent * 1e-6, 1e-9)
+    done, steps = none(points.where(~placed)), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    while True:
+        square = lambda c: F.floor(F.col(c) / F.lit(size))
+        near = asked.distinct().withColumn("_i", square(x)).withColumn("_j", square(y)).withColumn("_di", steps).withColumn("_dj", steps)
+        near = near.withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
+        met = near.join(own.withColumn("_i", square("_x")).withColumn("_j", square("_y")), ["_i", "_j"], "left")
+        d2 = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y"))
+        best = met.groupBy(*at).agg(F.min(F.when(F.col("_x").isNotNull(), F.struct(d2.alias("d2"), "station_id"))).alias("m"))
+        best = cut(best.select(*at, "m.station_id", F.sqrt("m.d2").alias("distance")))
+        last = size >= extent
+        done = done.union(best if last else best.where(F.col("distance") <= size))
+        if last:
+            break
+        asked = cut(best.where(F.col("distance").isNull() | (F.col("distance") > size)).select(*at))
+        if asked.isEmpty():
+            break
+        size *= 2
+    told = done.distinct().select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], "station_id", "distance")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)]
+    return points.join(told, same, "left").select(*at, "station_id", "distance")
 
 
 def dry_controls(candidates: DataFrame, floods: DataFrame, hand_low: float = 6.5, hand_high: float = 20.0, apart_m: float = 1000.0, between_m: float = 2500.0, stride: int = 3, n: int = 12) -> list[dict]:

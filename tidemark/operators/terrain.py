@@ -52,7 +52,7 @@ def filled_surface(cells: DataFrame, z: str = "z", max_rounds: int = 500) -> Dat
     return cells.select(*k, F.col(z).alias("z")).join(full, k, "left")
 
 
-def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 4096, surface: DataFrame | None = None) -> DataFrame:
+def conditioned_directions(cells: DataFrame, z: str = "z", surface: DataFrame | None = None) -> DataFrame:
     """Keys and ``d8`` on the filled surface; flats drain towards their nearest outlet, -1 only at the outside.
 
     Cells of a flat without a lower neighbour take, ring after ring, the lowest
@@ -64,7 +64,7 @@ def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 409
     surface = cut(full.where("filled is not null").select(*k, "filled"))
     edge = marked(surface, _on_edge(surface, "filled"), "edge")
     flow = cut_round(edge.join(d8(surface, "filled"), k).withColumn("drains", (F.col("d8") >= 0) | F.col("edge")))
-    for _ in range(max_rounds):
+    while True:
         waiting = flow.where("not drains").select(*k, F.col("filled").alias("mine"))
         if waiting.isEmpty():
             return flow.select(*k, "d8")
@@ -74,7 +74,6 @@ def conditioned_directions(cells: DataFrame, z: str = "z", max_rounds: int = 409
         flow = cut_round(n.select(*k, "filled", "edge", F.coalesce("way", "d8").alias("d8"), (F.col("drains") | F.col("way").isNotNull()).alias("drains")))
         if found.isEmpty():
             return flow.select(*k, "d8")
-    raise RuntimeError("flats did not resolve")
 
 
 def drainage_mask(directions: DataFrame, threshold: int = 500) -> DataFrame:

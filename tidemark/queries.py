@@ -560,10 +560,10 @@ def contingency_csi(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.contingency(masks).select("tp", "fp", "fn", *[r6(c).alias(c) for c in ("csi", "hit_rate", "far", "bias")])
 
 
-@query(f"WITH {SQL_POINTS}, st AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 40 AS x, (s_suppkey * 3) % 5 AS y FROM supplier WHERE s_suppkey % 4 = 0) SELECT label, id AS station_id, round(sqrt(d2), 6) AS distance FROM (SELECT p.label, st.id, (p.c - x) ** 2 + (p.r - y) ** 2 AS d2, row_number() OVER (PARTITION BY p.label ORDER BY (p.c - x) ** 2 + (p.r - y) ** 2, st.id) AS n FROM points p, st) WHERE n = 1")
+@query(f"WITH {SQL_POINTS}, st AS (SELECT s_suppkey AS id, (s_suppkey * 7) % 40 AS x, (s_suppkey * 3) % 5 AS y FROM supplier) SELECT label, id AS station_id, round(sqrt(d2), 6) AS distance FROM (SELECT p.label, st.id, (p.c - x) ** 2 + (p.r - y) ** 2 AS d2, row_number() OVER (PARTITION BY p.label ORDER BY (p.c - x) ** 2 + (p.r - y) ** 2, st.id) AS n FROM points p, st) WHERE n = 1")
 def nearest_station(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
-    st = views.table(spark, sf, "supplier").where(k % 4 == 0).select(k.alias("station_id"), (k * 7 % 40).alias("x"), (k * 3 % 5).alias("y"))
+    st = views.table(spark, sf, "supplier").select(k.alias("station_id"), (k * 7 % 40).alias("x"), (k * 3 % 5).alias("y"))
     p = views.points(spark, sf).select("label", F.col("col").alias("x"), F.col("row").alias("y"))
     return scoring.nearest(p, st, "x", "y").select("label", "station_id", r6("distance").alias("distance"))
 
@@ -609,21 +609,21 @@ def rp_bracket(spark: SparkSession, sf: str) -> DataFrame:
 # solvers and the whole run
 
 
-def _basin(spark: SparkSession) -> DataFrame:
-    """A small bowl with an outlet row, once for each of three return periods."""
-    bowl = grid.filled_grid(spark, 20, 20).withColumn("z", F.abs(F.col("row") - 10) * 0.05 + F.abs(F.col("col") - 10) * 0.05)
-    return bowl.join(F.broadcast(spark.createDataFrame([(2, 0.02), (10, 0.05), (100, 0.1)], "return_period int, net_rain double")))
+def _runs(spark: SparkSession, sf: str, hazard_type: str) -> DataFrame:
+    """The grid once for each return period of a hazard."""
+    own = views.levels(spark).where(F.col("hazard_type") == hazard_type).select("return_period", "water_level_m")
+    return views.cells(spark, sf).select("row", "col", "z", "channel").join(F.broadcast(own))
 
 
 @query()
 def rain_on_grid(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _basin(spark).withColumn("outlet", F.col("row") == 19).withColumn("n", F.lit(0.05))
+    runs = _runs(spark, sf, "pluvial").withColumn("outlet", F.col("channel")).withColumn("n", F.lit(0.05)).withColumnRenamed("water_level_m", "net_rain")
     return solver.rain_on_grid(runs, storm_s=300.0, total_s=600.0, dt_max=10.0).select("return_period", *place(), F.round("depth", 5).alias("depth"))
 
 
 @query()
 def inertial(spark: SparkSession, sf: str) -> DataFrame:
-    runs = _basin(spark).withColumn("scenario", F.lit("present")).withColumn("boundary", F.col("row") == 0).withColumn("level", F.col("return_period") / 100.0 + 0.6).withColumn("floor", F.lit(0.0)).withColumn("start", F.lit(0.0))
+    runs = _runs(spark, sf, "coastal").withColumns({"scenario": F.lit("present"), "boundary": F.col("row") == 0, "level": F.col("water_level_m") + 0.6, "floor": F.lit(0.0), "start": F.lit(0.0)})
     return solver.inertial(runs, total_s=600.0, dt_max=10.0).select("return_period", *place(), F.round("depth", 5).alias("depth"))
 
 
