@@ -27,7 +27,7 @@ def _on_edge(cells: DataFrame, z: str) -> DataFrame:
     return known.join(around, k, "left").where(F.coalesce("n", F.lit(0)) < 8).select(*k)
 
 
-def filled_surface(cells: DataFrame, z: str = "z", max_rounds: int = 500) -> DataFrame:
+def filled_surface(cells: DataFrame, z: str = "z") -> DataFrame:
     """Keys, z and ``filled`` of every cell; no-data cells stay null and let water out."""
     k = keys(cells)
     known = with_id(cells.where(F.col(z).isNotNull()).select(*k, F.col(z).alias("z")))
@@ -37,21 +37,36 @@ def filled_surface(cells: DataFrame, z: str = "z", max_rounds: int = 500) -> Dat
     inner = sent.join(at, k).where("basin <> other").select("basin", "other", F.greatest("z", "zo").alias("height"))
     out = at.join(_on_edge(cells, z), k, "left_semi").select("basin", F.lit(OUTSIDE).cast("long").alias("other"), F.col("z").alias("height"))
     passes = cut(inner.union(out).groupBy("basin", "other").agg(F.min("height").alias("height")))
-    level = cut(passes.groupBy("basin").agg(F.min(F.when(F.col("other") == OUTSIDE, F.col("height"))).alias("level")))
-    for _ in range(max_rounds):
-        there = level.select(F.col("basin").alias("other"), F.col("level").alias("beyond"))
-        offered = passes.join(there, "other").groupBy("basin").agg(F.min(F.greatest("height", F.when(F.col("beyond").isNotNull(), F.col("beyond")).otherwise(F.lit(float("inf"))))).alias("offer"))
-        better = cut_round(level.join(offered, "basin", "left").select("basin", F.least("level", F.when(F.col("offer") < float("inf"), F.col("offer"))).alias("level"), F.col("level").alias("was")))
-        changed = better.where("not (level <=> was)").isEmpty()
-        level = better.select("basin", "level")
-        if changed:
-            break
-    else:
-        raise RuntimeError("spill heights did not settle")
-    full = at.join(level, "basin").select(*k, F.greatest("z", "level").alias("filled"))
+    full = at.join(spill_levels(passes), "basin", "left").select(*k, F.greatest("z", "level").alias("filled"))
     return cells.select(*k, F.col(z).alias("z")).join(full, k, "left")
 
 
+def spill_levels(passes: DataFrame) -> DataFrame:
+    """(basin, level): the lowest water level at which each basin reaches the outside, from passes (basin, other, height) in both directions.
+
+    As in Boruvka's spanning trees: every group of basins takes its lowest
+    pass, groups that these join become one, and half of them at most are left.
+    Seen from the group's root no way within it stands higher than a pass out
+    of it, so a basin's level is the highest pass that its groups have taken.
+    """
+    edges = cut(passes.select(F.col("basin").alias("a"), F.col("other").alias("b"), "height"))
+    held = cut(passes.select("basin", F.col("basin").alias("root"), F.lit(None).cast("double").alias("level")).distinct())
+    while not edges.isEmpty():
+        first = F.min(F.struct("height", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")))
+        taken = cut(edges.groupBy("a").agg(first.alias("m")).select("a", (F.col("m.lo") + F.col("m.hi") - F.col("a")).alias("next"), F.col("m.height").alias("height")))
+        # of two groups that take the same pass the smaller is the root
+        back = taken.select(F.col("a").alias("next"), F.col("next").alias("back"))
+        turned = taken.join(back, "next", "left").withColumn("root", (F.col("back") == F.col("a")) & (F.col("a") < F.col("next")))
+        steps = cut(turned.select("a", F.when(F.col("root"), F.col("a")).otherwise(F.col("next")).alias("next"), F.when(~F.coalesce("root", F.lit(False)), F.col("height")).alias("height")))
+        outside = steps.sparkSession.range(1).select(F.lit(OUTSIDE).cast("long").alias("cell"), F.lit(OUTSIDE).cast("long").alias("next"))
+        roots = cut(terminals(steps.select(F.col("a").alias("cell"), "next").union(outside)).select(F.col("cell").alias("g"), F.col("terminal").alias("to")))
+        risen = steps.select(F.col("a").alias("root"), "height").join(roots.withColumnRenamed("g", "root"), "root")
+        held = cut_round(held.join(risen, "root", "left").select("basin", F.coalesce("to", "root").alias("root"), F.greatest("level", "height").alias("level")))
+        moved = edges.join(roots.select(F.col("g").alias("a"), F.col("to").alias("x")), "a").join(roots.select(F.col("g").alias("b"), F.col("to").alias("y")), "b")
+        edges = cut_round(moved.where(F.col("x") != F.col("y")).where(F.col("x") != OUTSIDE).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.min("height").alias("height")))
+    return held.select("basin", F.when(F.col("root") == OUTSIDE, F.col("level")).alias("level"))
+
+
 def conditioned_directions(cells: DataFrame, z: str = "z", surface: DataFrame | None = None) -> DataFrame:
     """Keys and ``d8`` on the filled surface; flats drain towards their nearest outlet, -1 only at the outside.
 
