@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 each result as Parquet in the shared folder and reads it back for the next.
 All but the last return the columns of ``documents``.
+
+In every stage null texts count as empty ones, long texts are read whole, an
+empty table stays empty, and columns of any other name are kept as they are.
+Rows without a doc_id are documents like others; of rows alike in doc_id and
+text the near-duplicate stage keeps one.
 """
 
 from __future__ import annotations

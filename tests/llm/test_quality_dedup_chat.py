@@ -195,3 +195,25 @@ def test_chat_digests_equal_sql_and_survive_odd_templates(spark, tmp_path):
 
     got = {r.conv_id: r for r in H.chat_digests(H.format_conversations(df.where("conv_id is not null"), twice)).collect()}
     assert got[1].loss_chars is None and got[1].loss_sha256 is None and got[1].n_turns == 3
+
+
+def test_weights_solve_the_ridge_problem_directly(spark):
+    """The partition-summed fit against one dense solve over all training rows, and its features against the kernel."""
+    df, labels, truth = labelled(spark)
+    model = Q.fit(df, labels)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    train = [(texts[i], q) for i, q, _ in truth if zlib.crc32(str(i).encode()) % 5]
+    s, y = np.array([Q.statistics(t) for t, _ in train]), np.array([float(q) for _, q in train])
+    mean, scale = s.mean(axis=0), s.std(axis=0)
+    scale[scale < 1e-9] = 1.0
+    assert model.mean == pytest.approx(mean) and model.scale == pytest.approx(scale, rel=1e-6)
+    z = Q.mapped(s, model.mean, model.scale)
+    n, k = len(y), z.shape[1]
+    a = np.vstack([z, np.sqrt(Q.RIDGE * n / Q.FEATURES) * np.eye(k)[:-1], np.sqrt(1e-9 * n) * np.eye(k)])
+    direct = np.linalg.lstsq(a, np.concatenate([y, np.zeros(2 * k - 1)]), rcond=None)[0]
+    assert z @ model.weights == pytest.approx(z @ direct, abs=1e-5)
+    # cosines of random frequencies approximate the Gaussian kernel of their distribution
+    x = np.clip((s[:60] - mean) / scale, -4, 4)
+    gaps = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    kernel = np.exp(-gaps / (2 * Q.WIDTH**2 * x.shape[1]))
+    assert np.abs(z[:60, :-1] @ z[:60, :-1].T - kernel).mean() < 0.06

@@ -10,7 +10,7 @@ from tidemark.llm import token_store as S
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
-ODD = ["a  b\n\n c", "  x", " ", "", "<|endoftext|> hi", "don't  'sfoo ''s", "x²½ ٣", "é \x1c!", "  \n\n\tfoo\r\n", "İ ŉ", "ΑΣ Σ", "é ́x", "a b", "…?!..", "l'été c'est"]
+ODD = ["a  b\n\n c", "  x", " ", "", "<|endoftext|> hi", "don't  'sfoo ''s", "x²½ ٣", "é \x1c!", "  \n\n\tfoo\r\n", "İ ŉ", "ΑΣ Σ", "é ́x", "a b", "…?!..", "l'été c'est", "curly ’quote’ and — dash, plain words", "中文 text　wide", "a\x85b\u2028c", "x <|endoftext|> y<|endoftext|>", "tail ’ ", "’\n\n ’"]
 
 
 def library(path):

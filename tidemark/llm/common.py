@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.storage import cut, scratch, shared_dir, stored
 
-__all__ = ["ascii_lower", "cut", "documents", "portions", "scratch", "shared_dir", "stored", "table"]
+__all__ = ["ascii_lower", "claim", "cut", "documents", "portions", "scratch", "shared_dir", "stored", "table"]
 
 #: The only characters that the text contracts lower-case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -49,3 +50,19 @@ def portions(*columns: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterat
                 first, total = i + 1, 0
         if first < len(lists[-1]):
             yield tuple(x[first:] for x in lists)
+
+
+#: What the operators that have run in this process hold between tasks, and how to let go of it.
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called where a task begins: what other operators have remembered in this Python process is let go."""
+    others = [name for name in _HELD if name != owner]
+    for name in others:
+        _HELD.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if release is not None:
+        _HELD[owner] = release

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, portions
+from tidemark.llm.common import claim, cut, documents, portions
 
 #: Labelled rows that the fit reads at most.
 MAX_ROWS = 20_000
@@ -195,6 +195,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("quality")
         for texts in batches:
             stats = [statistics(t or "") for (part,) in portions(texts) for t in part]
             yield pa.array(model.scores(np.array(stats, np.float64)) if stats else [], pa.float64())
@@ -205,13 +206,25 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``."""
+    """doc_id, held_out, score, predicted for every row of ``docs``.
+
+    Null texts are scored as empty ones, long ones whole.  Rows that repeat a
+    doc_id are scored each by its own text, and each of them teaches if the id
+    is labelled; rows without a doc_id are scored, not learned from, and not
+    held out.  An empty table gives an empty one; without labels every score is
+    near one half.  Other columns, whatever their names, play no part.
+    """
     model = fit(docs, labels, max_rows)
     return scored(documents(docs), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, columns as they were, that the classifier does not reject."""
+    """The rows of ``docs``, columns as they were, that the classifier does not reject.
+
+    Null and empty texts are judged as empty, repeated rows each, rows without
+    a doc_id like others; an empty table stays empty and clashing names are
+    kept apart.
+    """
     model = fit(docs, labels, max_rows)
     held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return scored(docs.select(held, F.col("text")), model).where(F.col("score") >= threshold).select("row.*")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, documents, portions, stored
+from tidemark.llm.common import claim, cut, documents, portions, stored
 from tidemark.operators.components import connected_components
 
 #: Bits per pivot mask, and parts that must agree.
@@ -85,6 +85,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     without words has fingerprint 0.  Null texts count as empty.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fps = np.zeros(batch.num_rows, np.uint64)
             for row, text in enumerate(t for (part,) in portions(batch["text"]) for t in part):
@@ -111,6 +112,7 @@ def pivot_table(rows: DataFrame) -> DataFrame:
     """``rows`` (bucket, fp, members) with ``d``, the distances of the fingerprint to all pivots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             d = pivot_distances(batch["fp"].to_numpy().view(np.uint64))
             ends = pa.array(np.arange(len(d) + 1, dtype=np.int32) * d.shape[1])
@@ -126,6 +128,7 @@ def _buckets(fps: DataFrame, bits: int) -> DataFrame:
     choices = [sorted(i for part in chosen for i in part) for chosen in combinations(parts, PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             fp = batch["fp"].to_numpy()
             d = pivot_distances(fp.view(np.uint64)).astype(np.int64)
@@ -194,6 +197,7 @@ def _set_table(rows: DataFrame, words: int, common: np.ndarray, whole: bool) ->
     p, q = SIMILAR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             for ids, versions, texts in portions(batch["doc_id"], batch["version"], batch["text"]):
                 nodes, fps, sizes, marks, held = [], [], [], [], []

@@ -16,9 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, portions
+from tidemark.llm.common import claim, documents, portions
 from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, REMEMBERED, Memory
 
+#: White space to Python, but not to the library.
+NOT_SPACE = re.compile(r"[\x1c-\x1f]")
+
 #: The pre-tokens of byte-level BPE: contractions; letters, numbers or other signs after at most one space; spaces.
 PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 #: Stretches that no pre-token crosses: a word with the white space before it, or trailing white space.
@@ -44,7 +47,11 @@ def whole_tokens(library) -> frozenset[str]:
 
 
 class Counter:
-    """Counts tokens of whole texts; texts outside the plain range go to the library whole."""
+    """Counts tokens of whole texts.
+
+    Stretches outside the plain range go to the library by themselves; only
+    texts that hold separators which the library takes for signs go whole.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -56,16 +63,17 @@ class Counter:
         self.stretches, self.merged = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def counts(self, texts: list[str]) -> list[int]:
-        split = [None if NOT_PLAIN.search(t) else STRETCH.findall(t) for t in texts]
+        split = [None if NOT_SPACE.search(t) else STRETCH.findall(t) for t in texts]
         new = self.stretches.unknown(set().union(*(s for s in split if s)))
-        parts = [PRE_TOKEN.findall(s) for s in new]
+        odd = {s for s in new if NOT_PLAIN.search(s)}
+        parts = [(s,) if s in odd else PRE_TOKEN.findall(s) for s in new]
         alone = self.alone
-        rest = self.merged.unknown({p for ps in parts for p in ps if p not in alone})
+        rest = self.merged.unknown({p for s, ps in zip(new, parts) for p in ps if s in odd or p not in alone})
         merged, known = self.merged.recent, self.stretches.recent
         for i in range(0, len(rest), 4096):
             part = rest[i : i + 4096]
             merged.update(zip(part, (len(made.ids) for made in self.library.encode_batch_fast(part, add_special_tokens=False))))
-        known.update((s, sum(1 if p in alone else merged[p] for p in ps)) for s, ps in zip(new, parts))
+        known.update((s, merged[s] if s in odd else sum(1 if p in alone else merged[p] for p in ps)) for s, ps in zip(new, parts))
         return [len(self.library.encode(t, add_special_tokens=False).ids) if s is None else sum(map(known.__getitem__, s)) for t, s in zip(texts, split)]
 
 
@@ -76,9 +84,16 @@ def counter(path: str) -> Counter:
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit for every row, in one pass; null texts count as empty."""
+    """doc_id, n_bytes, n_tokens, over_limit for every row, in one pass.
+
+    Null and empty texts have no bytes and no tokens; long ones are counted
+    whole.  Rows that repeat, or have no doc_id, are counted each; an empty
+    table gives an empty one, and other columns, whatever their names, play no
+    part.
+    """
 
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        claim("token counts", counter.cache_clear)
         for batch in batches:
             yield pa.array([n for (texts,) in portions(batch) for n in counter(tokenizer).counts(texts)], pa.int64())
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import cut, documents, scratch
+from tidemark.llm.common import claim, cut, documents, scratch
 
 #: Chunk lengths in ids.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
@@ -51,7 +51,7 @@ SENT = 500_000
 #: Distinct words in each of the two generations that a process remembers.
 REMEMBERED = 300_000
 #: Bytes of text that are split at a time, about; a longer text goes alone.
-PORTION = 2 << 20
+PORTION = 4 << 20
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words with other characters, odd white space or special strings go to the library as they are.
@@ -278,6 +278,12 @@ def joined_crc(crc: int, next_crc: int, n_bytes: int) -> int:
 _OBJECT = "key long, kind string, doc_id long, n_tokens long, digests array<binary>, root binary, digest binary, n_ids int, width int, payload binary"
 
 
+def forget() -> None:
+    """Let go of all that this process remembers."""
+    word_encoder.cache_clear()
+    _powers.cache_clear()
+
+
 def _encoder(path: str, end_id: int | None):
 
     def rows(kind: str, n: int, **columns: list) -> pa.RecordBatch:
@@ -285,6 +291,7 @@ def _encoder(path: str, end_id: int | None):
         return pa.RecordBatch.from_arrays([pa.array([kind] * n) if f.name == "kind" else pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _ARROW], schema=_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token store", forget)
         encoder = word_encoder(path)
         width = 2 if max(encoder.library.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         sent: set[bytes] = set()  # sending a chunk again is allowed, so forgetting is too
