@@ -42,18 +42,60 @@ def pluvial_depths(cells: DataFrame, levels: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(levels.where("hazard_type = 'pluvial'"))).withColumn("depth", lumped_ponding("z", "filled", "water_level_m"))
 
 
-def multihazard_depths(cells: DataFrame, levels: DataFrame, on_border: Column, sea: str | None = None, river: str | None = None) -> DataFrame:
+def routed_depths(cells: DataFrame, levels: DataFrame, stops: Column, **limits) -> DataFrame:
+    """Excess rain filled into depressions and spilled from one to the next, down to cells that are ``stops``."""
+    from tidemark.operators import ponding
+
+    k = keys(cells)
+    own = levels.where("hazard_type = 'pluvial'")
+    topo = ponding.topography(cells.select(*k, "z"), cells.where(F.coalesce(stops, F.lit(False))).select(*k), **limits)
+    depths = ponding.route(topo, own.select("return_period", F.col("water_level_m").alias("excess_m")))
+    return depths.select(*k, "return_period", "depth").join(F.broadcast(own), "return_period")
+
+
+def rained_depths(cells: DataFrame, levels: DataFrame, outlet: Column, n: float = 0.05, **options) -> DataFrame:
+    """Peak depths of net rain that runs off over the ground, one solve for each return period."""
+    from tidemark.operators.solver import rain_on_grid
+
+    own = levels.where("hazard_type = 'pluvial'")
+    runs = cells.withColumn("outlet", F.coalesce(outlet, F.lit(False))).select("row", "col", "z", "outlet").join(F.broadcast(own.select("return_period", F.col("water_level_m").alias("net_rain")))).withColumn("n", F.lit(n))
+    return rain_on_grid(runs, **options).select("row", "col", "return_period", "depth").join(F.broadcast(own), "return_period")
+
+
+def surged_depths(cells: DataFrame, levels: DataFrame, boundary: Column, **options) -> DataFrame:
+    """Peak depths of sea water that comes in over boundary cells at each coastal level, each return period from the one before."""
+    from tidemark.operators.solver import inertial
+
+    own = levels.where("hazard_type = 'coastal'")
+    start = cells.withColumn("boundary", F.coalesce(boundary, F.lit(False))).select("row", "col", "z", "boundary")
+    runs = start.join(F.broadcast(own.select("return_period", "scenario", F.col("water_level_m").alias("level")))).withColumns({"floor": F.lit(0.0), "start": F.lit(0.0)})
+    return inertial(runs, **options).select("row", "col", "scenario", "return_period", "depth").join(F.broadcast(own), ["scenario", "return_period"])
+
+
+def multihazard_depths(
+    cells: DataFrame, levels: DataFrame, on_border: Column, sea: str | None = None, river: str | None = None, coastal: str = "bathtub", pluvial: str = "ponding", options: dict[str, dict] | None = None
+) -> DataFrame:
     """hazard_type, return_period, scenario, horizon, water_level_m, keys and depth for every level.
 
-    ``cells`` has z, hand and filled.  Sea cells are dry, no data stays.
+    ``cells`` has z, hand and filled.  ``coastal`` is bathtub or inertial,
+    ``pluvial`` ponding, fill_spill or rain_on_grid; ``options`` holds keyword
+    arguments by those names.  Water leaves over river cells, or where there
+    are none over the border.  Sea cells are dry, no data stays.
     """
-    parts = [coastal_depths(cells, levels, on_border), fluvial_depths(cells, levels, river=river), pluvial_depths(cells, levels)]
-    wanted = ["hazard_type", "return_period", "scenario", "horizon", "water_level_m", *keys(cells)]
-    extra = [sea] if sea else []
-    first, *rest = [p.select(*wanted, *extra, "depth") for p in parts]
+    given, outlet = options or {}, on_border if river is None else F.col(river)
+    ways = {
+        "bathtub": lambda: coastal_depths(cells, levels, on_border), "inertial": lambda: surged_depths(cells, levels, on_border, **given.get("inertial", {})), "ponding": lambda: pluvial_depths(cells, levels),
+        "fill_spill": lambda: routed_depths(cells, levels, outlet, **given.get("fill_spill", {})), "rain_on_grid": lambda: rained_depths(cells, levels, outlet, **given.get("rain_on_grid", {})),
+    }
+    if coastal not in ("bathtub", "inertial") or pluvial not in ("ponding", "fill_spill", "rain_on_grid"):
+        raise ValueError("coastal must be bathtub or inertial; pluvial ponding, fill_spill or rain_on_grid")
+    parts = [ways[coastal](), fluvial_depths(cells, levels, river=river), ways[pluvial]()]
+    k = keys(cells)
+    wanted = ["hazard_type", "return_period", "scenario", "horizon", "water_level_m", *k]
+    first, *rest = [p.select(*wanted, "depth") for p in parts]
     for p in rest:
         first = first.unionByName(p)
-    return first if sea is None else first.withColumn("depth", zeroed("depth", F.col(sea))).drop(sea)
+    return first if sea is None else first.join(cells.select(*k, sea), k).withColumn("depth", zeroed("depth", F.col(sea))).drop(sea)
 
 
 def summary(depths: DataFrame, cell_area_m2: float = 900.0) -> DataFrame:

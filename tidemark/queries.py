@@ -378,17 +378,43 @@ def outlet_distance(spark: SparkSession, sf: str) -> DataFrame:
     return graph.outlet_distance(views.cells(spark, sf), F.col("channel"), 30.0).select(*place(), r6("distance").alias("distance"))
 
 
-@query()
+_D = "(({b}.r - {a}.r + 1) * 3 + ({b}.c - {a}.c + 1) - CASE WHEN ({b}.r - {a}.r + 1) * 3 + ({b}.c - {a}.c + 1) > 4 THEN 1 ELSE 0 END)"
+_NEAR = "abs({a}.r - {b}.r) <= 1 AND abs({a}.c - {b}.c) <= 1"
+_AB = _NEAR.format(a="a", b="b")
+_FILLED = f"""WITH RECURSIVE {SQL_CELLS}, known AS (SELECT r, c, z FROM cells WHERE z IS NOT NULL), nb AS (SELECT a.r, a.c, count(*) - 1 AS n FROM known a JOIN known b ON {_AB} GROUP BY a.r, a.c),
+thr AS (SELECT DISTINCT z AS h FROM known), w(r, c, h) AS (SELECT k.r, k.c, h FROM known k JOIN nb USING (r, c), thr WHERE n < 8 AND k.z <= h UNION SELECT k.r, k.c, w.h FROM w JOIN known k ON {_NEAR.format(a="k", b="w")} AND k.z <= w.h),
+fl AS (SELECT r, c, min(h) AS z FROM w GROUP BY r, c)"""
+#: Flats drain by rings: n steps to a cell that drains, over cells of the same height.
+_CONDITIONED = f"""{_FILLED}, falls AS (SELECT a.r, a.c, {_D.format(a="a", b="b")} AS d, (a.z - b.z) / CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2) ELSE 1 END AS s FROM fl a JOIN fl b ON {_AB} AND a.z > b.z),
+steep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY s DESC, d) AS k FROM falls) WHERE k = 1),
+base AS (SELECT fl.r, fl.c, fl.z, coalesce(steep.d, -1) AS d, steep.d IS NOT NULL OR nb.n < 8 AS drains FROM fl JOIN nb USING (r, c) LEFT JOIN steep USING (r, c)),
+ring(r, c, z, n) AS (SELECT r, c, z, 0 FROM base WHERE drains UNION SELECT a.r, a.c, a.z, b.n + 1 FROM ring b JOIN base a ON {_AB} AND a.z = b.z AND NOT a.drains WHERE b.n < 80),
+far AS (SELECT r, c, any_value(z) AS z, min(n) AS n FROM ring GROUP BY r, c),
+way AS (SELECT a.r, a.c, min({_D.format(a="a", b="b")}) AS d FROM far a JOIN far b ON {_AB} AND a.z = b.z AND b.n = a.n - 1 GROUP BY a.r, a.c),
+cond AS (SELECT base.r, base.c, base.z, CASE WHEN drains THEN base.d ELSE coalesce(way.d, -1) END AS d FROM base LEFT JOIN way USING (r, c))"""
+
+
+@query(_CONDITIONED + " SELECT r, c, CAST(d AS INTEGER) AS d8 FROM cond")
 def conditioned_flow(spark: SparkSession, sf: str) -> DataFrame:
     return terrain.conditioned_directions(views.cells(spark, sf)).select(*place(), "d8")
 
 
-@query()
+@query(
+    f"""{_FILLED}, low AS (SELECT r, c, k.z, fl.z AS f, r * {views.WIDTH} + c AS id FROM known k JOIN fl USING (r, c) WHERE fl.z - k.z > 0),
+l(r, c, root) AS (SELECT r, c, id FROM low UNION SELECT a.r, a.c, b.root FROM l b JOIN low a ON {_AB} WHERE b.root < a.id),
+lab AS (SELECT r, c, min(root) AS label FROM l GROUP BY r, c), pit AS (SELECT label FROM lab JOIN low USING (r, c) GROUP BY label HAVING max(f - z) < 0.5),
+up AS (SELECT r, c, f FROM lab JOIN pit USING (label) JOIN low USING (r, c)) SELECT g.r, g.c, round(coalesce(f, z), 6) AS z, f IS NOT NULL AS raised FROM cells g LEFT JOIN up USING (r, c)"""
+)
 def depit_noise(spark: SparkSession, sf: str) -> DataFrame:
     return terrain.depitted(views.cells(spark, sf)).select(*place(), r6("z").alias("z"), "raised")
 
 
-@query()
+@query(
+    f"""{_CONDITIONED}, runs AS (SELECT cond.r, cond.c, coalesce(b.r, cond.r) AS nr, coalesce(b.c, cond.c) AS nc FROM cond LEFT JOIN cond b ON cond.d >= 0 AND {_NEAR.format(a="cond", b="b")} AND {_D.format(a="cond", b="b")} = cond.d AND (b.r <> cond.r OR b.c <> cond.c)),
+p(r, c, tr, tc) AS (SELECT r, c, r, c FROM runs UNION SELECT p.r, p.c, f.nr, f.nc FROM p JOIN runs f ON f.r = p.tr AND f.c = p.tc), area AS (SELECT tr AS r, tc AS c, count(DISTINCT (r, c)) AS n FROM p GROUP BY tr, tc),
+fall AS (SELECT a.r, a.c, greatest(max((a.z - b.z) / (CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2) ELSE 1 END * 30.0)), 0) AS s FROM fl a JOIN fl b ON {_AB} AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c)
+SELECT g.r, g.c, round(ln((n + 1) * 30.0::DOUBLE / greatest(coalesce(s, 0), 1e-3)), 6) AS twi FROM cells g LEFT JOIN area USING (r, c) LEFT JOIN fall USING (r, c)"""
+)
 def twi_index(spark: SparkSession, sf: str) -> DataFrame:
     return terrain.twi(views.cells(spark, sf)).select(*place(), r6("twi").alias("twi"))
 
@@ -501,7 +527,17 @@ def gev_fit(spark: SparkSession, sf: str) -> DataFrame:
     return S.gev_fit(views.annual_max(spark, sf))
 
 
-@query()
+def _utm_sql() -> str:
+    """Easting and northing of zone 48 south by the same published series."""
+    x = " + ".join(["eta", *(f"{k!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, k in enumerate(geo._ALPHA, 1))])
+    y = " + ".join(["xi", *(f"{k!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, k in enumerate(geo._ALPHA, 1))])
+    scale = repr(geo.K0 * geo._RECTIFYING)
+    return f"""WITH {SQL_POINTS}, g AS (SELECT label, 106.5::DOUBLE + c * 0.01::DOUBLE AS lon, -6.2::DOUBLE + r * 0.01::DOUBLE AS lat FROM points), a AS (SELECT *, radians(lat) AS phi, radians(lon - 105) AS lam FROM g),
+    b AS (SELECT *, sinh(atanh(sin(phi)) - {geo._E!r} * atanh({geo._E!r} * sin(phi))) AS t FROM a), d AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM b)
+    SELECT label, round(500000 + {scale} * ({x}), 3) AS x, round(10000000 + {scale} * ({y}), 3) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM d"""
+
+
+@query(_utm_sql())
 def utm_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     lonlat = views.points(spark, sf).select("label", (106.5 + F.col("col") * 0.01).alias("lon"), (-6.2 + F.col("row") * 0.01).alias("lat"))
     x, y = geo.to_utm("lon", "lat", 32748)
@@ -643,3 +679,21 @@ def multihazard_summary(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf)
     out = hazard.summary(hazard.multihazard_depths(g, views.levels(spark), views.on_border(g), river="channel"))
     return out.select("hazard_type", "return_period", "scenario", "horizon", "water_level_m", "flooded_area_m2", r6("mean_depth_m").alias("mean_depth_m"), r6("max_depth_m").alias("max_depth_m"), "wet_pixels", r6("major_area_km2").alias("major_area_km2"))
+
+
+@query()
+def multihazard_dynamic(spark: SparkSession, sf: str) -> DataFrame:
+    """The run by the inertial solver and by fill and spill."""
+    g = views.cells(spark, sf)
+    how = {"inertial": {"total_s": 600.0, "dt_max": 10.0}, "fill_spill": {"min_cells": 3}}
+    out = hazard.summary(hazard.multihazard_depths(g, views.levels(spark), views.on_border(g), river="channel", coastal="inertial", pluvial="fill_spill", options=how))
+    return out.select("hazard_type", "return_period", "scenario", "horizon", "water_level_m", "flooded_area_m2", r6("mean_depth_m").alias("mean_depth_m"), r6("max_depth_m").alias("max_depth_m"), "wet_pixels")
+
+
+@query()
+def multihazard_rain(spark: SparkSession, sf: str) -> DataFrame:
+    """The run with rain on the grid."""
+    g = views.cells(spark, sf)
+    how = {"rain_on_grid": {"storm_s": 300.0, "total_s": 600.0, "dt_max": 10.0}}
+    out = hazard.summary(hazard.multihazard_depths(g, views.levels(spark), views.on_border(g), river="channel", pluvial="rain_on_grid", options=how))
+    return out.select("hazard_type", "return_period", "scenario", "horizon", "water_level_m", "flooded_area_m2", r6("mean_depth_m").alias("mean_depth_m"), r6("max_depth_m").alias("max_depth_m"), "wet_pixels")
