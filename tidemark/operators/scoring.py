@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,43 +106,78 @@ def best_match(metrics: DataFrame, *by: str, passing: float = 0.30, warning: flo
     return best.withColumn("verdict", F.when(small, F.concat(F.lit("LIMITED-"), grade)).otherwise(grade))
 
 
-def _tss(hit: np.ndarray, pos: np.ndarray) -> float:
-    hr = hit[pos].mean() if pos.any() else 0.0
-    crr = (~hit[~pos]).mean() if (~pos).any() else 1.0
-    return float(hr + crr - 1)
-
-
 def _auc(score: np.ndarray, pos: np.ndarray) -> float:
-    a, b = score[pos], score[~pos]
-    return 0.5 if not len(a) or not len(b) else float(((a[:, None] > b).mean() + 0.5 * (a[:, None] == b).mean()))
+    a, b = score[pos], np.sort(score[~pos])
+    if not len(a) or not len(b):
+        return 0.5
+    under, upto = np.searchsorted(b, a, side="left"), np.searchsorted(b, a, side="right")
+    return float((under + upto).mean() / (2 * len(b)))
 
 
-def _boot(pdf: pd.DataFrame, n_boot: int, seed: int, level: float, measure: str) -> pd.DataFrame:
-    pdf = pdf.sort_values("label", kind="stable")
-    pos = (pdf["cls"] == "flood").to_numpy()
+def _auc_diff(pdf: pd.DataFrame, ids: np.ndarray, seed: int) -> np.ndarray:
+    """Differences of the area for the given replicates of a register."""
+    pos, scores = (pdf["cls"] == "flood").to_numpy(), [pdf[c].to_numpy(float) for c in ("score", "other_score")]
     a, b = np.flatnonzero(pos), np.flatnonzero(~pos)
-    columns = ["hit"] if measure == "tss" else ["hit", "other_hit"] if measure == "tss_diff" else ["score", "other_score"]
-    f = _auc if measure == "auc_diff" else _tss
-    data = [pdf[c].to_numpy() for c in columns]
-    value = lambda at: f(data[0][at], pos[at]) - (f(data[1][at], pos[at]) if len(data) > 1 else 0.0)
-    point = value(np.arange(len(pos)))
-    if not len(a) or not len(b):
-        return pd.DataFrame({"estimate": [point], "low": [point], "high": [point], "p_positive": [float(point > 0)]})
-    rng = np.random.default_rng(seed)
-    draws = np.array([value(np.concatenate([rng.choice(a, len(a)), rng.choice(b, len(b))])) for _ in range(n_boot)])
-    low, high = np.quantile(draws, [(1 - level) / 2, (1 + level) / 2])
-    return pd.DataFrame({"estimate": [point], "low": [low], "high": [high], "p_positive": [float((draws > 0).mean())]})
+    out = []
+    for i in ids.tolist():
+        rng = np.random.default_rng([seed, i])
+        at = np.concatenate([rng.choice(a, len(a)), rng.choice(b, len(b))])
+        out.append(_auc(scores[0][at], pos[at]) - _auc(scores[1][at], pos[at]))
+    return np.array(out)
 
 
 def bootstrap(scored: DataFrame, measure: str = "tss", n_boot: int = N_BOOT, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """estimate, low, high and share above zero of ``tss``, ``tss_diff`` or ``auc_diff``, resampled within classes.
 
-    A register of documented points has some hundred rows, so it is one group;
-    its order is by label, which makes the seed reproducible.
+    Replicates are dealt to tasks and each is drawn from its own seed.  For
+    both forms of tss points of one class and outcome are alike, so a replicate
+    is one draw of their numbers from a table of eight rows at most; for
+    auc_diff the register itself, some hundred documented points (refused above
+    100,000), goes to the tasks.  With an empty class nothing can be drawn, and
+    both ends are the estimate.
     """
     if measure not in ("tss", "tss_diff", "auc_diff"):
         raise ValueError("measure must be tss, tss_diff or auc_diff")
-    return scored.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(lambda pdf: _boot(pdf, n_boot, seed, level, measure), "estimate double, low double, high double, p_positive double")
+    pos = F.coalesce(F.col("cls") == "flood", F.lit(False)).alias("pos")
+    if measure == "auc_diff":
+        rows = scored.select("label", "cls", "score", "other_score").limit(100_001).toPandas().sort_values("label", kind="stable")
+        if len(rows) > 100_000:
+            raise ValueError("too many points for a register")
+        flood = (rows["cls"] == "flood").to_numpy()
+        estimate = _auc(rows["score"].to_numpy(float), flood) - _auc(rows["other_score"].to_numpy(float), flood)
+        empty = not flood.any() or flood.all()
+        draw = lambda ids: _auc_diff(rows, ids, seed)
+    else:
+        other = F.col("other_hit") if measure == "tss_diff" else F.lit(None).cast("boolean")
+        told = scored.groupBy(pos, F.col("hit"), other.alias("other")).count().collect()
+        right = lambda hit, is_pos: 0 if hit is None else int(bool(hit) == is_pos)
+        sides = []
+        for is_pos in (True, False):
+            own = sorted((right(r.hit, is_pos) - (right(r.other, is_pos) if measure == "tss_diff" else 0), r["count"]) for r in told if r.pos == is_pos)
+            sides.append((np.array([v for v, _ in own], float), np.array([n for _, n in own], np.int64)))
+        # an empty class of positives counts as none hit, one of negatives as all rejected
+        rate = lambda v, n, none: float((v * n).sum() / n.sum()) if len(n) else none
+        shift, none = (1.0, (0.0, 1.0)) if measure == "tss" else (0.0, (0.0, 0.0))
+        estimate = sum(rate(*side, x) for side, x in zip(sides, none)) - shift
+        empty = any(not len(n) for _, n in sides)
+
+        def draw(ids: np.ndarray) -> np.ndarray:
+            out = []
+            for i in ids.tolist():
+                rng = np.random.default_rng([seed, i])
+                out.append(sum(rate(v, rng.multinomial(n.sum(), n / n.sum()), x) for (v, n), x in zip(sides, none)) - shift)
+            return np.array(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(draw(batch["id"].to_numpy()), pa.float64())], names=["v"])
+
+    spark = scored.sparkSession
+    if empty:
+        return spark.createDataFrame([(estimate, estimate, estimate, float(estimate > 0))], "estimate double, low double, high double, p_positive double")
+    ends = F.percentile("v", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    drawn = spark.range(n_boot).mapInArrow(run, "v double").agg(ends.alias("e"), F.avg((F.col("v") > 0).cast("double")).alias("p_positive"))
+    return drawn.select(F.lit(estimate).alias("estimate"), F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "p_positive")
 
 
 def numeric_gate(scores: DataFrame, hr_floor: float = 0.70, crr_floor: float = 0.70, baseline_tss: float | None = None, margin: float = 0.0) -> DataFrame:

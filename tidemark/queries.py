@@ -584,7 +584,24 @@ def roc_curve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def bootstrap_tss(spark: SparkSession, sf: str) -> DataFrame:
-    return scoring.bootstrap(_scored(spark, sf).withColumn("label", F.col("label").cast("string")), n_boot=1000)
+    return scoring.bootstrap(_scored(spark, sf).withColumn("label", F.col("label").cast("string")))
+
+
+def _two(spark: SparkSession, sf: str) -> DataFrame:
+    """Points scored by two fields."""
+    own = _scored(spark, sf)
+    other = scoring.point_scores(views.points(spark, sf), views.cells(spark, sf).withColumn("depth", D.hand_depth("hand", 0.9)), threshold=1.0)
+    return own.join(other.select("label", F.col("score").alias("other_score"), F.col("hit").alias("other_hit")), "label")
+
+
+@query()
+def bootstrap_tss_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.bootstrap(_two(spark, sf), "tss_diff")
+
+
+@query()
+def bootstrap_auc_difference(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.bootstrap(_two(spark, sf), "auc_diff")
 
 
 @query(
