@@ -25,7 +25,7 @@ from tidemark.llm.common import ascii_lower, cut, documents
 
 #: What separates words once A-Z are lower-cased: ASCII other than digits and a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Above so many distinct windows the join is an ordinary shuffle join instead of a broadcast.
+#: Above so many windows, each counted once per item, the join is an ordinary shuffle join instead of a broadcast.
 MAX_BROADCAST = 200_000
 
 
@@ -66,7 +66,8 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, size: int = 10, id
     """As ``contaminated``, one row for each doc_id and ``version`` (a hash of the text), with its ``copies``."""
     own = documents(docs, id_col, text_col)
     windows = cut(item_windows(benchmark, size, item_col))
-    small = windows.select("window").distinct().count() <= max_broadcast
+    # links of windows to items, so both what is broadcast of windows and of items is bounded
+    small = windows.count() <= max_broadcast
     found = cut(_prefixed(own, windows) if small else _prefixed_large(own, windows))
     # an empty word after the last marks the end of each document, so that one pass gives lengths too
     end = found.sparkSession.createDataFrame([("", 0, [])], "rare string, offset int, window array<string>")
