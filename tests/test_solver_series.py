@@ -40,10 +40,13 @@ def test_channel_floods_what_it_reaches():
 
 
 def test_parallel_runs_equal_serial_bits(spark):
-    from tidemark.queries import _basin
     from pyspark.sql import functions as F
 
-    runs = _basin(spark).withColumn("outlet", F.col("row") == 19).withColumn("n", F.lit(0.05))
+    from tidemark.operators.grid import filled_grid
+
+    bowl = filled_grid(spark, 20, 20).withColumn("z", F.abs(F.col("row") - 10) * 0.05 + F.abs(F.col("col") - 10) * 0.05)
+    three = spark.createDataFrame([(2, 0.02), (10, 0.05), (100, 0.1)], "return_period int, net_rain double")
+    runs = bowl.join(F.broadcast(three)).withColumn("outlet", F.col("row") == 19).withColumn("n", F.lit(0.05))
     together = {tuple(r)[:3]: r.depth for r in V.rain_on_grid(runs, storm_s=60.0, total_s=120.0).collect()}
     alone = {}
     for rp in (2, 10, 100):
