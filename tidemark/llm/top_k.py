@@ -1,6 +1,6 @@
 """Exact top-k inner products by the threshold algorithm of Fagin, Lotem and Naor.
 
-Vectors are ordered by their norm and cut into blocks of bounded size.  Each
+Vectors of like norm are dealt into blocks of about one size.  Each
 block is stored once with its lists: for every dimension its rows in the order
 of that component.  A query walks the lists from the end that its sign favours,
 a few steps at a time and those lists first whose next steps lower the bound
@@ -28,6 +28,8 @@ from tidemark.llm.common import cut
 
 #: Rows of a block of vectors and of queries, about, and blocks of a group.
 VECTOR_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 4
+#: Up to so many classes of norms are told by broadcast.
+MAX_BROADCAST = 100_000
 #: Steps into the chosen lists at first; they double.
 FIRST_STEPS = 2
 #: Integers up to which sums of doubles are exact.
@@ -102,11 +104,23 @@ _BLOCK = "dim int, part int, ids binary, v binary, lists binary"
 
 
 def _packed(rows: DataFrame, size: int, lists: bool) -> DataFrame:
-    """One row per block of at most ``size`` rows of one length: its range of norms (0 has the largest), ids, components and lists."""
+    """One row per block of about ``size`` rows of one length: its number (0 has the largest norms), ids, components and lists.
+
+    Vectors of like norm, within a factor of two of its square, share blocks
+    and are dealt to them by their id.
+    """
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    n = max(1, -(-rows.count() // size))
-    keyed = rows.withColumn("norm", -norm).withColumn("deal", F.xxhash64("vec_id"))
-    ranged = keyed.repartitionByRange(n, "dim", "norm", "deal").sortWithinPartitions("dim", "norm", "deal").select("dim", "vec_id", "v", F.spark_partition_id().alias("part"))
+    keyed = rows.withColumn("class", -F.floor(F.log2(norm + 1)).cast("int"))
+    counts = cut(keyed.groupBy("dim", "class").agg(F.count("*").alias("n")))
+    # one row for each length and class of norms: at most some two thousand classes a length
+    numbered = counts.select("dim", "class", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    before = Window.partitionBy("dim").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = cut(numbered.withColumn("base", F.coalesce(F.sum("blocks").over(before), F.lit(0)).cast("int")))
+    n = max(1, int(numbered.agg(F.sum("blocks")).first()[0] or 0))
+    few = numbered.count() <= MAX_BROADCAST
+    placed = keyed.join(F.broadcast(numbered) if few else numbered, ["dim", "class"])
+    part = (F.col("base") + F.pmod(F.xxhash64("vec_id", F.lit(7)), F.col("blocks"))).cast("int").alias("part")
+    ranged = placed.select("dim", "vec_id", "v", part).repartition(n, "dim", "part").sortWithinPartitions("dim", "part", "vec_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -120,18 +134,17 @@ def _packed(rows: DataFrame, size: int, lists: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in values], names=["dim", "part", "ids", "v", "lists"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
-            dims = table["dim"].to_numpy()
-            ends = [*(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            dims, parts = table["dim"].to_numpy(), table["part"].to_numpy()
             first = 0
-            for end in ends:
-                while first < end:
-                    if held and (held[0]["dim"][0].as_py() != dims[first] or sum(t.num_rows for t in held) >= size):
-                        yield block()
-                        held = []
-                    take = min(end - first, size - sum(t.num_rows for t in held))
-                    held.append(table.slice(first, take))
-                    first += take
+            for end in [*(np.flatnonzero((np.diff(dims) != 0) | (np.diff(parts) != 0)) + 1).tolist(), len(dims)]:
+                if held and (held[0]["dim"][0].as_py(), held[0]["part"][0].as_py()) != (dims[first], parts[first]):
+                    yield block()
+                    held = []
+                held.append(table.slice(first, end - first))
+                first = end
         if held:
             yield block()
 
