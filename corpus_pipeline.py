@@ -41,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store and returns one row per document read back from it."""
-    return token_store.token_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_store.token_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=300_000)
 
 
 STAGES = [

@@ -26,6 +26,7 @@ the CRC-32 of a document follows from those of its chunks.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import zlib
@@ -49,7 +50,7 @@ WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
 #: Distinct words in each of the two generations that a process remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Bytes of text that are split at a time, about; a longer text goes alone.
 PORTION = 4 << 20
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
@@ -113,14 +114,14 @@ class WordEncoder:
     above are handed to the library as they are, whole and by themselves.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Memory(REMEMBERED)
+        self.words = Memory(REMEMBERED if remembered is None else remembered)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -199,12 +200,12 @@ def _runs(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, remembered: int | None = None) -> WordEncoder:
     """One encoder a process: what one task has remembered serves the next."""
-    return WordEncoder(path)
+    return WordEncoder(path, remembered)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse to the powers 0 to n - 1, modulo 2**64."""
     both = []
@@ -223,7 +224,8 @@ def places(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     newest id has weight 1, wherever the window lies.
     """
     n = len(ids)
-    size = 1 << max(16, (n - 1).bit_length()) if n else 0
+    # one table serves all portions; only a longer text needs another
+    size = 1 << max(21, n.bit_length())
     with np.errstate(over="ignore"):
         base, inverse = (p[:n] for p in _powers(size))
         sums = np.zeros(n + 1, np.uint64)
@@ -284,7 +286,7 @@ def forget() -> None:
     _powers.cache_clear()
 
 
-def _encoder(path: str, end_id: int | None):
+def _encoder(path: str, end_id: int | None, remembered: int | None = None):
 
     def rows(kind: str, n: int, **columns: list) -> pa.RecordBatch:
         """Rows of one kind; columns of the other kind are null."""
@@ -292,42 +294,46 @@ def _encoder(path: str, end_id: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token store", forget)
-        encoder = word_encoder(path)
+        encoder = word_encoder(path, remembered)
         width = 2 if max(encoder.library.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4
         sent: set[bytes] = set()  # sending a chunk again is allowed, so forgetting is too
-        for batch in batches:
-            for first, stop in arrow_portions(batch["text"]):
-                doc_ids = batch["doc_id"].slice(first, stop - first).to_pylist()
-                ids, ends = encoder.ids(batch["text"].slice(first, stop - first))
-                if end_id is not None:
-                    ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
-                ids = ids.astype("<u4")
-                names, lengths, payloads = [], [], []
-                counts, lists, roots = [], [], []
-                data, small = ids.tobytes(), ids.astype(f"<u{width}").tobytes()
-                found = places(ids, ends)
-                marks, found = np.searchsorted(found, ends, side="right").tolist(), found.tolist()
-                last = mark = 0
-                for end, next_mark in zip(ends.tolist(), marks):
-                    counts.append(end - last)
-                    own = []
-                    for cut_at in chunk_ends(found[mark:next_mark], last, end):
-                        name = digest(data[4 * last : 4 * cut_at])
-                        own.append(name)
-                        if name not in sent:
-                            sent.add(name)
-                            names.append(name)
-                            lengths.append(cut_at - last)
-                            payloads.append(small[width * last : width * cut_at])
-                        last = cut_at
-                    mark = next_mark
-                    lists.append(own)
-                    roots.append(merkle(own))
-                if len(sent) > SENT:
-                    sent.clear()
-                yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
-                if names:
-                    yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
+        gc.disable()  # millions of words are made here, and no cycles
+        try:
+            for batch in batches:
+                for first, stop in arrow_portions(batch["text"]):
+                    doc_ids = batch["doc_id"].slice(first, stop - first).to_pylist()
+                    ids, ends = encoder.ids(batch["text"].slice(first, stop - first))
+                    if end_id is not None:
+                        ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
+                    ids = ids.astype("<u4")
+                    names, lengths, payloads = [], [], []
+                    counts, lists, roots = [], [], []
+                    data, small = ids.tobytes(), ids.astype(f"<u{width}").tobytes()
+                    found = places(ids, ends)
+                    marks, found = np.searchsorted(found, ends, side="right").tolist(), found.tolist()
+                    last = mark = 0
+                    for end, next_mark in zip(ends.tolist(), marks):
+                        counts.append(end - last)
+                        own = []
+                        for cut_at in chunk_ends(found[mark:next_mark], last, end):
+                            name = digest(data[4 * last : 4 * cut_at])
+                            own.append(name)
+                            if name not in sent:
+                                sent.add(name)
+                                names.append(name)
+                                lengths.append(cut_at - last)
+                                payloads.append(small[width * last : width * cut_at])
+                            last = cut_at
+                        mark = next_mark
+                        lists.append(own)
+                        roots.append(merkle(own))
+                    if len(sent) > SENT:
+                        sent.clear()
+                    yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
+                    if names:
+                        yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
+        finally:
+            gc.enable()
 
     return run
 
@@ -355,15 +361,16 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> str:
     """Encode ``docs`` and write the store described above to ``path``.
 
     Null texts count as empty and yield the end id alone.  Rows that repeat a
     doc_id keep their own recipes, ordered by root; rows without a doc_id come
-    first.  An empty table gives empty tables.
+    first.  An empty table gives empty tables.  ``remembered`` bounds the words
+    that a Python process holds, REMEMBERED by default.
     """
     spark = docs.sparkSession
-    made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id), _OBJECT)
+    made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id, remembered), _OBJECT)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.repartition(n, "key").sortWithinPartitions("key", "digest").mapInArrow(_once, _OBJECT).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     objects = spark.read.schema(_OBJECT.removeprefix("key long, ")).parquet(f"{path}/objects")
@@ -476,8 +483,8 @@ def reconstruct(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return uses.join(read_chunks(spark, path), "digest").groupBy("doc_id", "start").applyInArrow(glued, "doc_id long, start long, ids array<long>")
 
 
-def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path: str | None = None, remembered: int | None = None) -> DataFrame:
     """Write the store (in the shared folder unless ``path`` is given) and return what is read back from it."""
     path = path or scratch(docs.sparkSession, "token-store")
-    write_store(docs, path, tokenizer, end_id)
+    write_store(docs, path, tokenizer, end_id, remembered=remembered)
     return read_back(docs.sparkSession, path)
