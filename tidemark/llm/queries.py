@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, html_text, mixing, quality, simhash, substring_dedup, token_counts, token_store, top_k
+from tidemark.llm import chat, decontaminate, fill_middle, host_rules, html_text, mixing, quality, simhash, spelling, substring_dedup, token_counts, token_store, top_k
 from tidemark.llm.common import table
 
 
@@ -56,6 +57,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.digests(host_rules.judged(table(spark, sf_dir, "documents"), limit=0.5))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")), ratio=10)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+    digest = lambda c: F.sha2(c, 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -67,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_temperature_mixing": op8_temperature_mixing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_host_rules": op11_host_rules,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
@@ -74,4 +92,7 @@ ORACLES: dict[str, str] = {
     "op4_threshold_top_k": top_k.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op8_temperature_mixing": mixing.ORACLE,
+    "op11_host_rules": host_rules.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }
