@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.flats import TILE, flat_distances
 from tidemark.operators.graph import FLOW, accumulation, d8, flow_edges, label_components, marked, terminals
 from tidemark.operators.grid import OFFSETS, keys, reached, with_id
 from tidemark.sources.storage import cut, cut_round
@@ -95,28 +96,28 @@ def spill_levels(passes: DataFrame) -> DataFrame:
     return held.select("basin", F.when(F.col("root") == OUTSIDE, F.col("level")).alias("level"))
 
 
-def conditioned_directions(cells: DataFrame, z: str = "z", surface: DataFrame | None = None) -> DataFrame:
+def conditioned_directions(cells: DataFrame, z: str = "z", surface: DataFrame | None = None, tile: int = TILE) -> DataFrame:
     """Keys and ``d8`` on the filled surface; flats drain towards their nearest outlet, -1 only at the outside.
 
-    Cells of a flat without a lower neighbour take, ring after ring, the lowest
-    direction that leads to a cell of the same height that already drains.  A
-    filled ``surface`` that is at hand is not computed again.
+    A cell of a flat without a lower neighbour takes the lowest direction that
+    leads to a cell of the same height one step nearer to where the flat drains.
+    A filled ``surface`` that is at hand is not computed again.
     """
     k = keys(cells)
     full = filled_surface(cells, z) if surface is None else surface
     surface = cut(full.where("filled is not null").select(*k, "filled"))
     edge = marked(surface, _on_edge(surface, "filled"), "edge")
-    flow = cut_round(edge.join(d8(surface, "filled"), k).withColumn("drains", (F.col("d8") >= 0) | F.col("edge")))
-    while True:
-        waiting = flow.where("not drains").select(*k, F.col("filled").alias("mine"))
-        if waiting.isEmpty():
-            return flow.select(*k, "d8")
-        sent = reached(flow.where("drains"), tuple((-dr, -dc) for dr, dc in FLOW), F.col("filled").alias("theirs"))
-        found = sent.join(waiting, k).where("mine = theirs").groupBy(*k).agg(F.min("direction").alias("way"))
-        n = flow.join(found, k, "left")
-        flow = cut_round(n.select(*k, "filled", "edge", F.coalesce("way", "d8").alias("d8"), (F.col("drains") | F.col("way").isNotNull()).alias("drains")))
-        if found.isEmpty():
-            return flow.select(*k, "d8")
+    flow = cut_round(edge.join(d8(surface, "filled"), k).select(*k, F.col("filled").alias("height"), "d8", ((F.col("d8") >= 0) | F.col("edge")).alias("drains")))
+    waiting = flow.where("not drains").select(*k, "height")
+    if waiting.isEmpty():
+        return flow.select(*k, "d8")
+    # of the cells that drain only those beside a waiting one matter
+    beside = reached(waiting, OFFSETS, F.col("height").alias("theirs")).join(flow.where("drains").select(*k, "height"), k).where("height = theirs").select(*k, "height").distinct()
+    start = waiting.withColumn("distance", F.lit(None).cast("int")).unionByName(beside.withColumn("distance", F.lit(0)))
+    far = cut(flat_distances(start, tile))
+    sent = reached(far, tuple((-dr, -dc) for dr, dc in FLOW), F.col("height").alias("theirs"), (F.col("distance") + 1).alias("further"))
+    ways = sent.join(far.where("distance > 0"), k).where("height = theirs and distance = further").groupBy(*k).agg(F.min("direction").alias("way"))
+    return flow.join(ways, k, "left").select(*k, F.coalesce("way", "d8").alias("d8"))
 
 
 def drainage_mask(directions: DataFrame, threshold: int = 500) -> DataFrame:
