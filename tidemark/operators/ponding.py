@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.components import connected_components
+from tidemark.operators.cascade import acyclic, settled
 from tidemark.operators.graph import d8, flow_edges, label_components, terminals
 from tidemark.operators.grid import keys, with_id
+from tidemark.operators.hypsometry import curves, levels_of
 from tidemark.operators.terrain import conditioned_directions, filled_surface
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut, cut_round
 
 #: Depth limits in metres and least size in cells of a depression that counts; wet depth.
 MIN_DEPTH, MAX_DEPTH, MIN_CELLS, WET = 0.5, 3.0, 9, 0.05
@@ -19,16 +19,15 @@ MIN_DEPTH, MAX_DEPTH, MIN_CELLS, WET = 0.5, 3.0, 9, 0.05
 def inventory(surface: DataFrame, cell_area: float, min_depth: float = MIN_DEPTH, max_depth: float = MAX_DEPTH, min_cells: int = MIN_CELLS) -> tuple[DataFrame, DataFrame]:
     """(cells, depressions) of a surface with z and ``filled``.
 
-    cells: keys, z, ``dep``.  depressions: dep, pour_elev, capacity_m3,
-    n_cells and the bed heights in order.  ``dep`` is the number of the
-    depression's first cell.
+    cells: keys, z, ``dep``.  depressions: dep, pour_elev, capacity_m3 and
+    n_cells.  ``dep`` is the number of the depression's first cell.
     """
     k = keys(surface)
     labels = cut(label_components(surface, F.col("filled") - F.col("z") > 0))
     inside = surface.join(labels, k)
     pour = F.max("filled")
-    found = inside.groupBy(F.col("label").alias("dep")).agg(pour.alias("pour_elev"), F.sum(F.greatest(F.col("filled") - F.col("z"), F.lit(0.0))).alias("volume"), F.count("*").alias("n_cells"), F.max(F.col("filled") - F.col("z")).alias("depth"), F.array_sort(F.collect_list("z")).alias("beds"))
-    kept = cut(found.where((F.col("n_cells") >= min_cells) & F.col("depth").between(min_depth, max_depth)).select("dep", "pour_elev", (F.col("volume") * cell_area).alias("capacity_m3"), "n_cells", "beds"))
+    found = inside.groupBy(F.col("label").alias("dep")).agg(pour.alias("pour_elev"), F.sum(F.greatest(F.col("filled") - F.col("z"), F.lit(0.0))).alias("volume"), F.count("*").alias("n_cells"), F.max(F.col("filled") - F.col("z")).alias("depth"))
+    kept = cut(found.where((F.col("n_cells") >= min_cells) & F.col("depth").between(min_depth, max_depth)).select("dep", "pour_elev", (F.col("volume") * cell_area).alias("capacity_m3"), "n_cells"))
     cells = inside.select(*k, "z", F.col("label").alias("dep")).join(kept.select("dep"), "dep", "left_semi")
     return cells, kept
 
@@ -46,23 +45,29 @@ def catchment_supply(cells: DataFrame, directions: DataFrame, depression_cells:
 def spill_graph(depressions: DataFrame, depression_cells: DataFrame, conditioned: DataFrame, stops: DataFrame) -> DataFrame:
     """(dep, spill_to): the first other depression down the conditioned path from a depression's first cell.
 
-    Null where the path first meets a stop cell (sea or river), leaves the grid
-    or ends.  Paths are followed by pointer doubling over cells, each stopping
-    at the first cell of another depression.
+    Null where the path first meets a stop cell (sea or river) outside other
+    depressions, leaves the grid or ends.  Paths are followed by pointer
+    doubling over cells, each pausing where it enters a depression or meets a
+    stop; the few that come back into their own depression go on from there.
     """
     edges = flow_edges(conditioned)
     own = with_id(depression_cells).select("cell", "dep")
     stop = with_id(stops).select("cell").distinct().withColumn("stop", F.lit(True))
     at = cut(edges.join(own, "cell", "left").join(stop, "cell", "left").select("cell", "next", "dep", F.coalesce("stop", F.lit(False)).alias("stop")))
-    ahead = at.select(F.col("cell").alias("next"), F.col("dep").alias("next_dep"), F.col("stop").alias("next_stop"))
-    joined = at.join(ahead, "next")
-    # a path pauses where the depression changes or a stop begins; from there the answer is known
+    ahead = at.select(F.col("cell").alias("next"), F.col("dep").alias("next_dep"))
+    # a path pauses at a stop, and before a cell of a depression that its own cell is not of
     enters = F.col("next_dep").isNotNull() & ~F.col("next_dep").eqNullSafe(F.col("dep"))
-    leaves = cut(joined.select("cell", "dep", F.when(F.col("next_stop") | enters | (F.col("next") == F.col("cell")), F.col("cell")).otherwise(F.col("next")).alias("to"), F.when(~F.col("next_stop") & enters, F.col("next_dep")).alias("found")))
-    ends = terminals(leaves.select("cell", F.col("to").alias("next")))
-    answer = leaves.select(F.col("cell").alias("terminal"), F.col("found").alias("spill_to"))
-    first = depressions.select("dep", F.col("dep").alias("cell"))
-    return first.join(ends, "cell").join(answer, "terminal", "left").select("dep", F.when(F.col("spill_to") != F.col("dep"), F.col("spill_to")).alias("spill_to"))
+    pauses = F.col("stop") | enters | (F.col("next") == F.col("cell"))
+    ways = at.join(ahead, "next").select("cell", "next", F.when(pauses, F.col("cell")).otherwise(F.col("next")).alias("to"), F.when(enters & ~F.col("stop"), F.col("next_dep")).alias("found"))
+    ways = cut(ways)
+    ends = cut(terminals(ways.select("cell", F.col("to").alias("next"))).join(ways.select(F.col("cell").alias("terminal"), F.col("next").alias("entered"), "found"), "terminal", "left").select("cell", "entered", "found"))
+    walks = cut(depressions.select("dep", F.col("dep").alias("cell")).join(ends, "cell", "left").select("dep", "entered", "found"))
+    while True:
+        back = walks.where("found = dep")
+        if back.isEmpty():
+            return walks.select("dep", F.col("found").alias("spill_to"))
+        again = back.select("dep", F.col("entered").alias("cell")).join(ends, "cell", "left").select("dep", "entered", "found")
+        walks = cut_round(walks.where("found is null or found <> dep").unionByName(again))
 
 
 def fill_level(beds: Column, pour: Column, area: float, supply: Column) -> Column:
@@ -85,62 +90,43 @@ def fill_level(beds: Column, pour: Column, area: float, supply: Column) -> Colum
 def cascade(depressions: DataFrame, spill: DataFrame, supply: DataFrame, by: str | None = None) -> DataFrame:
     """(dep, inflow, full): water that reaches each depression from its catchment and from those above that overflow.
 
-    Depressions that spill into one another form trees; each tree is one group,
-    solved in topological order, members of cycles last and by number: what
-    reaches an already settled depression is lost.  ``by`` names a column of
-    ``supply`` (such as the return period) that separates runs.
+    Depressions that spill into one another form trees, which are contracted;
+    members of cycles are settled by number, and what reaches one already
+    settled is lost.  ``by`` names a column of ``supply`` (such as the return
+    period) that separates runs.
     """
-    links = spill.where("spill_to is not null").select(F.col("dep").alias("a"), F.col("spill_to").alias("b"))
-    roots = connected_components(links)
     extra = [by] if by else []
-    runs = supply.select(*extra).distinct() if by else None
-    base = depressions.select("dep", "capacity_m3").join(spill, "dep", "left").join(roots, F.col("dep") == F.col("node"), "left").select("dep", "capacity_m3", "spill_to", F.coalesce("root", "dep").alias("tree"))
-    base = base.join(F.broadcast(runs)) if by else base
-    rows = base.join(supply, ["dep", *extra], "left").select(*extra, "dep", "capacity_m3", "spill_to", "tree", F.coalesce("supply", F.lit(0.0)).alias("supply"))
-
-    def solve(group: pa.Table) -> pa.Table:
-        dep, to, capacity = group["dep"].to_pylist(), group["spill_to"].to_pylist(), dict(zip(group["dep"].to_pylist(), group["capacity_m3"].to_pylist()))
-        target, water = dict(zip(dep, to)), dict(zip(dep, group["supply"].to_pylist()))
-        above = dict.fromkeys(dep, 0)
-        for t in to:
-            if t in above:
-                above[t] += 1
-        ready, settled = sorted(d for d in dep if not above[d]), []
-        while ready:
-            d = ready.pop(0)
-            settled.append(d)
-            t = target[d]
-            if t in above:
-                above[t] -= 1
-                if not above[t]:
-                    ready.append(t)
-        done: set[int] = set()
-        for d in [*settled, *sorted(set(dep).difference(settled))]:
-            done.add(d)
-            t = target[d]
-            if water[d] >= capacity[d] and t in water and t not in done:
-                water[t] += water[d] - capacity[d]
-        out = {c: group[c].slice(0, 1).to_pylist() * len(dep) for c in extra}
-        return pa.table({**{c: pa.array(v, group[c].type) for c, v in out.items()}, "dep": pa.array(dep, pa.int64()), "inflow": pa.array([water[d] for d in dep], pa.float64()), "full": pa.array([water[d] >= capacity[d] for d in dep])})
-
-    kind = f"{by} {dict(rows.dtypes)[by]}, " if by else ""
-    return rows.groupBy(*extra, "tree").applyInArrow(solve, f"{kind}dep long, inflow double, full boolean")
+    base = depressions.select("dep", F.col("capacity_m3").alias("capacity"))
+    if by:
+        # one row a return period
+        base = base.join(F.broadcast(supply.select(by).distinct()))
+    nodes = base.join(supply, ["dep", *extra], "left").select(*extra, "dep", "capacity", F.coalesce("supply", F.lit(0.0)).alias("water"))
+    found = settled(nodes, acyclic(spill, depressions), extra)
+    return found.select(*extra, "dep", "inflow", (F.col("inflow") >= F.col("capacity")).alias("full"))
 
 
 def levels(depressions: DataFrame, inflow: DataFrame, cell_area: float) -> DataFrame:
-    """``inflow`` with ``level``: the pour height where full, else the hypsometric level."""
+    """``inflow`` with ``level`` for depressions that carry their sorted ``beds``: the pour height where full, else the hypsometric level."""
     beds = depressions.select("dep", "pour_elev", "beds")
     level = F.when(F.col("full"), F.col("pour_elev")).otherwise(fill_level(F.col("beds"), F.col("pour_elev"), cell_area, F.col("inflow")))
     return inflow.join(beds, "dep").withColumn("level", level).drop("beds", "pour_elev")
 
 
+def curve_levels(depressions: DataFrame, curve: DataFrame, inflow: DataFrame, cell_area: float) -> DataFrame:
+    """As ``levels``, from the table of hypsometric curves, however large a depression is."""
+    pours = depressions.select("dep", "pour_elev")
+    part = levels_of(curve, inflow.where("not full"), cell_area, "inflow").join(pours, "dep").withColumn("level", F.least("level", "pour_elev"))
+    full = inflow.where("full").join(pours, "dep").withColumn("level", F.col("pour_elev"))
+    return part.unionByName(full).drop("pour_elev")
+
+
 def topography(cells: DataFrame, stops: DataFrame, cell_area: float = 900.0, z: str = "z", **limits) -> dict[str, DataFrame]:
-    """What every return period shares: surface, directions, depressions and their cells, spill graph."""
+    """What every return period shares: surface, directions, depressions, their cells and curves, spill graph."""
     surface = cut(filled_surface(cells, z))
     inside, depressions = inventory(surface, cell_area, **limits)
     inside = cut(inside)
     spill = cut(spill_graph(depressions, inside, conditioned_directions(cells, z, surface=surface), stops))
-    return {"surface": surface, "directions": cut(d8(cells, z)), "cells": inside, "depressions": depressions, "spill": spill}
+    return {"surface": surface, "directions": cut(d8(cells, z)), "cells": inside, "depressions": depressions, "spill": spill, "curves": curves(inside, cell_area)}
 
 
 def route(topo: dict[str, DataFrame], excess: DataFrame, runoff: Column | float = 1.0, cell_area: float = 900.0, wet: float = WET, by: str = "return_period") -> DataFrame:
@@ -152,7 +138,7 @@ def route(topo: dict[str, DataFrame], excess: DataFrame, runoff: Column | float
     share = runoff if isinstance(runoff, Column) else F.lit(float(runoff))
     unit = cut(catchment_supply(topo["surface"], topo["directions"], topo["cells"], F.when(F.col("z").isNotNull(), F.coalesce(share, F.lit(0.0)) * cell_area)))
     supply = unit.join(F.broadcast(excess)).select("dep", by, (F.col("supply") * F.col("excess_m")).alias("supply"))
-    level = levels(topo["depressions"], cascade(topo["depressions"], topo["spill"], supply, by), cell_area)
+    level = cut(curve_levels(topo["depressions"], topo["curves"], cascade(topo["depressions"], topo["spill"], supply, by), cell_area))
     k = keys(topo["surface"])
     depth = F.greatest(F.col("level") - F.col("z"), F.lit(0.0))
     wetted = topo["cells"].join(level.select("dep", by, "level"), "dep").select(*k, by, F.when(depth < wet, 0.0).otherwise(depth).alias("depth"))
