@@ -419,7 +419,35 @@ def twi_index(spark: SparkSession, sf: str) -> DataFrame:
     return terrain.twi(views.cells(spark, sf)).select(*place(), r6("twi").alias("twi"))
 
 
-@query()
+#: Depressions of the filled surface, where each spills to, and what their overflow brings to the next, settled one by one from above.
+_SPILL = f"""{_CONDITIONED}, pool AS (SELECT r, c, k.z, fl.z AS f, r * {views.WIDTH} + c AS id FROM known k JOIN fl USING (r, c) WHERE fl.z - k.z > 0),
+pl(r, c, root) AS (SELECT r, c, id FROM pool UNION SELECT a.r, a.c, b.root FROM pl b JOIN pool a ON {_AB} WHERE b.root < a.id),
+plab AS (SELECT r, c, min(root) AS dep FROM pl GROUP BY r, c),
+deps AS (SELECT dep, max(f) AS pour, sum(f - z) * 900 AS cap FROM plab JOIN pool USING (r, c) GROUP BY dep HAVING count(*) >= 3 AND max(f - z) BETWEEN 0.5 AND 3.0),
+dcell AS (SELECT r, c, z, dep FROM plab JOIN pool USING (r, c) JOIN deps USING (dep)),
+rfall AS (SELECT a.r, a.c, {_D.format(a="a", b="b")} AS d, (a.z - b.z) / CASE WHEN a.r <> b.r AND a.c <> b.c THEN sqrt(2) ELSE 1 END AS s, b.r AS nr, b.c AS nc FROM known a JOIN known b ON {_AB} AND a.z > b.z),
+rstep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY s DESC, d) AS k FROM rfall) WHERE k = 1),
+rp0(r, c, tr, tc) AS (SELECT r, c, r, c FROM known UNION SELECT p.r, p.c, x.nr, x.nc FROM rp0 p JOIN rstep x ON x.r = p.tr AND x.c = p.tc),
+unit AS (SELECT dep, count(*) * 900.0::DOUBLE AS w FROM rp0 JOIN dcell ON dcell.r = tr AND dcell.c = tc WHERE (tr, tc) NOT IN (SELECT (r, c) FROM rstep) GROUP BY dep),
+step AS (SELECT a.r, a.c, b.r AS nr, b.c AS nc FROM cond a JOIN cond b ON a.d >= 0 AND {_AB} AND (a.r <> b.r OR a.c <> b.c) AND {_D.format(a="a", b="b")} = a.d),
+walk(dep, r, c, hit, fin) AS (SELECT dep, CAST(dep // {views.WIDTH} AS INTEGER), CAST(dep % {views.WIDTH} AS INTEGER), CAST(NULL AS BIGINT), (SELECT any_value(z < -0.8) FROM known WHERE known.r * {views.WIDTH} + known.c = dep) FROM deps
+  UNION ALL SELECT w.dep, s.nr, s.nc, CASE WHEN o.dep <> w.dep THEN o.dep END, coalesce(o.dep <> w.dep, FALSE) OR k.z < -0.8 FROM walk w JOIN step s ON s.r = w.r AND s.c = w.c JOIN known k ON k.r = s.nr AND k.c = s.nc LEFT JOIN dcell o ON o.r = s.nr AND o.c = s.nc WHERE NOT w.fin),
+spill AS (SELECT dep, max(hit) AS dest FROM walk GROUP BY dep),
+upto(dep, n) AS (SELECT dep, 0 FROM deps UNION SELECT s.dest, u.n + 1 FROM upto u JOIN spill s ON s.dep = u.dep WHERE s.dest IS NOT NULL AND u.n < 500),
+ranked AS (SELECT dep, row_number() OVER (ORDER BY max(n), dep) AS i FROM upto GROUP BY dep),
+lined AS (SELECT list(cap ORDER BY r.i) AS caps, list(coalesce(w, 0) ORDER BY r.i) AS units, list(coalesce(t.i, 0) ORDER BY r.i) AS dests FROM ranked r JOIN deps USING (dep) LEFT JOIN unit USING (dep) JOIN spill USING (dep) LEFT JOIN ranked t ON t.dep = spill.dest),
+rain AS (SELECT return_period, water_level_m AS x FROM levels WHERE hazard_type = 'pluvial'),
+fill(return_period, i, water) AS (SELECT return_period, 0, list_transform(units, lambda u: u * x) FROM rain, lined
+  UNION ALL SELECT return_period, i + 1, list_transform(water, lambda v, j: v + CASE WHEN j = dests[i + 1] THEN greatest(water[i + 1] - caps[i + 1], 0) ELSE 0 END) FROM fill, lined WHERE i < len(caps)),
+inflow AS (SELECT return_period, dep, water[ranked.i] AS v FROM fill, ranked, lined WHERE fill.i = len(caps)),
+bed AS (SELECT dep, z, count(*) OVER w AS n, sum(z) OVER w AS s FROM dcell WINDOW w AS (PARTITION BY dep ORDER BY z, r, c ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT return_period, dep, CASE WHEN v >= any_value(cap) THEN any_value(pour) WHEN v <= 0 THEN min(z) ELSE least(min((v / 900 + s) / n), any_value(pour)) END AS h FROM inflow JOIN bed USING (dep) JOIN deps USING (dep) GROUP BY return_period, dep, v)"""
+
+
+@query(
+    _SPILL.replace("known AS (", f"{SQL_LEVELS}, known AS (", 1)
+    + " SELECT g.r, g.c, return_period, round(CASE WHEN g.z IS NOT NULL THEN CASE WHEN coalesce(h - g.z, 0) < 0.05 THEN 0 ELSE h - g.z END END, 6) AS depth FROM cells g CROSS JOIN rain LEFT JOIN dcell USING (r, c) LEFT JOIN level USING (return_period, dep)"
+)
 def fill_spill_route(spark: SparkSession, sf: str) -> DataFrame:
     g = views.cells(spark, sf).select("row", "col", "z")
     topo = ponding.topography(g, g.where("z < -0.8").select("row", "col"), min_cells=3)
