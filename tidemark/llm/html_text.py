@@ -1,23 +1,25 @@
 """Main text of HTML pages by tag-path ratios.
 
 A page is read into text nodes, each with the path of open elements from the
-root to it; paths are numbered, so nesting of any depth costs one number an
-element.  Per path, text length, punctuation and link text are summed and
-divided by the number of its nodes; the ratios are smoothed over the nodes in
-page order and fused into one score, and paths above a threshold are content.
-Elements that by their tag, role or class are menus, headers, footers,
-sidebars, notices, adverts, forms, comments or code take no part; a path
-through an article or main element scores higher.
-
-The text runs from the first content node to the last.  Short lines and
-headings between these belong to it though their paths score low.  Before the
-first and after the last one, the smallest element that holds all content
-gives its headings, and, if it is or lies in an article or main element, all
-that it holds.
-
-Null, empty and textless pages give the empty text; rows that repeat count
-each, an empty table gives an empty one, and other columns, whatever their
-names, play no part.
+root to it.  A step of a path is an element's tag and class; paths are numbered,
+so nesting of any depth costs one number an element.  Per path, text length,
+punctuation and link text are summed and divided by the number of its nodes,
+inline elements counting to the block they stand in.  The ratios are smoothed
+over the nodes in page order and fused into one score with what the path itself
+tells: a path through an article or main element scores higher, one through an
+element whose class or id names a part that is no article far lower, and link
+text counts against it.  Nodes of paths above a threshold are content.
+
+What lies between content nodes, in an article or a heading has some support:
+there a node's path needs less, so short lines and list items stay, while
+adverts, reader comments and lists of links go by their scores.  Only elements
+that HTML itself sets apart by tag, role or as hidden take no part at all.
+
+Cases: null, empty and textless pages give the empty text.  Attributes are read
+by whole name, so what a title or address says drops nothing.  Long pages and
+deep nesting take time and memory in proportion.  Equal scores are treated
+alike; rows that repeat count each, an empty table gives an empty one, and other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -42,21 +44,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style noscript template iframe object svg math head title select button textarea canvas audio video datalist".split())
 #: Elements that are never part of an article; a header or footer inside one is dropped too if it is a footer.
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Words in class and id that name such parts, if the name holds nothing else but general words.
-OUTSIDE_WORDS = frozenset(
-    "alert aside complementary consent copyright dialog form gdpr hidden legal login modal notice notices notification overlay pager popup recommendations recommended related replies reply respond search "
-    "share sharing signup skip social subscribe subscription toolbar widget".split()
-)
-#: Words that name such parts wherever they begin or end a name.
-OUTSIDE_ENDS = frozenset(
-    "ad ads adv advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs comment commentlist comments cookie cookies disqus footer masthead menu nav navbar navigation newsletter "
-    "pagination promo promotion sidebar sponsor sponsored".split()
-)
-#: Words that say nothing about what a part holds.
-GENERAL_WORDS = frozenset(
-    "area article bar block blog body bottom box btn button buttons center col column container content entry fixed float global group head heading hot icon icons inline inner item items js left link links list main "
-    "new outer page panel post posts primary region right row secondary section site small sticky story text the thread title top user view wrap wrapper".split()
-)
+#: Parts that are no article, where a class or id is or ends in their name; headers only outside articles.
+PARTS = frozenset("ad ads advert adverts advertisement banner comment comments footer menu nav navigation notice notices sidebar".split())
+HEADERS = frozenset(("header", "masthead"))
 #: Roles of such parts.
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 #: A start tag of the key closes an open element of the values, if no scope element stands between.
@@ -72,38 +62,39 @@ TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?P<late>>|\Z)",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Nodes to either side that smoothing covers, how much higher paths through an article score, and the share of the mean score that content needs.
-REACH, ARTICLE_GAIN, THRESHOLD = 1, 4.0, 0.3
+#: Weights of a node and its neighbours in smoothing.
+WINDOW = (0.25, 0.5, 0.25)
+#: How much higher paths through an article and how much lower those through other parts score.
+ARTICLE_GAIN, PART_LOSS = 4.0, 0.05
+#: The share of the mean score that content needs, and what a node has without it between content, in an article or a heading.
+THRESHOLD, SUPPORT = 0.3, 0.5
 
 
-def _names_outside(name: str) -> bool:
-    words = [w.lower() for w in WORD.findall(name)]
-    if not words:
-        return False
-    if words[0] in OUTSIDE_ENDS or words[-1] in OUTSIDE_ENDS:
-        return True
-    telling = [w for w in words if w not in GENERAL_WORDS]
-    return bool(telling) and all(w in OUTSIDE_WORDS or w in OUTSIDE_ENDS for w in telling)
+def attributes(text: str) -> dict[str, str]:
+    """Attributes of a tag by lower-case name, the first of a name; one without a value has the empty one."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ("\"", "'") else value)
+    return found
 
 
-def _outside(tag: str, attrs: str) -> bool:
-    if tag in OUTSIDE:
+def _hidden(given: dict[str, str]) -> bool:
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true":
         return True
-    if not attrs.strip():
-        return False
-    for m in ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name in ("class", "id"):
-            if any(map(_names_outside, value.split())):
-                return True
-        elif name == "role":
-            if value.lower() in OUTSIDE_ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
+    declared = (d.partition(":") for d in given.get("style", "").lower().split(";"))
+    return any((prop.strip(), value.strip().partition(" ")[0]) in (("display", "none"), ("visibility", "hidden")) for prop, _, value in declared)
+
+
+def _names_part(given: dict[str, str], tag: str, in_article: bool) -> bool:
+    """Whether class or id name a part that is no article."""
+    for name in (given.get("class", "") + " " + given.get("id", "")).split():
+        words = WORD.findall(name)
+        last = words[-1].lower() if words else ""
+        if last in PARTS or last in HEADERS and not in_article and tag not in HEADINGS:
             return True
     return False
 
@@ -111,13 +102,16 @@ def _outside(tag: str, attrs: str) -> bool:
 class _Element:
     """An open or closed element: first and stop bound the text nodes in it."""
 
-    __slots__ = ("tag", "parent", "out", "depth", "path", "link", "article", "heading", "first", "stop")
+    __slots__ = ("tag", "parent", "out", "depth", "path", "block", "link", "article", "heading", "part", "first", "stop")
 
-    def __init__(self, tag: str, parent: _Element | None, out: bool, path: int, first: int) -> None:
+    def __init__(self, tag: str, parent: _Element | None, out: bool, part: bool, path: int, first: int) -> None:
         self.tag, self.parent, self.path, self.first, self.stop = tag, parent, path, first, None
         above = parent is not None
         self.out = out or above and parent.out
+        self.part = part or above and parent.part
         self.depth = parent.depth + 1 if above else 0
+        #: the path of the block that the element is or stands in
+        self.block = parent.block if above and tag in INLINE else path
         self.link = tag == "a" or above and parent.link
         self.article = tag in ("article", "main") or above and parent.article
         self.heading = tag in HEADINGS or above and parent.heading
@@ -130,8 +124,8 @@ class _Page:
     """The elements of a page, with the text nodes found so far and how many elements of each tag are open."""
 
     def __init__(self) -> None:
-        self.paths: dict[tuple[int, str], int] = {}
-        self.top = _Element("", None, False, 0, 0)
+        self.paths: dict[tuple[int, str, str], int] = {}
+        self.top = _Element("", None, False, False, 0, 0)
         self.nodes: list[Node] = []
         self.block = 0
         self.open: Counter = Counter()
@@ -139,9 +133,9 @@ class _Page:
     def text(self, text: str) -> None:
         self.nodes.append((self.top, self.block, text))
 
-    def start(self, tag: str, out: bool) -> None:
-        path = self.paths.setdefault((self.top.path, tag), len(self.paths) + 1)
-        self.top = _Element(tag, self.top, out, path, len(self.nodes))
+    def start(self, tag: str, out: bool, part: bool, label: str) -> None:
+        path = self.paths.setdefault((self.top.path, tag, label), len(self.paths) + 1)
+        self.top = _Element(tag, self.top, out, part, path, len(self.nodes))
         self.open[tag] += 1
 
     def close_to(self, parent: _Element) -> None:
@@ -202,8 +196,14 @@ def text_nodes(html: str) -> list[Node]:
             page.close(CLOSES[tag])
         if tag in VOID or m["attrs"].endswith("/") and tag in SILENT:
             continue
-        header = tag == "header" and not page.top.article
-        page.start(tag, header or tag in SILENT or _outside(tag, m["attrs"]) and tag not in ("html", "body", "article", "main"))
+        given = attributes(m["attrs"]) if m["attrs"].strip() else {}
+        out = tag in SILENT
+        if tag not in ("html", "body", "article", "main"):
+            header = tag == "header" and not page.top.article
+            out = out or header or tag in OUTSIDE or given.get("role", "").strip().lower() in OUTSIDE_ROLES or _hidden(given)
+            page.start(tag, out, _names_part(given, tag, page.top.article), given.get("class", "").rstrip("-_0123456789"))
+        else:
+            page.start(tag, out, False, "")
     if at < len(html):
         page.text(html[at:])
     page.close_to(root)
@@ -222,19 +222,34 @@ def path_table(nodes: list[Node]) -> dict[int, tuple[int, int, int, int]]:
 
 
 def path_scores(nodes: list[Node]) -> dict[int, float]:
-    """Per path the mean of its nodes' fused, smoothed ratios."""
+    """Per path the mean of its block's fused, smoothed ratios, raised in articles and lowered in other parts and by links."""
+    blocks: dict[int, list[int]] = defaultdict(lambda: [0, 0, 0, 0])
     table = path_table(nodes)
-    own = [table[e.path] for e, _, _ in nodes]
-    window = np.ones(2 * REACH + 1) / (2 * REACH + 1)
+    for path, block in {e.path: e.block for e, _, _ in nodes}.items():
+        blocks[block] = [x + y for x, y in zip(blocks[block], table[path])]
+    own = [blocks[e.block] for e, _, _ in nodes]
+    reach = len(WINDOW) // 2
 
     def smooth(x: list[float]) -> np.ndarray:
-        return np.convolve(np.pad(np.array(x, float), REACH, mode="edge"), window, mode="valid")
+        return np.convolve(np.pad(np.array(x, float), reach, mode="edge"), WINDOW, mode="valid")
 
     fused = smooth([length / count for length, _, count, _ in own]) * (1 + smooth([points / count for _, points, count, _ in own]))
     sums: dict[int, float] = defaultdict(float)
-    for (e, _, _), (length, _, count, linked), score in zip(nodes, own, fused):
-        sums[e.path] += score * (1 - linked / max(length, 1)) * (ARTICLE_GAIN if e.article else 1.0) / count
-    return sums
+    for (e, _, _), (_, _, count, _), score in zip(nodes, own, fused):
+        sums[e.block] += score / count
+    worth = path_worth(nodes)
+    return {e.path: sums[e.block] * worth[e.path] * (ARTICLE_GAIN if e.article else 1.0) for e, _, _ in nodes}
+
+
+def path_worth(nodes: list[Node]) -> dict[int, float]:
+    """Per path the share of its block's text that is no link, lowered in parts that are no article."""
+    table = path_table(nodes)
+    text: Counter = Counter()
+    linked: Counter = Counter()
+    for path, block in {e.path: e.block for e, _, _ in nodes}.items():
+        text[block] += table[path][0]
+        linked[block] += table[path][3]
+    return {e.path: (1 - linked[e.block] / max(text[e.block], 1)) * (PART_LOSS if e.part else 1.0) for e, _, _ in nodes}
 
 
 def _held_by(a: _Element, b: _Element) -> _Element:
@@ -253,9 +268,10 @@ def main_text(html: str) -> str:
     inside = [i for i, (e, _, t) in enumerate(nodes) if not e.out and t and not t.isspace()]
     if not inside:
         return ""
-    scores = path_scores([nodes[i] for i in inside])
-    lengths = [len(nodes[i][2]) for i in inside]
-    mean = sum(n * scores[nodes[i][0].path] for i, n in zip(inside, lengths)) / sum(lengths)
+    seen = [nodes[i] for i in inside]
+    scores, worth = path_scores(seen), path_worth(seen)
+    lengths = [len(t) for _, _, t in seen]
+    mean = sum(n * scores[e.path] for (e, _, _), n in zip(seen, lengths)) / sum(lengths)
     content = [i for i in inside if scores[nodes[i][0].path] >= THRESHOLD * mean]
     first, last = content[0], content[-1]
     # in page order the innermost element of all content is that of its first and last node
@@ -266,7 +282,13 @@ def main_text(html: str) -> str:
     ends = nodes[first][1], nodes[last][1]
     for i in range(holder.first, holder.stop):
         e, b, text = nodes[i]
-        if not e.out and (ends[0] <= b <= ends[1] or holder.article or e.heading):
+        # white space between the nodes of a block has no path of its own
+        if e.out or e.path not in scores:
+            if not e.out and b in blocks:
+                blocks[b].append(text)
+            continue
+        supported = ends[0] <= b <= ends[1] or holder.article or e.heading
+        if scores[e.path] >= THRESHOLD * mean or supported and scores[e.path] + SUPPORT * worth[e.path] * mean >= THRESHOLD * mean:
             blocks.setdefault(b, []).append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(x for x in lines if x)
