@@ -93,3 +93,71 @@ def test_counts_equal_library(spark):
 def test_whole_tokens_are_proved():
     c = C.Counter(BYTES)
     assert len(c.alone) > 45_000 and all(len(c.library.encode(t, add_special_tokens=False).ids) == 1 for t in list(c.alone)[:300])
+
+
+SCRIPTS = [(0x370, 0x3FF), (0x400, 0x4FF), (0x590, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x2000, 0x206F), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0x1F300, 0x1F6FF), (0x20, 0x7E)]
+
+
+def scripts(seed, n):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a, b = SCRIPTS[rng.integers(len(SCRIPTS))]
+        out.append("".join(chr(rng.integers(a, b)) if rng.random() < 0.85 else rng.choice(list(" ,.'0\n")) for _ in range(rng.integers(1, 40))))
+    return "".join(out)
+
+
+def test_other_scripts_take_the_whole_token_way():
+    texts = [scripts(i, 12) for i in range(200)] + ["".join(map(chr, range(a, b))) for a, b in SCRIPTS]
+    c = C.Counter(BYTES)
+    assert c.counts(texts) == [len(e.ids) for e in library(BYTES).encode_batch_fast(texts, add_special_tokens=False)]
+    assert c.pieces("слово, ещё") == ["слово", ",", " ещё"] and c.pieces("x<|y") == ["x<|y"]
+    want = [np.array(e.ids, "<u4").tobytes() for e in library(PATH).encode_batch_fast(texts, add_special_tokens=False)]
+    assert S.WordEncoder(PATH).packed(texts) == want
+
+
+def test_texts_without_spaces_are_not_remembered():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    encoder, counted = S.WordEncoder(PATH), C.Counter(BYTES)
+    for i in range(41):
+        if i == 1:
+            # what a first batch loads and learns of single characters stays
+            tracemalloc.start()
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1000))) for _ in range(500)]
+        encoder.packed(texts)
+        counted.counts(texts)
+    del texts
+    assert tracemalloc.get_traced_memory()[0] < 20e6
+    tracemalloc.stop()
+    # the empty sign behind words without one is all that is kept
+    assert len(encoder.words.recent) <= 1 and not counted.stretches.recent
+
+
+def test_memory_is_bounded_in_bytes():
+    memory = S.Memory(10**9, 100_000)
+    for i in range(0, 20_000, 100):
+        known, missed = memory.found([f"word{j}" for j in range(i, i + 100)])
+        assert known == [None] * 100 and len(missed) == 100
+        memory.keep({f"word{j}": j for j in range(i, i + 100)} | {"w" * 65: 1})
+    assert len(memory.recent) + len(memory.older) < 1200 and memory.held < 130_000
+    assert memory.found(["word19999", "w" * 65])[1] == [1]
+
+
+def test_altered_recipes_are_found(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = S.write_store(docs(spark), str(tmp_path / "s"), PATH)
+    for name, change in (("crc", {"crcs": F.transform("crcs", lambda x: x + 1)}), ("size", {"sizes": F.transform("sizes", lambda x: x + 1)}), ("root", {"digests": F.slice("digests", 1, 1), "crcs": F.slice("crcs", 1, 1), "sizes": F.slice("sizes", 1, 1)})):
+        to = str(tmp_path / name)
+        spark.read.parquet(f"{path}/objects").write.partitionBy("kind").parquet(f"{to}/objects")
+        spark.read.parquet(f"{path}/recipes").withColumns(change).write.parquet(f"{to}/recipes")
+        with pytest.raises(Exception, match="recipe"):
+            S.read_back(spark, to).collect()
+
+
+def test_repeated_empty_rows_without_an_end_id_stay(spark, tmp_path):
+    table = spark.createDataFrame([(1, ""), (1, None), (1, ""), (2, "word")], "doc_id long, text string")
+    got = sorted(map(tuple, S.read_back(spark, S.write_store(table, str(tmp_path / "s"), PATH, end_id=None)).collect()))
+    assert [r[:3] for r in got] == [(1, 0, 0)] * 3 + [(2, 0, 1)]

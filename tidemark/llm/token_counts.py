@@ -3,7 +3,10 @@
 Most pre-tokens of a text are themselves one token.  Which vocabulary strings
 encode alone as that one token is proved beforehand, by encoding each with the
 library; at count time a pre-token found among them counts one and only the
-rest is merged by the library, each distinct one once per process.
+rest is merged by the library.  Characters beyond the plain range are told by
+class (letter, number, white space, other sign), which the library's own
+splitting proves for each of them once, so texts in any script take the same
+way.  What a process remembers is bounded in entries and bytes.
 """
 
 from __future__ import annotations
@@ -46,35 +49,74 @@ def whole_tokens(library) -> frozenset[str]:
     return frozenset(proved)
 
 
+class Shapes(dict):
+    """Code points to a character of the same class in the pattern of pre-tokens; plain ones to themselves.
+
+    The library's splitting tells the class: what goes on a letter is a letter,
+    what goes on a number a number, and likewise for other signs.
+    """
+
+    def __init__(self, library) -> None:
+        super().__init__()
+        self.split = library.pre_tokenizer.pre_tokenize_str
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if not NOT_PLAIN.search(c):
+            shape = c
+        else:
+            shape = next((x for x in ("x", "0", "!") if len(self.split(x + c)) == 1), "\t")
+        self[code] = shape
+        return shape
+
+
 class Counter:
     """Counts tokens of whole texts.
 
-    Stretches outside the plain range go to the library by themselves; only
-    texts that hold separators which the library takes for signs go whole.
+    Only stretches that may hold special strings go to the library as they are,
+    and texts with separators which the library takes for signs go whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED, remembered_bytes: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.alone = whole_tokens(self.library)
-        self.stretches, self.merged = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.shapes = Shapes(self.library)
+        self.stretches, self.merged = Memory(remembered, remembered_bytes), Memory(remembered, remembered_bytes)
+
+    def pieces(self, stretch: str) -> list[str]:
+        """The pre-tokens of a stretch; one that may hold a special string is left whole."""
+        if "<|" in stretch:
+            return [stretch]
+        if not NOT_PLAIN.search(stretch):
+            return PRE_TOKEN.findall(stretch)
+        return [stretch[m.start() : m.end()] for m in PRE_TOKEN.finditer(stretch.translate(self.shapes))]
+
+    def _merged(self, pieces: list[str]) -> dict[str, int]:
+        """How many tokens the library makes of each of the distinct pieces."""
+        known, missed = self.merged.found(pieces)
+        for i in range(0, len(missed), 4096):
+            part = missed[i : i + 4096]
+            for at, made in zip(part, self.library.encode_batch_fast([pieces[j] for j in part], add_special_tokens=False)):
+                known[at] = len(made.ids)
+        self.merged.keep({pieces[i]: known[i] for i in missed})
+        return dict(zip(pieces, known))
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [None if NOT_SPACE.search(t) else STRETCH.findall(t) for t in texts]
-        new = self.stretches.unknown(set().union(*(s for s in split if s)))
-        odd = {s for s in new if NOT_PLAIN.search(s)}
-        parts = [(s,) if s in odd else PRE_TOKEN.findall(s) for s in new]
+        wanted = list(set().union(*(s for s in split if s)))
+        known, missed = self.stretches.found(wanted)
         alone = self.alone
-        rest = self.merged.unknown({p for s, ps in zip(new, parts) for p in ps if s in odd or p not in alone})
-        merged, known = self.merged.recent, self.stretches.recent
-        for i in range(0, len(rest), 4096):
-            part = rest[i : i + 4096]
-            merged.update(zip(part, (len(made.ids) for made in self.library.encode_batch_fast(part, add_special_tokens=False))))
-        known.update((s, merged[s] if s in odd else sum(1 if p in alone else merged[p] for p in ps)) for s, ps in zip(new, parts))
-        return [len(self.library.encode(t, add_special_tokens=False).ids) if s is None else sum(map(known.__getitem__, s)) for t, s in zip(texts, split)]
+        parts = [self.pieces(wanted[i]) for i in missed]
+        merged = self._merged(list({p for ps in parts for p in ps if p not in alone}))
+        for i, ps in zip(missed, parts):
+            known[i] = sum(merged.get(p, 1) for p in ps)
+        self.stretches.keep({wanted[i]: known[i] for i in missed})
+        own = dict(zip(wanted, known))
+        return [len(self.library.encode(t, add_special_tokens=False).ids) if s is None else sum(map(own.__getitem__, s)) for t, s in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)

@@ -11,7 +11,8 @@ File format (all tables are written by Spark in one folder)
                         unsigned 32-bit integers), n_ids, payload (the ids,
                         little-endian; 2 bytes each where the vocabulary fits,
                         else 4, named in ``width``)
-``objects/kind=recipe`` doc_id, digests in order, n_tokens, root
+``objects/kind=recipe`` doc_id, digests in order with the CRC-32 and number of
+                        ids of each chunk, n_tokens, root
 ``recipes``             the same recipes in ascending doc_id order, each with
                         ``start``, the number of ids before it
 ``manifest``            one row per recipe file with the Merkle root over its
@@ -20,8 +21,10 @@ File format (all tables are written by Spark in one folder)
 Chunks never cross documents.  One encoding pass feeds one shuffle: chunk rows
 travel by digest (each task sends a digest once, so a passage shared by a third
 of all documents adds a row per task, not per document), recipe rows by
-document.  Reading back joins chunk checksums, never payloads, to the recipes:
-the CRC-32 of a document follows from those of its chunks.
+document.  On reading, every chunk is held against its digest, and every distinct
+statement of a recipe about a chunk (digest, CRC-32, ids) against what the chunk
+holds; then the CRC-32 of a document follows from its own recipe, without a
+shuffle of documents.
 """
 
 from __future__ import annotations
@@ -49,10 +52,12 @@ MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
 WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
-#: Distinct words in each of the two generations that a process remembers.
-REMEMBERED = 400_000
+#: Distinct words in each of the two generations that a process remembers, the bytes these may take, and the longest word kept.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 400_000, 96 << 20, 64
 #: Bytes of text that are split at a time, about; a longer text goes alone.
-PORTION = 4 << 20
+PORTION = 8 << 20
+#: A sign after a word, which the tokenizer takes as a pre-token of its own.
+SIGNS = ".,;:!?"
 #: Letters and numbers below U+02B0, where lower-casing keeps lengths and nothing composes; U+0130 is left out.
 LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-įı-ʯ", "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: Words with other characters, odd white space or special strings go to the library as they are.
@@ -66,33 +71,36 @@ PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{
 
 
 class Memory:
-    """A bounded dictionary of two generations: what is used again outlives the rest."""
+    """A dictionary of two generations, bounded in entries and bytes: what is used again outlives the rest, long words are not kept."""
 
-    def __init__(self, most: int) -> None:
-        self.most, self.recent, self.older = most, {}, {}
+    def __init__(self, most: int, most_bytes: int | None = None) -> None:
+        self.most, self.most_bytes = most, REMEMBERED_BYTES if most_bytes is None else most_bytes
+        self.recent, self.older, self.held = {}, {}, 0
 
-    def unknown(self, wanted: set[str], turn: bool = True) -> list[str]:
-        """Those of ``wanted`` that must be worked out; the others are in ``recent`` until the generations turn."""
-        new = wanted.difference(self.recent)
-        if turn and len(self.recent) + len(new) > self.most:
-            self.older, self.recent, new = self.recent, {}, wanted
-        older = self.older
-        self.recent.update((w, older[w]) for w in new if w in older)
-        return list(new.difference(self.recent))
+    def _turn(self) -> None:
+        if len(self.recent) > self.most or self.held > self.most_bytes:
+            self.older, self.recent, self.held = self.recent, {}, 0
 
     def found(self, wanted: list[str]) -> tuple[list, list[int]]:
         """What is known of each of ``wanted``, and the places of those of which nothing is."""
-        if len(self.recent) > self.most:
-            self.older, self.recent = self.recent, {}
-        known, older, missed = list(map(self.recent.get, wanted)), self.older, []
+        self._turn()
+        known, older, missed, again = list(map(self.recent.get, wanted)), self.older, [], {}
         for i in [i for i, x in enumerate(known) if x is None]:
             known[i] = older.get(wanted[i])
             if known[i] is None:
                 missed.append(i)
             else:
-                self.recent[wanted[i]] = known[i]
+                again[wanted[i]] = known[i]
+        self.keep(again)
         return known, missed
 
+    def keep(self, new: dict) -> None:
+        """Remember ``new``, but for words longer than LONGEST."""
+        # a string and a packed value take some 50 bytes more than they hold, an entry of the table about 100
+        fit = {w: x for w, x in new.items() if len(w) <= LONGEST}
+        self.held += sum(200 + 2 * len(w) for w in fit)
+        self.recent.update(fit)
+
 
 def arrow_portions(texts: pa.Array, size: int = PORTION) -> Iterator[tuple[int, int]]:
     """(first, stop) of runs of rows of a batch that hold about ``size`` bytes of text each."""
@@ -147,7 +155,7 @@ class WordEncoder:
                 out.update((w, self._whole(w)) for w in unknown)
         out.update((w, b"".join(map(out.__getitem__, own))) for w, own in parts.items())
         out.update(odd)
-        self.words.recent.update(out)
+        self.words.keep(out)
         return list(map(out.__getitem__, words))
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -176,16 +184,35 @@ class WordEncoder:
         else:
             words, counts = self._split(texts)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        data, sizes = self._coded(coded.dictionary, odd.any())
+        at = coded.indices.to_numpy()
+        own = sizes[at]
+        out = data[_runs((np.cumsum(sizes) - sizes)[at], own)]
+        return out, np.concatenate([[0], np.cumsum(own)])[np.cumsum(counts)]
+
+    def _coded(self, words: pa.Array, odd: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words one after another, and how many each has.
+
+        A word of letters with a sign behind it is looked up without the sign,
+        so words are remembered once, wherever they stand in a sentence.
+        """
+        bare = pc.utf8_rtrim(words, SIGNS)
+        signed = pc.and_(pc.utf8_is_alpha(bare), pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(bare)), 1))
+        if odd:
+            signed = pc.and_not(signed, pc.match_substring_regex(words, NOT_PLAIN_ARROW))
+        signed = pc.fill_null(signed, False)
+        after = pc.if_else(signed, pc.utf8_slice_codeunits(words, -1), "")
+        both = pa.concat_arrays([pc.if_else(signed, bare, words), after]).dictionary_encode()
+        distinct = both.dictionary.to_pylist()
         known, missed = self.words.found(distinct)
         if missed:
-            for i, ids in zip(missed, self._learn([distinct[i] for i in missed], not odd.any())):
+            for i, ids in zip(missed, self._learn([distinct[i] for i in missed], not odd)):
                 known[i] = ids
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        at = coded.indices.to_numpy()
-        own = sizes[at]
-        out = np.frombuffer(b"".join(known), "<u4")[_runs((np.cumsum(sizes) - sizes)[at], own)]
-        return out, np.concatenate([[0], np.cumsum(own)])[np.cumsum(counts)]
+        # the word itself and its sign, in turn
+        at = both.indices.to_numpy().reshape(2, len(words)).T.ravel()
+        data = np.frombuffer(b"".join(known), "<u4")[_runs((np.cumsum(sizes) - sizes)[at], sizes[at])]
+        return data, sizes[at].reshape(len(words), 2).sum(axis=1)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -277,7 +304,7 @@ def joined_crc(crc: int, next_crc: int, n_bytes: int) -> int:
     return zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ next_crc
 
 
-_OBJECT = "key long, kind string, doc_id long, n_tokens long, digests array<binary>, root binary, digest binary, n_ids int, width int, payload binary"
+_OBJECT = "key long, kind string, doc_id long, n_tokens long, digests array<binary>, crcs array<long>, sizes array<int>, root binary, digest binary, n_ids int, width int, payload binary"
 
 
 def forget() -> None:
@@ -307,17 +334,20 @@ def _encoder(path: str, end_id: int | None, remembered: int | None = None):
                         ids, ends = np.insert(ids, ends, end_id), ends + np.arange(1, len(ends) + 1)
                     ids = ids.astype("<u4")
                     names, lengths, payloads = [], [], []
-                    counts, lists, roots = [], [], []
+                    counts, lists, crcs, sizes, roots = [], [], [], [], []
                     data, small = ids.tobytes(), ids.astype(f"<u{width}").tobytes()
                     found = places(ids, ends)
                     marks, found = np.searchsorted(found, ends, side="right").tolist(), found.tolist()
                     last = mark = 0
                     for end, next_mark in zip(ends.tolist(), marks):
                         counts.append(end - last)
-                        own = []
+                        own, own_crcs, own_sizes = [], [], []
                         for cut_at in chunk_ends(found[mark:next_mark], last, end):
-                            name = digest(data[4 * last : 4 * cut_at])
+                            part = data[4 * last : 4 * cut_at]
+                            name = digest(part)
                             own.append(name)
+                            own_crcs.append(zlib.crc32(part))
+                            own_sizes.append(cut_at - last)
                             if name not in sent:
                                 sent.add(name)
                                 names.append(name)
@@ -326,10 +356,12 @@ def _encoder(path: str, end_id: int | None, remembered: int | None = None):
                             last = cut_at
                         mark = next_mark
                         lists.append(own)
+                        crcs.append(own_crcs)
+                        sizes.append(own_sizes)
                         roots.append(merkle(own))
                     if len(sent) > SENT:
                         sent.clear()
-                    yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, root=roots)
+                    yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, crcs=crcs, sizes=sizes, root=roots)
                     if names:
                         yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
         finally:
@@ -344,7 +376,7 @@ def _number(name: bytes) -> int:
 
 _ARROW = pa.schema(
     [
-        ("key", pa.int64()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())),
+        ("key", pa.int64()), ("kind", pa.string()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("crcs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
         ("root", pa.binary()), ("digest", pa.binary()), ("n_ids", pa.int32()), ("width", pa.int32()), ("payload", pa.binary()),
     ]
 )
@@ -374,7 +406,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.repartition(n, "key").sortWithinPartitions("key", "digest").mapInArrow(_once, _OBJECT).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     objects = spark.read.schema(_OBJECT.removeprefix("key long, ")).parquet(f"{path}/objects")
-    recipes = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "root")
+    recipes = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "crcs", "sizes", "root")
     ranged = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("file_no", F.spark_partition_id())
     ranged.mapInArrow(_placed, _PLACED).write.option("compression", "zstd").parquet(f"{path}/ordered")
     ordered = spark.read.schema(_PLACED).parquet(f"{path}/ordered")
@@ -383,12 +415,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     before = cut(files.withColumn("before", F.coalesce(F.sum("file_tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     # at most one row per shuffle partition
     placed = ordered.join(F.broadcast(before.select("file_no", "before")), "file_no")
-    placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "digests", "root", "file_no").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    placed.select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "digests", "crcs", "sizes", "root", "file_no").write.option("compression", "zstd").parquet(f"{path}/recipes")
     before.select("file_no", F.col("file_docs").alias("n_docs"), F.col("file_root").alias("root")).write.parquet(f"{path}/manifest")
     return path
 
 
-_PLACED = "doc_id long, n_tokens long, digests array<binary>, root binary, file_no int, inside long, file_docs long, file_root binary"
+_PLACED = "doc_id long, n_tokens long, digests array<binary>, crcs array<long>, sizes array<int>, root binary, file_no int, inside long, file_docs long, file_root binary"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,7 +445,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(*held, True)
 
 
-_RECIPE = "doc_id long, start long, n_tokens long, digests array<binary>, root binary, file_no int"
+_RECIPE = "doc_id long, start long, n_tokens long, digests array<binary>, crcs array<long>, sizes array<int>, root binary, file_no int"
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -442,33 +474,35 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs, counts = [], []
-        for root, parts in zip(batch["root"].to_pylist(), batch["parts"].to_pylist()):
-            parts.sort(key=lambda p: p["seq"])
-            if merkle([p["digest"] for p in parts if p["digest"] is not None]) != root:
+        whole = []
+        for root, n_tokens, digests, crcs, sizes in zip(*(batch[c].to_pylist() for c in ("root", "n_tokens", "digests", "crcs", "sizes"))):
+            if merkle(digests) != root or sum(sizes) != n_tokens:
                 raise ValueError("a recipe does not match its Merkle root")
-            crc = n = 0
-            for p in parts:
-                if p["digest"] is None:
-                    continue
-                if p["crc"] is None:
-                    raise ValueError(f"chunk {p['digest'].hex()} is missing from the store")
-                crc, n = joined_crc(crc, p["crc"], 4 * p["n_ids"]), n + p["n_ids"]
-            crcs.append(crc)
-            counts.append(n)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            crc = 0
+            for part, n_ids in zip(crcs, sizes):
+                crc = joined_crc(crc, part, 4 * n_ids)
+            whole.append(crc)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["start"], batch["n_tokens"], pa.array(whole, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+
+def verify(spark: SparkSession, path: str) -> None:
+    """Raises if a chunk does not hold what its digest says, or a recipe states anything else about a chunk than what is stored."""
+    facts = read_chunks(spark, path).mapInArrow(_checked, "digest binary, n_ids int, crc long")
+    stated = read_recipes(spark, path).select(F.explode(F.arrays_zip("digests", "sizes", "crcs")).alias("x")).select(F.col("x.digests").alias("digest"), F.col("x.sizes").alias("n_ids"), F.col("x.crcs").alias("crc")).distinct()
+    wrong = stated.join(facts, ["digest", "n_ids", "crc"], "left_anti").first()
+    if wrong:
+        raise ValueError(f"chunk {wrong.digest.hex()} is missing from the store or not what a recipe says")
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
 
-    Every chunk is hashed again and every recipe's Merkle root recomputed; a
-    missing or altered chunk or recipe raises.
+    Every chunk is hashed again, every recipe's Merkle root recomputed, and
+    every statement of a recipe held against the chunks; a missing or altered
+    chunk or recipe raises.  Rows are those of the recipes, repeated ones too.
     """
-    facts = read_chunks(spark, path).mapInArrow(_checked, "digest binary, n_ids int, crc long")
-    uses = read_recipes(spark, path).select("doc_id", "start", "root", F.posexplode_outer("digests").alias("seq", "digest"))
-    parts = uses.join(facts, "digest", "left").groupBy("doc_id", "start", "root").agg(F.collect_list(F.struct("seq", "digest", "n_ids", "crc")).alias("parts"))
-    return parts.select("doc_id", "start", "root", "parts").mapInArrow(_folded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    verify(spark, path)
+    return read_recipes(spark, path).select("doc_id", "start", "n_tokens", "digests", "crcs", "sizes", "root").mapInArrow(_folded, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def reconstruct(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
