@@ -125,14 +125,14 @@ def test_texts_without_spaces_are_not_remembered():
         if i == 1:
             # what a first batch loads and learns of single characters stays
             tracemalloc.start()
-        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1000))) for _ in range(500)]
+        texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 300))) for _ in range(500)]
         encoder.packed(texts)
         counted.counts(texts)
     del texts
     assert tracemalloc.get_traced_memory()[0] < 20e6
     tracemalloc.stop()
     # the empty sign behind words without one is all that is kept
-    assert len(encoder.words.recent) <= 1 and not counted.stretches.recent
+    assert len(encoder.words.words) <= 1 and not counted.stretches.recent
 
 
 def test_memory_is_bounded_in_bytes():
@@ -145,6 +145,22 @@ def test_memory_is_bounded_in_bytes():
     assert memory.found(["word19999", "w" * 65])[1] == [1]
 
 
+def test_lexicon_is_bounded_and_keeps_what_is_used():
+    import pyarrow as pa
+
+    for lexicon in (S.Lexicon(1000), S.Lexicon(10**9, 40_000)):
+        lexicon.add(pa.array(["often", "w" * 65]), np.array([7, 8, 9], "<u4"), np.array([2, 1]))
+        for i in range(0, 20_000, 100):
+            assert lexicon.places(pa.array(["often", "w" * 65])).tolist()[1] == -1
+            words = pa.array([f"word{j}" for j in range(i, i + 100)])
+            assert (lexicon.places(words) == -1).all()
+            lexicon.add(words, np.arange(i, i + 100, dtype="<u4"), np.ones(100, np.int64))
+            assert len(lexicon.words) <= 1100
+        often, last = lexicon.places(pa.array(["often", "word19999"])).tolist()
+        assert lexicon.ids[lexicon.firsts[often] : lexicon.firsts[often] + 2].tolist() == [7, 8]
+        assert lexicon.ids[lexicon.firsts[last]] == 19_999
+
+
 def test_altered_recipes_are_found(spark, tmp_path):
     from pyspark.sql import functions as F
 

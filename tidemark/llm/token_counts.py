@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import claim, documents, portions
-from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, REMEMBERED, Memory
+from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, Memory
+
+#: Characters of text whose distinct stretches are looked up at a time, about.
+PORTION = 4 << 20
+#: Stretches, and pieces that were merged, in each of the two generations that a process remembers, and the bytes these may take.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
 
 #: White space to Python, but not to the library.
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -77,7 +82,7 @@ class Counter:
     and texts with separators which the library takes for signs go whole.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED, remembered_bytes: int | None = None) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED, remembered_bytes: int = REMEMBERED_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -137,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 512, id_col: str
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim("token counts", counter.cache_clear)
         for batch in batches:
-            yield pa.array([n for (texts,) in portions(batch) for n in counter(tokenizer).counts(texts)], pa.int64())
+            yield pa.array([n for (texts,) in portions(batch, rows=4096, size=PORTION) for n in counter(tokenizer).counts(texts)], pa.int64())
 
     count.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     own = documents(docs, id_col, text_col)

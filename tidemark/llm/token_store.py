@@ -52,8 +52,8 @@ MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 64, 256, 1024
 WINDOW, BASE = 16, 0x9E3779B97F4A7C15
 #: Digests a task remembers having sent.
 SENT = 500_000
-#: Distinct words in each of the two generations that a process remembers, the bytes these may take, and the longest word kept.
-REMEMBERED, REMEMBERED_BYTES, LONGEST = 400_000, 96 << 20, 64
+#: Words that a process remembers, the bytes these may take, and the longest word kept.
+REMEMBERED, REMEMBERED_BYTES, LONGEST = 800_000, 96 << 20, 64
 #: Bytes of text that are split at a time, about; a longer text goes alone.
 PORTION = 8 << 20
 #: A sign after a word, which the tokenizer takes as a pre-token of its own.
@@ -102,6 +102,42 @@ class Memory:
         self.recent.update(fit)
 
 
+class Lexicon:
+    """Words as an Arrow array with their ids one after another; bounded in entries and bytes, what was used longest ago goes first."""
+
+    def __init__(self, most: int, most_bytes: int | None = None) -> None:
+        self.most, self.most_bytes = most, REMEMBERED_BYTES if most_bytes is None else most_bytes
+        self.words, self.ids = pa.array([], pa.string()), np.empty(0, "<u4")
+        self.firsts, self.sizes, self.used = (np.empty(0, np.int64) for _ in range(3))
+        self.clock = 0
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Where each of ``words`` stands, -1 if it is not known."""
+        self.clock += 1
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        self.used[at[at >= 0]] = self.clock
+        return at
+
+    def add(self, words: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Remember new, distinct words, but for those longer than LONGEST; ``ids`` holds ``sizes`` of each, in turn."""
+        short = pc.less_equal(pc.utf8_length(words), LONGEST).to_numpy(zero_copy_only=False)
+        if not short.all():
+            ids = ids[_runs((np.cumsum(sizes) - sizes)[short], sizes[short])]
+            words, sizes = words.filter(pa.array(short)), sizes[short]
+        self.words = pa.concat_arrays([self.words, words])
+        self.firsts = np.concatenate([self.firsts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.used = np.concatenate([self.used, np.full(len(sizes), self.clock)])
+        entries, size = len(self.words), self.words.nbytes + self.ids.nbytes + 24 * len(self.words)
+        if entries > self.most or size > self.most_bytes:
+            # half of what the bounds allow is left
+            left = min(self.most, int(entries * self.most_bytes / size)) // 2
+            kept = np.sort(np.argsort(-self.used, kind="stable")[:left])
+            self.words, self.ids = self.words.take(pa.array(kept)), self.ids[_runs(self.firsts[kept], self.sizes[kept])]
+            self.sizes, self.used = self.sizes[kept], self.used[kept]
+            self.firsts = np.cumsum(self.sizes) - self.sizes
+
+
 def arrow_portions(texts: pa.Array, size: int = PORTION) -> Iterator[tuple[int, int]]:
     """(first, stop) of runs of rows of a batch that hold about ``size`` bytes of text each."""
     lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -129,7 +165,7 @@ class WordEncoder:
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words = Memory(REMEMBERED if remembered is None else remembered)
+        self.words = Lexicon(REMEMBERED if remembered is None else remembered)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -138,12 +174,17 @@ class WordEncoder:
         """The packed ids of new words, through their pre-tokens."""
         odd = {} if plain else {w: self._whole(w) for w in words if NOT_PLAIN.search(w)}
         parts = {w: PRE_TOKEN.findall(w) for w in words if not w.isalpha() and w not in odd}
-        # a pre-token is a word too, so words and pre-tokens share one memory
+        out: dict[str, bytes] = {}
+        # a pre-token is a word too, and may be known
         pieces = list(set(chain.from_iterable(parts.values())))
-        known, missed = self.words.found(pieces)
-        out = dict(zip(pieces, known))
+        known = self.words.places(pa.array(pieces, pa.string())).tolist()
+        for piece, at in zip(pieces, known):
+            if at >= 0:
+                first = self.words.firsts[at]
+                out[piece] = self.words.ids[first : first + self.words.sizes[at]].tobytes()
         unknown = [w for w in words if w not in parts and w not in odd and w not in out]
-        unknown += [pieces[i] for i in missed]
+        asked = set(unknown)
+        unknown += [p for p in pieces if p not in out and p not in asked]
         if unknown:
             # every pre-token ends with an id of a token that ends a word, so one call serves them all
             ids = np.array(self.library.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
@@ -155,7 +196,6 @@ class WordEncoder:
                 out.update((w, self._whole(w)) for w in unknown)
         out.update((w, b"".join(map(out.__getitem__, own))) for w, own in parts.items())
         out.update(odd)
-        self.words.keep(out)
         return list(map(out.__getitem__, words))
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -203,16 +243,22 @@ class WordEncoder:
         signed = pc.fill_null(signed, False)
         after = pc.if_else(signed, pc.utf8_slice_codeunits(words, -1), "")
         both = pa.concat_arrays([pc.if_else(signed, bare, words), after]).dictionary_encode()
-        distinct = both.dictionary.to_pylist()
-        known, missed = self.words.found(distinct)
-        if missed:
-            for i, ids in zip(missed, self._learn([distinct[i] for i in missed], not odd)):
-                known[i] = ids
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        known = self.words.places(both.dictionary)
+        missing = known < 0
+        data, firsts, sizes = self.words.ids, self.words.firsts, self.words.sizes
+        if missing.any():
+            new = both.dictionary.filter(pa.array(missing))
+            packed = self._learn(new.to_pylist(), not odd)
+            more = np.frombuffer(b"".join(packed), "<u4")
+            lengths = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+            # new words stand behind the known ones
+            known = np.where(missing, len(sizes) + np.cumsum(missing) - 1, known)
+            firsts, sizes = np.concatenate([firsts, len(data) + np.cumsum(lengths) - lengths]), np.concatenate([sizes, lengths])
+            data = np.concatenate([data, more])
+            self.words.add(new, more, lengths)
         # the word itself and its sign, in turn
-        at = both.indices.to_numpy().reshape(2, len(words)).T.ravel()
-        data = np.frombuffer(b"".join(known), "<u4")[_runs((np.cumsum(sizes) - sizes)[at], sizes[at])]
-        return data, sizes[at].reshape(len(words), 2).sum(axis=1)
+        at = known[both.indices.to_numpy().reshape(2, len(words)).T.ravel()]
+        return data[_runs(firsts[at], sizes[at])], sizes[at].reshape(len(words), 2).sum(axis=1)
 
     def packed(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -361,7 +407,7 @@ def _encoder(path: str, end_id: int | None, remembered: int | None = None):
                         roots.append(merkle(own))
                     if len(sent) > SENT:
                         sent.clear()
-                    yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode())) for d in doc_ids], doc_id=doc_ids, n_tokens=counts, digests=lists, crcs=crcs, sizes=sizes, root=roots)
+                    yield rows("recipe", len(doc_ids), key=[_number(digest(repr(d).encode() + root)) for d, root in zip(doc_ids, roots)], doc_id=doc_ids, n_tokens=counts, digests=lists, crcs=crcs, sizes=sizes, root=roots)
                     if names:
                         yield rows("chunk", len(names), key=list(map(_number, names)), digest=names, n_ids=lengths, width=[width] * len(names), payload=payloads)
         finally:
@@ -382,17 +428,6 @@ _ARROW = pa.schema(
 )
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by digest, the first of each; rows without one all stay."""
-    last = b""
-    for batch in batches:
-        keep = []
-        for name in batch["digest"].to_pylist():
-            keep.append(name is None or name != last)
-            last = name
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> str:
     """Encode ``docs`` and write the store described above to ``path``.
 
@@ -404,7 +439,10 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None =
     spark = docs.sparkSession
     made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id, remembered), _OBJECT)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made.repartition(n, "key").sortWithinPartitions("key", "digest").mapInArrow(_once, _OBJECT).drop("key").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
+    # of the chunks that tasks have sent, the first of each digest; the window takes the partitioning as it is
+    before = F.lag("digest").over(Window.partitionBy("key").orderBy("digest"))
+    once = made.repartition(n, "key").withColumn("_before", before).where("kind = 'recipe' or _before is null or _before <> digest")
+    once.drop("key", "_before").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/objects")
     objects = spark.read.schema(_OBJECT.removeprefix("key long, ")).parquet(f"{path}/objects")
     recipes = objects.where("kind = 'recipe'").select("doc_id", "n_tokens", "digests", "crcs", "sizes", "root")
     ranged = recipes.repartitionByRange(n, "doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("file_no", F.spark_partition_id())
