@@ -11,7 +11,7 @@ from tidemark.functions import hydrology as H
 from tidemark.operators import graph, grid, scoring, zonal
 from tidemark.operators import series as S
 from tidemark.plans import checks, diagnostics, forcing, hazard, views
-from tidemark.plans.views import SQL_CELLS, SQL_LEVELS, SQL_POINTS, SQL_SERIES
+from tidemark.plans.views import SQL_CELLS, SQL_LEVELS, SQL_POINTS, SQL_SERIES, SQL_TABLE_LEVELS
 from tidemark.queries import _BATH, _GUMBEL, _HITS, _PATH, _PERIODS, _bath, _law, _scored, place, query, r6, smooth
 from tidemark.sources import tables
 from tidemark.sources.storage import scratch
@@ -61,11 +61,11 @@ def warming_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SQL_LEVELS}, b AS (SELECT *, CASE WHEN return_period > 100 THEN 'gauge; v2' ELSE 'gauge' END AS s FROM levels) SELECT hazard_type, return_period, CASE WHEN hazard_type = 'coastal' AND return_period <= 100 THEN round(water_level_m + 0.95 - 1.2, 4) ELSE round(water_level_m, 6) END AS level_m, "
+    f"WITH {SQL_TABLE_LEVELS}, b AS (SELECT *, CASE WHEN return_period > 100 THEN 'gauge; v2' ELSE 'gauge' END AS s FROM levels) SELECT hazard_type, return_period, CASE WHEN hazard_type = 'coastal' AND return_period <= 100 THEN round(water_level_m + 0.95 - 1.2, 4) ELSE round(water_level_m, 6) END AS level_m, "
     "CASE WHEN hazard_type = 'coastal' AND return_period <= 100 THEN 'gauge; v2' ELSE s END AS source_note, CASE WHEN hazard_type = 'coastal' AND return_period <= 100 THEN 'EGM2008; MSL+0.950 m' ELSE 'EGM2008; MSL+1.200 m' END AS datum_note FROM b"
 )
 def datum_patch(spark: SparkSession, sf: str) -> DataFrame:
-    base = views.levels(spark).select("hazard_type", "return_period", F.col("water_level_m").alias("baseline_water_level_m"), F.when(F.col("return_period") > 100, "gauge; v2").otherwise("gauge").alias("source_note"), H.datum_note(F.lit(1.2)).alias("datum_note"))
+    base = views.table_levels(spark, sf).select("hazard_type", "return_period", F.col("water_level_m").alias("baseline_water_level_m"), F.when(F.col("return_period") > 100, "gauge; v2").otherwise("gauge").alias("source_note"), H.datum_note(F.lit(1.2)).alias("datum_note"))
     return forcing.patched_datum(base, 0.95, "v2").select("hazard_type", "return_period", r6("baseline_water_level_m").alias("level_m"), "source_note", "datum_note")
 
 
@@ -92,11 +92,11 @@ def record_splicing(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SQL_LEVELS}, x AS (SELECT return_period, least(water_level_m + (water_level_m * 0.5 + 0.01 * (return_period % 3)) * 1.8 / 4.0, 0.5) AS v FROM levels WHERE hazard_type = 'pluvial') "
+    f"WITH {SQL_TABLE_LEVELS}, x AS (SELECT return_period, least(water_level_m + (water_level_m * 0.5 + 0.01 * (return_period % 3)) * 1.8 / 4.0, 0.5) AS v FROM levels WHERE hazard_type = 'pluvial') "
     "SELECT return_period, round(v, 6) AS water_level_m, coalesce(v >= lag(v) OVER (ORDER BY return_period), TRUE) AS rises FROM x"
 )
 def interpolated_pluvial(spark: SparkSession, sf: str) -> DataFrame:
-    base = views.levels(spark).where("hazard_type = 'pluvial'").withColumn("city", F.lit("a"))
+    base = views.table_levels(spark, sf).where("hazard_type = 'pluvial'").withColumn("city", F.lit("a"))
     top = base.withColumn("water_level_m", F.col("water_level_m") * 1.5 + 0.01 * (F.col("return_period") % 3))
     return forcing.interpolated_levels(base, top, 1.8, 4.0, by=("city",)).select("return_period", r6("water_level_m").alias("water_level_m"), "rises")
 
@@ -254,8 +254,8 @@ def event_bracket(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS ts, CASE WHEN sum(value) - 100 >= 0 THEN round(sum(value) - 100, 4) END AS value FROM events GROUP BY 1")
 def rain_payload(spark: SparkSession, sf: str) -> DataFrame:
     hours = views.table(spark, sf, "events").groupBy(F.date_trunc("hour", "ts").alias("h")).agg((F.sum("value") - 100).alias("v"))
-    pairs = hours.agg(F.sort_array(F.collect_list(F.struct(F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("t"), "v"))).alias("p"))
-    # every time twice: the second of equal times has no say
+    pairs = hours.groupBy(F.to_date("h").alias("day")).agg(F.sort_array(F.collect_list(F.struct(F.date_format("h", "yyyy-MM-dd'T'HH:mm").alias("t"), "v"))).alias("p"))
+    # one payload a day; every time twice: the second of equal times has no say
     twice = F.concat("p", F.transform("p", lambda x: F.struct(x["t"].alias("t"), (x["v"] + 1000).alias("v"))))
     payload = pairs.select(F.to_json(F.struct(F.struct(F.transform(twice, lambda x: x["t"]).alias("time"), F.transform(twice, lambda x: x["v"]).alias("precipitation")).alias("hourly"))).alias("payload"))
     return tables.hourly_payload(payload).select("ts", F.round("value", 4).alias("value"))

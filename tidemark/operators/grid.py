@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Neighbour offsets (row, col); the first four are the edge neighbours.
 OFFSETS = ((-1, 0), (0, 1), (1, 0), (0, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
@@ -32,7 +33,10 @@ def cell_id(grid: Column | None, row: Column, column: Column) -> Column:
 
 
 def with_id(df: DataFrame, name: str = "cell") -> DataFrame:
-    return df.withColumn(name, cell_id(F.col("grid") if "grid" in df.columns else None, F.col("row"), F.col("col")))
+    """``df`` with the numbers of its cells; an error where a row or column is too large for one."""
+    number = cell_id(F.col("grid") if "grid" in df.columns else None, F.col("row"), F.col("col"))
+    fits = F.col("row").between(0, (1 << _SHIFT) - 1) & F.col("col").between(0, (1 << _SHIFT) - 1)
+    return df.withColumn(name, F.when(fits, number).when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.raise_error(F.lit("rows and columns must lie between 0 and 2**24 - 1")).cast("long")))
 
 
 def id_parts(cell: Column) -> tuple[Column, Column, Column]:
@@ -123,18 +127,30 @@ def spikes_repaired(df: DataFrame, value: str = "z", floor: float = -10.0, windo
 
 
 def void_filled(df: DataFrame, value: str, void: Column, radius: int = 5, smoothing: int = 0) -> DataFrame:
-    """Void cells take the inverse-distance mean of the known cells within ``radius``, then ``smoothing`` passes of 3x3 means.
+    """Void cells take the inverse-distance mean of the nearest known cell in each of eight directions, then ``smoothing`` passes of 3x3 means.
 
-    Approximates directional void filling; cells beyond the radius stay null.
+    Rows, columns and both diagonals are searched by windows over them, up to
+    ``radius`` cells away; cells that see no known one stay null.
     """
     k = keys(df)
-    around = tuple((dr, dc) for dr in range(-radius, radius + 1) for dc in range(-radius, radius + 1) if 0 < dr * dr + dc * dc <= radius * radius)
+    extra = [c for c in k if c == "grid"]
     marked = df.withColumn("_void", F.coalesce(void, F.lit(False)) | F.col(value).isNull())
-    asks = reached(marked.where("_void").select(*k), around, *[F.col(c).alias(f"to_{c}") for c in k])
-    apart = (F.col("row") - F.col("to_row")) * (F.col("row") - F.col("to_row")) + (F.col("col") - F.col("to_col")) * (F.col("col") - F.col("to_col"))
-    answers = asks.join(marked.where("not _void").select(*k, F.col(value).alias("v")), k).withColumn("w", 1.0 / apart)
-    filled = answers.groupBy(*[F.col(f"to_{c}").alias(c) for c in k]).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m"))
-    out = marked.join(filled, k, "left").withColumn(value, F.when(F.col("_void"), F.col("m")).otherwise(F.col(value))).drop("m")
+    known = F.when(~F.col("_void"), F.struct(F.col("row").alias("r"), F.col("col").alias("c"), F.col(value).alias("v")))
+    seen = marked.withColumn("_known", known)
+    axes = ((F.col("row"), "col", 1.0), (F.col("col"), "row", 1.0), (F.col("row") - F.col("col"), "row", 2**0.5), (F.col("row") + F.col("col"), "row", 2**0.5))
+    found = []
+    for i, (line, order, step) in enumerate(axes):
+        far = int(radius / step)
+        if far < 1:
+            continue
+        along = Window.partitionBy(*extra, line).orderBy(order)
+        seen = seen.withColumn(f"_b{i}", F.last("_known", ignorenulls=True).over(along.rangeBetween(-far, -1))).withColumn(f"_a{i}", F.first("_known", ignorenulls=True).over(along.rangeBetween(1, far)))
+        found += [(F.col(f"_{side}{i}"), step, order) for side in "ba"]
+    weight = lambda x, step, order: F.when(x.isNotNull(), 1.0 / (F.abs(x["r" if order == "row" else "c"] - F.col(order)) * step))
+    weighed = [(x["v"], weight(x, step, order)) for x, step, order in found]
+    total = sum((F.coalesce(w, F.lit(0.0)) for _, w in weighed), F.lit(0.0))
+    mean = sum((F.coalesce(v * w, F.lit(0.0)) for v, w in weighed), F.lit(0.0)) / F.when(total > 0, total)
+    out = seen.withColumn(value, F.when(F.col("_void"), mean).otherwise(F.col(value))).select(*df.columns, "_void")
     for _ in range(smoothing):
         means = focal(out, value, 1, F.avg("v"), "m", F.col("_void"))
         out = out.join(means, k, "left").withColumn(value, F.when(F.col("_void") & F.col(value).isNotNull(), F.col("m")).otherwise(F.col(value))).drop("m")

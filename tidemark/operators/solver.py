@@ -16,9 +16,15 @@ from pyspark.sql import DataFrame
 
 #: Gravity, least depth at an interface, Courant factor, depth of the drying floor.
 G, THIN, COURANT = 9.806, 1e-3, 0.7
+#: Steps after which a run that has not reached its end is an error.
 RAIN_STEPS, INERTIAL_STEPS = 200_000, 100_000
 
 
+def _within(steps: int, most: int, t: float, total_s: float) -> None:
+    if steps >= most:
+        raise RuntimeError(f"{most} steps reach {t:.0f} of {total_s:.0f} seconds only")
+
+
 def _sides(axis: int) -> tuple[tuple[slice, ...], tuple[slice, ...]]:
     """Index of the cells before and after each inner face of an axis."""
     a, b, full = slice(None, -1), slice(1, None), slice(None)
@@ -82,7 +88,8 @@ def rain_run(z: np.ndarray, outlet: np.ndarray, net: np.ndarray, n: np.ndarray,
     d, peak = np.zeros_like(z), np.zeros_like(z)
     qx, qy = np.zeros((z.shape[0], z.shape[1] - 1)), np.zeros((z.shape[0] - 1, z.shape[1]))
     rate, t, steps = np.where(known, net, 0.0) / storm_s, 0.0, 0
-    while t < total_s and steps < RAIN_STEPS:
+    while t < total_s:
+        _within(steps, RAIN_STEPS, t, total_s)
         dt = min(time_step(z, d, qx, qy, dx, dt_max), total_s - t)
         if clip_storm and t < storm_s:
             dt = min(dt, storm_s - t)
@@ -105,8 +112,8 @@ def rain_run(z: np.ndarray, outlet: np.ndarray, net: np.ndarray, n: np.ndarray,
 def inertial_run(z: np.ndarray, boundary: np.ndarray, level: float | np.ndarray | Callable[[float], float], *, n: float | np.ndarray = 0.06, dx: float = 30.0, total_s: float = 28_800.0, dt_max: float = 30.0, start: np.ndarray | None = None, tolerance: float = 1e-3, window: int = 100) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Water from boundary cells held at a level (number, array or function of time): (peak, final, seconds, steps).
 
-    Stops at the end, after INERTIAL_STEPS, or when the mean change over
-    ``window`` steps falls under the tolerance.
+    Stops at the end or when the mean change over ``window`` steps falls under
+    the tolerance; INERTIAL_STEPS without either are an error.
     """
     known = np.isfinite(z)
     rough = np.broadcast_to(np.asarray(n, float), z.shape)
@@ -120,7 +127,8 @@ def inertial_run(z: np.ndarray, boundary: np.ndarray, level: float | np.ndarray
     peak, changes = d.copy(), []
     qx, qy = np.zeros((z.shape[0], z.shape[1] - 1)), np.zeros((z.shape[0] - 1, z.shape[1]))
     t, steps = 0.0, 0
-    while t < total_s and steps < INERTIAL_STEPS:
+    while t < total_s:
+        _within(steps, INERTIAL_STEPS, t, total_s)
         dt = min(time_step(z, d, qx, qy, dx, dt_max), total_s - t)
         qx, qy = face_flux(qx, z, d, rough, dt, dx, 1), face_flux(qy, z, d, rough, dt, dx, 0)
         new = continued(d, qx, qy, dt, dx)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.flats import TILE, flat_distances
-from tidemark.operators.graph import FLOW, accumulation, d8, flow_edges, label_components, marked, terminals
+from tidemark.operators.graph import FLOW, accumulation, d8, flow_edges, hand, label_components, marked, terminals
 from tidemark.operators.grid import OFFSETS, keys, reached, with_id
 from tidemark.sources.storage import cut, cut_round
 
@@ -126,6 +126,16 @@ def drainage_mask(directions: DataFrame, threshold: int = 500) -> DataFrame:
     return at.join(accumulation(flow_edges(directions)), "cell").select(*keys(directions), F.col("amount").cast("long").alias("cells"), (F.col("amount") >= threshold).alias("drain"))
 
 
+def hand_product(cells: DataFrame, drainage: DataFrame | None = None, threshold: int = 500, z: str = "z") -> DataFrame:
+    """Keys, ``d8``, ``drain`` and ``hand``: conditioned flow, the drainage given (keys and drain) or else that of ``threshold`` cells upstream, and the height over it."""
+    k = keys(cells)
+    flow = cut(conditioned_directions(cells, z))
+    given = drainage is not None and not drainage.where("drain").isEmpty()
+    mask = cut(drainage.where("drain").select(*k) if given else drainage_mask(flow, threshold).where("drain").select(*k))
+    at = marked(cells.select(*k, F.col(z).alias("z")), mask, "drain")
+    return at.select(*k, "drain").join(flow, k, "left").join(hand(at, flow, F.col("drain")), k, "left").select(*k, "d8", "drain", "hand")
+
+
 def depitted(cells: DataFrame, z: str = "z", noise: float = 0.5, deep: float | None = None, sea: float = 0.0) -> DataFrame:
     """Keys, ``z`` and ``raised``: pits shallower than ``noise`` are filled; with ``deep`` also those as deep or with a floor under the sea."""
     k = keys(cells)

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.graph import accumulation, flow_edges
-from tidemark.operators.grid import id_parts
+from tidemark.operators.graph import accumulation, d8, flow_edges
+from tidemark.operators.grid import id_parts, keys
+from tidemark.operators.ponding import catchment_supply, inventory
 from tidemark.operators.scoring import contingency, windows
+from tidemark.operators.terrain import filled_surface
+from tidemark.sources.storage import cut
 
 
 def threshold_sensitivity(cells: DataFrame, thresholds: tuple[float, ...], *by: str, depth: str = "depth") -> DataFrame:
@@ -19,6 +22,31 @@ def threshold_sensitivity(cells: DataFrame, thresholds: tuple[float, ...], *by:
     return each.withColumn("share", F.col("cells") / F.when(F.col("wet") > 0, F.col("wet"))).drop("wet")
 
 
+def depression_sweep(cells: DataFrame, runoff: Column, thresholds: tuple[float, ...], z: str = "z", max_depth: float = 3.0, min_cells: int = 9, cell_area_m2: float = 900.0) -> DataFrame:
+    """Per least depth of a depression that counts: how many count, their footprint, the share of all runoff they catch and their median depth.
+
+    The surface is filled, labelled and routed once; the thresholds share one
+    table of depressions, of which each row goes to the thresholds it passes.
+    """
+    k = keys(cells)
+    surface = cut(filled_surface(cells, z))
+    inside, found = inventory(surface, cell_area_m2, min(thresholds), max_depth, min_cells)
+    inside = cut(inside)
+    depth = inside.join(surface.select(*k, "filled"), k).groupBy("dep").agg(F.max(F.col("filled") - F.col("z")).alias("depth"))
+    known = cells.where(F.col(z).isNotNull())
+    caught = catchment_supply(known, d8(cells, z), inside, runoff)
+    every = known.agg(F.sum(F.coalesce(runoff, F.lit(0.0))).alias("every"))
+    table = cut(found.select("dep", "n_cells").join(depth, "dep").join(caught, "dep", "left"))
+    steps = F.array(*[F.lit(float(t)) for t in thresholds])
+    passed = table.withColumn("threshold", F.explode(F.filter(steps, lambda t: F.col("depth") >= t)))
+    sums = passed.groupBy("threshold").agg(F.count("*").alias("depressions"), F.sum("n_cells").alias("n"), F.sum("supply").alias("caught"), F.median("depth").alias("median_depth_m"))
+    # a row a threshold, and one of the total
+    asked = cells.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double").join(every)
+    told = asked.join(sums, "threshold", "left")
+    share = F.when(F.col("every") > 0, F.coalesce("caught", F.lit(0.0)) / F.when(F.col("every") > 0, F.col("every"))).otherwise(0.0)
+    return told.select("threshold", F.coalesce("depressions", F.lit(0)).cast("long").alias("depressions"), (F.coalesce("n", F.lit(0)) * F.lit(cell_area_m2) / 1e6).alias("footprint_km2"), share.alias("caught"), "median_depth_m")
+
+
 def extent_tradeoff(cells: DataFrame, stages: tuple[float, ...], observed: str, hand: str = "hand", cell_area_m2: float = 900.0) -> DataFrame:
     """Extent, hit rate and false-alarm ratio of the ground below each stage over the drainage."""
     at = F.explode(F.array(*[F.lit(float(s)) for s in stages]))

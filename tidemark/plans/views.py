@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.hydrology import RETURN_PERIODS, gev_quantile
+from tidemark.functions.hydrology import RETURN_PERIODS, gev_quantile, gumbel_location, gumbel_scale
 from tidemark.plans.forcing import return_periods
 
 WIDTH = 40
@@ -44,6 +44,21 @@ def levels(spark: SparkSession) -> DataFrame:
     return grid.select("hazard_type", "return_period", F.lit("SSP5-8.5").alias("scenario"), F.lit(2020).alias("horizon"), F.round(gev_quantile(0.0, "mu", "sigma", "return_period"), 6).alias("water_level_m"))
 
 
+#: The hazard whose levels follow from each series of annual maxima, and the part of a maximum that is a metre.
+SERIES_OF = {"A": "coastal", "N": "fluvial", "R": "pluvial"}
+METRE = 1e5
+
+
+def table_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``levels``, by the Gumbel law through median and maximum of the annual maxima of line items."""
+    ends = annual_max(spark, sf_dir).groupBy("series_id").agg((F.median("max_value") / METRE).alias("lo"), (F.max("max_value") / METRE).alias("hi"))
+    hazard = F.create_map(*[F.lit(x) for pair in SERIES_OF.items() for x in pair])[F.col("series_id")]
+    law = ends.select(hazard.alias("hazard_type"), gumbel_scale(2, "lo", 100, "hi").alias("sigma"), gumbel_location(2, "lo", 100, "hi").alias("mu"))
+    # a row a return period
+    grid = law.join(F.broadcast(return_periods(spark, RETURN_PERIODS)))
+    return grid.select("hazard_type", "return_period", F.lit("SSP5-8.5").alias("scenario"), F.lit(2020).alias("horizon"), F.round(gev_quantile(0.0, "mu", "sigma", "return_period"), 6).alias("water_level_m"))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, ts (hour), value: hourly sums of the events of each type."""
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("ts")).agg(F.sum("value").alias("value"))
@@ -69,3 +84,6 @@ SQL_LEVELS = f"""levels AS (SELECT hazard_type, rp AS return_period, round(mu -
 SQL_SERIES = "series AS (SELECT event_type AS series_id, date_trunc('hour', ts) AS ts, sum(value) AS value FROM events GROUP BY ALL)"
 SQL_ANNUAL = "annual AS (SELECT l_returnflag AS series_id, CAST(year(l_shipdate) AS INTEGER) AS year, max(l_extendedprice) AS max_value FROM lineitem GROUP BY ALL)"
 SQL_POINTS = f"points AS (SELECT s_suppkey AS label, CAST(s_suppkey % 5 AS INTEGER) AS r, CAST((s_suppkey * 13) % {WIDTH} AS INTEGER) AS c, CASE WHEN s_suppkey % 3 = 0 THEN 'dry' ELSE 'flood' END AS cls FROM supplier)"
+SQL_TABLE_LEVELS = f"""{SQL_ANNUAL}, ends AS (SELECT series_id, median(max_value) / {METRE}::DOUBLE AS lo, max(max_value) / {METRE}::DOUBLE AS hi FROM annual GROUP BY 1),
+laws AS (SELECT h AS hazard_type, (hi - lo) / (-ln(-ln(1 - 1 / 100.0::DOUBLE)) + ln(-ln(1 - 1 / 2.0::DOUBLE))) AS sigma, lo FROM ends JOIN (VALUES {', '.join(f"('{k}', '{v}')" for k, v in SERIES_OF.items())}) AS named(s, h) ON s = series_id),
+levels AS (SELECT hazard_type, rp AS return_period, round(lo + sigma * ln(-ln(1 - 1 / 2.0::DOUBLE)) - sigma * ln(-ln(1 - 1.0::DOUBLE / rp)), 6) AS water_level_m FROM laws, (SELECT unnest([{', '.join(map(str, RETURN_PERIODS))}]) AS rp))"""

@@ -13,7 +13,7 @@ from tidemark.functions import hydrology as H
 from tidemark.operators import graph, grid, ponding, scoring, solver, terrain, zonal
 from tidemark.operators import series as S
 from tidemark.plans import checks, forcing, hazard, views
-from tidemark.plans.views import SQL_ANNUAL, SQL_CELLS, SQL_LEVELS, SQL_POINTS, SQL_SERIES
+from tidemark.plans.views import SQL_ANNUAL, SQL_CELLS, SQL_LEVELS, SQL_POINTS, SQL_SERIES, SQL_TABLE_LEVELS
 from tidemark.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -491,10 +491,13 @@ def gumbel_fit_two_anchor(spark: SparkSession, sf: str) -> DataFrame:
 _PERIODS = f"(SELECT unnest([{', '.join(map(str, H.RETURN_PERIODS))}]) AS rp)"
 
 
-@query(f"SELECT xi, rp AS return_period, round(CASE WHEN xi = 0 THEN 46 - 16 * ln(-ln(1 - 1.0::DOUBLE / rp)) ELSE 46 + 16 / xi * (pow(-ln(1 - 1.0::DOUBLE / rp), -xi) - 1) END, 6) AS level FROM (SELECT unnest([-0.2, 0.0, 0.1, 0.3])::DOUBLE AS xi), {_PERIODS}")
+@query(
+    f"WITH {_GUMBEL} SELECT series_id, xi, rp AS return_period, round(CASE WHEN xi = 0 THEN m - s * ln(-ln(1 - 1.0::DOUBLE / rp)) ELSE m + s / xi * (pow(-ln(1 - 1.0::DOUBLE / rp), -xi) - 1) END, 6) AS level "
+    f"FROM (SELECT series_id, mu / 1000 AS m, sigma / 1000 AS s FROM law), (SELECT unnest([-0.2, 0.0, 0.1, 0.3])::DOUBLE AS xi), {_PERIODS}"
+)
 def gev_return_levels(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = spark.createDataFrame([(x,) for x in (-0.2, 0.0, 0.1, 0.3)], "xi double")
-    return shapes.join(F.broadcast(forcing.return_periods(spark))).select("xi", "return_period", r6(H.gev_quantile("xi", 46, 16, "return_period")).alias("level"))
+    law = _law(spark, sf).select("series_id", (F.col("mu") / 1000).alias("mu"), (F.col("sigma") / 1000).alias("sigma"), F.explode(F.array(*[F.lit(x) for x in (-0.2, 0.0, 0.1, 0.3)])).alias("xi"))
+    return law.join(F.broadcast(forcing.return_periods(spark))).select("series_id", "xi", "return_period", r6(H.gev_quantile("xi", "mu", "sigma", "return_period")).alias("level"))
 
 
 @query(f"WITH {_GUMBEL}, p AS (SELECT annual.series_id, year, least(greatest(exp(-exp(-(max_value - mu) / sigma)), 1e-9), 1 - 1e-9) AS f FROM annual JOIN law USING (series_id)) SELECT series_id, year, round(1 / (1 - f), 4) AS rp FROM p")
@@ -516,15 +519,15 @@ _SCEN = ", ".join(f"('{s}', {h}, {w[0]}::DOUBLE, {w[0] / 5}::DOUBLE)" for (s, h)
 
 
 @query(
-    f"WITH {SQL_LEVELS}, s(scenario, horizon, warming, delta) AS (VALUES {_SCEN}) SELECT hazard_type, return_period, scenario, CAST(horizon AS INTEGER) AS horizon, "
+    f"WITH {SQL_TABLE_LEVELS}, s(scenario, horizon, warming, delta) AS (VALUES {_SCEN}) SELECT hazard_type, return_period, scenario, CAST(horizon AS INTEGER) AS horizon, "
     "round(CASE hazard_type WHEN 'coastal' THEN water_level_m + delta WHEN 'fluvial' THEN water_level_m * pow(1 + 0.07 * warming, 0.6) ELSE water_level_m * (1 + 0.07 * warming) END, 6) AS water_level_m FROM levels, s"
 )
 def climate_scaled_levels(spark: SparkSession, sf: str) -> DataFrame:
-    return _scaled(spark).select("hazard_type", "return_period", "scenario", "horizon", r6("water_level_m").alias("water_level_m"))
+    return _scaled(spark, sf).select("hazard_type", "return_period", "scenario", "horizon", r6("water_level_m").alias("water_level_m"))
 
 
-def _scaled(spark: SparkSession) -> DataFrame:
-    base = views.levels(spark).select("hazard_type", "return_period", F.col("water_level_m").alias("baseline_water_level_m"), F.lit(1.0).alias("gev_scale_mm"))
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    base = views.table_levels(spark, sf).select("hazard_type", "return_period", F.col("water_level_m").alias("baseline_water_level_m"), F.lit(1.0).alias("gev_scale_mm"))
     return forcing.scenario_levels(base, forcing.warming(spark).withColumn("coastal_delta_m", F.col("warming") / 5))
 
 
@@ -537,17 +540,19 @@ def sea_level_delta(spark: SparkSession, sf: str) -> DataFrame:
     return forcing.sea_level_delta(s, 2000, 1996, 50).select(r6("delta_m").alias("delta_m"))
 
 
-@query(f"WITH {SQL_LEVELS} SELECT hazard_type, return_period, round(water_level_m + 1.2 - 0.4, 6) AS level_m, 'EGM2008; MSL+1.200 m' AS note, TRUE AS ok FROM levels")
+@query(f"WITH {SQL_TABLE_LEVELS} SELECT hazard_type, return_period, round(water_level_m + 1.2 - 0.4, 6) AS level_m, 'EGM2008; MSL+1.200 m' AS note, TRUE AS ok FROM levels")
 def datum_convert(spark: SparkSession, sf: str) -> DataFrame:
-    out = views.levels(spark).select("hazard_type", "return_period", r6(H.to_egm2008("water_level_m", 1.2, -0.4)).alias("level_m"), H.datum_note(F.lit(1.2)).alias("note"))
+    out = views.table_levels(spark, sf).select("hazard_type", "return_period", r6(H.to_egm2008("water_level_m", 1.2, -0.4)).alias("level_m"), H.datum_note(F.lit(1.2)).alias("note"))
     return out.withColumn("ok", H.datum_note_valid(F.col("note")))
 
 
 @query(
-    "SELECT t, round(CASE WHEN t < 10800 THEN 2.0 * t / 10800 WHEN t <= 14400 THEN 2.0 WHEN t < 21600 THEN 2.0 - (2.0 - 0.5) * (t - 14400) / 7200 ELSE 0.5 END::DOUBLE, 6) AS level FROM (SELECT unnest(generate_series(0, 28800, 600)) AS t)"
+    f"WITH {SQL_TABLE_LEVELS}, c AS (SELECT return_period, water_level_m AS p FROM levels WHERE hazard_type = 'coastal') SELECT return_period, t, round(CASE WHEN t < 10800 THEN p * t / 10800 WHEN t <= 14400 THEN p WHEN t < 21600 THEN p - (p - 0.25 * p) * (t - 14400) / 7200 ELSE 0.25 * p END::DOUBLE, 6) AS level FROM c, (SELECT unnest(generate_series(0, 28800, 600)) AS t)"
 )
 def surge_level(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.range(0, 28801, 600).select(F.col("id").alias("t"), r6(H.surge_level(F.col("id"), 2.0, 0.5)).alias("level"))
+    peaks = views.table_levels(spark, sf).where("hazard_type = 'coastal'").select("return_period", F.col("water_level_m").alias("peak"))
+    hours = peaks.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(28_800).cast("long"), F.lit(600).cast("long"))))
+    return hours.select("return_period", "t", r6(H.surge_level(F.col("t"), F.col("peak"), 0.25 * F.col("peak"))).alias("level"))
 
 
 @query()
@@ -657,12 +662,12 @@ def rp_monotonicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"WITH {SQL_LEVELS}, s(scenario, horizon, warming, delta) AS (VALUES {_SCEN}), x AS (SELECT return_period, scenario, horizon, water_level_m * (1 + 0.07 * warming) * CASE WHEN horizon = 2050 AND warming > 1 THEN 1.5 ELSE 1 END AS v, CASE WHEN horizon = 2050 THEN CASE WHEN warming < 1 THEN 0 ELSE 1 END ELSE CASE WHEN warming < 2 THEN 2 ELSE 3 END END AS o FROM levels, s WHERE hazard_type = 'pluvial' AND horizon > 2020), "
+    f"WITH {SQL_TABLE_LEVELS}, s(scenario, horizon, warming, delta) AS (VALUES {_SCEN}), x AS (SELECT return_period, scenario, horizon, water_level_m * (1 + 0.07 * warming) * CASE WHEN horizon = 2050 AND warming > 1 THEN 1.5 ELSE 1 END AS v, CASE WHEN horizon = 2050 THEN CASE WHEN warming < 1 THEN 0 ELSE 1 END ELSE CASE WHEN warming < 2 THEN 2 ELSE 3 END END AS o FROM levels, s WHERE hazard_type = 'pluvial' AND horizon > 2020), "
     "y AS (SELECT *, lag(v) OVER (PARTITION BY return_period ORDER BY o) AS b FROM x) SELECT return_period, scenario, CAST(horizon AS INTEGER) AS horizon, problem FROM (SELECT *, 'over cap' AS problem FROM y WHERE v > 0.5 UNION ALL SELECT *, 'under a milder scenario' FROM y WHERE v < b)"
 )
 def scenario_inversions(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.when((F.col("horizon") == 2050) & (F.col("scenario") == "SSP5-8.5"), 1.5).otherwise(1.0)
-    return checks.forcing_problems(_scaled(spark).withColumn("water_level_m", F.col("water_level_m") * odd)).select("return_period", "scenario", "horizon", "problem")
+    return checks.forcing_problems(_scaled(spark, sf).withColumn("water_level_m", F.col("water_level_m") * odd)).select("return_period", "scenario", "horizon", "problem")
 
 
 @query(f"WITH {_GUMBEL}, f AS (SELECT series_id, mu - sigma * ln(-ln(1 - 1 / 50.0)) AS v FROM law) SELECT series_id, round(v / 60000 - 1, 6) AS deviation, CASE WHEN abs(v / 60000 - 1) <= 0.25 THEN 'PASS' WHEN abs(v / 60000 - 1) <= 0.5 THEN 'WARN' ELSE 'FAIL' END AS verdict FROM f")
@@ -672,11 +677,16 @@ def idf_deviation(spark: SparkSession, sf: str) -> DataFrame:
     return checks.anchor_deviation(law, anchors, 0.25, 0.5).select("series_id", r6("deviation").alias("deviation"), "verdict")
 
 
-@query("SELECT * FROM (VALUES ('forcing_anchors', 'forcing_anchors: missing columns citation'), ('gates', 'gates: missing'), ('hotspots', 'hotspots: empty')) t(table_name, problem)")
+@query(
+    "SELECT 'forcing_anchors' AS table_name, 'forcing_anchors: missing columns citation' AS problem UNION ALL SELECT 'gates', 'gates: missing' "
+    "UNION ALL SELECT 'hotspots', 'hotspots: empty' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 0) UNION ALL SELECT 'observed_events', 'observed_events: empty' WHERE FALSE AND NOT EXISTS (SELECT 1 FROM events)"
+)
 def manifest_problems(spark: SparkSession, sf: str) -> DataFrame:
-    empty = lambda *c: spark.createDataFrame([], ", ".join(f"{x} string" for x in c))
-    given = {"forcing_anchors": empty("hazard", "duration_h", "anchor_rp", "anchor_value", "unit", "source"), "observed_events": empty(*tables.MANIFEST["observed_events"][0]), "hotspots": empty(*tables.MANIFEST["hotspots"][0]), "gates": None}
-    return tables.manifest_problems(spark, given)
+    as_columns = lambda df, *names: df.select(*[F.lit(x).alias(x) for x in names])
+    anchors = as_columns(views.annual_max(spark, sf), "hazard", "duration_h", "anchor_rp", "anchor_value", "unit", "source")
+    observed = as_columns(views.table(spark, sf, "events"), *tables.MANIFEST["observed_events"][0])
+    hotspots = as_columns(views.points(spark, sf).where("label < 0"), *tables.MANIFEST["hotspots"][0])
+    return tables.manifest_problems(spark, {"forcing_anchors": anchors, "observed_events": observed, "hotspots": hotspots, "gates": None})
 
 
 @query(
