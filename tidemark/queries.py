@@ -679,7 +679,7 @@ def idf_deviation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "SELECT 'forcing_anchors' AS table_name, 'forcing_anchors: missing columns citation' AS problem UNION ALL SELECT 'gates', 'gates: missing' "
-    "UNION ALL SELECT 'hotspots', 'hotspots: empty' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 0) UNION ALL SELECT 'observed_events', 'observed_events: empty' WHERE FALSE AND NOT EXISTS (SELECT 1 FROM events)"
+    "UNION ALL SELECT 'hotspots', 'hotspots: empty' WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey < 0) UNION ALL SELECT 'observed_events', 'observed_events: empty' WHERE NOT EXISTS (SELECT 1 FROM events)"
 )
 def manifest_problems(spark: SparkSession, sf: str) -> DataFrame:
     as_columns = lambda df, *names: df.select(*[F.lit(x).alias(x) for x in names])
