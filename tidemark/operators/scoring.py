@@ -15,6 +15,8 @@ from tidemark.sources.storage import cut
 
 #: Bootstrap settings.
 N_BOOT, SEED, LEVEL = 10_000, 12345, 0.95
+#: Points of a register that goes to the tasks whole.
+REGISTER = 100_000
 
 
 def windows(points: DataFrame, cells: DataFrame, half: int, depth: str = "depth") -> DataFrame:
@@ -50,10 +52,16 @@ def roc_auc(scored: DataFrame, *by: str, score: str = "score", positive: Column
     """Area under the curve by ranks, ties averaged; 0.5 with an empty side.
 
     Rows are first summed per distinct score, so the ranking window runs over
-    distinct scores only.
+    distinct scores of a group only; without groups over ranges of scores.
     """
     pos = F.col("cls") == "flood" if positive is None else positive
     per = scored.groupBy(*by, score).agg(F.count_if(pos).alias("p"), F.count_if(~pos).alias("n"))
+    if not by:
+        ranked = cut(running_totals(per, score, "n"))
+        p, n = F.sum("p"), F.sum("n")
+        # of the others those above a score, and half of those at it, are not passed
+        lost = F.sum(F.col("p") * (F.col("upto_n") - F.col("n") / 2))
+        return ranked.agg(F.when((p > 0) & (n > 0), 1 - lost / F.when((p > 0) & (n > 0), p * n)).otherwise(0.5).alias("auc"))
     below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     won = per.withColumn("under", F.coalesce(F.sum("n").over(below), F.lit(0)))
     p, n = F.sum("p"), F.sum("n")
@@ -126,23 +134,32 @@ def _auc_diff(pdf: pd.DataFrame, ids: np.ndarray, seed: int) -> np.ndarray:
     return np.array(out)
 
 
+def _large_auc_diff(scored: DataFrame, n_boot: int, seed: int, level: float) -> DataFrame:
+    from tidemark.operators.resampling import area_differences
+
+    first, second = (roc_auc(scored, score=c).first().auc for c in ("score", "other_score"))
+    ends = F.percentile("v", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    drawn = area_differences(scored, n_boot, seed).agg(ends.alias("e"), F.avg((F.col("v") > 0).cast("double")).alias("p_positive"))
+    return drawn.select(F.lit(first - second).alias("estimate"), F.col("e")[0].alias("low"), F.col("e")[1].alias("high"), "p_positive")
+
+
 def bootstrap(scored: DataFrame, measure: str = "tss", n_boot: int = N_BOOT, seed: int = SEED, level: float = LEVEL) -> DataFrame:
     """estimate, low, high and share above zero of ``tss``, ``tss_diff`` or ``auc_diff``, resampled within classes.
 
     Replicates are dealt to tasks and each is drawn from its own seed.  For
     both forms of tss points of one class and outcome are alike, so a replicate
-    is one draw of their numbers from a table of eight rows at most; for
-    auc_diff the register itself, some hundred documented points (refused above
-    100,000), goes to the tasks.  With an empty class nothing can be drawn, and
-    both ends are the estimate.
+    is one draw of their numbers from a table of eight rows at most.  For
+    auc_diff a register of up to ``REGISTER`` points goes to the tasks whole;
+    of a larger one tasks draw weights for points alike.  With an empty class
+    nothing can be drawn, and both ends are the estimate.
     """
     if measure not in ("tss", "tss_diff", "auc_diff"):
         raise ValueError("measure must be tss, tss_diff or auc_diff")
     pos = F.coalesce(F.col("cls") == "flood", F.lit(False)).alias("pos")
     if measure == "auc_diff":
-        rows = scored.select("label", "cls", "score", "other_score").limit(100_001).toPandas().sort_values("label", kind="stable")
-        if len(rows) > 100_000:
-            raise ValueError("too many points for a register")
+        rows = scored.select("label", "cls", "score", "other_score").limit(REGISTER + 1).toPandas().sort_values("label", kind="stable")
+        if len(rows) > REGISTER:
+            return _large_auc_diff(scored, n_boot, seed, level)
         flood = (rows["cls"] == "flood").to_numpy()
         estimate = _auc(rows["score"].to_numpy(float), flood) - _auc(rows["other_score"].to_numpy(float), flood)
         empty = not flood.any() or flood.all()
@@ -242,26 +259,6 @@ def nearest(points: DataFrame, stations: DataFrame, x: str = "lon", y: str = "la
     return points.join(told, same, "left").select(*at, "station_id", "distance")
 
 
-def dry_controls(candidates: DataFrame, floods: DataFrame, hand_low: float = 6.5, hand_high: float = 20.0, apart_m: float = 1000.0, between_m: float = 2500.0, stride: int = 3, n: int = 12) -> list[dict]:
-    """Points chosen without looking at the model: plausible heights, off channels, far from floods, spread out.
-
-    The farthest candidates come first; each next one must lie ``between_m``
-    from those chosen.  Floods are a short register.
-    """
-    f = F.broadcast(floods.select(F.col("x").alias("_fx"), F.col("y").alias("_fy")))
-    ok = candidates.where((F.col("row") % stride == 0) & (F.col("col") % stride == 0) & F.col("hand").between(hand_low, hand_high) & ~F.col("channel"))
-    d2 = (F.col("x") - F.col("_fx")) * (F.col("x") - F.col("_fx")) + (F.col("y") - F.col("_fy")) * (F.col("y") - F.col("_fy"))
-    far = ok.join(f).groupBy("row", "col", "x", "y").agg(F.sqrt(F.min(d2)).alias("distance")).where(F.col("distance") > apart_m)
-    # coarse blocks of the separation keep the driver's list short: of each only the farthest can come first
-    chosen: list[dict] = []
-    for c in far.orderBy(F.desc("distance"), "row", "col").toLocalIterator():
-        if all((c.x - o["x"]) ** 2 + (c.y - o["y"]) ** 2 >= between_m**2 for o in chosen):
-            chosen.append(c.asDict())
-        if len(chosen) == n:
-            break
-    return chosen
-
-
 def validated(scored: DataFrame, *by: str, **gate) -> DataFrame:
     """Skill of scored points per group with the gate's reasons and verdict."""
     return numeric_gate(skill(scored, *by), **gate)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import depth as D
-from tidemark.operators import grid, lines, terrain
+from tidemark.functions import geo
+from tidemark.operators import controls, grid, lines, reproject, resampling, terrain
 from tidemark.plans import diagnostics, views
-from tidemark.plans.views import SQL_CELLS, SQL_TABLE_LEVELS
+from tidemark.plans.views import SQL_CELLS, SQL_POINTS, SQL_TABLE_LEVELS
 from tidemark.queries import _AB, _CONDITIONED, _D, _FILLED, _NEAR, place, query, r6
 from tidemark.sources import rasters, tables
 from tidemark.sources.storage import scratch
@@ -184,3 +185,84 @@ def first_raster(spark: SparkSession, sf: str) -> DataFrame:
     folder = F.regexp_extract("path", r"/(second|third)/", 1)
     held = spark.read.text(f"{path}/second")
     return found.select(folder.alias("folder")).join(held.withColumn("folder", F.lit("second")), "folder").select(F.concat("value", F.lit(".csv")).alias("name"))
+
+
+# other projections
+
+_TARGET = rasters.Geometry(32647, 833_000.0, 340_000.0, 30.0)
+_ZONE_47 = rasters.Geometry(32647, 833_007.0, 340_011.0, 30.0)
+_ZONE_48 = rasters.Geometry(32648, 166_300.0, 340_100.0, 40.0)
+
+
+def _to_other_zone(x: str, y: str) -> tuple[str, str, str]:
+    """SQL of the steps from zone 47 to zone 48, north of the equator, by the same published series: CTEs, then easting and northing."""
+    n, scale = geo._N, repr(geo.K0 * geo._RECTIFYING)
+    u = " - ".join(["xi", *(f"{k!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, k in enumerate(geo._BETA, 1))])
+    v = " - ".join(["eta", *(f"{k!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, k in enumerate(geo._BETA, 1))])
+    delta = (2 * n - 2 / 3 * n**2 - 2 * n**3 + 116 / 45 * n**4, 7 / 3 * n**2 - 8 / 5 * n**3 - 227 / 45 * n**4, 56 / 15 * n**3 - 136 / 35 * n**4, 4279 / 630 * n**4)
+    phi = " + ".join(["chi", *(f"{k!r} * sin({2 * j} * chi)" for j, k in enumerate(delta, 1))])
+    steps = f"""i1 AS (SELECT *, ({y}) / {scale} AS xi, (({x}) - 500000) / {scale} AS eta FROM tc), i2 AS (SELECT *, {u} AS u, {v} AS v FROM i1), i3 AS (SELECT * EXCLUDE (xi, eta), asin(sin(u) / cosh(v)) AS chi, atan2(sinh(v), cos(u)) + radians(99) - radians(105) AS lam FROM i2),
+i4 AS (SELECT *, {phi} AS phi FROM i3), i5 AS (SELECT *, sinh(atanh(sin(phi)) - {geo._E!r} * atanh({geo._E!r} * sin(phi))) AS t FROM i4), i6 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM i5)"""
+    east = " + ".join(["eta", *(f"{k!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, k in enumerate(geo._ALPHA, 1))])
+    north = " + ".join(["xi", *(f"{k!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, k in enumerate(geo._ALPHA, 1))])
+    return steps, f"500000 + {scale} * ({east})", f"{scale} * ({north})"
+
+
+def _mosaic_sql() -> str:
+    steps, east, north = _to_other_zone("x", "y")
+    place_in = lambda g, x, y: f"({g.north} - ({y})) / {g.size} - 0.5 AS sr, (({x}) - {g.west}) / {g.size} - 0.5 AS sc"
+    weighed = lambda at, shift: (
+        f"SELECT a.r, a.c, sum(greatest(b.z + {shift}, 0) * w) / sum(w) AS d FROM (SELECT r, c, floor(sr) + i AS br, floor(sc) + j AS bc, (1 - abs(sr - floor(sr) - i)) * (1 - abs(sc - floor(sc) - j)) AS w FROM {at}, (VALUES (0), (1)) AS p(i), (VALUES (0), (1)) AS q(j)) a JOIN cells b ON b.r = br AND b.c = bc AND b.z IS NOT NULL WHERE w > 0 GROUP BY a.r, a.c"
+    )
+    return f"""WITH {SQL_CELLS}, tc AS (SELECT r, c, {_TARGET.west}::DOUBLE + (c + 0.5::DOUBLE) * 30 AS x, {_TARGET.north}::DOUBLE - (r + 0.5::DOUBLE) * 30 AS y FROM cells), {steps},
+near AS (SELECT r, c, {place_in(_ZONE_47, "x", "y")} FROM tc), far AS (SELECT r, c, {place_in(_ZONE_48, east, north)} FROM i6), one AS ({weighed("near", 0)}), two AS ({weighed("far", 0.4)})
+SELECT g.r, g.c, round(CASE WHEN one.d IS NULL THEN two.d WHEN two.d IS NULL THEN one.d ELSE greatest(one.d, two.d) END, 6) AS depth FROM cells g LEFT JOIN one USING (r, c) LEFT JOIN two USING (r, c)"""
+
+
+@query(_mosaic_sql())
+def utm_mosaic(spark: SparkSession, sf: str) -> DataFrame:
+    cells = views.cells(spark, sf)
+    own, other = cells.select("row", "col", F.col("z").alias("depth")), cells.select("row", "col", (F.col("z") + 0.4).alias("depth"))
+    return reproject.composite([(own, _ZONE_47), (other, _ZONE_48)], cells.select("row", "col"), _TARGET).select(*place(), r6("depth").alias("depth"))
+
+
+# controls and curves
+
+_PLACED = f"{SQL_CELLS}, {SQL_POINTS}, wet AS (SELECT c * 30 + 15.0::DOUBLE AS x, r * 30 + 15.0::DOUBLE AS y FROM points WHERE cls = 'flood'), land AS (SELECT r, c, c * 30 + 15.0::DOUBLE AS x, r * 30 + 15.0::DOUBLE AS y, z, hand, channel FROM cells)"
+
+
+def _metres(df: DataFrame) -> DataFrame:
+    """``df`` with x and y in metres, cells of 30 m."""
+    return df.withColumn("x", F.col("col") * 30 + 15.0).withColumn("y", F.col("row") * 30 + 15.0)
+
+
+@query(
+    f"""WITH RECURSIVE {_PLACED}, cand AS (SELECT l.r, l.c, l.x, l.y, hand, min(sqrt((l.x - w.x) ** 2 + (l.y - w.y) ** 2)) AS d FROM land l, wet w WHERE l.r % 2 = 0 AND l.c % 2 = 0 AND hand BETWEEN 1 AND 4 AND NOT channel GROUP BY ALL HAVING min(sqrt((l.x - w.x) ** 2 + (l.y - w.y) ** 2)) >= 40),
+lined AS (SELECT *, row_number() OVER (ORDER BY d DESC, r, c) AS i FROM cand),
+g(i, chosen) AS (SELECT CAST(0 AS BIGINT), CAST([] AS STRUCT(r INTEGER, c INTEGER, x DOUBLE, y DOUBLE, hand DOUBLE, d DOUBLE)[]) UNION ALL
+  SELECT l.i, CASE WHEN len(chosen) < 12 AND len(list_filter(chosen, lambda o: (o.x - l.x) ** 2 + (o.y - l.y) ** 2 < 150 ** 2)) = 0 THEN list_append(chosen, {{'r': l.r, 'c': l.c, 'x': l.x, 'y': l.y, 'hand': l.hand, 'd': l.d}}) ELSE chosen END FROM g JOIN lined l ON l.i = g.i + 1),
+last AS (SELECT arg_max(chosen, i) AS chosen FROM g)
+SELECT CAST(k AS INTEGER) AS rank, chosen[k].r AS r, chosen[k].c AS c, chosen[k].hand AS hand, round(chosen[k].d, 6) AS distance FROM last, range(1, 13) AS t(k) WHERE k <= len(chosen)"""
+)
+def dry_controls(spark: SparkSession, sf: str) -> DataFrame:
+    floods = _metres(views.points(spark, sf).where("cls = 'flood'")).select("x", "y")
+    found = controls.dry_controls(_metres(views.cells(spark, sf)), floods, 1.0, 4.0, apart_m=40.0, between_m=150.0, stride=2)
+    return found.select("rank", *place(), "hand", r6("distance").alias("distance"))
+
+
+@query(f"WITH {_PLACED} SELECT r, c FROM land l WHERE z IS NOT NULL AND NOT EXISTS (SELECT 1 FROM wet w WHERE sqrt((l.x - w.x) ** 2 + (l.y - w.y) ** 2) < 50) ORDER BY md5('2026:' || r || ':' || c), r, c LIMIT 60")
+def random_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    floods = _metres(views.points(spark, sf).where("cls = 'flood'"))
+    return controls.random_negatives(_metres(views.cells(spark, sf).where("z is not null")), floods, 60, 50.0).select(*place())
+
+
+@query()
+def curve_bands(spark: SparkSession, sf: str) -> DataFrame:
+    """Curves of the documented floods against random cells away from them, by the depth of a bathtub."""
+    cells = views.cells(spark, sf)
+    floods = views.points(spark, sf).where("cls = 'flood'").select("row", "col")
+    dry = controls.random_negatives(_metres(cells.where("z is not null")), _metres(floods), 200, 50.0).select("row", "col")
+    both = floods.withColumn("cls", F.lit("flood")).unionByName(dry.withColumn("cls", F.lit("dry")))
+    scored = both.join(cells.select("row", "col", D.bathtub("z", 2.0).alias("score")), ["row", "col"], "left").fillna(0.0, "score")
+    bands = resampling.curve_bands(scored.select("cls", "score"), n_boot=1000)
+    return bands.select("curve", "at", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
