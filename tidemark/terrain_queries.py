@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import depth as D
 from tidemark.functions import geo
 from tidemark.operators import controls, grid, lines, reproject, resampling, terrain
-from tidemark.plans import diagnostics, views
+from tidemark.plans import city, diagnostics, forcing, views
 from tidemark.plans.views import SQL_CELLS, SQL_POINTS, SQL_TABLE_LEVELS
 from tidemark.queries import _AB, _CONDITIONED, _D, _FILLED, _NEAR, place, query, r6
 from tidemark.sources import rasters, tables
@@ -266,3 +266,34 @@ def curve_bands(spark: SparkSession, sf: str) -> DataFrame:
     scored = both.join(cells.select("row", "col", D.bathtub("z", 2.0).alias("score")), ["row", "col"], "left").fillna(0.0, "score")
     bands = resampling.curve_bands(scored.select("cls", "score"), n_boot=1000)
     return bands.select("curve", "at", r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
+
+
+# SQL, and the city's run
+
+
+@query(f"WITH {SQL_CELLS}, low AS (SELECT a.r, a.c, min(b.z) AS low FROM cells a JOIN cells b ON {_AB} AND a.r // 8 = b.r // 8 AND a.c // 8 = b.c // 8 WHERE a.z IS NOT NULL GROUP BY a.r, a.c) SELECT r, c, round(low, 6) AS low FROM low")
+def sql_table_function(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.functions.sql import register
+
+    register(spark)
+    views.cells(spark, sf).withColumn("tile", F.concat_ws(":", F.floor(F.col("row") / 8), F.floor(F.col("col") / 8))).createOrReplaceTempView("tidemark_tiled")
+    return spark.sql("SELECT row AS r, col AS c, round(low, 6) AS low FROM tile_lowest(TABLE(SELECT row, col, z, tile FROM tidemark_tiled) PARTITION BY tile)")
+
+
+_SCENARIOS = ", ".join(f"('{s}', {h}, {w[0]}::DOUBLE)" for (s, h), w in forcing.WARMING.items())
+
+
+@query(
+    f"WITH {SQL_TABLE_LEVELS}, s(scenario, horizon, warming) AS (VALUES {_SCENARIOS}) SELECT hazard_type, return_period, scenario, CAST(horizon AS INTEGER) AS horizon, "
+    "round(CASE hazard_type WHEN 'coastal' THEN water_level_m + warming / 5 WHEN 'fluvial' THEN water_level_m * pow(1 + 0.07 * warming, 0.6) ELSE water_level_m * (1 + 0.07 * warming) END, 6) AS water_level_m FROM levels, s"
+)
+def city_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The levels of a city's run, read from its store after a second run that computes nothing."""
+    sources = {
+        "baseline": city.Source(views.table_levels(spark, sf), f"levels of {sf}"),
+        "scenarios": city.Source(forcing.warming(spark).withColumn("coastal_delta_m", F.col("warming") / 5), "table"),
+    }
+    store, stages = scratch(spark, "city"), tuple(s for s in city.CITY if s.name == "levels")
+    city.run(spark, store, sources, {"rate": 0.07}, stages)
+    tables_, computed = city.run(spark, store, sources, {"rate": 0.07}, stages)
+    return tables_["levels"].where(F.lit(not computed)).select("hazard_type", "return_period", "scenario", "horizon", r6("water_level_m").alias("water_level_m"))
