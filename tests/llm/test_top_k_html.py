@@ -41,6 +41,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert T.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 3.0])
+def test_groups_of_small_norms_get_no_queries(spark, monkeypatch, spread):
+    monkeypatch.setattr(T, "VECTOR_BLOCK", 20)
+    monkeypatch.setattr(T, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(T, "GROUP", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in v * 2.0 ** (rng.random() * spread * 2 - spread)], 0) for i, v in enumerate(np.abs(rng.normal(size=(400, 4))))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, T.top_k(df, df.where("vec_id % 50 = 0")).collect())) == brute(rows)
+    sent = T.searched(df, df.where("vec_id % 50 = 0")).where("vec_id is null").count()
+    groups = 8 * 10
+    assert 8 <= sent < groups / 2 if spread else 8 <= sent <= groups
+
+
 def test_threshold_stops_early_and_refuses_blocks():
     rng = np.random.default_rng(1)
     rows = np.floor(rng.normal(size=(4000, 2)) * 256).astype(np.int64)

@@ -9,13 +9,17 @@ not met can reach its k-th score: the score of a fictitious row made of the
 last component seen in every list.  Blocks whose bound is beaten before the
 first step are refused whole.
 
-Blocks of queries meet groups of blocks through an equi-join on their numbers;
-what a query has found in one block of a group bounds its search in the next,
-and the k best of each group are merged by rank.
+Every block of vectors travels once, to the task of its group; blocks of queries
+are sent after it, a few hundred bytes a query and group.  Groups stand in order
+of norm.  All queries search the first group, of the largest norms; what they
+find there bounds their search elsewhere, and queries are not sent to groups
+whose norms cannot reach their k-th score (by the inequality of Cauchy and
+Schwarz).  The k best of each group are merged by rank.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import cut
 
 #: Rows of a block of vectors and of queries, about, and blocks of a group.
-VECTOR_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 4
+VECTOR_BLOCK, QUERY_BLOCK, GROUP = 4096, 1024, 8
 #: Up to so many classes of norms are told by broadcast.
 MAX_BROADCAST = 100_000
 #: Steps into the chosen lists at first; they double.
@@ -100,7 +104,7 @@ def threshold_search(block: Block, query_id: int, query: np.ndarray, k: int, bes
     return [(int(s), int(i)) for s, i in zip(best_scores, best_ids)], scored, int(depth.max())
 
 
-_BLOCK = "dim int, part int, ids binary, v binary, lists binary"
+_BLOCK = "dim int, part int, ids binary, v binary, lists binary, reach double"
 
 
 def _packed(rows: DataFrame, size: int, lists: bool) -> DataFrame:
@@ -130,8 +134,10 @@ def _packed(rows: DataFrame, size: int, lists: bool) -> DataFrame:
             dim, part = table["dim"][0].as_py(), table["part"][0].as_py()
             v = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
             order = Block(np.zeros(len(v), np.int64), v).order.tobytes() if lists and dim else b""
-            values = ([dim], pa.int32()), ([part], pa.int32()), ([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), ([v.astype("<i8").tobytes()], pa.binary()), ([order], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in values], names=["dim", "part", "ids", "v", "lists"])
+            # the largest norm, rounded up
+            reach = float(np.sqrt((v.astype(float) ** 2).sum(axis=1)).max()) * (1 + 1e-9) if dim else 0.0
+            values = ([dim], pa.int32()), ([part], pa.int32()), ([table["vec_id"].to_numpy().astype("<i8").tobytes()], pa.binary()), ([v.astype("<i8").tobytes()], pa.binary()), ([order], pa.binary()), ([reach], pa.float64())
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in values], names=["dim", "part", "ids", "v", "lists", "reach"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -168,51 +174,112 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256)
 
 
 def searched(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
-    """(query_id, vec_id, score, scored, depth): the k best of each query in each group of blocks.
+    """(query_id, vec_id, score, scored, depth): the k best of each query in each group of blocks that it is sent to.
 
     A row of null vec_id tells per query and group how many rows were scored
     and how many steps the deepest lists were walked.
     """
     ready = lambda t: t.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null").withColumn("dim", F.size("v"))
     asked = ready(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    q_blocks = _packed(cut(asked), QUERY_BLOCK, False).select("dim", F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.xxhash64("dim", "ids").alias("q"))
-    v_blocks = _packed(cut(ready(vectors)), VECTOR_BLOCK, True)
-    last = lambda blocks, part: (blocks.agg(F.max(part)).first()[0] or 0) + 1
-    n_q, groups = last(q_blocks, "q_part"), -(-last(v_blocks, "part") // GROUP)
-    count_to = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    # large norms are dealt to all groups, so that each finds high scores early
-    left = v_blocks.withColumn("g", F.col("part") % F.lit(groups)).withColumn("q_part", count_to(n_q)).repartition(n_q * groups, "dim", "q_part", "g")
-    right = q_blocks.withColumn("g", count_to(groups)).repartition(n_q * groups, "dim", "q_part", "g")
-    met = left.join(right, ["dim", "q_part", "g"]).sortWithinPartitions("dim", "q", "g", "part")
+    q_blocks = _packed(cut(asked), QUERY_BLOCK, False).select("dim", F.col("part").alias("q_part"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"))
+    v_blocks = _packed(cut(ready(vectors)), VECTOR_BLOCK, True).withColumn("g", F.floor(F.col("part") / GROUP).cast("int"))
+    none = F.lit(None).cast("binary")
+    first = cut(_meet(v_blocks.where("g = 0"), q_blocks.select("*", F.lit(0).alias("g"), none.alias("b_ids"), none.alias("b_scores")), k))
+    groups = cut(v_blocks.where("g > 0").groupBy("dim", "g").agg(F.max("reach").alias("reach")))
+    if groups.isEmpty():
+        return first
+    bounded = cut(_bounded(q_blocks, first, k))
+    # a row a pair of a block of queries and a group, numbers only
+    pairs = bounded.select("dim", "q_part", "least").join(groups, "dim").where(F.col("reach") >= F.col("least")).select("dim", "q_part", "g")
+    return first.union(_meet(v_blocks.where("g > 0"), bounded.drop("least").join(pairs, ["dim", "q_part"]), k))
+
+
+def _bounded(q_blocks: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """``q_blocks`` with the k best of the first group (ids and scores, k each, packed) and ``least``: the smallest norm that can reach a k-th score."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    known = found.where("vec_id is not null").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", "score", "vec_id"))).alias("best"))
+    at = cut(q_blocks.select("dim", "q_part", "q_ids"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, q_ids, asked, state = None, (), (), []
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, part, packed in zip(*(batch[c].to_pylist() for c in ("dim", "q_part", "q_ids"))):
+                own = np.frombuffer(packed, "<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), dim, np.int32)), pa.array(np.full(len(own), part, np.int32)), pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own)], names=["dim", "q_part", "at", "query_id"])
 
-        def told() -> pa.RecordBatch:
-            limit = (1 << 63) - 1
-            out = [(int(q), i, max(-limit - 1, min(limit, s)), None, None) for q, (best, _, _) in zip(q_ids, state) for s, i in best]
-            out += [(int(q), None, None, scored, depth) for q, (_, scored, depth) in zip(q_ids, state)]
-            columns = list(zip(*out)) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score", "scored", "depth"])
+    rows = at.mapInArrow(ids, "dim int, q_part int, at int, query_id long").join(known, "query_id", "left")
+    # a block holds QUERY_BLOCK queries or so, with k numbers each
+    lists = rows.groupBy("dim", "q_part").agg(F.sort_array(F.collect_list(F.struct("at", "best"))).alias("best"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = (1 << 63) - 1
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, part, q_ids, q_v, best = (batch[c][row].as_py() for c in ("dim", "q_part", "q_ids", "q_v", "best"))
+                n = len(q_ids) // 8
+                norms = np.sqrt((np.frombuffer(q_v, "<i8").reshape(n, dim).astype(float) ** 2).sum(axis=1)) if dim else np.zeros(n)
+                b_ids, b_scores, least = np.full((n, k), -1, "<i8"), np.full((n, k), -limit - 1, "<i8"), float("inf")
+                for i, one in enumerate(best):
+                    mine = one["best"] or []
+                    whole = len(mine) == k and all(-limit <= x["score"] < limit for x in mine)
+                    if whole:
+                        b_ids[i], b_scores[i] = [x["vec_id"] for x in mine], [x["score"] for x in mine]
+                    # with fewer than k, or none above 0, any norm may do; equal scores may win by their id
+                    least = min(least, mine[-1]["score"] / norms[i] * (1 - 1e-9) if whole and mine[-1]["score"] > 0 else 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((dim, pa.int32()), (part, pa.int32()), (q_ids, pa.binary()), (q_v, pa.binary()), (b_ids.tobytes(), pa.binary()), (b_scores.tobytes(), pa.binary()), (least, pa.float64()))], names=["dim", "q_part", "q_ids", "q_v", "b_ids", "b_scores", "least"])
+
+    return q_blocks.join(lists, ["dim", "q_part"]).select("dim", "q_part", "q_ids", "q_v", "best").mapInArrow(pack, "dim int, q_part int, q_ids binary, q_v binary, b_ids binary, b_scores binary, least double")
+
+
+def _meet(v_blocks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Searches of the query blocks ``asked`` in the groups of blocks that they name, as ``searched`` tells them.
+
+    The blocks of a group come first to their task, which keeps them, and the
+    queries after them, one block at a time.  Where there are fewer groups than
+    tasks, queries of a group are shared out and its blocks sent to each share.
+    """
+    spark = v_blocks.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, v_blocks.select("dim", "g").distinct().count())
+    shares = max(1, min(tasks // groups, asked.select("q_part").distinct().count()))
+    none = F.lit(None).cast("binary")
+    left = v_blocks.select("dim", "g", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), F.col("part").alias("n"), "ids", "v", "lists", none.alias("b_ids"), none.alias("b_scores"))
+    right = asked.select("dim", "g", (F.col("q_part") % shares).cast("int").alias("share"), F.lit(1).alias("kind"), F.col("q_part").alias("n"), F.col("q_ids").alias("ids"), F.col("q_v").alias("v"), none.alias("lists"), "b_ids", "b_scores")
+    dealt = left.union(right).repartition(max(1, min(groups * shares, 10 * tasks)), "dim", "g", "share").sortWithinPartitions("dim", "g", "share", "kind", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        limit = (1 << 63) - 1
+        key, blocks = None, []
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, q, g, ids, v, lists = (batch[c][row].as_py() for c in ("dim", "q", "g", "ids", "v", "lists"))
-                if key != (dim, q, g):
-                    if key is not None:
-                        yield told()
-                    key, q_ids = (dim, q, g), np.frombuffer(batch["q_ids"][row].as_py(), "<i8")
-                    asked, state = np.frombuffer(batch["q_v"][row].as_py(), "<i8").reshape(len(q_ids), dim), [([], 0, 0)] * len(q_ids)
+                dim, g, share, kind, ids, v, lists, b_ids, b_scores = (batch[c][row].as_py() for c in ("dim", "g", "share", "kind", "ids", "v", "lists", "b_ids", "b_scores"))
+                if key != (dim, g, share):
+                    key, blocks = (dim, g, share), []
                 ids = np.frombuffer(ids, "<i8")
-                block = Block(ids, np.frombuffer(v, "<i8").reshape(len(ids), dim), np.frombuffer(lists, "<i4").reshape(len(ids), dim))
-                for i, (query_id, query) in enumerate(zip(q_ids, asked)):
-                    best, scored, depth = state[i]
-                    best, more, deep = threshold_search(block, query_id, query, k, best)
-                    state[i] = best, scored + more, max(depth, deep)
-        if key is not None:
-            yield told()
-
-    return met.select("dim", "q", "g", "ids", "v", "lists", "q_ids", "q_v").mapInArrow(run, "query_id long, vec_id long, score long, scored long, depth long")
+                rows = np.frombuffer(v, "<i8").reshape(len(ids), dim)
+                if not kind:
+                    blocks.append(Block(ids, rows, np.frombuffer(lists, "<i4").reshape(len(ids), dim)))
+                    continue
+                if not blocks:
+                    continue
+                out = []
+                for i, query in enumerate(rows):
+                    before: list[tuple[int, int]] = []
+                    if b_ids is not None:
+                        own, scores = (np.frombuffer(b, "<i8").reshape(-1, k)[i].tolist() for b in (b_ids, b_scores))
+                        before = [(s, j) for s, j in zip(scores, own) if s > -limit - 1]
+                    best, scored, depth = before, 0, 0
+                    for block in blocks:
+                        best, more, deep = threshold_search(block, ids[i], query, k, best)
+                        scored, depth = scored + more, max(depth, deep)
+                    # what was known before is told already, once for each time
+                    known = Counter(before)
+                    known.subtract(best)
+                    fresh = Counter({x: -n for x, n in known.items() if n < 0})
+                    out += [(int(ids[i]), j, max(-limit - 1, min(limit, s)), None, None) for s, j in fresh.elements()]
+                    out.append((int(ids[i]), None, None, scored, depth))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["query_id", "vec_id", "score", "scored", "depth"])
+
+    return dealt.select("dim", "g", "share", "kind", "ids", "v", "lists", "b_ids", "b_scores").mapInArrow(run, "query_id long, vec_id long, score long, scored long, depth long")
 
 
 #: The same in DuckDB for k = 5 and queries whose id 50 divides.
