@@ -20,6 +20,7 @@ within two bits of each other just if some value is within one bit of both.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,6 +42,8 @@ MARKS = 2
 MAX_BROADCAST = 200_000
 #: Least Jaccard similarity of the shingle sets of near copies, as a fraction.
 SIMILAR = (4, 5)
+#: Ratio of sizes within a class of them.
+SIZE_CLASS = 1.1
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -266,6 +269,24 @@ def _may_match(a: str, b: str) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (left * (p + q) >= (n + m) * p)
 
 
+def _met_by_size(entries: DataFrame) -> DataFrame:
+    """Pairs l, r of entries (node, size, at, root) of a shingle that sizes and the smaller set's place allow, each once.
+
+    The smaller set of a pair asks: its place tells how large a partner can be,
+    and sets of no more than that are met by classes of size.  Sets whose
+    shared shingle comes late, as that of a form many documents have in common,
+    can have no partner of their size or more, and ask for none.
+    """
+    p, q = SIMILAR
+    size, left = F.col("size"), F.col("size") - F.col("at")
+    largest = F.least(size * q / p, left * (p + q) / p - size)
+    class_of = lambda x: F.floor(F.log(x.cast("double")) / math.log(SIZE_CLASS) + 1e-9)
+    held = F.struct("node", "size", "at", "root")
+    asks = entries.where(largest >= size).select("shingle", held.alias("l"), F.explode(F.sequence(class_of(size), class_of(largest + 0.5))).alias("class"))
+    met = asks.join(entries.select("shingle", held.alias("r"), class_of(size).alias("class")), ["shingle", "class"])
+    return met.where((F.col("l.size") < F.col("r.size")) | ((F.col("l.size") == F.col("r.size")) & (F.col("l.node") < F.col("r.node"))))
+
+
 def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int = 64) -> DataFrame:
     """(doc_id, version, root) for every row: groups linked by a Jaccard similarity of SIMILAR or more of the shingle sets.
 
@@ -308,8 +329,7 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 2, max_bucket: int
     placed = stored(met.join(roots, "node", "left").select("shingle", "node", "size", "at", F.coalesce("root", "node").alias("root")), "placed")
     parted = cut(placed.groupBy("shingle").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("shingle"))
     open_ = cut(placed.join(parted, "shingle"))
-    l, r = open_.select("shingle", F.struct("node", "size", "at", "root").alias("l")), open_.select("shingle", F.struct("node", "size", "at", "root").alias("r"))
-    both = l.join(r, "shingle").where("l.node < r.node and l.root <> r.root").where(_may_match("l", "r"))
+    both = _met_by_size(open_).where("l.root <> r.root").where(_may_match("l", "r"))
     # all that the prefixes share up to the last place that passed, and no more than what follows it
     most = F.count("*") + F.least(F.max(F.col("l.size") - 1) - F.max("l.at"), F.max(F.col("r.size") - 1) - F.max("r.at"))
     bounds = both.groupBy(F.col("l.node").alias("a"), F.col("r.node").alias("b")).agg(most.alias("most"), F.max(F.col("l.size") + F.col("r.size")).alias("sizes"))
