@@ -183,3 +183,25 @@ def test_solver_runs_that_do_not_end_are_errors(monkeypatch):
     edge[:, 0] = True
     with pytest.raises(RuntimeError, match="3 steps"):
         solver.inertial_run(z, edge, 1.0, total_s=5000.0, dt_max=1.0, window=10)
+
+
+def test_registers_are_assessed_by_ground_and_distance(spark):
+    g = grid_of(spark, [[1.0, 30.0, None, 2.0]])
+    rows = [(1, "flood", 0, 0, 0.0, 0.0), (2, "flood", 0, 1, 900.0, 0.0), (3, "dry", 0, 2, 1800.0, 0.0), (4, "dry", 0, 3, 5000.0, 0.0), (5, "dry", 0, 0, 100.0, 0.0), (6, "dry", 0, 3, None, None), (7, "dry", 0, 0, 100.0, 0.0)]
+    points = spark.createDataFrame(rows, "label int, cls string, row int, col int, x double, y double")
+    got = {r.label: (r.flag, r.confidence) for r in controls.assessed_register(points, g).collect()}
+    assert got == {1: ("ok", "high"), 2: ("flood on high ground", "low"), 3: ("off the ground", "low"), 4: ("ok", "high"), 5: ("dry beside a flood", "low"), 6: ("no place", "failed"), 7: ("dry beside a flood", "low")}
+
+
+def test_pooled_law_is_that_of_all_station_years(spark):
+    from tidemark.operators.series import fit_values
+    from tidemark.plans import checks, forcing
+
+    rng = np.random.default_rng(3)
+    rows = [(f"s{s}", 2000 + y, float(v)) for s in range(4) for y, v in enumerate(rng.gumbel(50 + s, 12, size=20 if s else 2))]
+    maxima = spark.createDataFrame(rows, "series_id string, year int, max_value double")
+    reference = spark.createDataFrame([(0.0, 52.0, 12.0)], "xi double, mu double, sigma double")
+    got = checks.pooled_bias(maxima, reference, forcing.return_periods(spark)).collect()
+    xi, mu, sigma = fit_values(np.array([v for s, _, v in rows if s != "s0"]))
+    assert {r.n_years for r in got} == {60} and got[0].mu == pytest.approx(mu, abs=0.05) and got[0].sigma == pytest.approx(sigma, abs=0.05)
+    assert all(r.ratio == pytest.approx(r.reference / r.pooled) for r in got)

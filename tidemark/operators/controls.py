@@ -60,3 +60,27 @@ def random_negatives(cells: DataFrame, floods: DataFrame, n: int = 60, apart_m:
     far = at.join(around, near, "left_anti")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "row", "col"))
     return far.orderBy(digest, "row", "col").limit(n).select("row", "col", "x", "y")
+
+
+def assessed_register(points: DataFrame, cells: DataFrame, flood_highest: float = 15.0, dry_nearest_m: float = 500.0) -> DataFrame:
+    """``points`` (label, cls, row, col, x, y and other columns) with ``elevation``, ``to_flood``, ``flag`` and ``confidence``.
+
+    A point without a place has failed; one off the known ground, a flood on
+    ground above ``flood_highest``, or a dry point within ``dry_nearest_m`` of a
+    flood is of low confidence.  Rules apply in that order.
+    """
+    ground = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("z").cast("double").alias("elevation"))
+    at = points.join(ground, (points["row"] == F.col("_r")) & (points["col"] == F.col("_c")), "left").drop("_r", "_c")
+    floods = points.where((F.col("cls") == "flood") & F.col("x").isNotNull() & F.col("y").isNotNull()).select(F.col("x").cast("double"), F.col("y").cast("double"), F.lit(0).alias("station_id"))
+    spots = points.where("cls = 'dry'").select(F.col("x").cast("double"), F.col("y").cast("double")).where("x is not null and y is not null").distinct()
+    far = nearest(spots, floods, "x", "y").select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("distance").alias("_d"))
+    dry = F.col("cls") == "dry"
+    told = at.join(far, dry & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")), "left").withColumn("to_flood", F.col("_d")).drop("_x", "_y", "_d")
+    flag = (
+        F.when(F.col("x").isNull() | F.col("y").isNull(), "no place")
+        .when(F.col("elevation").isNull(), "off the ground")
+        .when((F.col("cls") == "flood") & (F.col("elevation") > flood_highest), "flood on high ground")
+        .when(dry & (F.col("to_flood") < dry_nearest_m), "dry beside a flood")
+        .otherwise("ok")
+    )
+    return told.withColumn("flag", flag).withColumn("confidence", F.when(F.col("flag") == "ok", "high").when(F.col("flag") == "no place", "failed").otherwise("low"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.hydrology import excess_rain, gev_quantile, gev_return_period, gumbel_location, gumbel_scale, ponding_cap
+from tidemark.operators.series import gev_fit
 
 #: Scenarios in order of severity.
 SEVERITY_ORDER = (("SSP2-4.5", 2050), ("SSP5-8.5", 2050), ("SSP2-4.5", 2100), ("SSP5-8.5", 2100))
@@ -83,6 +84,23 @@ def bias_by_period(levels: DataFrame, pooled: DataFrame) -> DataFrame:
     return levels.join(F.broadcast(pooled), "return_period").withColumn("ratio", F.col("level") / F.when(F.col("pooled") != 0, F.col("pooled")))
 
 
+def pooled_bias(maxima: DataFrame, reference: DataFrame, periods: DataFrame, least_years: int = 3) -> DataFrame:
+    """return_period, pooled, reference, ratio and the pooled parameters: levels of one law fitted to all station years against a reference's.
+
+    ``maxima`` has series_id, year and max_value, ``reference`` one row of xi,
+    mu and sigma.  Stations with fewer than ``least_years`` known maxima take no
+    part.  The fit is one task over a number a station and year.
+    """
+    known = maxima.where(F.col("max_value").isNotNull())
+    enough = known.groupBy("series_id").agg(F.count("*").alias("years")).where(F.col("years") >= least_years)
+    pooled = gev_fit(known.join(enough, "series_id", "left_semi").select(F.lit("pooled").alias("series_id"), "max_value"))
+    other = reference.select(F.col("xi").alias("r_xi"), F.col("mu").alias("r_mu"), F.col("sigma").alias("r_sigma"))
+    both = periods.join(pooled.join(other))
+    level, held = gev_quantile("xi", "mu", "sigma", "return_period"), gev_quantile("r_xi", "r_mu", "r_sigma", "return_period")
+    told = both.select("return_period", level.alias("pooled"), held.alias("reference"), "xi", "mu", "sigma", "n_years")
+    return told.withColumn("ratio", F.col("reference") / F.when(F.col("pooled") != 0, F.col("pooled")))
+
+
 def event_bracket(peaks: DataFrame, params: DataFrame, periods: DataFrame) -> DataFrame:
     """Event peaks (series_id, peak) to their return period by the series' law, and the stored periods around it."""
     rp = peaks.join(params, "series_id").select("series_id", gev_return_period("xi", "mu", "sigma", "peak").alias("rp"))

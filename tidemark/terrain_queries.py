@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import depth as D
 from tidemark.functions import geo
 from tidemark.operators import controls, grid, lines, reproject, resampling, terrain
-from tidemark.plans import city, diagnostics, forcing, views
+from tidemark.operators.series import gev_fit
+from tidemark.plans import checks, city, diagnostics, forcing, views
 from tidemark.plans.views import SQL_CELLS, SQL_POINTS, SQL_TABLE_LEVELS
 from tidemark.queries import _AB, _CONDITIONED, _D, _FILLED, _NEAR, place, query, r6
 from tidemark.sources import rasters, tables
@@ -297,3 +298,28 @@ def city_levels(spark: SparkSession, sf: str) -> DataFrame:
     city.run(spark, store, sources, {"rate": 0.07}, stages)
     tables_, computed = city.run(spark, store, sources, {"rate": 0.07}, stages)
     return tables_["levels"].where(F.lit(not computed)).select("hazard_type", "return_period", "scenario", "horizon", r6("water_level_m").alias("water_level_m"))
+
+
+# registers and pooled fits
+
+
+@query(
+    f"""WITH {SQL_CELLS}, {SQL_POINTS}, p AS (SELECT label, cls, r, c, CASE WHEN label % 7 <> 3 THEN c * 30 + 15.0::DOUBLE END AS x, CASE WHEN label % 7 <> 3 THEN r * 30 + 15.0::DOUBLE END AS y FROM points),
+d AS (SELECT a.label, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM p a JOIN p b ON a.cls = 'dry' AND b.cls = 'flood' AND a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY a.label),
+t AS (SELECT p.*, g.z, d.d, CASE WHEN x IS NULL THEN 'no place' WHEN g.z IS NULL THEN 'off the ground' WHEN cls = 'flood' AND g.z > 2 THEN 'flood on high ground' WHEN cls = 'dry' AND d.d < 35 THEN 'dry beside a flood' ELSE 'ok' END AS flag FROM p LEFT JOIN cells g USING (r, c) LEFT JOIN d USING (label))
+SELECT label, cls, round(z, 6) AS elevation, round(d, 6) AS to_flood, flag, CASE flag WHEN 'ok' THEN 'high' WHEN 'no place' THEN 'failed' ELSE 'low' END AS confidence FROM t"""
+)
+def register_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    lost = F.col("label") % 7 == 3
+    points = _metres(views.points(spark, sf)).withColumns({"x": F.when(~lost, F.col("x")), "y": F.when(~lost, F.col("y"))})
+    found = controls.assessed_register(points, views.cells(spark, sf), flood_highest=2.0, dry_nearest_m=35.0)
+    return found.select("label", "cls", r6("elevation").alias("elevation"), r6("to_flood").alias("to_flood"), "flag", "confidence")
+
+
+@query()
+def pooled_station_bias(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of a law through the pooled yearly maxima of all series against that of the first series alone."""
+    maxima = views.annual_max(spark, sf).withColumn("max_value", F.col("max_value") / 1000)
+    law = gev_fit(maxima.where("series_id = 'A'")).select("xi", "mu", "sigma")
+    found = checks.pooled_bias(maxima, law, forcing.return_periods(spark))
+    return found.select("return_period", F.round("pooled", 3).alias("pooled"), F.round("ratio", 4).alias("ratio"))
