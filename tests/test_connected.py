@@ -1,6 +1,7 @@
 """Both ways of joining links and of filling basins give the same, on grids and chains that take many rounds."""
 
 import heapq
+import math
 import random
 
 import pytest
@@ -69,3 +70,18 @@ def test_nearest_equals_brute_force(spark):
         d, s = min(((x - a) ** 2 + (y - b) ** 2, s) for s, a, b in stations if a is not None)
         assert got[label][0] == s and got[label][1] == pytest.approx(d**0.5)
     assert scoring.nearest(spark.createDataFrame(points[:2], "label long, x double, y double"), spark.createDataFrame([], "station_id long, x double, y double"), "x", "y").where("station_id is null").count() == 2
+
+
+def test_nearest_where_stations_crowd(spark):
+    rng = random.Random(12)
+    town = [(k, 500 + rng.random() * 0.01, 500 + rng.random() * 0.01) for k in range(400)]
+    stations = town + [(1000 + k, rng.random() * 1000, rng.random() * 1000) for k in range(60)] + [(2000, *town[0][1:])]
+    points = [(k, 500 + rng.random() * 0.02, 500 + rng.random() * 0.02) for k in range(40)] + [(100 + k, rng.random() * 3000 - 1000, rng.random() * 3000 - 1000) for k in range(60)]
+    points += [(300, 450.0, 450.0), (301, 450.0, 450.0), (302, None, 1.0)]
+    got = {r.label: (r.station_id, r.distance) for r in scoring.nearest(spark.createDataFrame(points, "label long, x double, y double"), spark.createDataFrame(stations, "station_id long, x double, y double"), "x", "y").collect()}
+    for label, x, y in points[:-1]:
+        d, k = min((math.sqrt((x - a) * (x - a) + (y - b) * (y - b)), k) for k, a, b in stations)
+        assert got[label][0] == k and math.isclose(got[label][1], d, abs_tol=1e-12)
+    assert got[302] == (None, None) and len(got) == len(points)
+    one = scoring.nearest(spark.createDataFrame(points[:3], "label long, x double, y double"), spark.createDataFrame([(7, 1.0, 1.0)], "station_id long, x double, y double"), "x", "y")
+    assert {r.station_id for r in one.collect()} == {7}

@@ -15,6 +15,8 @@ from tidemark.sources.storage import cut
 
 #: Bootstrap settings.
 N_BOOT, SEED, LEVEL = 10_000, 12345, 0.95
+#: Stations of a square that is not halved again, times that squares are halved at most, and levels up to which all squares are broadcast.
+CROWD, FINEST, COARSE = 16, 24, 6
 #: Points of a register that goes to the tasks whole.
 REGISTER = 100_000
 
@@ -216,47 +218,50 @@ def band_check(points: DataFrame, cells: DataFrame, half: int = 12, depth: str =
 def nearest(points: DataFrame, stations: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
     """Each point with the nearest station by plain coordinate distance, ties to the smaller station_id.
 
-    Points meet the stations of their own and the eight adjoining squares; a
-    station within a square's width is nearest for certain, and points without
-    one go on with squares of twice the width.  Stations at one place count
-    once.  Points without coordinates, and all points where there is no
-    station, get nulls.
+    Squares that hold stations are halved level by level until none holds more
+    than ``CROWD``; at each level a point goes on with those squares alone whose
+    nearest corner is no farther than the farthest one of another, so wherever
+    stations crowd a point meets a few squares a level and the stations of a few
+    of the smallest.  Stations at one place count once.  Points without
+    coordinates, and all points where there is no station, get nulls.
     """
-    own = stations.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.min("station_id").alias("station_id"))
-    own = cut(own)
-    box = own.agg(F.count("*").alias("n"), F.min("_x").alias("x1"), F.max("_x").alias("x2"), F.min("_y").alias("y1"), F.max("_y").alias("y2")).first()
     at = points.columns
+    own = cut(stations.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.min("station_id").alias("station_id")))
     kind = dict(own.dtypes)["station_id"]
     placed = F.col(x).isNotNull() & F.col(y).isNotNull()
-    none = lambda df: df.select(*at, F.lit(None).cast(kind).alias("station_id"), F.lit(None).cast("double").alias("distance"))
+    none = points.where(~placed).select(*at, F.lit(None).cast(kind).alias("station_id"), F.lit(None).cast("double").alias("distance"))
+    box = own.agg(F.count("*").alias("n"), F.min("_x").alias("x1"), F.max("_x").alias("x2"), F.min("_y").alias("y1"), F.max("_y").alias("y2")).first()
     if not box.n:
-        return none(points)
-    asked = cut(points.where(placed))
-    spread = asked.agg(F.min(x).alias("x1"), F.max(x).alias("x2"), F.min(y).alias("y1"), F.max(y).alias("y2")).first()
-    if spread.x1 is None:
-        return none(points)
-    extent = float(max(max(box.x2, spread.x2) - min(box.x1, spread.x1), max(box.y2, spread.y2) - min(box.y1, spread.y1)))
-    size = max(float(max(box.x2 - box.x1, box.y2 - box.y1)) / box.n**0.5, extent * 1e-6, 1e-9)
-    done, steps = none(points.where(~placed)), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    while True:
-        square = lambda c: F.floor(F.col(c) / F.lit(size))
-        near = asked.distinct().withColumn("_i", square(x)).withColumn("_j", square(y)).withColumn("_di", steps).withColumn("_dj", steps)
-        near = near.withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
-        met = near.join(own.withColumn("_i", square("_x")).withColumn("_j", square("_y")), ["_i", "_j"], "left")
-        d2 = (F.col(x) - F.col("_x")) * (F.col(x) - F.col("_x")) + (F.col(y) - F.col("_y")) * (F.col(y) - F.col("_y"))
-        best = met.groupBy(*at).agg(F.min(F.when(F.col("_x").isNotNull(), F.struct(d2.alias("d2"), "station_id"))).alias("m"))
-        best = cut(best.select(*at, "m.station_id", F.sqrt("m.d2").alias("distance")))
-        last = size >= extent
-        done = done.union(best if last else best.where(F.col("distance") <= size))
-        if last:
-            break
-        asked = cut(best.where(F.col("distance").isNull() | (F.col("distance") > size)).select(*at))
-        if asked.isEmpty():
-            break
-        size *= 2
-    told = done.distinct().select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(at)], "station_id", "distance")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(at)]
-    return points.join(told, same, "left").select(*at, "station_id", "distance")
+        return points.select(*at, F.lit(None).cast(kind).alias("station_id"), F.lit(None).cast("double").alias("distance"))
+    side = max(box.x2 - box.x1, box.y2 - box.y1) * (1 + 1e-9) or 1.0
+    finest = 1 << FINEST
+    number = lambda c, low: F.least(F.floor((F.col(c) - F.lit(low)) / F.lit(side) * finest), F.lit(finest - 1)).cast("long")
+    dealt = cut(own.withColumn("_i", number("_x", box.x1)).withColumn("_j", number("_y", box.y1)))
+    up = lambda c, levels: F.shiftright(F.col(c), levels)
+    # the first level at which no square is crowded
+    depth = next((d for d in range(FINEST) if (dealt.groupBy(up("_i", FINEST - d), up("_j", FINEST - d)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]) <= CROWD), FINEST)
+    asked = points.where(placed).select(F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py")).distinct()
+    left = asked.select("_px", "_py", F.lit(0).cast("long").alias("_i"), F.lit(0).cast("long").alias("_j"))
+    for d in range(1, depth + 1):
+        children = dealt.select(up("_i", FINEST - d).alias("_ci"), up("_j", FINEST - d).alias("_cj")).distinct().withColumn("_i", up("_ci", 1)).withColumn("_j", up("_cj", 1))
+        # there are no more squares than 4**d, and no more than stations
+        met = left.join(F.broadcast(children) if d <= COARSE else children, ["_i", "_j"]).select("_px", "_py", F.col("_ci").alias("_i"), F.col("_cj").alias("_j"))
+        width = side / (1 << d)
+        low_x, low_y = F.lit(box.x1) + F.col("_i") * width, F.lit(box.y1) + F.col("_j") * width
+        off = lambda p, low, w=width: F.greatest(low - p, p - low - w, F.lit(0.0))
+        far = lambda p, low, w=width: F.greatest(F.abs(p - low), F.abs(p - low - w))
+        square = lambda a, b: a * a + b * b
+        near, reach = square(off(F.col("_px"), low_x), off(F.col("_py"), low_y)), square(far(F.col("_px"), low_x), far(F.col("_py"), low_y))
+        ranged = cut(met.withColumn("_near", near).withColumn("_far", reach))
+        best = ranged.groupBy("_px", "_py").agg(F.min("_far").alias("_least"))
+        # a little more is kept than rounding can blur
+        left = cut(ranged.join(best, ["_px", "_py"]).where(F.col("_near") <= F.col("_least") * (1 + 1e-9)).select("_px", "_py", "_i", "_j"))
+    held = dealt.select("_x", "_y", "station_id", up("_i", FINEST - depth).alias("_i"), up("_j", FINEST - depth).alias("_j"))
+    d2 = (F.col("_px") - F.col("_x")) * (F.col("_px") - F.col("_x")) + (F.col("_py") - F.col("_y")) * (F.col("_py") - F.col("_y"))
+    told = left.join(held, ["_i", "_j"]).groupBy("_px", "_py").agg(F.min(F.struct(d2.alias("d2"), "station_id")).alias("m"))
+    told = cut(told.select("_px", "_py", "m.station_id", F.sqrt("m.d2").alias("distance")))
+    whole = points.where(placed).join(told, (F.col(x).cast("double") == F.col("_px")) & (F.col(y).cast("double") == F.col("_py")))
+    return whole.select(*at, told["station_id"], told["distance"]).union(none)
 
 
 def validated(scored: DataFrame, *by: str, **gate) -> DataFrame:
