@@ -152,3 +152,25 @@ def test_many_edited_copies_of_one_text_cost_few_pairs(spark, monkeypatch):
     got = S.near_copies(spark.createDataFrame([(d, t, "en", "a") for d, t in data], SCHEMA))
     assert {r.doc_id: r.component_id for r in got.collect()} == roots
     assert sum(listed) < 2 * sum(len(s) // 5 + 1 for s in sets.values())
+
+
+def test_many_texts_to_read_again_are_joined_by_a_shuffle(spark, monkeypatch):
+    want = sorted(map(tuple, S.near_copies(docs(spark), words=5).collect()), key=repr)
+    monkeypatch.setattr(S, "MAX_BROADCAST", 0)
+    assert sorted(map(tuple, S.near_copies(docs(spark), words=5).collect()), key=repr) == want
+
+
+def test_pairs_by_size_are_all_that_may_match(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(3)), node, size := int(rng.integers(5, 300)), int(rng.integers(0, size // 5 + 1)), node) for node in range(240)]
+    entries = spark.createDataFrame(rows, "shingle long, node long, size int, at long, root long")
+    got = S._met_by_size(entries).where(S._may_match("l", "r")).select(F.col("l.node"), F.col("r.node")).collect()
+    pairs = {frozenset(map(int, r)) for r in got}
+    want = set()
+    for s, a, n, i, _ in rows:
+        for t, b, m, j, _ in rows:
+            if a < b and s == t and min(n, m) * 5 >= max(n, m) * 4 and min(n - i, m - j) * 9 >= (n + m) * 4:
+                want.add(frozenset((a, b)))
+    assert pairs == want and len(got) == len(pairs) > 100

@@ -177,3 +177,13 @@ def test_repeated_empty_rows_without_an_end_id_stay(spark, tmp_path):
     table = spark.createDataFrame([(1, ""), (1, None), (1, ""), (2, "word")], "doc_id long, text string")
     got = sorted(map(tuple, S.read_back(spark, S.write_store(table, str(tmp_path / "s"), PATH, end_id=None)).collect()))
     assert [r[:3] for r in got] == [(1, 0, 0)] * 3 + [(2, 0, 1)]
+
+
+def test_forgetting_what_was_sent_changes_nothing(spark, tmp_path, monkeypatch):
+    want = sorted(map(tuple, S.read_back(spark, S.write_store(docs(spark), str(tmp_path / "a"), PATH)).collect()), key=repr)
+    monkeypatch.setattr(S, "SENT", 0)
+    monkeypatch.setattr(S, "PORTION", 100)
+    path = S.write_store(docs(spark), str(tmp_path / "b"), PATH)
+    assert sorted(map(tuple, S.read_back(spark, path).collect()), key=repr) == want
+    chunks = S.read_chunks(spark, path)
+    assert chunks.count() == chunks.select("digest").distinct().count()

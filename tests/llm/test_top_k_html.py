@@ -41,6 +41,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert T.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_many_classes_of_norms_are_joined_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_BROADCAST", 0)
+    monkeypatch.setattr(T, "VECTOR_BLOCK", 37)
+    df = spark.createDataFrame(vectors(), SCHEMA)
+    assert sorted(map(tuple, T.top_k(df, df.where("vec_id % 50 = 0")).collect())) == brute(vectors())
+
+
 @pytest.mark.parametrize("spread", [0.0, 3.0])
 def test_groups_of_small_norms_get_no_queries(spark, monkeypatch, spread):
     monkeypatch.setattr(T, "VECTOR_BLOCK", 20)
