@@ -76,3 +76,11 @@ def test_stream_of_maxima(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("maxima").collect()} == {tuple(r) for r in events.groupBy("event_type").agg(F.max("value")).collect()}
+
+
+def test_a_cache_is_built_once_and_again_when_lost_half_way(spark, tmp_path):
+    path, built = str(tmp_path / "c"), []
+    build = lambda: built.append(1) or spark.range(len(built))
+    assert [tables.cached_table(spark, path, build).count() for _ in range(3)] == [1, 1, 1]
+    (tmp_path / "c" / "_SUCCESS").unlink()
+    assert tables.cached_table(spark, path, build).count() == 2 and len(built) == 2

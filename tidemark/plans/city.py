@@ -21,6 +21,7 @@ from tidemark.operators import graph, scoring, terrain
 from tidemark.operators.grid import keys
 from tidemark.operators.zonal import severity_areas
 from tidemark.plans import forcing, hazard
+from tidemark.sources.storage import stands
 
 Tables = dict[str, DataFrame]
 Options = dict[str, object]
@@ -49,13 +50,6 @@ def key_of(stage: Stage, options: Options, input_keys: dict[str, str]) -> str:
     return hashlib.sha256(json.dumps(told, sort_keys=True, default=str).encode()).hexdigest()[:24]
 
 
-def stands(spark: SparkSession, path: str) -> bool:
-    """Whether a finished table lies at ``path``, in any store that Spark reaches."""
-    jvm = spark._jvm
-    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
-
-
 def run(spark: SparkSession, store: str, sources: dict[str, Source], options: Options, stages: tuple[Stage, ...] | None = None) -> tuple[Tables, list[str]]:
     """The stages' tables by name, and the names of those that had to be computed.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.depth import decoded
 from tidemark.functions.hydrology import RETURN_PERIODS
 from tidemark.operators.grid import from_tiles, to_tiles
+from tidemark.sources.storage import stands
 
 HAZARDS = ("coastal", "fluvial", "pluvial")
 #: Stored no-data values of depth and elevation, severity and masks.
@@ -152,6 +155,13 @@ def geocode_key(query: Column) -> Column:
     return F.substring(F.sha1(F.lower(F.trim(query)).cast("binary")), 1, 16)
 
 
+def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that stands at ``path``; where none is finished there, what ``build`` gives is written first."""
+    if not stands(spark, path):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def first_geocode(responses: DataFrame, west: float, east: float, south: float, north: float, column: str = "payload") -> DataFrame:
     """First result of each geocoder answer and whether it lies in the box."""
     hit = F.get(F.from_json(column, "results ARRAY<STRUCT<SEARCHVAL: STRING, LATITUDE: STRING, LONGITUDE: STRING>>")["results"], 0)

@@ -10,7 +10,7 @@ from tidemark.functions import geo
 from tidemark.operators import controls, grid, lines, reproject, resampling, terrain
 from tidemark.operators.series import gev_fit
 from tidemark.plans import checks, city, diagnostics, forcing, views
-from tidemark.plans.views import SQL_CELLS, SQL_POINTS, SQL_TABLE_LEVELS
+from tidemark.plans.views import SQL_CELLS, SQL_POINTS, SQL_SERIES, SQL_TABLE_LEVELS
 from tidemark.queries import _AB, _CONDITIONED, _D, _FILLED, _NEAR, place, query, r6
 from tidemark.sources import rasters, tables
 from tidemark.sources.storage import scratch
@@ -163,6 +163,15 @@ def levels_scan(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_levels(spark, path).select("hazard_type", "return_period", "scenario", "horizon", "water_level_m")
 
 
+@query(f"WITH {SQL_SERIES} SELECT series_id, ts, round(value, 4) AS value FROM series")
+def series_cache(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "series")
+    tables.cached_table(spark, path, lambda: views.series(spark, sf))
+    # a second call reads what stands, whatever it would build
+    again = tables.cached_table(spark, path, lambda: views.series(spark, sf).limit(0))
+    return again.select("series_id", "ts", F.round("value", 4).alias("value"))
+
+
 _STEPS = " ".join(f"WHEN d <= {edge} THEN {n}" for n, edge in enumerate(D.SEVERITY_EDGES, 1))
 _SEVERITY = "SELECT r, c, return_period, greatest(water_level_m - z, 0) AS d FROM cells, levels WHERE hazard_type = 'coastal' AND z IS NOT NULL"
 
