@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import claim, documents, portions
-from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, Memory
+from tidemark.llm.token_store import LETTERS, NOT_PLAIN, NUMBERS, SIGNS, Memory
 
 #: Characters of text whose distinct stretches are looked up at a time, about.
 PORTION = 4 << 20
-#: Stretches, and pieces that were merged, in each of the two generations that a process remembers, and the bytes these may take.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64 << 20
+#: Stretches and pieces in each of the two generations that a process remembers, and the bytes these may take.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 128 << 20
 
 #: White space to Python, but not to the library.
 NOT_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -90,10 +90,18 @@ class Counter:
         self.library.no_padding()
         self.alone = whole_tokens(self.library)
         self.shapes = Shapes(self.library)
-        self.stretches, self.merged = Memory(remembered, remembered_bytes), Memory(remembered, remembered_bytes)
+        # stretches and their pieces are strings with a count alike, and share one memory
+        self.stretches = Memory(remembered, remembered_bytes)
 
     def pieces(self, stretch: str) -> list[str]:
         """The pre-tokens of a stretch; one that may hold a special string is left whole."""
+        # most are a word of plain letters, after at most one space, with at most one sign behind it
+        body = stretch[1:] if stretch[0] == " " else stretch
+        if body.isascii():
+            if body.isalpha():
+                return [stretch]
+            if body[:-1].isalpha() and body[-1] in SIGNS:
+                return [stretch[:-1], stretch[-1]]
         if "<|" in stretch:
             return [stretch]
         if not NOT_PLAIN.search(stretch):
@@ -102,13 +110,11 @@ class Counter:
 
     def _merged(self, pieces: list[str]) -> dict[str, int]:
         """How many tokens the library makes of each of the distinct pieces."""
-        known, missed = self.merged.found(pieces)
-        for i in range(0, len(missed), 4096):
-            part = missed[i : i + 4096]
-            for at, made in zip(part, self.library.encode_batch_fast([pieces[j] for j in part], add_special_tokens=False)):
-                known[at] = len(made.ids)
-        self.merged.keep({pieces[i]: known[i] for i in missed})
-        return dict(zip(pieces, known))
+        made: dict[str, int] = {}
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            made.update(zip(part, (len(x.ids) for x in self.library.encode_batch_fast(part, add_special_tokens=False))))
+        return made
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [None if NOT_SPACE.search(t) else STRETCH.findall(t) for t in texts]
@@ -116,10 +122,15 @@ class Counter:
         known, missed = self.stretches.found(wanted)
         alone = self.alone
         parts = [self.pieces(wanted[i]) for i in missed]
-        merged = self._merged(list({p for ps in parts for p in ps if p not in alone}))
+        # a stretch that is a piece itself is not known; pieces of others may be
+        whole = {ps[0] for ps in parts if len(ps) == 1}.difference(alone)
+        others = list({p for ps in parts if len(ps) > 1 for p in ps}.difference(alone, whole))
+        counted, unknown = self.stretches.found(others)
+        made = self._merged([*whole, *(others[j] for j in unknown)])
+        merged = {p: n for p, n in zip(others, counted) if n is not None} | made
         for i, ps in zip(missed, parts):
-            known[i] = sum(merged.get(p, 1) for p in ps)
-        self.stretches.keep({wanted[i]: known[i] for i in missed})
+            known[i] = merged.get(ps[0], 1) if len(ps) == 1 else sum(merged.get(p, 1) for p in ps)
+        self.stretches.keep({wanted[i]: known[i] for i in missed} | made)
         own = dict(zip(wanted, known))
         return [len(self.library.encode(t, add_special_tokens=False).ids) if s is None else sum(map(own.__getitem__, s)) for t, s in zip(texts, split)]
 
