@@ -111,7 +111,7 @@ def _through_duckdb(df: DataFrame, sql: str, schema: str, text: str) -> DataFram
             for batch in batches:
                 for part in _slices(batch, text):
                     con.register("batch", pa.Table.from_batches([part]))
-                    yield from con.execute(sql).to_arrow_table().to_batches()
+                    yield from con.sql(sql).to_arrow_table().to_batches()
                     con.unregister("batch")
         finally:
             con.close()
