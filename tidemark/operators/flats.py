@@ -88,7 +88,8 @@ def flat_distances(cells: DataFrame, tile: int = TILE) -> DataFrame:
         better = cut(offers.join(border, k).where("height = theirs and (distance is null or offer < distance)").groupBy(*k, "tr", "tc").agg(F.min("offer").alias("offer")))
         if better.isEmpty():
             return state.select(*k, "height", "distance")
+        # a row a tile of a million cells
         active = cut(better.select(*tiles).distinct())
-        anew = state.join(active, tiles, "left_semi").join(better.select(*k, "offer"), k, "left")
+        anew = state.join(F.broadcast(active), tiles, "left_semi").join(better.select(*k, "offer"), k, "left")
         told = anew.select(*k, "height", F.least("distance", "offer").alias("distance"), "tr", "tc")
-        state = cut_round(_spread_tiles(told, k).unionByName(state.join(active, tiles, "left_anti")))
+        state = cut_round(_spread_tiles(told, k).unionByName(state.join(F.broadcast(active), tiles, "left_anti")))

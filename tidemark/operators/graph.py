@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators.components import connected_components
 from tidemark.operators.grid import cell_id, keys, offsets, reached, with_id
-from tidemark.sources.storage import cut, cut_round
+from tidemark.sources.storage import cut_cells, cut_round
 
 #: Side of the tiles of the first labelling phase.
 TILE = 128
@@ -63,7 +63,7 @@ def label_components(cells: DataFrame, active: Column, connectivity: int = 8, ti
 
     typed = tiled.select(*[F.col(c).cast("int") for c in k], "tr", "tc")
     labelled = typed.groupBy(*extra, "tr", "tc").applyInArrow(within, f"{kinds}lr int, lc int")
-    local = cut(labelled.select(*k, cell_id(F.col("grid") if extra else None, F.col("lr"), F.col("lc")).alias("local")))
+    local = cut_cells(labelled.select(*k, cell_id(F.col("grid") if extra else None, F.col("lr"), F.col("lc")).alias("local")))
     # only cells on a tile's edge can have neighbours in another tile
     at = lambda x: F.pmod(F.col(x), F.lit(tile))
     edge = local.where((at("row") == 0) | (at("row") == tile - 1) | (at("col") == 0) | (at("col") == tile - 1))
@@ -81,7 +81,7 @@ def flood_fill(cells: DataFrame, active: Column, connectivity: int = 8, seed: Co
     start = seed if seed is not None else on_border
     if start is None:
         raise ValueError("give seed or on_border")
-    labels = cut(label_components(cells, active, connectivity))
+    labels = cut_cells(label_components(cells, active, connectivity))
     k = keys(cells)
     seeded = cells.where(F.coalesce(active & start, F.lit(False))).select(*k).join(labels, k).select("label").distinct()
     return labels.join(seeded, "label", "left_semi").select(*k)
@@ -133,7 +133,7 @@ def tidal_seeds(cells: DataFrame, sea: str, channel: str, highest: float, z: str
 def denoised(cells: DataFrame, depth: str = "depth", wet: float = 0.05, smallest: int = 6, connectivity: int = 8) -> DataFrame:
     """Wet patches of fewer than ``smallest`` cells become dry."""
     k = keys(cells)
-    labels = cut(label_components(cells, F.col(depth) > wet, connectivity))
+    labels = cut_cells(label_components(cells, F.col(depth) > wet, connectivity))
     small = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") < smallest)
     gone = labels.join(small, "label", "left_semi")
     return marked(cells, gone, "_gone").withColumn(depth, F.when(F.col("_gone"), 0.0).otherwise(F.col(depth))).drop("_gone")
@@ -163,7 +163,7 @@ def flow_edges(directions: DataFrame) -> DataFrame:
 
 
 def _rounds(step: Callable[[DataFrame], DataFrame], state: DataFrame, done: Callable[[DataFrame], bool], most: int = 64) -> DataFrame:
-    state = cut(state)
+    state = cut_cells(state)
     for _ in range(most):
         if done(state):
             return state

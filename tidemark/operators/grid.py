@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.storage import by_merge
+
 #: Neighbour offsets (row, col); the first four are the edge neighbours.
 OFFSETS = ((-1, 0), (0, 1), (1, 0), (0, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))
 #: Cells are numbered in 62 bits: 14 for the grid, 24 for the row, 24 for the column.
@@ -36,7 +38,7 @@ def with_id(df: DataFrame, name: str = "cell") -> DataFrame:
     """``df`` with the numbers of its cells; an error where a row or column is too large for one."""
     number = cell_id(F.col("grid") if "grid" in df.columns else None, F.col("row"), F.col("col"))
     fits = F.col("row").between(0, (1 << _SHIFT) - 1) & F.col("col").between(0, (1 << _SHIFT) - 1)
-    return df.withColumn(name, F.when(fits, number).when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.raise_error(F.lit("rows and columns must lie between 0 and 2**24 - 1")).cast("long")))
+    return by_merge(df).withColumn(name, F.when(fits, number).when(F.col("row").isNotNull() & F.col("col").isNotNull(), F.raise_error(F.lit("rows and columns must lie between 0 and 2**24 - 1")).cast("long")))
 
 
 def id_parts(cell: Column) -> tuple[Column, Column, Column]:
@@ -49,7 +51,8 @@ def reached(df: DataFrame, around: tuple[tuple[int, int], ...], *carry: Column)
     """Each cell's carried columns at every offset: keys of the cell reached, ``direction`` and the columns."""
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("direction"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for i, (dr, dc) in enumerate(around)]))
     extra = ["grid"] if "grid" in df.columns else []
-    return df.select(*extra, "row", "col", *carry, steps.alias("_s")).select(
+    sent = by_merge(df.select(*extra, "row", "col", *carry, steps.alias("_s")))
+    return sent.select(
         *extra, (F.col("row") + F.col("_s.dr")).alias("row"), (F.col("col") + F.col("_s.dc")).alias("col"), F.col("_s.direction").alias("direction"), *[c for c in df.select(*carry).columns] if carry else []
     )
 
@@ -174,7 +177,7 @@ def resample(df: DataFrame, value: str, target: DataFrame, method: str = "biline
     takes the cell whose centre is closest.
     """
     k = keys(target)
-    source = df.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("v")).where("v is not null")
+    source = by_merge(df).select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(value).alias("v")).where("v is not null")
     if method == "nearest":
         near = target.withColumn("_r", F.floor(F.col("src_row") + 0.5).cast("int")).withColumn("_c", F.floor(F.col("src_col") + 0.5).cast("int"))
         return near.join(source, ["_r", "_c"], "left").select(*k, F.col("v").alias(value))
@@ -240,4 +243,4 @@ def buffered(df: DataFrame, lines: DataFrame, width: float) -> DataFrame:
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) - width).cast("int"), F.ceil(F.greatest(a, b) + width).cast("int")))
     asked = lines.withColumn("row", span("y1", "y2")).withColumn("col", span("x1", "x2"))
     near = asked.where(segment_distance(F.col("col") + 0.5, F.col("row") + 0.5, "x1", "y1", "x2", "y2") <= width).select("row", "col").distinct()
-    return df.join(near, ["row", "col"])
+    return df.join(by_merge(near), ["row", "col"])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import cut_cells
 
 
 def curves(beds: DataFrame, cell_area: float) -> DataFrame:
@@ -28,7 +28,7 @@ def curves(beds: DataFrame, cell_area: float) -> DataFrame:
     parts = int(beds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     steps = beds.where("z is not null").groupBy("dep", "z").agg(F.count("*").alias("m"))
     # the range is stored with its rows: another run of the same plan may cut ranges elsewhere
-    ranged = cut(steps.repartitionByRange(parts, "dep", "z").withColumn("part", F.spark_partition_id()))
+    ranged = cut_cells(steps.repartitionByRange(parts, "dep", "z").withColumn("part", F.spark_partition_id()))
     # a row for each range that a depression reaches into
     earlier = Window.partitionBy("dep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     held = ranged.groupBy("dep", "part").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("z")).alias("s"))
@@ -36,11 +36,11 @@ def curves(beds: DataFrame, cell_area: float) -> DataFrame:
     upto = Window.partitionBy("dep", "part").orderBy("z").rowsBetween(Window.unboundedPreceding, 0)
     n, total = F.col("m0") + F.sum("m").over(upto), F.col("s0") + F.sum(F.col("m") * F.col("z")).over(upto)
     summed = ranged.join(carried, ["dep", "part"]).select("dep", "part", "z", n.alias("n"), total.alias("total"))
-    rising = cut(summed.withColumn("volume", F.lit(cell_area) * (F.col("n") * F.col("z") - F.col("total"))))
+    rising = cut_cells(summed.withColumn("volume", F.lit(cell_area) * (F.col("n") * F.col("z") - F.col("total"))))
     following = Window.partitionBy("dep").orderBy("part")
     starts = rising.groupBy("dep", "part").agg(F.min("volume").alias("first")).select("dep", "part", F.lead("first").over(following).alias("beyond"))
     ahead = F.lead("volume").over(Window.partitionBy("dep", "part").orderBy("z"))
-    return cut(rising.withColumn("ahead", ahead).join(starts, ["dep", "part"]).select("dep", "part", "z", "n", "total", "volume", F.coalesce("ahead", "beyond").alias("until")))
+    return cut_cells(rising.withColumn("ahead", ahead).join(starts, ["dep", "part"]).select("dep", "part", "z", "n", "total", "volume", F.coalesce("ahead", "beyond").alias("until")))
 
 
 def levels_of(curve: DataFrame, asked: DataFrame, cell_area: float, supply: str = "supply") -> DataFrame:

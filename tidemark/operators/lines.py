@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.geo import segment_distance
 from tidemark.operators.grid import keys
 from tidemark.operators.terrain import conditioned_directions, drainage_mask
+from tidemark.sources.storage import by_merge
 
 #: Tags of waterways under ground.
 UNDERGROUND = ("culvert", "yes", "covered", "building_passage")
@@ -62,7 +63,7 @@ def touched_within(cells: DataFrame, lines: DataFrame, width: float) -> DataFram
     through = touched(lines.select("x1", "y1", "x2", "y2"))
     around = through.withColumn("dr", step).withColumn("dc", step).select("x1", "y1", "x2", "y2", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), ((F.col("dr") == 0) & (F.col("dc") == 0)).alias("own"))
     near = around.where(F.col("own") | (square_distance(F.col("row"), F.col("col")) <= width)).select("row", "col").distinct()
-    return cells.join(near, ["row", "col"], "left_semi")
+    return cells.join(by_merge(near), ["row", "col"], "left_semi")
 
 
 def drainage_network(cells: DataFrame, lines: DataFrame | None, width: float, threshold: int = 200, how: str = "union", z: str = "z") -> DataFrame:

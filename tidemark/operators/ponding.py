@@ -10,7 +10,7 @@ from tidemark.operators.graph import d8, flow_edges, label_components, terminals
 from tidemark.operators.grid import keys, with_id
 from tidemark.operators.hypsometry import curves, levels_of
 from tidemark.operators.terrain import conditioned_directions, filled_surface
-from tidemark.sources.storage import cut, cut_round
+from tidemark.sources.storage import cut_cells, cut_round
 
 #: Depth limits in metres and least size in cells of a depression that counts; wet depth.
 MIN_DEPTH, MAX_DEPTH, MIN_CELLS, WET = 0.5, 3.0, 9, 0.05
@@ -23,11 +23,11 @@ def inventory(surface: DataFrame, cell_area: float, min_depth: float = MIN_DEPTH
     n_cells.  ``dep`` is the number of the depression's first cell.
     """
     k = keys(surface)
-    labels = cut(label_components(surface, F.col("filled") - F.col("z") > 0))
+    labels = cut_cells(label_components(surface, F.col("filled") - F.col("z") > 0))
     inside = surface.join(labels, k)
     pour = F.max("filled")
     found = inside.groupBy(F.col("label").alias("dep")).agg(pour.alias("pour_elev"), F.sum(F.greatest(F.col("filled") - F.col("z"), F.lit(0.0))).alias("volume"), F.count("*").alias("n_cells"), F.max(F.col("filled") - F.col("z")).alias("depth"))
-    kept = cut(found.where((F.col("n_cells") >= min_cells) & F.col("depth").between(min_depth, max_depth)).select("dep", "pour_elev", (F.col("volume") * cell_area).alias("capacity_m3"), "n_cells"))
+    kept = cut_cells(found.where((F.col("n_cells") >= min_cells) & F.col("depth").between(min_depth, max_depth)).select("dep", "pour_elev", (F.col("volume") * cell_area).alias("capacity_m3"), "n_cells"))
     cells = inside.select(*k, "z", F.col("label").alias("dep")).join(kept.select("dep"), "dep", "left_semi")
     return cells, kept
 
@@ -53,15 +53,15 @@ def spill_graph(depressions: DataFrame, depression_cells: DataFrame, conditioned
     edges = flow_edges(conditioned)
     own = with_id(depression_cells).select("cell", "dep")
     stop = with_id(stops).select("cell").distinct().withColumn("stop", F.lit(True))
-    at = cut(edges.join(own, "cell", "left").join(stop, "cell", "left").select("cell", "next", "dep", F.coalesce("stop", F.lit(False)).alias("stop")))
+    at = cut_cells(edges.join(own, "cell", "left").join(stop, "cell", "left").select("cell", "next", "dep", F.coalesce("stop", F.lit(False)).alias("stop")))
     ahead = at.select(F.col("cell").alias("next"), F.col("dep").alias("next_dep"))
     # a path pauses at a stop, and before a cell of a depression that its own cell is not of
     enters = F.col("next_dep").isNotNull() & ~F.col("next_dep").eqNullSafe(F.col("dep"))
     pauses = F.col("stop") | enters | (F.col("next") == F.col("cell"))
     ways = at.join(ahead, "next").select("cell", "next", F.when(pauses, F.col("cell")).otherwise(F.col("next")).alias("to"), F.when(enters & ~F.col("stop"), F.col("next_dep")).alias("found"))
-    ways = cut(ways)
-    ends = cut(terminals(ways.select("cell", F.col("to").alias("next"))).join(ways.select(F.col("cell").alias("terminal"), F.col("next").alias("entered"), "found"), "terminal", "left").select("cell", "entered", "found"))
-    walks = cut(depressions.select("dep", F.col("dep").alias("cell")).join(ends, "cell", "left").select("dep", "entered", "found"))
+    ways = cut_cells(ways)
+    ends = cut_cells(terminals(ways.select("cell", F.col("to").alias("next"))).join(ways.select(F.col("cell").alias("terminal"), F.col("next").alias("entered"), "found"), "terminal", "left").select("cell", "entered", "found"))
+    walks = cut_cells(depressions.select("dep", F.col("dep").alias("cell")).join(ends, "cell", "left").select("dep", "entered", "found"))
     while True:
         back = walks.where("found = dep")
         if back.isEmpty():
@@ -122,11 +122,11 @@ def curve_levels(depressions: DataFrame, curve: DataFrame, inflow: DataFrame, ce
 
 def topography(cells: DataFrame, stops: DataFrame, cell_area: float = 900.0, z: str = "z", **limits) -> dict[str, DataFrame]:
     """What every return period shares: surface, directions, depressions, their cells and curves, spill graph."""
-    surface = cut(filled_surface(cells, z))
+    surface = cut_cells(filled_surface(cells, z))
     inside, depressions = inventory(surface, cell_area, **limits)
-    inside = cut(inside)
-    spill = cut(spill_graph(depressions, inside, conditioned_directions(cells, z, surface=surface), stops))
-    return {"surface": surface, "directions": cut(d8(cells, z)), "cells": inside, "depressions": depressions, "spill": spill, "curves": curves(inside, cell_area)}
+    inside = cut_cells(inside)
+    spill = cut_cells(spill_graph(depressions, inside, conditioned_directions(cells, z, surface=surface), stops))
+    return {"surface": surface, "directions": cut_cells(d8(cells, z)), "cells": inside, "depressions": depressions, "spill": spill, "curves": curves(inside, cell_area)}
 
 
 def route(topo: dict[str, DataFrame], excess: DataFrame, runoff: Column | float = 1.0, cell_area: float = 900.0, wet: float = WET, by: str = "return_period") -> DataFrame:
@@ -136,9 +136,9 @@ def route(topo: dict[str, DataFrame], excess: DataFrame, runoff: Column | float
     return periods.
     """
     share = runoff if isinstance(runoff, Column) else F.lit(float(runoff))
-    unit = cut(catchment_supply(topo["surface"], topo["directions"], topo["cells"], F.when(F.col("z").isNotNull(), F.coalesce(share, F.lit(0.0)) * cell_area)))
+    unit = cut_cells(catchment_supply(topo["surface"], topo["directions"], topo["cells"], F.when(F.col("z").isNotNull(), F.coalesce(share, F.lit(0.0)) * cell_area)))
     supply = unit.join(F.broadcast(excess)).select("dep", by, (F.col("supply") * F.col("excess_m")).alias("supply"))
-    level = cut(curve_levels(topo["depressions"], topo["curves"], cascade(topo["depressions"], topo["spill"], supply, by), cell_area))
+    level = cut_cells(curve_levels(topo["depressions"], topo["curves"], cascade(topo["depressions"], topo["spill"], supply, by), cell_area))
     k = keys(topo["surface"])
     depth = F.greatest(F.col("level") - F.col("z"), F.lit(0.0))
     wetted = topo["cells"].join(level.select("dep", by, "level"), "dep").select(*k, by, F.when(depth < wet, 0.0).otherwise(depth).alias("depth"))

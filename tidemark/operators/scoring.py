@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import by_merge, cut
 
 #: Bootstrap settings.
 N_BOOT, SEED, LEVEL = 10_000, 12345, 0.95
@@ -24,13 +24,13 @@ REGISTER = 100_000
 def windows(points: DataFrame, cells: DataFrame, half: int, depth: str = "depth") -> DataFrame:
     """Each point joined to the cells of its square window; a point off the grid keeps a null depth.
 
-    Points are few; each asks for the cells of its window, so the cells are
-    met by an equi-join on row and column.
+    Each asks for the cells of its window, so points and cells meet by an
+    equi-join on row and column.
     """
     steps = F.sequence(F.lit(-half), F.lit(half))
     asks = points.withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps)).withColumn("_r", F.col("row") + F.col("_dr")).withColumn("_c", F.col("col") + F.col("_dc"))
     there = cells.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col(depth).alias("_d"))
-    return asks.join(there, ["_r", "_c"], "left").drop("_dr", "_dc", "_r", "_c")
+    return by_merge(asks).join(there, ["_r", "_c"], "left").drop("_dr", "_dc", "_r", "_c")
 
 
 def point_scores(points: DataFrame, cells: DataFrame, radius_m: float = 50.0, cell_m: float = 30.0, threshold: float = 0.10, depth: str = "depth") -> DataFrame:

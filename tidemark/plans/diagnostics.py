@@ -11,7 +11,7 @@ from tidemark.operators.grid import id_parts, keys
 from tidemark.operators.ponding import catchment_supply, inventory
 from tidemark.operators.scoring import contingency, windows
 from tidemark.operators.terrain import filled_surface
-from tidemark.sources.storage import cut
+from tidemark.sources.storage import by_merge, cut_cells
 
 
 def threshold_sensitivity(cells: DataFrame, thresholds: tuple[float, ...], *by: str, depth: str = "depth") -> DataFrame:
@@ -29,14 +29,14 @@ def depression_sweep(cells: DataFrame, runoff: Column, thresholds: tuple[float,
     table of depressions, of which each row goes to the thresholds it passes.
     """
     k = keys(cells)
-    surface = cut(filled_surface(cells, z))
+    surface = cut_cells(filled_surface(cells, z))
     inside, found = inventory(surface, cell_area_m2, min(thresholds), max_depth, min_cells)
-    inside = cut(inside)
+    inside = cut_cells(inside)
     depth = inside.join(surface.select(*k, "filled"), k).groupBy("dep").agg(F.max(F.col("filled") - F.col("z")).alias("depth"))
     known = cells.where(F.col(z).isNotNull())
     caught = catchment_supply(known, d8(cells, z), inside, runoff)
     every = known.agg(F.sum(F.coalesce(runoff, F.lit(0.0))).alias("every"))
-    table = cut(found.select("dep", "n_cells").join(depth, "dep").join(caught, "dep", "left"))
+    table = cut_cells(found.select("dep", "n_cells").join(depth, "dep").join(caught, "dep", "left"))
     steps = F.array(*[F.lit(float(t)) for t in thresholds])
     passed = table.withColumn("threshold", F.explode(F.filter(steps, lambda t: F.col("depth") >= t)))
     sums = passed.groupBy("threshold").agg(F.count("*").alias("depressions"), F.sum("n_cells").alias("n"), F.sum("supply").alias("caught"), F.median("depth").alias("median_depth_m"))
@@ -77,7 +77,7 @@ def over_ponding(points: DataFrame, cells: DataFrame, radius_m: float = 50.0, ce
     def around(n: int) -> DataFrame:
         asks = points.select("label", "row", "col").withColumn("dr", steps(n)).withColumn("dc", steps(n))
         placed = asks.select("label", "dr", "dc", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-        return placed.join(cells.select("row", "col", "z", "depth"), ["row", "col"])
+        return by_merge(placed).join(cells.select("row", "col", "z", "depth"), ["row", "col"])
 
     distance = F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")) * cell_m
     near = around(half).withColumn("distance", distance).where((F.col("distance") <= radius_m) & (F.col("depth") > wet))

@@ -10,6 +10,7 @@ from tidemark.functions.hydrology import (
     FLUVIAL_EXPONENT, RETURN_PERIODS, anchored_level, climate_factor, datum_note, excess_rain, gev_quantile, gumbel_location, gumbel_scale, manning_stage, ponding_cap, scs_peak_discharge, scs_runoff,
 )
 from tidemark.operators.series import HALF_DAYS, HALF_HOURS, annual_maxima, anomalies, gev_fit, rolling_sum
+from tidemark.sources.storage import by_merge
 
 #: Warming in degrees by scenario and horizon (global surface air; over sea).
 WARMING = {("SSP5-8.5", 2020): (0.0, 0.0), ("SSP2-4.5", 2050): (0.9, 0.7), ("SSP5-8.5", 2050): (1.3, 1.0), ("SSP2-4.5", 2100): (1.8, 1.4), ("SSP5-8.5", 2100): (4.0, 3.0)}
@@ -170,7 +171,7 @@ def grid_value(field: DataFrame, points: DataFrame, step: float, value: str = "m
     n = int(reach / step)
     i, j = F.floor(F.col("lat") / step).cast("int"), F.floor(F.col("lon") / step).cast("int")
     asks = points.withColumn("_a", F.explode(F.sequence(F.lit(-n), F.lit(n + 1)))).withColumn("_b", F.explode(F.sequence(F.lit(-n), F.lit(n + 1)))).withColumn("_i", i + F.col("_a")).withColumn("_j", j + F.col("_b"))
-    met = asks.join(known, ["_i", "_j"])
+    met = by_merge(asks).join(known, ["_i", "_j"])
     dy, dx = F.col("lat") / step - F.col("_i"), F.col("lon") / step - F.col("_j")
     corner = F.col("_a").isin(0, 1) & F.col("_b").isin(0, 1)
     w = F.when(corner, (1 - F.abs(dy)) * (1 - F.abs(dx)))

@@ -36,6 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` for joins by sorting and merging, never as a copy for every executor.
+
+    The planner takes the size of a table of cells from its packed files, and
+    what ``explode`` makes of it for no larger; a copy sent by that guess goes
+    through the driver and can be hundreds of times as large.
+    """
+    return df.hint("merge")
+
+
+def cut_cells(df: DataFrame) -> DataFrame:
+    """As ``cut``, for tables that grow with the cells: their guessed size is not gone by."""
+    return by_merge(cut(df))
+
+
 def cut_round(df: DataFrame) -> DataFrame:
     """As ``cut``, for one round of a loop.
 
