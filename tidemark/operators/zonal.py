@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from tidemark.functions.depth import severity
 from tidemark.operators.grid import keys
 
+#: Decimals to which indices are told apart.
+TIE = 9
+
 
 def depth_summary(cells: DataFrame, *by: str, depth: str = "depth", cell_area_m2: float = 900.0) -> DataFrame:
     """Per group: flooded area, mean and largest depth of wet cells, their number; zeros where none is wet."""
@@ -51,14 +54,20 @@ def depth_percentiles(stack: DataFrame, percents: list[float], depth: str = "dep
 
 
 def quantile_flag(cells: DataFrame, index: str, fraction: float, depth: float) -> DataFrame:
-    """Cells in the top ``fraction`` of an index get a constant depth, other known cells zero; fraction 0 flags none."""
+    """Cells in the top ``fraction`` of an index get a constant depth, other known cells zero; fraction 0 flags none.
+
+    Indices that agree to TIE decimals are a tie: means of the same heights
+    differ in their last bits by the order in which they were summed, and
+    which cells are flagged must not follow from how the table is partitioned.
+    """
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must lie in [0, 1]")
     known = F.col(index).isNotNull()
     if fraction == 0:
         return cells.select(*keys(cells), F.when(known, 0.0).alias("depth"))
-    cut = cells.agg(F.percentile(index, F.lit(1 - fraction)).alias("cut"))
-    return cells.join(F.broadcast(cut)).select(*keys(cells), F.when(known, F.when(F.col(index) >= F.col("cut"), depth).otherwise(0.0)).alias("depth"))
+    even = F.round(index, TIE)
+    cut = cells.agg(F.round(F.percentile(even, F.lit(1 - fraction)), TIE).alias("cut"))
+    return cells.join(F.broadcast(cut)).select(*keys(cells), F.when(known, F.when(even >= F.col("cut"), depth).otherwise(0.0)).alias("depth"))
 
 
 def area_over(cells: DataFrame, threshold: float, *by: str, depth: str = "depth", cell_area_m2: float = 900.0) -> DataFrame:
