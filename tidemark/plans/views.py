@@ -14,6 +14,8 @@ from tidemark.functions.hydrology import RETURN_PERIODS, gev_quantile, gumbel_lo
 from tidemark.plans.forcing import return_periods
 
 WIDTH = 40
+#: Cells that a task reads, and rows of the grid that stay together.
+CELLS_A_TASK, ROWS_TOGETHER = 50_000, 32
 #: Gumbel location and scale in metres of the hazards' levels.
 LAWS = {"coastal": (0.30, 0.12), "fluvial": (0.50, 0.20), "pluvial": (0.05, 0.05)}
 
@@ -23,10 +25,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """row, col, z, hand, filled, channel, size; z and what follows from it are null on some cells."""
+    """row, col, z, hand, filled, channel, size; z and what follows from it are null on some cells.
+
+    A million cells lie in a file of a few MB, which one task would read, and
+    spread to neighbours, return periods or sorted files alone: they are dealt
+    out by stretches of rows, so that a task's share does not grow.
+    """
     p, size = F.col("p_partkey"), F.col("p_size")
     z = F.when(p % 97 != 13, (size - 10) / 10.0)
-    return table(spark, sf_dir, "part").select(
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    tasks = part.count() // CELLS_A_TASK + 1
+    if tasks > 1:
+        part = part.repartition(tasks, F.floor(p / (WIDTH * ROWS_TOGETHER)))
+    return part.select(
         F.floor(p / WIDTH).cast("int").alias("row"), (p % WIDTH).cast("int").alias("col"), z.alias("z"), F.when(z.isNotNull(), size / 10.0).alias("hand"), (z + (p % 7) / 10.0).alias("filled"), (size % 5 == 0).alias("channel"), size.alias("size")
     )
 
