@@ -217,16 +217,17 @@ def hand(cells: DataFrame, directions: DataFrame, drainage: Column, z: str = "z"
 def outlet_distance(cells: DataFrame, outlet: Column, cell_m: float = 1.0) -> DataFrame:
     """Keys and ``distance`` in metres to the nearest outlet cell, exactly; null without one.
 
-    First down each column by two window passes; then, row by row, the lower
-    envelope of the parabolas over the column distances.  Work grows with the
-    cells, and a task holds one row of the grid.
+    First down each column by two window passes, one from either end; then, row
+    by row, the lower envelope of the parabolas over the column distances.  Work
+    grows with the cells, and a task holds one row of the grid.
     """
     k = keys(cells)
     extra = [c for c in k if c == "grid"]
     at = cells.select(*k, F.when(F.coalesce(outlet, F.lit(False)), F.col("row")).alias("o"))
-    down = Window.partitionBy(*extra, "col").orderBy("row")
-    above = F.last("o", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first("o", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
+    # a frame that is open ahead is summed anew for every row, so the second pass runs upwards
+    by_column, passed = Window.partitionBy(*extra, "col"), (Window.unboundedPreceding, 0)
+    above = F.last("o", ignorenulls=True).over(by_column.orderBy("row").rowsBetween(*passed))
+    below = F.last("o", ignorenulls=True).over(by_column.orderBy(F.col("row").desc()).rowsBetween(*passed))
     flat = at.select(*k, F.least(F.col("row") - above, below - F.col("row")).cast("long").alias("_down"))
 
     def across(group: pa.Table) -> pa.Table:
