@@ -174,7 +174,8 @@ def burned_median_depitted(cells: DataFrame, channel: Column, land: Column, burn
     from tidemark.operators.grid import median_filtered
 
     low = cells.withColumn("z", burned("z", channel, burn))
-    return depitted(median_filtered(low, "z", window, land), "z", **depit)
+    # filling reads the medians several times
+    return depitted(cut_cells(median_filtered(low, "z", window, land)), "z", **depit)
 
 
 def pit_sizes(cells: DataFrame, z: str = "z", smallest: float = 0.5, largest: float = 3.0, edges: tuple[int, ...] = (1, 9, 25, 100, 1000)) -> DataFrame:
