@@ -142,7 +142,8 @@ def denoised(cells: DataFrame, depth: str = "depth", wet: float = 0.05, smallest
 def d8(cells: DataFrame, z: str = "z") -> DataFrame:
     """Keys and ``d8``: direction of the steepest descent, diagonals over sqrt(2), ties to the lowest direction; -1 if none."""
     k = keys(cells)
-    known = cells.where(F.col(z).isNotNull()).select(*k, F.col(z).alias("z"))
+    # read three times below
+    known = cut_cells(cells.where(F.col(z).isNotNull()).select(*k, F.col(z).alias("z")))
     # a neighbour in direction i sends its height back along the opposite step
     sent = reached(known, tuple((-dr, -dc) for dr, dc in FLOW), F.col("z").alias("zn"))
     apart = F.when(F.col("direction").isin(0, 2, 5, 7), 2**0.5).otherwise(1.0)
@@ -154,7 +155,7 @@ def d8(cells: DataFrame, z: str = "z") -> DataFrame:
 def flow_edges(directions: DataFrame) -> DataFrame:
     """(cell, next): where each cell drains; a cell without a direction, or whose target is not in the table, drains to itself."""
     dr, dc = (F.array(*[F.lit(step[i]) for step in FLOW]) for i in (0, 1))
-    at = with_id(directions)
+    at = cut_cells(with_id(directions))
     grid = F.col("grid") if "grid" in directions.columns else None
     target = F.when(F.col("d8") >= 0, cell_id(grid, F.col("row") + F.get(dr, F.col("d8")), F.col("col") + F.get(dc, F.col("d8"))))
     to = at.select("cell", target.alias("to"))
@@ -175,8 +176,10 @@ def terminals(edges: DataFrame) -> DataFrame:
     """(cell, terminal): the cell at which each flow path ends, by pointer doubling."""
 
     def step(s: DataFrame) -> DataFrame:
-        ahead = s.select(F.col("cell").alias("terminal"), F.col("terminal").alias("after"))
-        return s.join(ahead, "terminal").select("cell", F.col("after").alias("terminal"), (F.col("after") != F.col("terminal")).alias("moved"))
+        # a path that did not move has ended and asks itself, else all cells of a basin would meet at its end
+        asked = s.withColumn("at", F.when(F.col("moved"), F.col("terminal")).otherwise(F.col("cell")))
+        ahead = s.select(F.col("cell").alias("at"), F.col("terminal").alias("after"))
+        return asked.join(ahead, "at").select("cell", F.col("after").alias("terminal"), (F.col("after") != F.col("terminal")).alias("moved"))
 
     start = edges.select("cell", F.col("next").alias("terminal"), F.lit(True).alias("moved"))
     return _rounds(step, start, lambda s: s.where("moved").isEmpty()).select("cell", "terminal")
@@ -188,13 +191,15 @@ def accumulation(edges: DataFrame, weight: DataFrame | None = None) -> DataFrame
     Doubling: after k rounds a cell has the sum of all within 2**k steps
     upstream, and every pointer leads 2**k steps down.
     """
-    own = edges.select("cell", F.lit(1.0).alias("amount")) if weight is None else weight.select("cell", F.col("weight").cast("double").alias("amount"))
-    start = edges.join(own, "cell").select("cell", F.when(F.col("next") != F.col("cell"), F.col("next")).alias("to"), "amount")
+    own = edges.withColumn("amount", F.lit(1.0)) if weight is None else edges.join(weight.select("cell", F.col("weight").cast("double").alias("amount")), "cell")
+    start = own.select("cell", F.when(F.col("next") != F.col("cell"), F.col("next")).alias("to"), "amount")
 
     def step(s: DataFrame) -> DataFrame:
         sent = s.where("to is not null").groupBy(F.col("to").alias("cell")).agg(F.sum("amount").alias("more"))
-        ahead = s.select(F.col("cell").alias("to"), F.col("to").alias("after"))
-        return s.join(ahead, "to", "left").join(sent, "cell", "left").select("cell", F.col("after").alias("to"), (F.col("amount") + F.coalesce("more", F.lit(0.0))).alias("amount"))
+        # a cell whose pointer has run out asks itself and learns null again: as nulls all of these would meet in one task
+        asked = s.withColumn("at", F.coalesce("to", "cell"))
+        ahead = s.select(F.col("cell").alias("at"), F.col("to").alias("after"))
+        return asked.join(ahead, "at", "left").join(sent, "cell", "left").select("cell", F.col("after").alias("to"), (F.col("amount") + F.coalesce("more", F.lit(0.0))).alias("amount"))
 
     return _rounds(step, start, lambda s: s.where("to is not null").isEmpty()).select("cell", "amount")
 
