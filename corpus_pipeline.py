@@ -41,7 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token store and returns one row per document read back from it."""
-    return token_store.token_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=300_000)
+    # the stages before have left the executors' heaps grown, so texts are taken up in smaller portions than by op1
+    return token_store.token_store(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remembered=300_000, portion=2 << 20)
 
 
 STAGES = [

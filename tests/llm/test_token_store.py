@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import docs, empty, rows
@@ -187,3 +188,21 @@ def test_forgetting_what_was_sent_changes_nothing(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, S.read_back(spark, path).collect()), key=repr) == want
     chunks = S.read_chunks(spark, path)
     assert chunks.count() == chunks.select("digest").distinct().count()
+
+
+def test_smaller_portions_give_the_same_rows_and_smaller_arrays(monkeypatch):
+    texts = [f"word{i} and {i * 7} more, " * 40 for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(200), pa.int64()), "text": texts})
+    seen, real = [], S.places
+
+    def places(ids, ends, least=21):
+        seen.append((len(ids), least))
+        return real(ids, ends, least)
+
+    monkeypatch.setattr(S, "places", places)
+    path, got = public_tokenizers.path("word_bpe_49k.json"), []
+    for portion in (1 << 14, S.PORTION):
+        rows = [r for b in S._encoder(path, 1, portion=portion)(iter([batch])) for r in b.to_pylist()]
+        got.append(sorted(map(repr, rows)))
+    assert got[0] == got[1]
+    assert max(seen[:-1])[0] < 1 << 14 < seen[-1][0] and seen[0][1] < seen[-1][1] == 21

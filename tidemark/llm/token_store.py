@@ -290,15 +290,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
-def places(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def places(ids: np.ndarray, ends: np.ndarray, least: int = 21) -> np.ndarray:
     """Where chunks may end in id streams that lie one after another, each up to one of ``ends``.
 
     A polynomial hash of the last WINDOW ids of the own stream decides; the
-    newest id has weight 1, wherever the window lies.
+    newest id has weight 1, wherever the window lies.  The table of powers holds
+    2**least numbers at least.
     """
     n = len(ids)
     # one table serves all portions; only a longer text needs another
-    size = 1 << max(21, n.bit_length())
+    size = 1 << max(least, n.bit_length())
     with np.errstate(over="ignore"):
         base, inverse = (p[:n] for p in _powers(size))
         sums = np.zeros(n + 1, np.uint64)
@@ -359,7 +360,9 @@ def forget() -> None:
     _powers.cache_clear()
 
 
-def _encoder(path: str, end_id: int | None, remembered: int | None = None):
+def _encoder(path: str, end_id: int | None, remembered: int | None = None, portion: int = PORTION):
+    # an id takes two bytes of text or more but in odd texts
+    least = min(21, (portion // 2 - 1).bit_length())
 
     def rows(kind: str, n: int, **columns: list) -> pa.RecordBatch:
         """Rows of one kind; columns of the other kind are null."""
@@ -373,7 +376,7 @@ def _encoder(path: str, end_id: int | None, remembered: int | None = None):
         gc.disable()  # millions of words are made here, and no cycles
         try:
             for batch in batches:
-                for first, stop in arrow_portions(batch["text"]):
+                for first, stop in arrow_portions(batch["text"], portion):
                     doc_ids = batch["doc_id"].slice(first, stop - first).to_pylist()
                     ids, ends = encoder.ids(batch["text"].slice(first, stop - first))
                     if end_id is not None:
@@ -382,7 +385,7 @@ def _encoder(path: str, end_id: int | None, remembered: int | None = None):
                     names, lengths, payloads = [], [], []
                     counts, lists, crcs, sizes, roots = [], [], [], [], []
                     data, small = ids.tobytes(), ids.astype(f"<u{width}").tobytes()
-                    found = places(ids, ends)
+                    found = places(ids, ends, least)
                     marks, found = np.searchsorted(found, ends, side="right").tolist(), found.tolist()
                     last = mark = 0
                     for end, next_mark in zip(ends.tolist(), marks):
@@ -428,16 +431,17 @@ _ARROW = pa.schema(
 )
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> str:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None, portion: int = PORTION) -> str:
     """Encode ``docs`` and write the store described above to ``path``.
 
     Null texts count as empty and yield the end id alone.  Rows that repeat a
     doc_id keep their own recipes, ordered by root; rows without a doc_id come
     first.  An empty table gives empty tables.  ``remembered`` bounds the words
-    that a Python process holds, REMEMBERED by default.
+    that a Python process holds, REMEMBERED by default, and ``portion`` the bytes
+    of text that it takes up at a time.
     """
     spark = docs.sparkSession
-    made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id, remembered), _OBJECT)
+    made = documents(docs, id_col, text_col).mapInArrow(_encoder(tokenizer, end_id, remembered, portion), _OBJECT)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # of the chunks that tasks have sent, the first of each digest; the window takes the partitioning as it is
     before = F.lag("digest").over(Window.partitionBy("key").orderBy("digest"))
@@ -555,8 +559,8 @@ def reconstruct(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return uses.join(read_chunks(spark, path), "digest").groupBy("doc_id", "start").applyInArrow(glued, "doc_id long, start long, ids array<long>")
 
 
-def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path: str | None = None, remembered: int | None = None) -> DataFrame:
+def token_store(docs: DataFrame, tokenizer: str, end_id: int | None = 1, path: str | None = None, remembered: int | None = None, portion: int = PORTION) -> DataFrame:
     """Write the store (in the shared folder unless ``path`` is given) and return what is read back from it."""
     path = path or scratch(docs.sparkSession, "token-store")
-    write_store(docs, path, tokenizer, end_id, remembered=remembered)
+    write_store(docs, path, tokenizer, end_id, remembered=remembered, portion=portion)
     return read_back(docs.sparkSession, path)
