@@ -33,3 +33,10 @@ def test_points_that_ask_for_their_windows_meet_by_merging(spark, sf_dir, plan):
     field = cells.select((graph.F.col("row") * 0.25).alias("lat"), (graph.F.col("col") * 0.25).alias("lon"), graph.F.col("z").alias("mdt"))
     at = points.select("label", (graph.F.col("row") * 0.25).alias("lat"), (graph.F.col("col") * 0.25).alias("lon"))
     assert "SortMergeJoin" in plan(forcing.grid_value(field, at, 0.25))
+
+
+def test_filled_and_marked_cells_alone_are_not_sent(spark, sf_dir, plan):
+    cells = views.cells(spark, sf_dir).select("row", "col", "z")
+    assert "Broadcast" not in plan(terrain.filled_surface(cells).where("filled is not null"))
+    wide = cells.where("z > 0").select("row", "col").crossJoin(spark.range(9)).crossJoin(spark.range(9)).select("row", "col")
+    assert "SortMergeJoin" in plan(graph.marked(cells, wide, "found").where("found"))

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidemark.operators.components import connected_components
 from tidemark.operators.grid import cell_id, keys, offsets, reached, with_id
-from tidemark.sources.storage import cut_cells, cut_round
+from tidemark.sources.storage import by_merge, cut_cells, cut_round
 
 #: Side of the tiles of the first labelling phase.
 TILE = 128
@@ -90,7 +90,7 @@ def flood_fill(cells: DataFrame, active: Column, connectivity: int = 8, seed: Co
 def marked(cells: DataFrame, found: DataFrame, name: str) -> DataFrame:
     """``cells`` with a boolean column: whether the cell is among ``found``."""
     k = keys(cells)
-    return cells.join(found.select(*k).withColumn(name, F.lit(True)), k, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return by_merge(cells).join(found.select(*k).withColumn(name, F.lit(True)), k, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def connectivity_filter(cells: DataFrame, depth: str = "depth", connectivity: int = 8, seed: Column | None = None, on_border: Column | None = None) -> DataFrame:

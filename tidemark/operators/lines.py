@@ -83,4 +83,4 @@ def drainage_network(cells: DataFrame, lines: DataFrame | None, width: float, th
     if none or how != "lines":
         found.append(drainage_mask(conditioned_directions(cells, z), threshold).where("drain").select(*k))
     both = found[0] if len(found) == 1 else found[0].union(found[1]).distinct()
-    return cells.select(*k).join(both.withColumn("drain", F.lit(True)), k, "left").select(*k, F.coalesce("drain", F.lit(False)).alias("drain"))
+    return by_merge(cells.select(*k)).join(both.withColumn("drain", F.lit(True)), k, "left").select(*k, F.coalesce("drain", F.lit(False)).alias("drain"))

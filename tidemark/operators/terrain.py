@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.flats import TILE, flat_distances
 from tidemark.operators.graph import FLOW, accumulation, d8, flow_edges, hand, label_components, marked, terminals
 from tidemark.operators.grid import OFFSETS, keys, reached, with_id
-from tidemark.sources.storage import cut_cells, cut_round
+from tidemark.sources.storage import by_merge, cut_cells, cut_round
 
 #: Number of the basin that stands for everything outside the grid.
 OUTSIDE = -1
@@ -45,7 +45,8 @@ def filled_surface(cells: DataFrame, z: str = "z") -> DataFrame:
     out = at.join(_on_edge(cells, z), k, "left_semi").select("basin", F.lit(OUTSIDE).cast("long").alias("other"), F.col("z").alias("height"))
     passes = cut_cells(inner.union(out).groupBy("basin", "other").agg(F.min("height").alias("height")))
     full = at.join(spill_levels(passes), "basin", "left").select(*k, F.greatest("z", "level").alias("filled"))
-    return cells.select(*k, F.col(z).alias("z")).join(full, k, "left")
+    # who asks for filled cells alone makes this an inner join, which may send either side
+    return by_merge(cells.select(*k, F.col(z).alias("z"))).join(full, k, "left")
 
 
 def _flooded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,7 @@ def twi(cells: DataFrame, cell_m: float = 30.0, z: str = "z") -> DataFrame:
     surface = cut_cells(filled_surface(cells, z))
     area = drainage_mask(conditioned_directions(cells, z, surface=surface)).select(*k, "cells")
     index = F.ln((F.col("cells") + 1) * cell_m / F.greatest(F.coalesce("slope", F.lit(0.0)), F.lit(1e-3)))
-    return cells.select(*k).join(area.join(slope(surface.select(*k, F.col("filled").alias("z")), cell_m), k, "left").select(*k, index.alias("twi")), k, "left")
+    return by_merge(cells.select(*k)).join(area.join(slope(surface.select(*k, F.col("filled").alias("z")), cell_m), k, "left").select(*k, index.alias("twi")), k, "left")
 
 
 def burned_median_depitted(cells: DataFrame, channel: Column, land: Column, burn: float = 2.0, window: int = 3, **depit) -> DataFrame:
