@@ -4,6 +4,7 @@ import pytest
 
 from tidemark.operators import graph, grid, scoring, terrain
 from tidemark.plans import diagnostics, forcing, views
+from tidemark.sources import storage
 
 
 @pytest.fixture
@@ -35,6 +36,15 @@ def test_points_that_ask_for_their_windows_meet_by_merging(spark, sf_dir, plan):
     assert "SortMergeJoin" in plan(forcing.grid_value(field, at, 0.25))
 
 
+def test_a_rounds_table_of_many_rows_meets_by_merging(spark, plan):
+    many = storage.cut_round(spark.range(150_000).selectExpr("id as cell", "id div 3 as terminal"))
+    ahead = many.select(many.cell.alias("terminal"), many.terminal.alias("after"))
+    # packed it is far smaller than a copy for every executor
+    assert "Broadcast" not in plan(many.join(ahead, "terminal"))
+    few = storage.cut_round(spark.range(1_000).selectExpr("id as cell", "id div 3 as terminal"))
+    assert "Broadcast" in plan(few.join(few.select(few.cell.alias("terminal"), few.terminal.alias("after")), "terminal"))
+
+
 def test_filled_and_marked_cells_alone_are_not_sent(spark, sf_dir, plan):
     cells = views.cells(spark, sf_dir).select("row", "col", "z")
     assert "Broadcast" not in plan(terrain.filled_surface(cells).where("filled is not null"))

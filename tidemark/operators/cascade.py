@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.storage import cut, cut_round
+from tidemark.sources.storage import cut_round
 
 
 def on_cycles(links: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def acyclic(spill: DataFrame, depressions: DataFrame) -> DataFrame:
     to come, so a cycle's links back to smaller numbers are left out.
     """
     known = depressions.select(F.col("dep").alias("b"))
-    links = cut(spill.select(F.col("dep").alias("a"), F.col("spill_to").alias("b")).where("a <> b").join(known, "b", "left_semi").join(known.withColumnRenamed("b", "a"), "a", "left_semi"))
+    links = cut_round(spill.select(F.col("dep").alias("a"), F.col("spill_to").alias("b")).where("a <> b").join(known, "b", "left_semi").join(known.withColumnRenamed("b", "a"), "a", "left_semi"))
     round_about = on_cycles(links).select(F.col("node").alias("a"), F.lit(True).alias("cycle"))
     kept = links.join(round_about, "a", "left").where("cycle is null or b > a")
     return kept.select(F.col("a").alias("dep"), F.col("b").alias("parent"))

@@ -55,7 +55,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are cut off, so that the join deals both sides anew and can split a hub's links
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")))
+        least = cut_round(both.groupBy("u").agg(F.min("v").alias("m")))
         large = cut_round(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
         # all links now point from the larger to the smaller node
         least = large.groupBy("u").agg(F.min("v").alias("m"))

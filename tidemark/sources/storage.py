@@ -8,6 +8,9 @@ import uuid
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Up to so many rows of a loop's table may be sent whole to every executor: some 10 MB once hashed.
+SENT_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
@@ -56,13 +59,16 @@ def cut_round(df: DataFrame) -> DataFrame:
 
     A checkpoint keeps the planner's guess of its size, which a join squares:
     over the rounds of a loop that number would grow without end, and planning
-    with it.  Here the rows are counted first, so the real size is kept.
+    with it.  Here the rows are counted first, so the real size is kept.  That
+    size is of packed columns, a tenth of what a copy for every executor takes
+    in the driver, so tables of more than ``SENT_ROWS`` rows meet by merging.
     """
     shared_dir(df.sparkSession)
     held = df.persist(StorageLevel.DISK_ONLY)
     try:
-        held.count()
-        return held.checkpoint(eager=True)
+        rows = held.count()
+        kept = held.checkpoint(eager=True)
+        return by_merge(kept) if rows > SENT_ROWS else kept
     finally:
         held.unpersist()
 
